@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokens
+from . import pii, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)), written), ",")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", written), ",").alias("spans"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
