@@ -46,7 +46,7 @@ def test_added_spans():
 
 
 def test_rows(spark):
-    rows = [(1, "mail é a@b.co"), (2, None), (3, ""), (None, "1.2.3.4"), (1, "mail é a@b.co"), (4, "9" * 200_000 + "a@b" * 50_000)]
+    rows = [(1, "mail é a@b.co"), (2, None), (3, ""), (None, "1.2.3.4"), (1, "mail é a@b.co"), (4, "9" * 3_000 + "a@b" * 2_000)]
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, spans int")
     got = pii.personal_data(df).collect()
     assert sorted((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.spans]) for r in got) == sorted((str(d), brute(t or "")) for d, t in rows)
