@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, pii, simhash, suffix, tokens
+from . import html, media, mixing, pii, simhash, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(_table(spark, sf_dir, "documents"))
     return found.select(
