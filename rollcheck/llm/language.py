@@ -151,3 +151,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             )
 
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+
+
+def label(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, with the predicted language (or `und`) in lang_col."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mixtures = [sent.value.mixture(t) for t in texts(b, text_col)]
+            top = pa.array([max(x, key=x.get) if x else UNKNOWN for x in mixtures], pa.string())
+            yield b.set_column(at, b.schema.field(at).with_type(pa.string()), top)
+
+    return docs.withColumn(lang_col, F.col(lang_col).cast("string")).mapInArrow(run, docs.withColumn(lang_col, F.col(lang_col).cast("string")).schema)

@@ -102,10 +102,11 @@ class Mix:
     slots: shard, slot, place, block: what the mix takes, in order. Reruns give the same rows.
     """
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 32, shard_slots: int = 2048, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> None:
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 32, shard_slots: int = 2048, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> None:
         spark = docs.sparkSession
         self.block_words, self.most = block_words, int(most)
-        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
+        self.kept = [f"_keep_{k}" for k in range(len(keep))]
         texts, rows = rows.withColumn("tie", F.xxhash64("text")), cut(rows.select("id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
         per = F.col("source_size") / block_words
@@ -124,7 +125,7 @@ class Mix:
         with_place = lambda df: df.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         placed = with_place(rows).withColumn("chunk", F.pmod(F.xxhash64("id", "tie"), _chunks(F.col("docs"))))
         self.docs = _running(placed, "place", ["id", "tie"], "size", "start").select("id", "tie", "source", "place", "size", "start")
-        self.texts = with_place(texts).select("id", "tie", "place", "text")
+        self.texts = with_place(texts).select("id", "tie", "place", "text", *self.kept)
 
         # multinomial draws of the shards' slots
         bounds = [x / total for x in accumulate(slots)] if total else []
@@ -176,9 +177,9 @@ class Mix:
         """
         took = self.pieces().join(self.uses(), ["place", "block"]).groupBy("id", "tie", "source", "place", "start").agg(F.array_sort(F.collect_list(F.struct("begin", "words", "times"))).alias("parts"))
         joined = took.join(self.texts.dropDuplicates(["id", "tie", "place"]), ["id", "tie", "place"])
-        words = joined.select("id", "source", "parts", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("_w"))
+        words = joined.select("id", "source", *self.kept, "parts", F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)).alias("_w"))
         turn = lambda t: F.array_join(F.flatten(F.transform(F.filter("parts", lambda p: p["times"] >= t), lambda p: F.slice("_w", (p["begin"] + 1).cast("int"), p["words"].cast("int")))), "")
-        return words.select("id", "source", F.concat_ws("\n", turn(1), *[F.nullif(turn(t), F.lit("")) for t in range(2, self.most + 1)]).alias("text"))
+        return words.select("id", "source", *self.kept, F.concat_ws("\n", turn(1), *[F.nullif(turn(t), F.lit("")) for t in range(2, self.most + 1)]).alias("text"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -194,3 +195,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = mix.docs.withColumn("_start", F.when(F.col("size") > 0, F.col("start")))
     joined = keyed.join(took.withColumnRenamed("start", "_start"), ["place", "_start"], "left").join(F.broadcast(mix.sources.select("place", "source_size", "target")), "place")
     return joined.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """id, text (the words that the mix takes), source and the columns in keep, for each document of which it takes words.
+
+    Columns in keep come from a document with the same id, text and source.
+    """
+    mix = Mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keep=tuple(keep), **options)
+    return mix.texts_taken().select(F.nullif("id", F.lit(LAST_ID)).alias(id_col), F.col("text").alias(text_col), F.col("source").alias(source_col), *[F.col(k).alias(c) for k, c in zip(mix.kept, keep)])

@@ -130,8 +130,37 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, se
     """
     rows = cut(fingerprints(docs, shingle_words, seed, id_col, text_col))
     firsts = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("first_id"))
+    of_fp = _components(firsts, radius, bucket_limit).select("fp", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _components(firsts: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
+    """(fp, first_id) -> (fp, first_id, component_id)."""
     groups = connected_components(near_links(firsts.select("fp"), radius, bucket_limit)).select(F.col("node").alias("fp"), "component")
     named = firsts.join(groups, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_fp = named.join(lowest, "component").select("fp", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return named.join(lowest, "component").select("fp", "first_id", "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 3, shingle_words: int = 3, seed: int = 42, bucket_limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one row of each near-duplicate group: its smallest id, null ids last.
+
+    Rows that share that id and differ in text are told apart by a hash of the text; of wholly equal
+    ones one stays. Groups whose ids are all null are one group here.
+    """
+    row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.col(text_col).cast("string"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle_words, seed) for t in texts(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "h", "fp"])
+
+    keyed = docs.select(row_id.alias("id"), row_hash.alias("h"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(keyed.mapInArrow(run, "id long, h long, fp long"))
+    firsts = rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "h")).alias("first"))
+    named = _components(firsts.select("fp", "first_id"), radius, bucket_limit).filter("first_id = component_id").join(firsts.select("fp", "first"), "fp")
+    own = ["__kept_id", "__kept_hash"]
+    best = named.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.id").alias(own[0]), F.col("first.h").alias(own[1])).distinct()
+    known = docs.withColumns({own[0]: row_id, own[1]: row_hash})
+    return known.join(best, own, "left_semi").dropDuplicates(own).drop(*own)
