@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,54 +119,76 @@ def common_prefixes(sa: np.ndarray, v8: np.ndarray, limit: int) -> np.ndarray:
     return np.minimum(out, limit)
 
 
+def _mixed(v8: np.ndarray, n: int, anchor_bytes: int) -> np.ndarray:
+    """A 64-bit hash of the anchor_bytes (a multiple of 8) from each of n positions."""
+    h = np.zeros(n, np.uint64)
+    for at in range(0, anchor_bytes, 8):
+        h = (h ^ v8[at : at + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(29))
+
+
+def _segments(raw: list[bytes], length: int, anchor_bytes: int) -> tuple[np.ndarray, ...]:
+    sizes = np.array([len(r) for r in raw], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    t = np.frombuffer(b"".join(raw), np.uint8)
+    n = len(t) - length + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.uint64)
+    h = _mixed(words_at(t), len(t) - anchor_bytes + 1, anchor_bytes)
+    # the smallest of the window's hashes, leftmost on ties: high bits of the hash, then the position
+    bits = np.uint64(max(1, len(t).bit_length()))
+    low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    span, have = length - anchor_bytes + 1, 1
+    while have < span:
+        step = min(have, span - have)
+        low = np.minimum(low[:-step], low[step:])
+        have += step
+    where = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    inside = np.zeros(n, bool)
+    for a, s in zip(begin.tolist(), sizes.tolist()):
+        if s >= length:
+            inside[a : a + s - length + 1] = True
+    new = np.ones(n, bool)
+    new[1:] = (where[1:] != where[:-1]) | ~inside[:-1]
+    new &= inside
+    first = np.flatnonzero(new)
+    last = np.flatnonzero(inside & np.concatenate((new[1:] | ~inside[1:], [True])))
+    long = np.flatnonzero(sizes >= length)  # only these have windows
+    doc = long[np.searchsorted(begin[long], first, side="right") - 1]
+    return doc, first - begin[doc], last - first + 1, h[where[first]]
+
+
 class Segments:
-    """Segments of windows with one anchor, of many texts at once.
+    """Segments of windows with one anchor, of many texts: arrays doc (the text's index), first (byte
+    offset of the first window), n (windows) and anchor (a 64-bit hash of the anchor's bytes).
 
-    doc: the text's index; first, last: its first and last window (byte offsets in the joined
-    bytes); anchor: a 64-bit hash of the anchor's bytes.
+    Texts are taken in groups of about group_bytes, which bounds the arrays; a single longer text is a group.
     """
 
-    def __init__(self, raw: list[bytes], length: int, anchor_bytes: int = 16) -> None:
-        sizes = np.array([len(r) for r in raw], np.int64)
-        self.joined = b"".join(raw)
-        self.begin = np.cumsum(sizes) - sizes
-        t = np.frombuffer(self.joined, np.uint8)
-        n = len(t) - length + 1
-        if n <= 0:
-            self.doc = self.first = self.last = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
-            return
-        v8 = words_at(t)
-        h = v8[: len(t) - anchor_bytes + 1] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += v8[anchor_bytes - 8 : len(t) - 7] * np.uint64(0xC2B2AE3D27D4EB4F)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(29)
-        # the smallest of the window's hashes, leftmost on ties: high bits of the hash, then the position
-        bits = np.uint64(max(1, len(t).bit_length()))
-        low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-        span, have = length - anchor_bytes + 1, 1
-        while have < span:
-            step = min(have, span - have)
-            low = np.minimum(low[:-step], low[step:])
-            have += step
-        where = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        inside = np.zeros(n, bool)
-        for a, s in zip(self.begin.tolist(), sizes.tolist()):
-            if s >= length:
-                inside[a : a + s - length + 1] = True
-        new = np.ones(n, bool)
-        new[1:] = (where[1:] != where[:-1]) | ~inside[:-1]
-        new &= inside
-        self.first = np.flatnonzero(new)
-        stop = np.flatnonzero(inside & np.concatenate((new[1:] | ~inside[1:], [True])))
-        self.last = stop
-        self.anchor = h[where[self.first]]
-        self.doc = np.searchsorted(self.begin, self.first, side="right") - 1
-        while (bad := sizes[self.doc] == 0).any():  # empty texts share their start with the next text
-            self.doc[bad] -= 1
+    def __init__(self, raw: list[bytes], length: int, anchor_bytes: int = 24, group_bytes: int = 1 << 21) -> None:
+        found, at = [], 0
+        self.raw, self.length = raw, length
+        while at < len(raw):
+            stop, held = at, 0
+            while stop < len(raw) and (stop == at or held + len(raw[stop]) <= group_bytes):
+                held += len(raw[stop])
+                stop += 1
+            doc, *rest = _segments(raw[at:stop], length, anchor_bytes)
+            found.append((doc + at, *rest))
+            at = stop
+        none = np.zeros(0, np.int64)
+        parts = list(zip(*found)) if found else [[none], [none], [none], [np.zeros(0, np.uint64)]]
+        self.doc, self.first, self.n, self.anchor = map(np.concatenate, parts)
+
+    def bodies(self, at: np.ndarray) -> list[bytes]:
+        """The bytes that the windows of some segments cover."""
+        raw, more = self.raw, self.length - 1
+        return [raw[d][f : f + n + more] for d, f, n in zip(self.doc[at].tolist(), self.first[at].tolist(), self.n[at].tolist())]
 
 
 def _buckets(spark) -> int:
@@ -174,7 +197,7 @@ def _buckets(spark) -> int:
 
 
 def _anchor_keys(length: int, log_buckets: int):
-    """For each batch and bucket: 32 bits of the different anchors, those of one text and those of several apart."""
+    """For each batch and bucket: 32 bits of the different anchors, those of one text, and those of several with their occurrences and different bodies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,66 +207,122 @@ def _anchor_keys(length: int, log_buckets: int):
             top, doc = top[order], s.doc[order]
             first = np.concatenate(([True], top[1:] != top[:-1])) if len(top) else np.zeros(0, bool)
             at = np.flatnonzero(first)
-            last = np.concatenate((at[1:], [len(top)])) - 1 if len(at) else at
-            several = doc[at] != doc[last]
+            stop = np.concatenate((at[1:], [len(top)])) if len(at) else at
+            several = doc[at] != doc[stop - 1]
             key, bucket = (top[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (top[at] >> np.uint64(32)).astype(np.int32)
+            times, kinds = (stop - at).astype(np.uint32), np.ones(len(at), np.uint32)
+            for k in np.flatnonzero(several).tolist():
+                kinds[k] = len(set(s.bodies(order[at[k] : stop[k]])))
             out: dict[str, list] = {"bucket": [], "single": [], "multi": []}
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
                 out["bucket"].append(int(bucket[a]))
-                out["single"].append(key[a:z][~several[a:z]].tobytes())
-                out["multi"].append(key[a:z][several[a:z]].tobytes())
+                many = several[a:z]
+                out["single"].append(key[a:z][~many].tobytes())
+                out["multi"].append(np.stack((key[a:z][many], times[a:z][many], kinds[a:z][many])).tobytes())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("single", pa.binary()), ("multi", pa.binary())]))
 
     return run
 
 
-def _repeated(bits: int):
-    """A bucket's part of the bit table: a bit for each anchor that more than one text has."""
+def _repeated(bits: int, most_places: int, most_bodies: int):
+    """A bucket's part of the bit table, a bit for each anchor that more than one text has; and the hot anchors."""
 
     def run(table: pa.Table) -> pa.Table:
-        joined = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint32)
-        one = np.sort(joined("single"))
-        many = np.unique(joined("multi"))
-        again = np.unique(one[1:][one[1:] == one[:-1]])
-        if len(many) and len(one):
-            at = np.minimum(np.searchsorted(many, one), len(many) - 1)
-            again = np.union1d(again, one[many[at] == one])
-        found = np.union1d(again, many) >> np.uint32(32 - bits)
+        single = np.frombuffer(b"".join(table.column("single").to_pylist()), np.uint32)
+        multi = np.concatenate([np.frombuffer(x, np.uint32).reshape(3, -1) for x in table.column("multi").to_pylist()], axis=1)
+        key, at = np.unique(np.concatenate((single, multi[0])), return_inverse=True)
+        once = np.ones(len(single))
+        times = np.bincount(at, np.concatenate((once, multi[1])), len(key))
+        kinds = np.bincount(at, np.concatenate((once, multi[2])), len(key))
         marks = np.zeros(1 << bits, np.uint8)
-        marks[found] = 1
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+        marks[key[times > 1] >> np.uint32(32 - bits)] = 1
+        bucket = table.column("bucket")[0].as_py()
+        hot = (np.int64(bucket) << 32) | key[(times > most_places) | (kinds > most_bodies)].astype(np.int64)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary()), "hot": pa.array([hot], pa.list_(pa.int64()))})
 
     return run
 
 
-def _segments_met(length: int, marks, table_bits: int):
-    """Segments whose anchor is marked: (id, tk, first, n, anchor, body)."""
+class _Met:
+    """The segments of a batch whose anchor is marked, of hot anchors or of the others."""
+
+    def __init__(self, b: pa.RecordBatch, length: int, marks: tuple[bytes, np.ndarray], table_bits: int, log_buckets: int, want_hot: bool) -> None:
+        bits, hot = np.frombuffer(marks[0], np.uint8), marks[1]
+        self.ids, self.tks = b.column(0).to_numpy(), b.column(1).to_numpy()
+        self.s = s = Segments([t.encode() for t in texts(b)], length)
+        k = (s.anchor >> np.uint64(64 - table_bits)).astype(np.int64)
+        met = (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+        if len(hot):
+            met &= np.isin((s.anchor >> np.uint64(32 - log_buckets)).astype(np.int64), hot) == want_hot
+        self.at = np.flatnonzero(met)
+
+
+def _packed_segments(length: int, marks, table_bits: int, log_buckets: int, n_buckets: int):
+    """For each batch and bucket one row: the different bodies and where they stand, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(marks.value, np.uint8)
+        press = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            s = Segments([t.encode() for t in texts(b)], length)
-            k = (s.anchor >> np.uint64(64 - table_bits)).astype(np.int64)
-            keep = np.flatnonzero(bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1)
-            first, last, doc = s.first[keep], s.last[keep], s.doc[keep]
-            stop = (last + length).tolist()
-            body = [s.joined[x:y] for x, y in zip(first.tolist(), stop)]
-            take = pa.array(doc)
+            m = _Met(b, length, marks.value, table_bits, log_buckets, False)
+            bucket = (m.s.anchor[m.at] % np.uint64(n_buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at, bucket = m.at[order], bucket[order]
+            out: dict[str, list] = {c: [] for c in ("bucket", "bodies", "sizes", "places")}
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+                part = at[a:z]
+                body: dict[bytes, int] = {}
+                which = np.array([body.setdefault(x, len(body)) for x in m.s.bodies(part)], np.uint32)
+                docs, doc = np.unique(m.s.doc[part], return_inverse=True)
+                out["bucket"].append(int(bucket[a]))
+                out["bodies"].append(press(b"".join(body)))
+                out["sizes"].append(press(np.fromiter(map(len, body), np.uint16, len(body)).tobytes()))
+                places = (m.ids[docs].astype(np.int64), m.tks[docs].astype(np.int32), which, doc.astype(np.uint32), m.s.first[part].astype(np.uint32))
+                out["places"].append(press(np.array([len(docs), len(part)], np.int64).tobytes() + b"".join(p.tobytes() for p in places)))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("bodies", "sizes", "places")]]))
+
+    return run
+
+
+def _listed_segments(length: int, marks, table_bits: int, log_buckets: int):
+    """A row for each segment of a hot anchor: (id, tk, first, body)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _Met(b, length, marks.value, table_bits, log_buckets, True)
+            doc = m.s.doc[m.at]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(first - s.begin[doc]), pa.array(last - first + 1), pa.array(s.anchor[keep].view(np.int64)), pa.array(body, pa.binary())],
-                names=["id", "tk", "first", "n", "anchor", "body"],
+                [pa.array(m.ids[doc]), pa.array(m.tks[doc]), pa.array(m.s.first[m.at].astype(np.int32)), pa.array(m.s.bodies(m.at), pa.binary())], names=["id", "tk", "first", "body"]
             )
 
     return run
 
 
 def _bucket_windows(length: int):
-    """Suffix array over a bucket's different segments; per segment the windows that start in a smaller id's text."""
+    """Suffix array over a bucket's different segments; for each place the windows that start in a smaller id's text."""
 
     def run(table: pa.Table) -> pa.Table:
-        body = table.column("body").to_pylist()
-        lo = table.column("lo").to_numpy()
+        open_ = zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, int] = {}
+        ids, tks, which, firsts = [], [], [], []
+        for packed, sizes, places in zip(*(table.column(c).to_pylist() for c in ("bodies", "sizes", "places"))):
+            text, stops = open_(packed), np.cumsum(np.frombuffer(open_(sizes), np.uint16).astype(np.int64)).tolist()
+            number = np.array([known.setdefault(text[x:y], len(known)) for x, y in zip([0, *stops[:-1]], stops)], np.int64)
+            raw = open_(places)
+            n_docs, n = np.frombuffer(raw, np.int64, 2).tolist()
+            at = 16 + 12 * n_docs
+            own, doc, first = (np.frombuffer(raw, np.uint32, n, at + 4 * n * k) for k in range(3))
+            ids.append(np.frombuffer(raw, np.int64, n_docs, 16)[doc])
+            tks.append(np.frombuffer(raw, np.int32, n_docs, 16 + 8 * n_docs)[doc])
+            which.append(number[own])
+            firsts.append(first.astype(np.int32))
+        body = list(known)
+        del known
+        ids, tks, which, firsts = map(np.concatenate, (ids, tks, which, firsts))
+        lo = np.full(len(body), np.iinfo(np.int64).max)
+        np.minimum.at(lo, which, ids)
+
         t = np.frombuffer(b"".join([x + b"\xff" for x in body]), np.uint8)
         size = np.fromiter(map(len, body), np.int64, len(body))
         begin = np.cumsum(size + 1) - size - 1
@@ -254,16 +333,19 @@ def _bucket_windows(length: int):
         sa = sa[is_window[sa]]
         run_of = np.cumsum(common_prefixes(sa, v8, length) < length) - 1
         least = np.full(run_of[-1] + 1, np.iinfo(np.int64).max)
-        ids = lo[owner[sa]]
-        np.minimum.at(least, run_of, ids)
-        hit = sa[least[run_of] < ids]
+        own = lo[owner[sa]]
+        np.minimum.at(least, run_of, own)
+        hit = sa[least[run_of] < own]
         flags = np.zeros(len(t), bool)
         flags[hit] = True
         some = np.zeros(len(body), bool)
         some[owner[hit]] = True
-        hits = [np.flatnonzero(flags[b : b + n]).astype(np.int32) if s else None for b, n, s in zip(begin.tolist(), (size - length + 1).tolist(), some.tolist())]
-        out = table.select(["anchor", "ch", "lo", "hi"]).append_column("hits", pa.array(hits, pa.list_(pa.int32())))
-        return out.filter(pa.array(some | (table.column("hi").to_numpy() > lo)))
+
+        n = size - length + 1
+        later = ids > lo[which]  # the whole segment also starts in a smaller id's text
+        out = np.flatnonzero(later | some[which])
+        hits = [None if z else np.flatnonzero(flags[begin[w] : begin[w] + n[w]]).astype(np.int32) for w, z in zip(which[out].tolist(), later[out].tolist())]
+        return pa.table({"id": ids[out], "tk": tks[out], "first": firsts[out], "n": n[which[out]].astype(np.int32), "hits": pa.array(hits, pa.list_(pa.int32()))})
 
     return run
 
@@ -299,15 +381,27 @@ def _apply(length: int):
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, segment_limit: int = 32_768, table_bits: int = 27, copies_limit: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hot_windows(met: DataFrame, length: int) -> DataFrame:
+    """The same for anchors met too often for one task: windows are grouped by their bytes, which are pre-aggregated, and joined back."""
+    bodies = met.groupBy("body").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    each = bodies.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length))).withColumn("window", F.expr(f"substring(body, at + 1, {length})"))
+    least = each.groupBy("window").agg(F.min("lo").alias("least"))
+    hits = each.join(least, "window").groupBy("body", "lo", "hi").agg(F.array_compact(F.collect_list(F.when(F.col("least") < F.col("lo"), F.col("at")))).alias("hits"))
+    flagged = hits.filter("size(hits) > 0 or hi > lo").select("body", "lo", "hits")
+    found = met.join(flagged, "body").filter("id > lo or size(hits) > 0")
+    return found.select("id", "tk", "first", (F.octet_length("body") - (length - 1)).alias("n"), F.when(F.col("id") == F.col("lo"), F.col("hits")).alias("hits"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, most_places: int = 4_000_000, most_bodies: int = 65_536, table_bits: int = 27, copies_limit: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed byte runs), kept (the other bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller
     id. Exact copies of a text with a smaller id go whole; where they are few enough to broadcast
     (copies_limit rows) they are left out of the search, whose result is the same with or without
     them. Segments are searched only if their anchor may occur twice: a bit table of fixed size says
-    so, and a full table only lets more through. An anchor with more than segment_limit different
-    segments is not gathered; its windows are grouped by their bytes instead.
+    so, and a full table only lets more through. An anchor with more than most_places
+    places or most_bodies different segments is not gathered; its windows are grouped by their bytes
+    instead. Such anchors come to the driver, at most one for each most_bodies segments of the input.
 
     Null texts count as empty. A null id comes last; documents with one id don't count against each
     other, so repeated rows get equal results. An empty table gives an empty result.
@@ -315,43 +409,32 @@ def remove_repeats(docs: DataFrame, length: int = 50, segment_limit: int = 32_76
     spark = docs.sparkSession
     small_batches(spark)
     rows = ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("md5", F.md5("text")).withColumn("tk", F.xxhash64("md5"))
+    rows = rows.withColumn("md5", F.md5("text")).withColumn("tk", F.hash("md5"))
     keys = rows.select("id", "md5", "tk")
     firsts = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     copies = cut(keys.join(firsts, "md5").filter("id > least").select("id", "tk").distinct())
     search = rows.select("id", "tk", "text")
-    if copies.count() <= copies_limit:
+    left_out = copies.count() <= copies_limit
+    if left_out:
         search = search.join(F.broadcast(copies), ["id", "tk"], "left_anti")
 
-    log_buckets = _buckets(spark)
-    found = (
-        search.select("text").mapInArrow(_anchor_keys(length, log_buckets), "bucket int, single binary, multi binary").groupBy("bucket").applyInArrow(_repeated(table_bits - log_buckets), "bucket int, bits binary").collect()
-    )  # together 2 ** table_bits bits, whatever the input
+    log_buckets, n_buckets = _buckets(spark), 8 * parts(spark)
+    anchors = search.select("text").mapInArrow(_anchor_keys(length, log_buckets), "bucket int, single binary, multi binary")
     size = 1 << (table_bits - log_buckets - 3)
-    table = bytearray(size << log_buckets)
-    for r in found:
-        table[r.bucket * size : (r.bucket + 1) * size] = r.bits
-    marks = spark.sparkContext.broadcast(bytes(table))
-    met = search.mapInArrow(_segments_met(length, marks, table_bits), "id long, tk long, first long, n long, anchor long, body binary")
-
-    bodies = cut(met.groupBy("anchor", "body").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).withColumn("ch", F.xxhash64("body")))
-    sizes = bodies.groupBy("anchor").agg(F.count("*").alias("n_bodies"), F.min("lo").alias("from_id"), F.max("hi").alias("to_id")).filter("from_id < to_id")
-    several = bodies.join(sizes.select("anchor", "n_bodies"), "anchor")
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(2 * parts(spark))).alias("bucket")
-    kept = "anchor long, ch long, lo long, hi long, hits array<int>"
-    cold = several.filter(F.col("n_bodies") <= segment_limit).select("anchor", "ch", "lo", "hi", "body", bucket).groupBy("bucket").applyInArrow(_bucket_windows(length), kept)
-
-    hot = several.filter(F.col("n_bodies") > segment_limit).withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("body") - length))).withColumn("window", F.expr(f"substring(body, at + 1, {length})"))
-    least = hot.groupBy("anchor", "window").agg(F.min("lo").alias("least"))
-    hot = hot.join(least, ["anchor", "window"]).groupBy("anchor", "ch", "lo", "hi").agg(F.collect_list(F.when(F.col("least") < F.col("lo"), F.col("at"))).alias("hits"))
-    hot = hot.select("anchor", "ch", "lo", "hi", F.when(F.size("hits") > 0, F.col("hits")).alias("hits")).filter("hits is not null or hi > lo")
-    flagged = cold.unionByName(hot)
-
-    where = met.select("id", "tk", "first", "n", "anchor", F.xxhash64("body").alias("ch")).join(flagged, ["anchor", "ch"])
-    where = where.filter("id > lo or hits is not null").select("id", "tk", F.struct("first", "n", F.when(F.col("id") == F.col("lo"), F.col("hits")).alias("hits")).alias("m"))
-    marked = where.groupBy("id", "tk").agg(F.collect_list("m").alias("marked"), F.lit(False).alias("copy"))
-    none = F.lit(None).cast(marked.schema["marked"].dataType)
-    marked = marked.unionByName(copies.select("id", "tk", none.alias("marked"), F.lit(True).alias("copy"))).groupBy("id", "tk").agg(F.max("copy").alias("copy"), F.max_by("marked", F.size("marked")).alias("marked"))
+    table, hot = bytearray(size << log_buckets), []
+    for r in anchors.groupBy("bucket").applyInArrow(_repeated(table_bits - log_buckets, most_places, most_bodies), "bucket int, bits binary, hot array<long>").collect():
+        table[r.bucket * size : (r.bucket + 1) * size] = r.bits  # together 2 ** table_bits bits, whatever the input
+        hot += r.hot
+    marks = spark.sparkContext.broadcast((bytes(table), np.array(sorted(hot), np.int64)))
+    packed = search.mapInArrow(_packed_segments(length, marks, table_bits, log_buckets, n_buckets), "bucket int, bodies binary, sizes binary, places binary")
+    where = packed.groupBy("bucket").applyInArrow(_bucket_windows(length), "id long, tk int, first int, n int, hits array<int>")
+    if hot:
+        met = search.mapInArrow(_listed_segments(length, marks, table_bits, log_buckets), "id long, tk int, first int, body binary")
+        where = where.unionByName(_hot_windows(met, length))
+    marked = where.groupBy("id", "tk").agg(F.collect_list(F.struct("first", "n", "hits")).alias("marked"))
+    marked = marked.withColumn("copy", F.lit(False))
+    if left_out:
+        marked = marked.unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     joined = rows.select("id", "tk", "text").join(marked, ["id", "tk"], "left")
     joined = joined.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "marked")
     return joined.mapInArrow(_apply(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

@@ -60,7 +60,7 @@ def made(seed):
 def test_rows_equal_brute_force(spark):
     rows = made(1)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_bytes int").repartition(5)
-    for options in ({}, {"segment_limit": 1}, {"copies_limit": -1, "table_bits": 12}):
+    for options in ({}, {"most_places": 1}, {"most_bodies": 2}, {"copies_limit": -1, "table_bits": 12}):
         got = suffix.remove_repeats(df, **options).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute(rows)
     assert suffix.remove_repeats(df.limit(0)).count() == 0
