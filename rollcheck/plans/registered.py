@@ -1,9 +1,792 @@
 """Registered queries of the library and their DuckDB twins."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rollcheck.functions import text as X
+from rollcheck.operators import evaluate as K
+from rollcheck.operators import extraction as P
+from rollcheck.operators import paging as G
+from rollcheck.operators import quality as Q
+from rollcheck.operators import reconcile as C
+from rollcheck.operators import registry as R
+from rollcheck.operators import review as V
+from rollcheck.operators import search as S
+from rollcheck.sources import io
+from rollcheck.sources.bindings import frames, oracle
+from rollcheck.streaming import ingest as T
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of the bound frames under a name, with its SQL over the same views."""
+
+    def add(f: Callable[[dict[str, DataFrame]], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(frames(spark, sf_dir))
+        if sql:
+            _ORACLE[name] = oracle(sql)
+        return f
+
+    return add
+
+
+def scalar(name: str, table: str, key: str, made: Callable[[], Column], sql: str, where: str | None = None) -> None:
+    """A column function over every row of a table."""
+    view = table if table in ("part", "documents", "events", "customer", "orders", "lineitem") else f"fx_{table}"
+
+    def run(f: dict[str, DataFrame]) -> DataFrame:
+        return f[table].select(F.col(key), made().alias("v"))
+
+    query(name, f"select {key}, {sql} as v from {view}")(run)
+
+
+c = F.col
+_names = lambda words: ", ".join(f"'{w}'" for w in words)
+_gender = lambda x: f"case when lower(trim({x})) in ({_names(X.MALE)}) then 'male' when lower(trim({x})) in ({_names(X.FEMALE)}) then 'female' when lower(trim({x})) in ({_names(X.OTHER)}) then 'other' else 'unknown' end"
+_house = lambda x: f"nullif(lower(regexp_replace(trim({x}), '\\s+', '', 'g')), '')"
+_ident = lambda x: f"nullif(regexp_replace(upper(trim({x})), '[^A-Z0-9]', '', 'g'), '')"
+_serial = lambda x: f"case when regexp_full_match(trim({x}), '[0-9]+') then try_cast(trim({x}) as int) end"
+_age = lambda x: f"case when {x} between 18 and 125 then case when {x}<=25 then '18_25' when {x}<=35 then '26_35' when {x}<=45 then '36_45' when {x}<=60 then '46_60' when {x}<=75 then '61_75' else '76_plus' end else 'unknown_invalid' end"
+_suspicious = lambda x: (
+    f"coalesce(case when trim({x}) <> '' then (length(trim({x})) > 40 or not regexp_matches(trim({x}), '[0-9]') or regexp_matches(trim({x}), '[\\r\\n]') or not regexp_matches(regexp_replace(trim({x}), '\\s+', '', 'g'), '{X.HOUSE_SHAPE}') or regexp_matches(trim({x}), '(?i)(?:{X.HOUSE_LABELS})')) end, false)"
+)
+_norm = lambda x: f"coalesce(trim(regexp_replace(regexp_replace(lower({x}), '\\s+', ' ', 'g'), '\\s*-\\s*', '-', 'g')), '')"
+
+# --- functions
+scalar("b1_norm_text", "part", "p_partkey", lambda: X.norm_text(F.concat(c("p_name"), F.lit("  -  "), c("p_type"))), _norm("(p_name || '  -  ' || p_type)"))
+scalar("b2_norm_house", "records", "record_id", lambda: X.norm_house(F.concat(F.coalesce("house", F.lit("")), F.lit(" / A"))), f"regexp_replace({_norm("(coalesce(house, '') || ' / A')")}, '\\s*/\\s*', '/', 'g')")
+scalar("b3_house_key", "records", "record_id", lambda: X.house_key(c("house")), _house("house"))
+scalar("b4_ident_key", "records", "record_id", lambda: X.ident_key(F.concat(F.lit(" -"), c("ident"))), _ident("(' -' || ident)"))
+scalar("b5_norm_field", "records", "record_id", lambda: X.norm_field(c("serial_number"), "serial_number"), "nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '')")
+scalar("b6_gender_group", "records", "record_id", lambda: X.gender_group(c("gender")), _gender("gender"))
+scalar("b7_gender_en", "records", "record_id", lambda: X.gender_en(c("gender")), "case when lower(trim(gender)) in ('m','male') then 'male' when lower(trim(gender)) in ('f','female') then 'female' when lower(trim(gender)) in ('o','other') then 'other' else nullif(lower(trim(gender)),'') end")
+scalar("b8_age_group", "records", "record_id", lambda: X.age_group(c("age")), _age("age"))
+scalar("b9_age_band", "records", "record_id", lambda: X.age_band(c("age")), "case when age is null then 'missing' when age<=25 then '18-25' when age<=35 then '26-35' when age<=50 then '36-50' when age<=65 then '51-65' else '66+' end")
+scalar("b10_effective", "records", "record_id", lambda: X.effective(c("age"), c("serial_number"), True), "coalesce(case when regexp_full_match(nullif(trim(serial_number),''), '[0-9]+') then try_cast(nullif(trim(serial_number),'') as int) end, age)")
+scalar("b11_parse_serial", "records", "record_id", lambda: X.parse_serial(c("serial_number")), _serial("serial_number"))
+scalar("b13_canonical_serial", "records", "record_id", lambda: X.is_canonical_serial(c("serial_number"), 1, 500), f"coalesce(cast(({_serial('serial_number')}) as varchar) = trim(serial_number) and ({_serial('serial_number')}) between 1 and 500, false)")
+scalar("b14_suspicious_house", "records", "record_id", lambda: X.suspicious_house(F.concat_ws(" ", c("house"), c("gender"))), _suspicious("concat_ws(' ', house, gender)"))
+scalar("b16_similarity", "part", "p_partkey", lambda: F.round(X.similarity(c("p_name"), c("p_type")), 6), f"round(case when {_norm('p_name')}='' or {_norm('p_type')}='' then 0.0 when contains({_norm('p_name')}, {_norm('p_type')}) or contains({_norm('p_type')}, {_norm('p_name')}) then least(length({_norm('p_name')}), length({_norm('p_type')}))/greatest(length({_norm('p_name')}), length({_norm('p_type')})) else 1 - levenshtein({_norm('p_name')}, {_norm('p_type')})/greatest(length({_norm('p_name')}), length({_norm('p_type')})) end, 6)")
+_tri = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)+2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_trisim = lambda a, b: f"round(len(list_intersect({_tri(a)}, {_tri(b)}))::double / len(list_distinct(list_concat({_tri(a)}, {_tri(b)}))), 6)"
+scalar("b17_trigram_similarity", "part", "p_partkey", lambda: F.round(X.trigram_similarity(c("p_name"), c("p_type")), 6), _trisim("p_name", "p_type"))
+scalar("b18_edit_distance", "part", "p_partkey", lambda: F.levenshtein("p_name", "p_type"), "levenshtein(p_name, p_type)::int")
+scalar("b19_edition_from_filename", "part", "p_partkey", lambda: X.edition_from_filename(F.concat(F.lit("roll-"), F.when(c("p_partkey") % 3 == 0, "TEL").when(c("p_partkey") % 3 == 1, "Urdu").otherwise("xx"), F.lit("-227.pdf"))), "case p_partkey%3 when 0 then 'te' when 1 then 'ur' else 'en' end")
+scalar("b20_part_from_text", "part", "p_partkey", lambda: X.part_from_text(F.concat(F.lit("Part No. 227 and part "), (227 + c("p_partkey") % 3).cast("string")), F.lit("x.pdf"), [227, 228]), "case when p_partkey%3 = 1 then null else 227 end")
+scalar("b21_revision_from_filename", "part", "p_partkey", lambda: X.revision_from_filename(F.concat(F.lit("roll_"), (2020 + c("p_partkey") % 5).cast("string"), F.lit(".pdf"))), "cast(2020 + p_partkey % 5 as varchar)")
+scalar("b22_detect_language", "documents", "doc_id", lambda: X.detect_language(c("text"))["language"], "'en'")
+scalar("b23_expected_total", "documents", "doc_id", lambda: X.expected_total(F.concat(F.substring("text", 1, 20), F.lit(" Total Electors : "), (c("doc_id") + 10).cast("string"))), "cast(substr(cast(doc_id+10 as varchar), 1, 5) as int)")
+scalar("b24_printed_page", "part", "p_partkey", lambda: X.printed_page(F.concat(F.lit("Total Pages 30 - Page : "), c("p_partkey").cast("string"))), "nullif(p_partkey, 0)::int")
+scalar("b25_page_type", "pages", "doc_id", lambda: X.page_type(c("status"), c("records_detected"), c("page")), "case when records_detected > 0 then 'voter' else 'unknown' end")
+scalar("b26_record_labels", "documents", "doc_id", lambda: X.count_record_labels(F.concat(F.lit("1. Name: x\n"), c("text"))), "1 + len(regexp_extract_all(text, '(?im)(?:^|\\n)\\s*(?:\\[?\\d{1,4}\\]?[.)-]?\\s*)?(?:Name)\\s*:'))::int")
+scalar("b27_relation_type", "part", "p_partkey", lambda: X.relation_type(F.when(c("p_partkey") % 2 == 0, " FATHER ").otherwise("x")), "case when p_partkey%2=0 then 'Father' else 'Unknown' end")
+scalar("b28_percent", "pages", "doc_id", lambda: X.percent(c("records_extracted"), c("records_detected")), "case when records_detected > 0 then round(greatest(0, least(100, records_extracted::decimal(20,4)/records_detected*100)), 1) else 0 end::decimal(18,1)")
+scalar("b29_norm_search", "documents", "doc_id", lambda: X.norm_search(c("text")), "substr(regexp_replace(trim(text, ' '), '\\s+', ' ', 'g'), 1, 120)")
+scalar("b30_escape_like", "records", "record_id", lambda: X.escape_like(F.concat(c("lang"), F.lit("%_x"))), "lang || '\\%\\_x'")
+scalar("b31_route_query", "records", "record_id", lambda: X.route_query(F.coalesce("ident", "house", F.lit("a name"))), "case when regexp_matches(coalesce(ident, house, 'a name'), '(?i)^[A-Z]{3}[0-9]{7}$') then 'ident' when regexp_matches(coalesce(ident, house, 'a name'), '^[0-9][0-9A-Za-z/-]*$') then 'house' else 'name' end")
+scalar("b32_issue_type", "issues", "issue_id", lambda: X.issue_type(F.when(c("issue_id") % 3 == 0, "Unable to process page").when(c("issue_id") % 3 == 1, "Page sequence broken")), "case issue_id%3 when 0 then 'page_failure' when 1 then 'page_sequence' else 'low_confidence' end")
+scalar("b35_grid_cell", "pages", "doc_id", lambda: X.grid_cell((c("page") * 30).cast("double"), (c("page") * 41 % 1000).cast("double"), F.lit(600.0), F.lit(1000.0)), "case when floor((page*41%1000 - 32.0)/94.0) between 0 and 9 then (floor((page*41%1000 - 32.0)/94.0)*3 + greatest(0, least(2, floor(page*30/200.0))))::int end")
+scalar("b37_evidence", "records", "record_id", lambda: X.evidence(c("house"), c("serial_number")), "case when house is null or serial_number is null then 'unavailable' when house=serial_number then 'match' else 'mismatch' end")
+scalar("b38_field_diff", "records", "record_id", lambda: X.differs(c("house"), c("serial_number")), "coalesce(trim(house),'') <> coalesce(trim(serial_number),'')")
+scalar("b39_map_access", "records", "record_id", lambda: F.map_concat(F.create_map(F.lit("ident"), c("ident")), F.create_map(F.lit("house"), c("house")))["house"], "house")
+scalar("b40_clean_pages", "records", "record_id", lambda: F.array_join(X.clean_pages(F.array(c("age"), F.lit(3), c("age"))), ","), "array_to_string(list_sort(list_distinct([age, 3])), ',')")
+scalar("b41_parse_box", "records", "record_id", lambda: X.parse_box(F.concat_ws(",", c("age"), F.lit("1,2,3,4"), F.when(c("age") % 2 == 0, "5").otherwise("z")))["x"], "case when age%2=0 then age::double end")
+scalar("a5_payload_class", "documents", "doc_id", lambda: X.payload_class(c("text")), "case when starts_with(lower(ltrim(substr(text,1,1024))), '<html') then 'html' when contains(lower(substr(text,1,1024)), '%pdf-') then 'ok' else 'invalid' end")
+
+
+@query("a5_page_payloads", "select page_id, 'html' as kind, sha256(html) as checksum from pages where starts_with(lower(ltrim(html)), '<!doctype html') union all select page_id, 'invalid', sha256(html) from pages where not starts_with(lower(ltrim(html)), '<!doctype html')")
+def _a5(f):
+    return f["pages_html"].select("page_id", X.payload_class(c("html")).alias("kind"), F.sha2("html", 256).alias("checksum"))
+
+
+@query("b12_slot_key", f"select record_id, case when ({_serial('serial_number')}) between e.serial_start and e.serial_end then r.part_number || ':' || ({_serial('serial_number')}) end as v from fx_records r join fx_expectations e on e.part_number=r.part_number")
+def _b12(f):
+    linked = R.link_records(f["records"], f["expectations"])
+    return linked.select("record_id", F.when(c("slot_serial").isNotNull(), F.concat_ws(":", "part_number", "slot_serial")).alias("v"))
+
+
+@query("b15_romanize")
+def _b15(f):
+    return f["records"].select("record_id", X.romanize(c("gender")).alias("v"))
+
+
+@query("b33_record_id")
+def _b33(f):
+    return f["records"].select("record_id", X.record_id(F.lit("6ba7b810-9dad-11d1-80b4-00c04fd430c8"), c("record_id")).alias("v"))
+
+
+@query("b34_mean_confidence", "select record_id, (conf + age) / 2 * 100 as v from fx_records")
+def _b34(f):
+    return f["records"].select("record_id", X.mean_confidence(F.create_map(F.lit("a"), c("conf"), F.lit("b"), c("age").cast("double"), F.lit("c"), F.lit(None).cast("double"))).alias("v"))
+
+
+# --- sources and sinks
+@query("a3_active_records", "select r.record_id from fx_records r join fx_documents d on d.doc_id=r.doc_id where d.active_version")
+def _a3(f):
+    return R.active_records(f["records"], f["documents_roll"]).select("record_id")
+
+
+@query("a4_compat_views", "select doc_id, part_number, lang as source_language from fx_documents")
+def _a4(f):
+    io.compat_views(f["documents_roll"].sparkSession, {"documents": f["documents_roll"], "pages": f["pages"], "records": f["records"], "issues": f["issues"]})
+    return f["records"].sparkSession.sql("select doc_id, part_number, source_language from compat_uploaded_documents")
+
+
+@query("a6_inspect_filenames", "select part_number, case when part_number%5=0 then 'part_unknown' when part_number%3=0 then 'part_conflict' end as refusal from fx_expectations")
+def _a6(f):
+    p = c("part_number")
+    files = f["expectations"].select("part_number", F.concat(F.lit("a-"), p, F.lit(".PDF")).alias("name"), p.alias("declared_part"), F.when(p % 5 == 0, None).when(p % 3 == 0, p + 1).otherwise(p).alias("detected_part"))
+    return io.inspect_filenames(files).select("part_number", "refusal")
+
+
+@query("a7_dedupe_by_checksum", "with k as (select sha256(text) s, count(*) n from documents group by 1) select d.doc_id from documents d join k on k.s=sha256(d.text) where k.n=1")
+def _a7(f):
+    files = f["documents"].select("doc_id", F.sha2("text", 256).alias("checksum"))
+    repeated = files.groupBy("checksum").agg(F.count("*").alias("n")).filter("n > 1").select("checksum", F.lit("completed").alias("status"))
+    return io.split_known_files(files, repeated)["new"].select("doc_id")
+
+
+_LINKED = f"linked as (select r.*, e.serial_start is not null ok, case when e.serial_start is not null then {_serial('r.serial_number')} end slot_serial from fx_records r left join fx_expectations e on e.part_number=r.part_number and ({_serial('r.serial_number')}) between e.serial_start and e.serial_end)"
+_SLOTS = "slots as (select part_number, unnest(generate_series(serial_start, serial_end))::int serial_no from fx_expectations)"
+
+
+@query("a10_master_dataset", f"with {_LINKED}, {_SLOTS}, per as (select part_number, slot_serial, string_agg(record_id, ',' order by case lang when 'en' then 1 else 2 end, record_id) ids from linked where slot_serial is not null group by 1,2) select s.part_number, s.serial_no, coalesce(p.ids, '') as ids from slots s left join per p on p.part_number=s.part_number and p.slot_serial=s.serial_no")
+def _a10(f):
+    master = io.master_dataset(R.expected_slots(f["expectations"]), R.link_records(f["records"], f["expectations"]))
+    return master.select("part_number", "serial_no", F.array_join(F.transform("records", lambda r: r["record_id"]), ",").alias("ids"))
+
+
+@query("a12_normalize_geography", "select r.r_name, n.n_name, min(c.c_custkey) c_custkey from region r join nation n on n.n_regionkey=r.r_regionkey join customer c on c.c_nationkey=n.n_nationkey group by 1,2")
+def _a12(f):
+    flat = f["customer"].join(R.small(f["nation"]), c("c_nationkey") == c("n_nationkey")).join(R.small(f["region"]), c("n_regionkey") == c("r_regionkey"))
+    return io.normalize_geography(flat, "r_name", "n_name", "c_custkey")
+
+
+@query("a14_directory_filter", "select c_custkey from customer where contains(lower(c_name), '00001') and c_mktsegment='BUILDING'")
+def _a14(f):
+    return io.directory_filter(f["customer"].select("c_custkey", c("c_name").alias("email"), c("c_mktsegment").alias("role")), "00001", "BUILDING").select("c_custkey")
+
+
+# --- filters
+@query("c1_apply_filters", "select record_id from fx_records where lang='te' and age=43")
+def _c1(f):
+    return S.apply_filters(f["records"], lang="te", age=43, ident=None).select("record_id")
+
+
+@query("c3_age_tolerance", "select record_id from fx_records where age between 41 and 45")
+def _c3(f):
+    return f["records"].filter(c("age").between(43 - 2, 43 + 2)).select("record_id")
+
+
+@query("c4_review_category", "select issue_id from fx_issues where issue_type in ('page_failure','missing_page','page_sequence')")
+def _c4(f):
+    return f["issues"].filter(V.CATEGORIES["pages"]()).select("issue_id")
+
+
+@query("c5_contains_any", "select issue_id from fx_issues where contains(lower(concat_ws(' ', issue_detail, record_id)), 'user 1')")
+def _c5(f):
+    return f["issues"].filter(V.contains_any("USER 1", "issue_detail", "record_id")).select("issue_id")
+
+
+@query("c9_needs_attention", "select doc_id, page from fx_pages where status='requires_review' or records_extracted < 20")
+def _c9(f):
+    return f["pages"].filter((c("status") == "requires_review") | (c("records_extracted") < 20)).select("doc_id", "page")
+
+
+# --- joins, set operations and windows
+@query("d5_missing_primary", f"with {_LINKED}, {_SLOTS} select part_number, serial_no from slots s where not exists (select 1 from linked l where l.lang='en' and l.part_number=s.part_number and l.slot_serial=s.serial_no)")
+def _d5(f):
+    return R.missing_primary(R.link_records(f["records"], f["expectations"]), R.expected_slots(f["expectations"]))
+
+
+@query("d11_unambiguous_idents", "select part_number, ident, min(serial_number) ident_serial from fx_records where ident is not null and serial_number is not null group by 1,2 having count(distinct serial_number)=1")
+def _d11(f):
+    return R.unambiguous_idents(f["records"])
+
+
+@query("d14_house_peers", f"select record_id, count(*) over (partition by doc_id, part_number, {_house('house')}) - 1 as peers from fx_records where {_house('house')} is not null")
+def _d14(f):
+    return R.house_peers(f["records"])
+
+
+@query("d15_latest_row", "select doc_id, issue_id, issue_type from (select *, row_number() over (partition by doc_id order by created_at desc, issue_id desc) n from fx_issues) where n=1")
+def _d15(f):
+    return V.latest_per_document(f["issues"]).select("doc_id", "issue_id", "issue_type")
+
+
+@query("d16_snowflake", "select r.r_name, n.n_name, count(distinct c.c_custkey) customers, count(*) orders from region r join nation n on n.n_regionkey=r.r_regionkey join customer c on c.c_nationkey=n.n_nationkey join orders o on o.o_custkey=c.c_custkey group by 1,2")
+def _d16(f):
+    per = f["orders"].groupBy("o_custkey").agg(F.count("*").alias("n"))
+    j = per.join(f["customer"], c("o_custkey") == c("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("n").alias("orders"))
+    dims = R.small(f["nation"]).join(R.small(f["region"]), c("n_regionkey") == c("r_regionkey"))
+    return j.join(dims, c("c_nationkey") == c("n_nationkey")).groupBy("r_name", "n_name").agg(F.sum("customers").alias("customers"), F.sum("orders").alias("orders"))
+
+
+@query("d17_compare_sets", f"with {_SLOTS}, o as (select distinct part_number, {_serial('serial_number')} serial_no from fx_records where ({_serial('serial_number')}) is not null) select coalesce(s.part_number, o.part_number) part_number, coalesce(s.serial_no, o.serial_no) serial_no, s.part_number is not null in_expected, o.part_number is not null in_observed from slots s full join o on o.part_number=s.part_number and o.serial_no=s.serial_no")
+def _d17(f):
+    seen = f["records"].select("part_number", X.parse_serial(c("serial_number")).alias("serial_no")).filter("serial_no is not null")
+    return R.compare_sets(R.expected_slots(f["expectations"]), seen, ["part_number", "serial_no"])
+
+
+@query("h3_upsert", "select record_id, case when age < 30 then age+1 else age end as age from fx_records")
+def _h3(f):
+    old = f["records"].select("record_id", "age")
+    return R.upsert(old, old.filter("age < 30").select("record_id", (c("age") + 1).alias("age")), ["record_id"])
+
+
+@query("f5_serial_gaps", f"with s as (select distinct doc_id, {_serial('serial_number')} n from fx_records where ({_serial('serial_number')}) is not null), g as (select doc_id, n, lag(n) over (partition by doc_id order by n) b from s) select doc_id, b+1 gap_from, n-1 gap_to, case when b+1=n-1 then cast(b+1 as varchar) else (b+1) || '-' || (n-1) end as gap from g where n-b>1")
+def _f5(f):
+    return Q.serial_gaps(f["records"])
+
+
+@query("f6_page_sequence", "with s as (select doc_id, page, printed_page, max(printed_page) over (partition by doc_id order by page rows between unbounded preceding and 1 preceding) so_far from fx_pages) select doc_id, page, printed_page, so_far, case when printed_page > so_far+1 then 'missing_page' else 'out_of_order' end as issue from s where printed_page > so_far+1 or printed_page <= so_far")
+def _f6(f):
+    return Q.page_sequence(f["pages"])
+
+
+@query("f8_near_groups", f"with s as (select doc_id, ({_serial('serial_number')})::double v from fx_records where ({_serial('serial_number')}) is not null), a as (select *, case when v - lag(v) over (partition by doc_id order by v) <= 2 then 0 else 1 end x from s), b as (select *, sum(x) over (partition by doc_id order by v rows unbounded preceding) g from a) select doc_id, g::bigint as group_no, round(avg(v), 6) as mean_value, count(*) as n from b group by 1,2")
+def _f8(f):
+    values = f["records"].select("doc_id", X.parse_serial(c("serial_number")).cast("double").alias("v")).filter("v is not null")
+    return P.near_groups(values, "doc_id", "v", 2)
+
+
+# --- registry
+@query("r1_expected_slots", f"with {_SLOTS} select * from slots")
+def _r1(f):
+    return R.expected_slots(f["expectations"])
+
+
+@query("r2_quarantine", f"select r.record_id, case when trim(serial_number) is null or trim(serial_number)='' then 'missing_serial' when not regexp_full_match(trim(serial_number), '[0-9]+') then 'non_numeric_serial' when not (cast(try_cast(trim(serial_number) as int) as varchar)=trim(serial_number) and try_cast(trim(serial_number) as int) between e.serial_start and e.serial_end) then 'unexpected_or_noncanonical_serial' end as quarantine_reason from fx_records r join fx_expectations e on e.part_number=r.part_number")
+def _r2(f):
+    return R.quarantine(f["records"], f["expectations"]).select("record_id", "quarantine_reason")
+
+
+@query("r3_link_records", f"with {_LINKED} select record_id, slot_serial from linked")
+def _r3(f):
+    return R.link_records(f["records"], f["expectations"]).select("record_id", "slot_serial")
+
+
+@query("r4_elect_canonical", f"with {_LINKED} select part_number, slot_serial, count(*) candidates, case when count(*)=1 then min(record_id) end canonical_id from linked where lang='en' and slot_serial is not null group by 1,2")
+def _r4(f):
+    return R.elect_canonical(R.link_records(f["records"], f["expectations"]))
+
+
+@query("r5_elect_canonical_v0", "with own as (select *, count(*) over (partition by part_number, serial_number) n from fx_records where lang='en'), slots as (select part_number, serial_number from own where n=1 and serial_number is not null), idents as (select o.part_number, o.ident, min(o.serial_number) s from own o join slots using (part_number, serial_number) where o.ident is not null group by 1,2 having count(distinct o.serial_number)=1) select record_id, part_number, case when n=1 then serial_number end as slot_serial from own union all select r.record_id, r.part_number, coalesce(s.serial_number, i.s) from fx_records r left join slots s on s.part_number=r.part_number and s.serial_number=r.serial_number left join idents i on i.part_number=r.part_number and i.ident=r.ident where r.lang<>'en'")
+def _r5(f):
+    return R.elect_canonical_v0(f["records"])
+
+
+@query("r6_distinct_slots_v0", "select distinct part_number, serial_number from fx_records where lang='en' and serial_number is not null")
+def _r6(f):
+    return R.distinct_slots_v0(f["records"])
+
+
+@query("r7_registry_invariant", "select part_number, expected_total, 500::bigint as slots, expected_total=500 as holds from fx_expectations")
+def _r7(f):
+    return R.registry_invariant(R.expected_slots(f["expectations"]), f["expectations"])
+
+
+@query("r8_quarantine_house", f"select record_id, case when not ({_suspicious('house')}) then house end as house, case when {_suspicious('house')} then 0.0 else conf end as conf, case when {_suspicious('house')} then 'requires_review' else 'unverified' end as verification_status from fx_records")
+def _r8(f):
+    return R.quarantine_house(f["records"])
+
+
+@query("r8_house_issues", f"select record_id, doc_id, 'house_number' as issue_type from fx_records where {_suspicious("concat_ws(' ', house, gender)")}")
+def _r8b(f):
+    return R.house_issues(f["records"].withColumn("house", F.concat_ws(" ", "house", "gender")), f["issues"]).select("record_id", "doc_id", "issue_type")
+
+
+@query("r9_activate_version", "select doc_id, row_number() over (partition by part_number, lang order by doc_id desc)=1 as becomes_active from fx_documents")
+def _r9(f):
+    return R.activate_version(f["documents_roll"], [c("doc_id").desc()]).select("doc_id", "becomes_active")
+
+
+# --- completeness and reconciliation
+_SCOPE = f"""scope as (select r.record_id, r.part_number, r.lang, r.created_at, nullif(upper(trim(r.ident)),'') ident, {_house('r.house')} house, r.age, nullif(lower(trim(r.gender)),'') gender,
+ case when ({_serial('r.serial_number')}) between e.serial_start and e.serial_end then {_serial('r.serial_number')} end slot_serial
+ from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number)"""
+_ev = lambda x: f"case when en.{x} is null or te.{x} is null then 'unavailable' when en.{x}=te.{x} then 'match' else 'mismatch' end {x}_evidence"
+_PAIRED = f"""{_SCOPE}, {_SLOTS},
+ counts as (select part_number, slot_serial, count(*) filter (lang='en') en_count, count(*) filter (lang='te') te_count from scope where slot_serial is not null group by 1,2),
+ ranked as (select *, row_number() over (partition by part_number, slot_serial, lang order by ORDERING) k from scope where slot_serial is not null),
+ paired as (select s.part_number, s.serial_no slot_serial, coalesce(n.en_count,0) en_count, coalesce(n.te_count,0) te_count, en.record_id en_id, te.record_id te_id, {', '.join(_ev(x) for x in C.FIELDS)}
+  from slots s left join counts n on n.part_number=s.part_number and n.slot_serial=s.serial_no
+  left join ranked en on en.part_number=s.part_number and en.slot_serial=s.serial_no and en.lang='en' and en.k=1
+  left join ranked te on te.part_number=s.part_number and te.slot_serial=s.serial_no and te.lang='te' and te.k=1)"""
+_PAIRED_ID = _PAIRED.replace("ORDERING", "record_id")
+_PAIRED_NEW = _PAIRED.replace("ORDERING", "created_at desc, record_id")
+_bad = "+".join(f"({x}_evidence='mismatch')::int" for x in C.FIELDS)
+_good = "+".join(f"({x}_evidence='match')::int" for x in C.FIELDS[1:])
+_STATUS = f"case when en_count=0 then 'missing_en' when te_count=0 then 'missing_te' when en_count>1 or te_count>1 then 'duplicate_source' when ident_evidence='mismatch' then 'ident_conflict' when {_bad}=0 and (ident_evidence='match' or {_good}>=2) then 'reconciled' else 'needs_review' end"
+_SERVICE = f"case when en_count>1 or te_count>1 then 'duplicate_source' when en_count=0 or te_count=0 then 'source_missing' when {_bad}>0 then 'needs_review' else 'reconciled' end"
+_CLIENT = f"case when en_count<>1 or te_count<>1 then 'unmatched' when ident_evidence='mismatch' then 'conflict' when {_bad}=0 and (ident_evidence='match' or {_good}>=2) then 'verified' else 'needs_review' end"
+
+
+def _roll(f):
+    return f["records"], f["documents_roll"], f["expectations"]
+
+
+for _name, _status, _text in (("q7_reconcile_client", C.status_client, _CLIENT), ("q8_reconcile_service", C.status_service, _SERVICE), ("q9_reconcile_status", C.status_sql, _STATUS)):
+    query(_name, f"with {_PAIRED_ID} select part_number, slot_serial, en_id, te_id, {_text} as status from paired")(
+        lambda f, s=_status: C.pair_editions(*_roll(f)).select("part_number", "slot_serial", c("en.record_id").alias("en_id"), c("te.record_id").alias("te_id"), s().alias("status"))
+    )
+
+_SUMMARY = f"""with {_PAIRED_ID}, st as (select *, {_STATUS} status from paired),
+ a as (select part_number, count(*) filter (en_count>0 and te_count>0) both_present, {', '.join(f"count(*) filter (status='{s}') {s}" for s in ('reconciled', 'needs_review', 'missing_en', 'duplicate_source', 'ident_conflict'))}, count(*) filter (te_count=0) missing_te from st group by 1),
+ d as (select part_number, count(*) active_documents from fx_documents where active_version group by 1),
+ s as (select part_number, count(*) source_records, count(*) filter (slot_serial is null) unlinked_records, count(distinct case when lang='en' then slot_serial end) en_linked_slots, count(distinct case when lang='te' then slot_serial end) te_linked_slots from scope group by 1)
+ select e.part_number, e.expected_total, 'r1' as revisions, a.* exclude (part_number), d.active_documents, coalesce(s.source_records,0) source_records, coalesce(s.unlinked_records,0) unlinked_records, coalesce(s.en_linked_slots,0) en_linked_slots, coalesce(s.te_linked_slots,0) te_linked_slots
+ from fx_expectations e join a using (part_number) join d using (part_number) left join s using (part_number)"""
+
+
+@query("q9_reconciliation_summary", _SUMMARY)
+def _q9(f):
+    return C.reconciliation_summary(*_roll(f))
+
+
+@query("q11_totals", f"select {', '.join(f'sum({x})::bigint as {x}' for x in ('expected_total', 'both_present', 'reconciled', 'needs_review', 'missing_en', 'duplicate_source', 'ident_conflict', 'missing_te', 'active_documents', 'source_records', 'unlinked_records', 'en_linked_slots', 'te_linked_slots'))} from (" + oracle(_SUMMARY) + ")")
+def _q11(f):
+    return C.totals(C.reconciliation_summary(*_roll(f)))
+
+
+_EVIDENCE = f"with {_PAIRED_NEW} select part_number, slot_serial serial_no, {_STATUS} as status, en_id, te_id, lpad(cast(slot_serial as varchar), 8, '0') as sort_key from paired union all select part_number, null, 'unlinked', case when lang='en' then record_id end, case when lang='te' then record_id end, '~' || record_id from scope where slot_serial is null"
+
+
+@query("q10_reconciliation_evidence", _EVIDENCE)
+def _q10(f):
+    return C.evidence_rows(*_roll(f))
+
+
+@query("q1_edition_coverage", f"with {_SCOPE}, p as (select lang, count(*) source_records, count(distinct part_number*1000+slot_serial) linked, count(*) filter (slot_serial is null) unlinked from scope group by 1), t as (select sum(expected_total)::bigint n from fx_expectations) select l as lang, t.n as expected_slots, coalesce(source_records,0) source_records, coalesce(linked,0) linked_slots, coalesce(unlinked,0) unlinked_records, greatest(t.n - coalesce(linked,0), 0) unavailable_slots from (values ('en'),('te'),('ur')) v(l) cross join t left join p on p.lang=l")
+def _q1(f):
+    return C.edition_coverage(*_roll(f))
+
+
+@query("q2_part_edition_quality", f"with {_SCOPE}, p as (select part_number, lang, count(*) source_records, count(distinct slot_serial) linked, count(*) filter (slot_serial is null) unlinked from scope group by 1,2) select e.part_number, l as lang, e.expected_total, coalesce(source_records,0) source_records, coalesce(linked,0) linked_slots, greatest(e.expected_total - coalesce(linked,0), 0) missing_slots, coalesce(unlinked,0) unlinked_records from fx_expectations e cross join (values ('en'),('te')) v(l) left join p on p.part_number=e.part_number and p.lang=l")
+def _q2(f):
+    return C.part_edition_quality(*_roll(f))
+
+
+_COMPLETE = f"""with {_SLOTS}, met as (select part_number, {_serial('serial_number')} serial_no, count(*) occurrences, min(record_id) first_id from fx_records group by 1,2),
+ q3 as (select coalesce(s.part_number, m.part_number) part_number, coalesce(s.serial_no, m.serial_no) serial_no, coalesce(m.occurrences, 0) occurrences, m.first_id, case when s.part_number is null then 'unexpected' when m.part_number is null then 'missing' when m.occurrences>1 then 'duplicate' else 'ok' end state from slots s full join (select * from met where serial_no is not null) m on m.part_number=s.part_number and m.serial_no=s.serial_no union all select part_number, serial_no, occurrences, first_id, 'unexpected' from met where serial_no is null)"""
+
+
+@query("q3_serial_completeness", _COMPLETE + " select *, lpad(cast(part_number as varchar), 8, '0') || ':' || lpad(coalesce(cast(serial_no as varchar), '~'), 8, '0') as cursor from q3")
+def _q3(f):
+    return C.serial_completeness(f["records"], f["expectations"])
+
+
+@query("q5_edition_completeness", _COMPLETE + f", s as (select part_number, count(*) filter (state='missing') missing, count(*) filter (state='duplicate') duplicate, count(*) filter (state='unexpected' and serial_no is not null) unexpected, coalesce(sum(occurrences) filter (serial_no is null), 0)::bigint invalid from q3 group by 1), i as (select part_number, count(*) n from (select part_number, {_ident('ident')} k from fx_records where ({_ident('ident')}) is not null group by 1,2 having count(*)>1) group by 1) select s.*, coalesce(i.n,0) duplicate_idents, missing+duplicate+unexpected+invalid=0 as complete from s left join i using (part_number)")
+def _q5(f):
+    return C.edition_completeness(f["records"], f["expectations"])
+
+
+@query("q6_suspicious_idents", f"select part_number, lang, {_ident('ident')} as ident, count(distinct {_serial('serial_number')}) serials from fx_records where ({_ident('ident')}) is not null and ({_serial('serial_number')}) is not null group by 1,2,3 having count(distinct {_serial('serial_number')})>1")
+def _q6(f):
+    return C.suspicious_idents(f["records"])
+
+
+@query("q13_release_gate", f"with {_PAIRED_ID}, st as (select *, {_STATUS} status from paired), p as (select part_number, count(*) filter (en_count=0 and te_count=0) missing_slots, count(*) filter (status='duplicate_source') duplicate_slots, count(*) filter ((en_count=0)<>(te_count=0)) incomplete_slots, count(*) filter (status<>'reconciled') unreconciled_slots from st group by 1), i as (select d.part_number, count(*) n from fx_issues i join fx_documents d on d.doc_id=i.doc_id and d.active_version where i.status='open' and i.severity='critical' group by 1) select p.*, coalesce(i.n,0) critical_issues, missing_slots+duplicate_slots+incomplete_slots+unreconciled_slots+coalesce(i.n,0)=0 as ready from p left join i using (part_number)")
+def _q13(f):
+    return C.release_gate(*_roll(f), f["issues"])
+
+
+# --- quality
+_ACTIVE = f"active as (select r.*, {_serial('r.serial_number')} n, e.serial_start, e.serial_end from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number)"
+_Q4 = f"""with {_ACTIVE}, {_SLOTS}, sc as (select part_number, n, count(*) k from active where n is not null group by 1,2)
+ select (select sum(expected_total)::bigint from fx_expectations) expected_slots,
+ count(*) source_records, count(*) filter (n between serial_start and serial_end) linked_records, count(*) filter (not coalesce(n between serial_start and serial_end, false)) reconciliation_conflicts,
+ count(*) filter (house is null or trim(house)='') null_house, count(*) filter (age is null) null_age, count(*) filter (ident is null or trim(ident)='') null_ident, count(*) filter (gender is null or trim(gender)='') null_gender,
+ (select count(*) from slots s left join sc on sc.part_number=s.part_number and sc.n=s.serial_no where sc.k is null) missing_serials,
+ (select count(*) from sc where k>1) duplicate_serial_groups,
+ count(*) filter (not coalesce(n between serial_start and serial_end, false)) unexpected_serials,
+ (select count(*) from (select upper(trim(ident)) from active where trim(ident)<>'' group by 1 having count(distinct case when n between serial_start and serial_end then part_number || ':' || n else 'source:' || record_id end)>1)) duplicate_ident_groups,
+ (select sum(records_detected)::bigint from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version) expected_cards, (select sum(records_extracted)::bigint from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version) extracted_cards,
+ (select count(*) from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version where status in ('failed','requires_review')) failed_pages, (select count(*) from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version where records_detected>records_extracted) partial_pages,
+ {', '.join(f"(select count(*) from fx_issues i join fx_documents d on d.doc_id=i.doc_id and active_version where i.status='open' and severity='{s}') {s}_issues" for s in ('critical', 'needs_review', 'informational'))}
+ from active"""
+
+
+@query("q4_quality_summary", _Q4)
+def _q4(f):
+    return Q.quality_summary(*_roll(f), f["pages"], f["issues"])
+
+
+_pct = lambda a, b: f"case when {b} > 0 then round(greatest(0, least(100, {a}::decimal(20,4)/({b})*100)), 1) else 0 end::decimal(18,1)"
+_issues_sum = "(critical_issues+needs_review_issues+informational_issues)"
+
+
+@query("q12_quality_analytics", f"select {_pct('linked_records', 'source_records')} linked_pct, {_pct('extracted_cards', 'expected_cards')} extracted_pct, {', '.join(f'{_pct(s + "_issues", _issues_sum)} {s}_pct' for s in ('critical', 'needs_review', 'informational'))}, {', '.join(f'{_pct("null_" + x, "source_records")} missing_{x}_pct' for x in ('house', 'age', 'ident', 'gender'))}, concat_ws(',', case when missing_serials>0 then 'missing_serials' end, case when duplicate_serial_groups>0 then 'duplicate_serials' end, case when unexpected_serials>0 then 'unexpected_serials' end, case when duplicate_ident_groups>0 then 'duplicate_idents' end, case when failed_pages>0 then 'failed_pages' end, case when critical_issues>0 then 'critical_issues' end) as blockers from (" + oracle(_Q4) + ")")
+def _q12(f):
+    return Q.quality_analytics(Q.quality_summary(*_roll(f), f["pages"], f["issues"]))
+
+
+@query("q14_document_integrity", "with s as (select doc_id, count(*) n from fx_records group by 1), d as (select doc_id, sum(records_extracted)::bigint n from fx_pages group by 1) select coalesce(s.doc_id, d.doc_id) doc_id, coalesce(s.n,0) stored, coalesce(d.n,0) declared, coalesce(s.n,0)=coalesce(d.n,0) as agrees from s full join d on d.doc_id=s.doc_id")
+def _q14(f):
+    return Q.document_integrity(f["records"], f["pages"])
+
+
+@query("q15_duplicate_marking", f"select record_id, (case when ({_ident('ident')}) is null then 1 else count(*) over (partition by doc_id, {_ident('ident')}) end > 1) or (case when ({_house('house')}) is null then 1 else count(*) over (partition by doc_id, concat_ws('|', {_house('house')}, age, gender), ({_house('house')}) is null) end > 1) as probable_duplicate from fx_records")
+def _q15(f):
+    return Q.duplicate_marking(f["records"])
+
+
+@query("q18_document_rollup", "with r as (select doc_id, count(*) filter (status='processed') processed_pages, count(*) filter (status='requires_review') requires_review_pages, count(*) filter (status='failed') failed_pages, sum(records_extracted)::bigint records, count(*) pages from fx_pages group by 1) select *, case when processed_pages+requires_review_pages=0 then 'interrupted' when failed_pages+requires_review_pages>0 then 'completed_with_warnings' else 'completed' end as state from r")
+def _q18(f):
+    return Q.document_rollup(f["pages"])
+
+
+@query("q19_page_integrity", "select doc_id, page, 'too_many_records' as violation from fx_pages where records_detected > 20 and page>=1")
+def _q19(f):
+    return Q.page_integrity(f["pages"], f["documents_roll"], 20)
+
+
+@query("e10_edition_vote", "with n as (select doc_id, lang, count(*) n from fx_records group by 1,2) select doc_id, lang, n as votes from (select *, row_number() over (partition by doc_id order by n desc, lang) k from n) where k=1")
+def _e10(f):
+    return Q.edition_vote(f["records"])
+
+
+# --- demographics
+_CANON = f"""{_ACTIVE}, canon as (select * from (select part_number, n slot_serial, record_id, age, case when age between 18 and 125 then age end valid_age, {_age('age')} age_group, {_gender('gender')} gender_group, {_house('house')} house_key, {_ident('ident')} ident_key, row_number() over (partition by part_number, n order by record_id) k from active where n between serial_start and serial_end and lang='en') where k=1)"""
+
+
+@query("i1_insights", f"with {_CANON}, h as (select count(*) members from canon where house_key is not null group by part_number, house_key) select count(*) voters, {', '.join(f"count(*) filter (gender_group='{g}') {g}" for g in ('male', 'female', 'other', 'unknown'))}, count(valid_age) valid_ages, round(avg(valid_age), 1) mean_age, median(valid_age)::double median_age, min(valid_age) youngest, max(valid_age) oldest, (select count(*) from h) houses, (select max(members) from h) largest_house, (select round(avg(members), 1) from h) mean_house, (select count(*) from (select 1 from canon where ident_key is not null group by ident_key having count(*)>1)) duplicate_idents from canon")
+def _i1(f):
+    return Q.insights(Q.canonical_rows(*_roll(f)))
+
+
+@query("i1_age_histogram", f"with {_CANON} select l as age_group, count(canon.record_id) n from (values {', '.join(f"('{a}')" for a in Q.AGES)}) v(l) left join canon on age_group=l group by 1")
+def _i1a(f):
+    return Q.age_histogram(Q.canonical_rows(*_roll(f)))
+
+
+@query("i1_house_histogram", f"with {_CANON}, h as (select count(*) m from canon where house_key is not null group by part_number, house_key), s as (select case when m=1 then '1' when m=2 then '2' when m<=4 then '3_4' when m<=6 then '5_6' else '7_plus' end l, count(*) n from h group by 1) select v.l as house_size, coalesce(n, 0) n from (values {', '.join(f"('{a}')" for a in Q.HOUSES)}) v(l) left join s on s.l=v.l")
+def _i1b(f):
+    return Q.house_histogram(Q.canonical_rows(*_roll(f)))
+
+
+@query("i1_part_breakdown", f"with {_CANON} select part_number, count(*) voters, count(*) filter (gender_group='male') male, count(*) filter (gender_group='female') female, count(distinct house_key) houses from canon group by 1")
+def _i1c(f):
+    return Q.part_breakdown(Q.canonical_rows(*_roll(f)))
+
+
+@query("c2_demographic_filter", f"with {_CANON} select part_number, slot_serial from canon where gender_group in ('other','unknown') and age_group='26_35'")
+def _c2(f):
+    return Q.demographic_filter(Q.canonical_rows(*_roll(f)), None, "other_unknown", "26_35").select("part_number", "slot_serial")
+
+
+@query("i2_canonical_aggregate", f"with {_CANON} select gender_group, age_group, count(*) n, count(distinct house_key) houses from canon group by 1,2")
+def _i2(f):
+    return Q.canonical_rows(*_roll(f)).groupBy("gender_group", "age_group").agg(F.count("*").alias("n"), F.countDistinct("house_key").alias("houses"))
+
+
+@query("i3_dashboard_counts", "select case when age is null then 'missing' when age<=25 then '18-25' when age<=35 then '26-35' when age<=50 then '36-50' when age<=65 then '51-65' else '66+' end as age_band, count(*) records, count(*) filter (starts_with(lower(trim(gender)),'m')) m, count(*) filter (starts_with(lower(trim(gender)),'f')) f from fx_records group by 1")
+def _i3(f):
+    return Q.dashboard_counts(f["records"])
+
+
+@query("i4_house_groups", f"with {_CANON} select house_key, count(*) members, count(*) filter (gender_group='male') men, count(*) filter (gender_group='female') women from canon where house_key is not null group by 1 order by try_cast(house_key as int) nulls last, house_key limit 200")
+def _i4(f):
+    return Q.house_groups(Q.canonical_rows(*_roll(f)))
+
+
+@query("i5_comparable_revision", "select count(distinct revision_id)>1 as comparable, count(distinct revision_id) as revisions from fx_documents")
+def _i5(f):
+    return Q.has_comparable_revision(f["documents_roll"])
+
+
+# --- review
+@query("v2_review_queue", "select i.issue_id, i.doc_id, d.part_number, d.lang, i.record_id, i.issue_type, i.severity, i.issue_detail, i.created_at, r.ident, r.house, r.serial_number from fx_issues i join fx_documents d on d.doc_id=i.doc_id and d.active_version left join fx_records r on r.record_id=i.record_id where i.status='open' and i.severity='critical' and contains(lower(concat_ws(' ', i.issue_detail, r.ident, r.house, r.serial_number)), 'user 1')")
+def _v2(f):
+    return V.review_queue(f["issues"], f["documents_roll"], f["records"], "critical", "User  1")
+
+
+@query("v3_issue_severity", "select issue_id, case when issue_type in ('page_failure','missing_serial') then 'critical' when issue_type in ('low_confidence','language') then 'informational' else 'needs_review' end as v from fx_issues")
+def _v3(f):
+    return f["issues"].select("issue_id", V.issue_severity(c("issue_type")).alias("v"))
+
+
+def _facts(f):
+    n = c("issue_id")
+    return f["issues"].select("issue_id", c("issue_type").alias("kind"), (n % 3 != 0).alias("identity_agrees"), (n % 4 != 0).alias("structure_agrees"), (n % 7 == 0).alias("has_conflict"), (n % 2 == 0).alias("deterministic"), (n % 11 != 0).alias("values_kept"))
+
+
+_NEVER = "issue_type in ('missing_serial','duplicate_ident','page_failure')"
+_FOUND = f"case when {_NEVER} or issue_id%7=0 then 'critical' when issue_id%3=0 or issue_id%4=0 then 'needs_review' else 'informational' end"
+
+
+@query("v4_classify_issue", f"select issue_id, {_FOUND} as severity_found, ({_FOUND})<>'informational' as manual, case when {_NEVER} then 'kind_needs_person' when issue_id%7=0 then 'conflict' when issue_id%3=0 then 'identity_differs' when issue_id%4=0 then 'structure_differs' else 'evidence_agrees' end as reason from fx_issues")
+def _v4(f):
+    return V.classify_issue(_facts(f)).select("issue_id", "severity_found", "manual", "reason")
+
+
+@query("v5_auto_resolution", f"select issue_id, ({_FOUND})='informational' and issue_id%11<>0 as auto, case when ({_FOUND})='informational' and issue_id%11<>0 then case when issue_id%2=0 then 'deterministic_correction' else 'agreement' end end as path from fx_issues")
+def _v5(f):
+    return V.auto_resolution(_facts(f)).select("issue_id", "auto", "path")
+
+
+@query("v6_resolution_audit")
+def _v6(f):
+    return V.resolution_audit(V.auto_resolution(_facts(f)))
+
+
+@query("v7_apply_corrections", "select r.record_id, r.house as original_house, coalesce(x.v, r.house) as house from fx_records r left join (select record_id, 'H' || max(issue_id) v from fx_issues where record_id is not null and issue_id%2=0 group by 1) x on x.record_id=r.record_id")
+def _v7(f):
+    n = c("issue_id")
+    given = f["issues"].filter("record_id is not null").select("record_id", F.when(n % 2 == 0, "house").otherwise("colour").alias("field"), F.concat(F.lit("H"), n).alias("value"), F.lit("seen on page").alias("reason"), n.alias("at"))
+    return V.apply_corrections(f["records"], given)["records"].select("record_id", "original_house", "house")
+
+
+@query("v8_apply_verifications", "select record_id, case when record_id in (select record_id from fx_issues where status='resolved' and record_id is not null) then 'verified' else 'unverified' end as verification_status from fx_records")
+def _v8(f):
+    done = f["issues"].filter("status = 'resolved' and record_id is not null").select("record_id", "issue_id")
+    return V.apply_verifications(f["records"], done).select("record_id", "verification_status")
+
+
+@query("v9_auto_resolve", "with p as (select doc_id from fx_pages group by 1 having count(*) filter (status='failed')=0) select issue_id, case when status='open' and issue_type='page_failure' and doc_id in (select doc_id from p) then 'resolved' else status end as new_status from fx_issues")
+def _v9(f):
+    return V.auto_resolve_reprocessed(f["issues"], f["pages"]).select("issue_id", "new_status")
+
+
+@query("t5_new_issues", "select i.issue_id from fx_issues i where not exists (select 1 from fx_issues o where o.status='open' and o.doc_id=i.doc_id and o.issue_type=i.issue_type and o.issue_detail=i.issue_detail)")
+def _t5(f):
+    return V.new_issues(f["issues"], f["issues"]).select("issue_id")
+
+
+# --- pages of results
+@query("g1_offset_page", "select record_id, age from fx_records order by age desc, record_id offset 20 limit 100")
+def _g1(f):
+    return G.offset_page(f["records"].select("record_id", "age"), [c("age").desc(), c("record_id")], 1000, 20)
+
+
+@query("g3_keyset_page", "select part_number, age, record_id from fx_records where (part_number, age, record_id) > (1, 30, '') order by 1,2,3 limit 50")
+def _g3(f):
+    return G.keyset_page(f["records"].select("part_number", "age", "record_id"), ["part_number", "age", "record_id"], (1, 30, ""), 50)
+
+
+@query("g4_keyset_descending", "select created_at, issue_id from fx_issues where (created_at, issue_id) < (timestamp '2100-01-01', 0) order by 1 desc, 2 desc limit 50")
+def _g4(f):
+    import datetime
+
+    return G.keyset_page(f["issues"].select("created_at", "issue_id"), ["created_at", "issue_id"], (datetime.datetime(2100, 1, 1), 0), 50, descending=True)
+
+
+@query("g5_next_cursor", "select part_number, record_id from (select part_number, record_id from fx_records order by 1,2 limit 50) order by 1 desc, 2 desc limit 1")
+def _g5(f):
+    page = G.keyset_page(f["records"].select("part_number", "record_id"), ["part_number", "record_id"], None, 50)
+    return G.next_cursor(page, ["part_number", "record_id"])
+
+
+@query("f4_page_with_total", "select issue_id, (select count(*) from fx_issues where status='open') total from fx_issues where status='open' order by issue_id limit 20")
+def _f4(f):
+    whole = f["issues"].filter("status = 'open'").select("issue_id")
+    return G.with_total(G.offset_page(whole, [c("issue_id")], 20), whole)
+
+
+@query("g9_page_with_more", "select issue_id, true as has_more from fx_issues order by issue_id limit 20")
+def _g9(f):
+    return G.page_with_more(f["issues"].select("issue_id"), [c("issue_id")], 20)
+
+
+# --- search
+@query("s1_search_names", f"select p_partkey, score from (select p_partkey, case when {_norm('p_name')}='red widget' then 100.0 when contains({_norm('p_name')}, 'red widget') then 96.0 else round((len(list_intersect({_tri('p_name')}, {_tri("'red widget'")}))::double / len(list_distinct(list_concat({_tri('p_name')}, {_tri("'red widget'")}))))::decimal(10,6)*100, 1)::double end as score from part) where score >= 72")
+def _s1(f):
+    return S.search_names(f["part"].select("p_partkey", "p_name"), "p_name", "red widget").select("p_partkey", "score")
+
+
+@query("s2_rank_records")
+def _s2(f):
+    return S.rank_records(f["part"].select("p_partkey", "p_name", "p_size"), "p_name", "widget", "p_size", 20, 10).select("p_partkey", "score", F.size("explanation").alias("parts"))
+
+
+@query("s3_blocked_fuzzy_join", f"with n as (select distinct p_name t from part), m as (select a.t lt, b.t rt, {_trisim('a.t', 'b.t')} s from n a, n b) select a.p_partkey left_id, b.p_partkey right_id, m.s similarity from m join part a on a.p_name=m.lt join part b on b.p_name=m.rt where m.s >= 0.9")
+def _s3(f):
+    return S.blocked_fuzzy_join(f["part"], f["part"], "p_partkey", "p_name", "p_partkey", "p_name", 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+# --- extraction tables
+def _cards(f):
+    r = f["records"]
+    pairs = "stack(5, 'serial_number', serial_number, 'ident', ident, 'house', house, 'age', cast(age as string), 'gender', gender) as (field, value)"
+    return r.selectExpr("record_id card_id", "conf/100 confidence", "'e1' engine", pairs)
+
+
+@query("p8_build_records", f"select record_id card_id, try_cast(nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') as int) serial_no, ident, house, age, gender, round(conf/100, 6) confidence, 'e1' as engine, concat_ws(',', case when nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') is null then 'missing_serial' end, case when not coalesce(regexp_matches(ident, '{X.IDENT_SHAPE}'), false) then 'invalid_ident' end, case when not coalesce(age between 18 and 125, false) then 'invalid_age' end, case when {_suspicious('house')} then 'suspicious_house' end, case when conf/100 < 0.95 then 'low_confidence' end) as issues from fx_records")
+def _p8(f):
+    return P.build_records(_cards(f)).drop("requires_review").withColumn("issues", F.array_join("issues", ","))
+
+
+@query("p10_issue_rows", f"select record_id card_id, 'invalid_age' as issue_type from fx_records where not coalesce(age between 18 and 125, false)")
+def _p10(f):
+    return P.issue_rows(P.build_records(_cards(f))).filter("issue_type = 'invalid_age'")
+
+
+@query("p9_page_batch", "select page as expected_page, count(*) filter (printed_page=page) kept, count(*) filter (printed_page<>page) isolated, count(*) cards from fx_pages group by 1")
+def _p9(f):
+    return P.page_batch(f["pages"].select(c("doc_id").alias("card_id"), c("printed_page").alias("page"), c("page").alias("expected_page")))
+
+
+@query("p11_page_status", "select doc_id page, case when count(*) filter (status='failed')>0 then 'requires_review' when count(*) filter (status='requires_review')>0 then 'completed_with_warnings' else 'completed' end as status, string_agg(case status when 'requires_review' then 'review' else status end, ',' order by page) as states from fx_pages group by 1")
+def _p11(f):
+    return P.page_status(f["pages"].select(c("doc_id").alias("page"), c("page").alias("card_index"), F.when(c("status") == "requires_review", "review").otherwise(c("status")).alias("state")))
+
+
+@query("p13_check_outcomes", "select doc_id card_id, status field, 'attempts_not_contiguous' as violation from fx_pages group by 1,2 having list_sort(list(distinct page)) <> range(1, count(*)+1)")
+def _p13(f):
+    return P.check_outcomes(f["pages"].select(c("doc_id").alias("card_id"), c("status").alias("field"), c("page").alias("attempt"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("error")))
+
+
+@query("p14_check_cards", "select doc_id page, printed_page card_index, 'order' as violation from (select *, row_number() over (partition by doc_id order by page) k from fx_pages) where k <> printed_page")
+def _p14(f):
+    return P.check_cards(f["pages"].select(c("doc_id").alias("page"), c("printed_page").alias("card_index"), c("page").alias("grid_row"), F.lit(0).alias("grid_col"), F.lit(1).alias("width"), F.lit(1).alias("height")))
+
+
+@query("p15_run_manifest", "select doc_id job_id, case when doc_id%2=0 then '1,2,3' else '1,2,3,4' end as pages from fx_documents")
+def _p15(f):
+    jobs = f["documents_roll"].select(c("doc_id").alias("job_id"), F.when(c("doc_id") % 2 == 0, F.array(F.lit(3), F.lit(1), F.lit(2), F.lit(1))).alias("pages"), F.lit(4).alias("total_pages"), F.lit(None).cast("string").alias("version"))
+    return P.run_manifest(jobs).select("job_id", F.array_join("pages", ",").alias("pages"))
+
+
+@query("p1_parse_blocks")
+def _p1(f):
+    r = f["records"].filter("serial_number is not null")
+    line = F.concat(c("serial_number"), F.lit(". Name: Person "), c("part_number"), F.lit("\nFather Name: Elder\nHouse No: "), F.coalesce("house", F.lit("1")), F.lit("\nAge: "), c("age"), F.lit("\nGender: Male\n"))
+    pages = r.groupBy(c("doc_id").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"))
+    return P.parse_blocks(pages)
+
+
+def _words(f):
+    r = f["records"]
+    n = X.parse_serial(c("serial_number"))
+    return r.filter(n.between(1, 30)).select(c("doc_id").cast("long").alias("page_id"), c("serial_number").alias("text"), c("conf"), (((n - 1) % 3) * 200 + 5).cast("double").alias("x0"), (32 + F.floor((n - 1) / 3) * 94 + 2).cast("double").alias("y0"), (((n - 1) % 3) * 200 + 40).cast("double").alias("x1"), (32 + F.floor((n - 1) / 3) * 94 + 12).cast("double").alias("y1"))
+
+
+@query("p2_columnize")
+def _p2(f):
+    return P.columnize(_words(f), 600.0)
+
+
+@query("p3_grid_cards")
+def _p3(f):
+    return P.grid_cards(_words(f), 600.0, 1000.0)
+
+
+@query("p4_grid_codes", f"select doc_id::bigint page_id, (({_serial('serial_number')})-1)::int as cell, min(serial_number) serial, null::varchar as ident, round(avg(conf)) as conf from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
+def _p4(f):
+    return P.grid_codes(_words(f), 600.0, 1000.0)
+
+
+@query("p5_layout_segments")
+def _p5(f):
+    w = _words(f)
+    return P.layout_segments(w.withColumn("text", F.when(F.crc32("text") % 2 == 0, "Name:").otherwise(c("text"))), 600.0)
+
+
+@query("p6_choose_layout", "select doc_id page_id, 'columns' as layout, 2 as labels from documents")
+def _p6(f):
+    return P.choose_layout(f["documents"].select(c("doc_id").alias("page_id"), F.lit("Name: a").alias("grid"), F.lit("Name: a\nName: b").alias("columns"), F.lit("").alias("raw")))
+
+
+@query("p7_backfill_codes", f"select doc_id::bigint page_id, ({_serial('serial_number')})-1 as cell, min(serial_number) serial from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
+def _p7(f):
+    codes = P.grid_codes(_words(f), 600.0, 1000.0)
+    bare = codes.select("page_id", "cell", F.lit(None).cast("string").alias("serial"), F.lit(None).cast("string").alias("ident"))
+    return P.backfill_codes(bare, codes).select("page_id", "cell", "serial")
+
+
+@query("a13_scan_words", "select part_number field_id, string_agg(record_id, ' ' order by record_id) as value, avg(conf/100) filter (conf>=0) as confidence from fx_records where trim(record_id)<>'' group by 1")
+def _a13(f):
+    tsv = f["records"].select(c("part_number").alias("field_id"), F.lit(1).alias("line"), c("record_id").alias("word_no"), F.lit(5).alias("level"), c("record_id").alias("text"), "conf")
+    return P.scan_words(tsv)
+
+
+@query("b36_field_boxes", "select doc_id card_id, 'house' as field, floor(page + 100*0.25)::bigint x0, floor(5 + 40*0.5)::bigint y0, ceil(page + 100*(0.25+0.5))::bigint x1, ceil(5 + 40*(0.5+0.25))::bigint y1 from fx_pages")
+def _b36(f):
+    cards = f["pages"].select(c("doc_id").alias("card_id"), c("page").alias("x"), F.lit(5).alias("y"), F.lit(100).alias("width"), F.lit(40).alias("height"))
+    t = cards.sparkSession.createDataFrame([("house", 0.25, 0.5, 0.5, 0.25)], "field string, rx double, ry double, rw double, rh double")
+    return P.field_boxes(cards, t)
+
+
+# --- evaluation
+@query("k2_ground_truth_coverage", "select p as part_number, l as lang, count(g.case_id) cases, count(g.case_id)>=480 as target_met from (select distinct part_number p from fx_gold) cross join (values ('en'),('te')) v(l) left join fx_gold g on g.part_number=p and g.lang=l group by 1,2")
+def _k2(f):
+    return K.ground_truth_coverage(f["gold"], f["gold"])
+
+
+@query("k1_validate_ground_truth", "select part_number, serial_number, lang, case when not regexp_matches(ident, '^[A-Z]{3}[0-9]{7}$') then 'ident_format' when try_cast(serial_number as int) < 1 then 'serial' end as violation from fx_gold where not regexp_matches(ident, '^[A-Z]{3}[0-9]{7}$') or try_cast(serial_number as int) < 1")
+def _k1(f):
+    return K.validate_ground_truth(f["gold"])
+
+
+@query("k3_field_metrics")
+def _k3(f):
+    return K.field_metrics(f["gold"], f["observations"])
+
+
+_KEYED = "j as (select o.config_id, g.lang, g.part_number, 'ident' field, g.ident g, coalesce(o.ident,'') p from fx_gold g join fx_observations o using (case_id) union all select o.config_id, g.lang, g.part_number, 'serial_number', g.serial_number, o.serial_number from fx_gold g join fx_observations o using (case_id) union all select o.config_id, g.lang, g.part_number, 'age', g.age, o.age from fx_gold g join fx_observations o using (case_id))"
+
+
+@query("k3_exact_accuracy", f"with {_KEYED} select config_id, field, count(*) cases, count(*) filter (g=p) correct, count(*) filter (p='') missing from j group by 1,2")
+def _k3b(f):
+    return K.field_metrics(f["gold"], f["observations"]).filter("field <> 'name'").select("config_id", "field", "cases", "correct", "missing")
+
+
+@query("k4_aggregate_metrics")
+def _k4(f):
+    return K.aggregate_metrics(f["gold"], f["observations"])
+
+
+@query("k5_error_classes")
+def _k5(f):
+    return K.error_classes(f["gold"], f["observations"])
+
+
+@query("k6_retry_impact", "with a as (select g.case_id, g.ident=coalesce(a.ident,'') x, g.ident=coalesce(b.ident,'') y, 'ident' field from fx_gold g join fx_observations a on a.case_id=g.case_id and a.config_id='a' join fx_observations b on b.case_id=g.case_id and b.config_id='b' union all select g.case_id, g.age=a.age, g.age=b.age, 'age' from fx_gold g join fx_observations a on a.case_id=g.case_id and a.config_id='a' join fx_observations b on b.case_id=g.case_id and b.config_id='b') select field, count(*) filter (not x) failed, count(*) filter (not x and y) recovered, count(*) filter (not x and not y) still_failed, count(*) filter (x and not y) broken from a group by 1")
+def _k6(f):
+    return K.retry_impact(f["gold"], f["observations"], "a", "b").filter("field in ('ident', 'age')")
+
+
+@query("k7_rank_configs")
+def _k7(f):
+    return K.rank_configs(f["gold"], f["observations"])
+
+
+@query("k8_check_observations", "select case_id, config_id, 'retry_not_allowed' as violation from fx_observations where config_id='b' and retry_count>0")
+def _k8(f):
+    return K.check_observations(f["gold"], f["observations"], ["b"])
+
+
+@query("k9_gate_candidates")
+def _k9(f):
+    return K.gate_candidates(f["gold"], f["observations"], [("ident", 0.9, 0.02), ("age", 0.8, 1.0)])
+
+
+@query("k10_report_checksum")
+def _k10(f):
+    return K.report_checksum(K.field_metrics(f["gold"], f["observations"]))
+
+
+@query("t4_resume_set", "select doc_id, page, case when status in ('processed','requires_review') then 'skip' when page%2=0 then 'retry' else 'give_up' end as action from fx_pages")
+def _t4(f):
+    return T.resume_set(f["pages"].withColumn("error_type", F.lit("storage_failed")).withColumn("attempt", F.when(c("page") % 2 == 0, 1).otherwise(3)))
+
+
+@query("t1_judge_batch", "select record_id, case when age%2=0 then 'idempotent' when age%3=0 then 'rejected' else 'inserted' end as outcome from fx_records")
+def _t1(f):
+    rows = f["records"].select("record_id", *T.EVIDENCE)
+    stored = rows.filter("age % 2 = 0").unionByName(rows.filter("age % 2 = 1 and age % 3 = 0").withColumn("age", c("age") + 1))
+    return T.judge(rows, stored).select("record_id", "outcome")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLE)
