@@ -134,8 +134,8 @@ def _a3(f):
 
 @query("a4_compat_views", "select doc_id, part_number, lang as source_language from fx_documents")
 def _a4(f):
-    io.compat_views(f["documents_roll"].sparkSession, {"documents": f["documents_roll"], "pages": f["pages"], "records": f["records"], "issues": f["issues"]})
-    return f["records"].sparkSession.sql("select doc_id, part_number, source_language from compat_uploaded_documents")
+    io.compat_views(f.spark, {"documents": f["documents_roll"], "pages": f["pages"], "records": f["records"], "issues": f["issues"]})
+    return f.spark.sql("select doc_id, part_number, source_language from compat_uploaded_documents")
 
 
 @query("a6_inspect_filenames", "select part_number, case when part_number%5=0 then 'part_unknown' when part_number%3=0 then 'part_conflict' end as refusal from fx_expectations")

@@ -5,6 +5,8 @@ Each view is SQL that Spark and DuckDB both run, so the same text serves a query
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels")
@@ -47,22 +49,39 @@ VIEWS = {
 }
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Frames(dict):
     """The views as lazy frames, keyed without the prefix; base tables keep their names.
 
-    The view of register documents is documents_roll, the table of web pages pages_html.
+    The view of register documents is documents_roll, the table of web pages pages_html. A frame and
+    the views it needs are made when it is first asked for.
     """
-    out: dict[str, DataFrame] = {}
-    for t in TABLES:
-        out[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        out[t].createOrReplaceTempView(t)
-    for name, sql in VIEWS.items():
-        frame = spark.sql(sql)
-        frame.createOrReplaceTempView(name)
-        key = name.removeprefix("fx_")
-        out["documents_roll" if key == "documents" else key] = frame
-    out["pages_html"] = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return out
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
+
+    def _view(self, name: str) -> DataFrame:
+        if name not in self.made:
+            if name in VIEWS:
+                for needed in dict.fromkeys(re.findall(r"\b(?:from|join)\s+(\w+)", VIEWS[name])):
+                    if needed in VIEWS or needed in TABLES:
+                        self._view(needed)
+                frame = self.spark.sql(VIEWS[name])
+            else:
+                frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            frame.createOrReplaceTempView(name)
+            self.made[name] = frame
+        return self.made[name]
+
+    def __missing__(self, key: str) -> DataFrame:
+        special = {"documents": "documents", "documents_roll": "fx_documents", "pages_html": "pages"}
+        self[key] = self._view(special.get(key, f"fx_{key}" if f"fx_{key}" in VIEWS else key))
+        return self[key]
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
+    return Frames(spark, sf_dir)
 
 
 def oracle(sql: str) -> str:
