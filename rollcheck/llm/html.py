@@ -29,7 +29,15 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 #: An open element of the same kind ends where the next starts.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section main div body nav aside footer".split())
-UNLIKELY = re.compile(
+#: First or last part of a class or id word of what surrounds an article.
+AROUND = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs sidebar side widget widgets footer foot masthead topbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations "
+    "newsletter subscribe subscription signup login modal popup overlay pagination pager toolbar skip legal copyright disclaimer".split()
+)
+PAGE_HEADS = frozenset("header site-header page-header top-header global-header".split())
+LAYOUT = frozenset("has with without no".split())
+LIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|site-header|page-header|topbar|comments?|comment-\w*|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|modal|popup|overlay|pagination|pager|toolbar|skip|legal|copyright|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -42,6 +50,15 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"
 SPACE = re.compile(r"\s+")
 
 
+def surrounds(words: str) -> bool:
+    """Whether class and id words name what surrounds an article: post-footer and comment-list do, has-sidebar doesn't."""
+    for word in words.lower().split():
+        parts = re.split("[-_]+", word)
+        if word in PAGE_HEADS or (parts[0] not in LAYOUT and (parts[0] in AROUND or parts[-1] in AROUND)):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("name", "marks", "parent", "children", "points")
 
@@ -128,7 +145,7 @@ def parse(page: str) -> Node:
             if name in ("br", "hr"):
                 here.children.append(Node(name, "", here))
             continue
-        if (name in DROPPED or gone or (UNLIKELY.search(words) and name not in ("body", "html", "article", "main") and not LIKELY.search(words))) and name not in ("html", "body"):
+        if (name in DROPPED or gone or (name not in ("article", "main") and surrounds(words))) and name not in ("html", "body"):
             if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
                 skip, depth = name, 1
             continue

@@ -18,6 +18,13 @@ def test_without_article_tag():
     assert h.main_text(page) == f"Head {ARTICLE} {ARTICLE} Short."
 
 
+def test_names_of_surroundings():
+    for words in ("ad", "cookie-notice", "post-footer", "article-comments", "comment-list", "site-header", "main-nav", "sidebar"):
+        assert h.surrounds(words)
+    for words in ("post", "has-sidebar", "article-header", "entry-content", "shadow", "reading"):
+        assert not h.surrounds(words)
+
+
 def test_edges():
     assert h.main_text(None) == "" and h.main_text("") == ""
     assert h.main_text("<html><body><nav>a</nav></body></html>") == ""
