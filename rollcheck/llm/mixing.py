@@ -61,21 +61,26 @@ def permuted(df: DataFrame, k: str, n: Column, key: Column, out: str, rounds: in
     larger n a walk of 40 that doesn't has a chance under (1 / 40) ** 40.
     """
     w, h = F.col("_w"), F.col("_h")
-
-    def half(s: Column, r: Column) -> Column:
-        a = F.pmod(s["a"] + F.pmod(F.xxhash64(F.col("_key"), r, s["b"]), h), h)
-        b = F.pmod(s["b"] + F.pmod(F.xxhash64(F.col("_key"), r, s["a"]), w), w)
-        even = r % 2 == 0
-        return F.struct(F.when(even, a).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(b).alias("b"))
+    moved_a = lambda a, b, r: F.pmod(a + F.pmod(F.xxhash64(F.col("_key"), r, b), h), h)
+    moved_b = lambda a, b, r: F.pmod(b + F.pmod(F.xxhash64(F.col("_key"), r, a), w), w)
 
     def shuffled(x: Column) -> Column:
+        """The same steps as below in one expression, for the few values that walk."""
+
+        def half(s: Column, r: Column) -> Column:
+            even = r % 2 == 0
+            return F.struct(F.when(even, moved_a(s["a"], s["b"], r)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(moved_b(s["a"], s["b"], r)).alias("b"))
+
         start = F.struct(F.floor(x / w).cast("long").alias("a"), F.pmod(x, w).alias("b"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, half, lambda s: s["a"] * w + s["b"])
 
     df = df.withColumn("_n", n).withColumn("_key", key).withColumn("_w", F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("long"))
-    df = df.withColumn("_h", F.ceil(F.col("_n") / w).cast("long")).withColumn("_x", shuffled(F.col(k)))
+    df = df.withColumn("_h", F.ceil(F.col("_n") / w).cast("long")).withColumns({"_a": F.floor(F.col(k) / w).cast("long"), "_b": F.pmod(F.col(k), w)})
+    for r in range(0, 2 * rounds, 2):
+        df = df.withColumn("_a", moved_a(F.col("_a"), F.col("_b"), F.lit(r))).withColumn("_b", moved_b(F.col("_a"), F.col("_b"), F.lit(r + 1)))
+    df = df.withColumn("_x", F.col("_a") * w + F.col("_b"))
     again = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), F.col("_x"), lambda x, _: F.when(x < F.col("_n"), x).otherwise(shuffled(x)))
-    return df.withColumn(out, F.when(F.col("_x") < F.col("_n"), F.col("_x")).otherwise(again)).drop("_n", "_key", "_w", "_h", "_x")
+    return df.withColumn(out, F.when(F.col("_x") < F.col("_n"), F.col("_x")).otherwise(again)).drop("_n", "_key", "_w", "_h", "_a", "_b", "_x")
 
 
 def _running(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -149,9 +154,9 @@ class Mix:
         moved = over.withColumn("place", F.size(F.filter(ends, lambda e: e <= F.col("i"))))
         first = [got.get(p, 0) - x for p, x in enumerate([0, *accumulate(short)][:-1])]
         moved = moved.withColumn("k", F.col("i") + table(first or [0])).select("shard", "slot", "place", "k")
-        n = table([max(1, r.blocks) for r in known] or [1])
-        chosen = taken.unionByName(moved).withColumn("at", F.pmod(F.col("k"), n))
-        self.slots = permuted(chosen, "at", n, F.hash(F.lit(seed), F.col("place")), "block").select("shard", "slot", "place", "block")
+        of_source = self.sources.select("place", F.greatest(F.lit(1), "blocks").alias("_blocks"))
+        chosen = taken.unionByName(moved).join(F.broadcast(of_source), "place").withColumn("at", F.pmod(F.col("k"), F.col("_blocks")))
+        self.slots = permuted(chosen, "at", F.col("_blocks"), F.hash(F.lit(seed), F.col("place")), "block").select("shard", "slot", "place", "block")
 
     def pieces(self) -> DataFrame:
         """(id, tie, source, place, start, block, begin, words): the part of each document in each block, begin in the document's words."""
