@@ -8,16 +8,18 @@ running offsets, without a loop over values.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, parts, shared_dir, small_batches, texts
+from .common import ids_and_texts, parts, shared_dir, small_batches
 
 #: Lengths of the four values of each control byte.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
@@ -31,7 +33,9 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     code[: len(v)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    widest = int(size.max(initial=1))
+    raw = v.astype("<u2").view(np.uint8).reshape(-1, 2) if widest <= 2 else v.view(np.uint8).reshape(-1, 4)
+    data = raw[np.arange(raw.shape[1]) < size[:, None]]
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
@@ -40,13 +44,13 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     at = np.cumsum(size) - size
     raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)))
     out = np.zeros(n, np.uint32)
-    for k in range(4):
-        out |= np.where(size > k, raw[at + k].astype(np.uint32) << np.uint32(8 * k), np.uint32(0))
+    for k in range(int(size.max(initial=0))):
+        out |= (raw[at + k] * (size > k)).astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 class WordEncoder:
-    """Ids of whole texts from a word-splitting BPE file, with bounded caches of words and of their pieces.
+    """Ids of whole texts from a word-splitting BPE file, with a bounded cache of their words' pieces.
 
     The file's splitter never joins what white space parts, and its merges never cross a piece, so a
     text's ids are its words' ids in order. Texts with characters outside the plain ranges below,
@@ -55,59 +59,82 @@ class WordEncoder:
     """
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-    UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏЀ-҂Ҋ-ӿ‐-‧€ぁ-ゖァ-ヺ一-龥]")
+    UNUSUAL = "[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏЀ-҂Ҋ-ӿ‐-‧€ぁ-ゖァ-ヺ一-龥]"
 
-    def __init__(self, path: str, cache_words: int = 300_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # the same vocabulary and merges for pieces that are split and normalised already
+        rules = json.loads(self.library.to_str())
+        rules["normalizer"] = None
+        rules["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.plain = Tokenizer.from_str(json.dumps(rules))
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.most = cache_words
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        """All new pieces in one call; each ends with the one token that carries the word end."""
-        if len(self.pieces) > 2 * self.most:
-            self.pieces.clear()
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = "|".join([self.UNUSUAL, *map(re.escape, special)])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.most = cache_pieces
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of new pieces, many in one call; each ends with the one token that carries the word end."""
+        if len(self.known) > self.most:  # what comes again moves over, the rest is forgotten next time
+            self.older, self.known = self.known, {}
+        new = pieces - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new = sorted(new - again)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                step, raw = self.kind.itemsize, ids.tobytes()
-                self.pieces.update((p, raw[a * step : b * step]) for p, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist()))
-            else:
-                self.pieces.update((p, np.array(self.library.encode(p, add_special_tokens=False).ids, self.kind).tobytes()) for p in part)
-
-    def encode(self, batch: list[str], end_id: int) -> list[bytes]:
-        """Each text's ids with end_id behind them, as little-endian bytes of self.kind."""
-        split: list[list[str] | None] = []
-        for t in batch:
-            odd = self.UNUSUAL.search(t) or any(s in t for s in self.special)
-            split.append(None if odd else t.lower().split())
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = {w for s in split if s for w in s}.difference(self.words)
-        if new:
-            parted = {w: self.PIECE.findall(w) for w in new}
-            need = {p for ps in parted.values() for p in ps}
-            if len(self.pieces) > 2 * self.most:
-                self.pieces.clear()
-            self._learn_pieces(sorted(need.difference(self.pieces)))
-            piece = self.pieces
-            self.words.update((w, b"".join([piece[p] for p in ps])) for w, ps in parted.items())
-        word, end = self.words.__getitem__, np.array([end_id], self.kind).tobytes()
-        out = []
-        for t, s in zip(batch, split):
-            ids = np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if s is None else b"".join(map(word, s))
-            out.append(ids + end)
-        return out
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer's pieces don't end with one word end each")
+            step, raw = self.kind.itemsize, ids.tobytes()
+            self.known.update((p, raw[a * step : b * step]) for p, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist()))
+
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """A word of letters is one piece, one with a mark behind it two; the others are put together from theirs."""
+        plain, marks, find = str.isalpha, ".,;:!?", self.PIECE.findall
+        split = [w if plain(w) else (w[:-1], w[-1]) if w[-1:] in marks and plain(w[:-1]) else find(w) for w in words]
+        pieces = {s for s in split if isinstance(s, str)}
+        pieces.update(p for s in split if not isinstance(s, str) for p in s)
+        self._learn(pieces)
+        known = self.known
+        return [known[s] if isinstance(s, str) else b"".join([known[p] for p in s]) for s in split]
+
+    def encode(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, pa.Array]:
+        """Number of ids of each text with end_id behind them, and the ids as little-endian bytes of self.kind.
+
+        Words are coded by Arrow; Python sees each different word of a batch once.
+        """
+        batch = pc.fill_null(batch, "")
+        odd = pc.match_substring_regex(batch, self.odd)
+        words = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(odd, "", batch)))
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        raw = self.ids_of_words(different) + [np.array([end_id], self.kind).tobytes()]
+        step = self.kind.itemsize
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // step
+        start = np.cumsum(size) - size
+        stops = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        which = np.insert(coded.indices.to_numpy(zero_copy_only=False), stops, len(different))
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(raw), self.kind)[np.repeat(start[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends[stops + np.arange(len(stops))]))
+        if pc.any(odd).as_py():
+            own = [ids[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+                own[i] = np.array([*self.library.encode(batch[i].as_py(), add_special_tokens=False).ids, end_id], self.kind)
+            ids, bounds = np.concatenate(own), np.cumsum([0, *map(len, own)])
+        offsets = pa.py_buffer((bounds * step).astype(np.int32).tobytes())
+        return np.diff(bounds), pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(ids.tobytes())])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -120,22 +147,34 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _together(batches: Iterator[pa.RecordBatch], least_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about least_bytes, so that a word's ids are looked up less often."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= least_bytes:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids of each whole text and end_id, two bytes an id where the vocabulary fits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
-            ids = enc.encode(texts(b), end_id)
-            n = [len(x) // enc.kind.itemsize for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for part in _together(batches):
+            n, ids = enc.encode(part.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
 
     return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _counts(kind: np.dtype, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # a worker that tokenized before gives its cache's memory back
         total = np.zeros(size, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)

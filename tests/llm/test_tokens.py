@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from rollcheck.llm import tokens
@@ -24,7 +24,9 @@ def test_codes_round_trip(values):
 def test_encoder_equals_library(text):
     enc = tokens.encoder(PATH)
     want = enc.library.encode(text, add_special_tokens=False).ids + [2]
-    assert np.frombuffer(enc.encode([text], 2)[0], enc.kind).tolist() == want
+    n, ids = enc.encode(pa.array(["x y", text, None, text], pa.string()), 2)
+    got = [np.frombuffer(i, enc.kind).tolist() for i in ids.to_pylist()]
+    assert got[1] == want == got[3] and got[2] == [2] and n.tolist() == [len(g) for g in got]
 
 
 def brute(rows):
