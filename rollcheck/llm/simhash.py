@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, cut, id_list, ids_and_texts, small_batches, texts
@@ -135,18 +135,18 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, se
 
 
 def _components(firsts: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
-    """(fp, first_id) -> (fp, first_id, component_id)."""
+    """(fp, first_id) -> (fp, first_id, component, component_id): component is a fingerprint, component_id the least first_id."""
     groups = connected_components(near_links(firsts.select("fp"), radius, bucket_limit)).select(F.col("node").alias("fp"), "component")
     named = firsts.join(groups, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return named.join(lowest, "component").select("fp", "first_id", "component_id")
+    return named.join(lowest, "component").select("fp", "first_id", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = 3, shingle_words: int = 3, seed: int = 42, bucket_limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each near-duplicate group: its smallest id, null ids last.
 
     Rows that share that id and differ in text are told apart by a hash of the text; of wholly equal
-    ones one stays. Groups whose ids are all null are one group here.
+    ones one stays. Groups that share an id, or have null ids only, each keep a row of their own.
     """
     row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.col(text_col).cast("string"))
     small_batches(docs.sparkSession)
@@ -159,8 +159,13 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle_words: int = 3, seed: i
     keyed = docs.select(row_id.alias("id"), row_hash.alias("h"), F.col(text_col).cast("string").alias("text"))
     rows = cut(keyed.mapInArrow(run, "id long, h long, fp long"))
     firsts = rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.min(F.struct("id", "h")).alias("first"))
-    named = _components(firsts.select("fp", "first_id"), radius, bucket_limit).filter("first_id = component_id").join(firsts.select("fp", "first"), "fp")
+    named = _components(firsts.select("fp", "first_id"), radius, bucket_limit).join(firsts.select("fp", "first"), "fp")
+    return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)
+
+
+def _rows_of(docs: DataFrame, best: DataFrame, row_id: Column, row_hash: Column) -> DataFrame:
+    """One row of docs for each (first.id, first.h) of best."""
     own = ["__kept_id", "__kept_hash"]
-    best = named.groupBy("component_id").agg(F.min("first").alias("first")).select(F.col("first.id").alias(own[0]), F.col("first.h").alias(own[1])).distinct()
+    best = best.select(F.col("first.id").alias(own[0]), F.col("first.h").alias(own[1]))
     known = docs.withColumns({own[0]: row_id, own[1]: row_hash})
     return known.join(best, own, "left_semi").dropDuplicates(own).drop(*own)

@@ -68,3 +68,10 @@ def test_near_duplicates_edge_cases(spark):
         ids = [i for i, u, _ in rows if comp[brute_fp(u)] == comp[brute_fp(t)] and i is not None]
         assert by[(d, brute_fp(t))] == (min(ids) if ids else None)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_first_keeps_a_row_of_every_group(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (7, "red green blue white"), (7, "north south east west"), (9, "red green blue white")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in simhash.keep_first(df).collect()}
+    assert got == set(rows[:4])
