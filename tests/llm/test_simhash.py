@@ -75,3 +75,17 @@ def test_keep_first_keeps_a_row_of_every_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in simhash.keep_first(df).collect()}
     assert got == set(rows[:4])
+
+
+def test_similar_texts_are_one_group(spark):
+    rng = random.Random(4)
+    body = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(40)]
+    near = [[*b[:75], "x", *b[75:150], "y", *b[150:225], "z", *b[225:]] for b in body]  # Jaccard 0.9
+    far = [[w if i % 9 else "v" for i, w in enumerate(b)] for b in body]  # Jaccard 0.3
+    rows = [(100 * k + i, " ".join(t)) for k, group in enumerate((body, near, far)) for i, t in enumerate(group)]
+    rows += [(None, "one text here"), (None, "and one more"), (None, "AND one  more"), (3, "a"), (3, "b"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (64, 1):
+        got = sorted((str(r.doc_id), str(r.text).lower().split()) for r in simhash.keep_first_similar(df, bucket_limit=limit).collect())
+        assert got == sorted((str(i), str(t).lower().split()) for i, t in rows if i not in range(100, 140) and t != "AND one  more")
+    assert simhash.keep_first_similar(df.limit(0)).count() == 0
