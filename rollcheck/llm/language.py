@@ -25,18 +25,16 @@ _LETTER: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
-    """Whether each code point of the basic plane is a letter; built from Python's character data once a worker."""
+    """Whether each code point is a letter; built from Python's character data once a worker."""
     if "t" not in _LETTER:
-        _LETTER["t"] = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
+        _LETTER["t"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _LETTER["t"]
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's 1- to 3-grams of lower-case letters; other characters part words."""
     code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = np.ones(len(code), bool)
-    basic = code < 1 << 16
-    letter[basic] = _letters()[code[basic]]
+    letter = _letters()[code]
     if not letter.any():
         return np.zeros(0, np.int64), np.zeros(0)
     x = np.where(letter, code, 32).astype(np.uint64)

@@ -41,3 +41,10 @@ def test_mixed_text_and_edges(spark):
     assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "de"), (4, "en")}
     empty = language.fit(df.limit(0))
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"}
+
+
+def test_symbols_beyond_the_basic_plane_are_no_letters():
+    assert len(language.ngrams("\U0001f600\U0001f680 \U0001f4a9")[0]) == 0
+    assert len(language.ngrams("\U00010400\U00020000")[0])  # Deseret, an ideograph
+    for a, b in zip(language.ngrams("the \U0001f600 cat"), language.ngrams("the - cat")):
+        assert (a == b).all()
