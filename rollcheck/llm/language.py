@@ -21,6 +21,10 @@ UNKNOWN = "und"
 #: n-grams fall into this many buckets, so the model's size is fixed: buckets x languages.
 BUCKETS = 1 << 16
 MOST_LANGUAGES = 512
+#: A text is in no learned language if its log-likelihood for each n-gram lies more than this below its language's level;
+#: a text of n n-grams is given SHORT / sqrt(n) more.
+MARGIN = 2.0
+SHORT = 6.0
 _LETTER: dict[str, np.ndarray] = {}
 
 
@@ -57,12 +61,24 @@ class Model:
         self.languages = languages
         p = counts + smoothing
         self.p = (p / p.sum(0)).astype(np.float64) if len(languages) else p
+        self.levels: dict[str, float] = {}
 
     def mixture(self, text: str, penalty: float = 3.0, rounds: int = 30) -> dict[str, float]:
         """Proportions of the languages kept for a text; empty if it has no letters or there is no language."""
+        return self.inferred(text, penalty, rounds)[0]
+
+    def known(self, text: str) -> dict[str, float]:
+        """The mixture of a text; empty also where it fits clearly worse than the labelled texts of its main language."""
+        mixture, fit, n = self.inferred(text)
+        if mixture and fit < self.levels.get(max(mixture, key=mixture.get), -np.inf) - MARGIN - SHORT / n**0.5:
+            return {}
+        return mixture
+
+    def inferred(self, text: str, penalty: float = 3.0, rounds: int = 30) -> tuple[dict[str, float], float, float]:
+        """A text's mixture, its log-likelihood for each n-gram and the number of n-grams."""
         seen, counts = ngrams(text)
         if not len(seen) or not self.languages:
-            return {}
+            return {}, 0.0, 0.0
         p, n = self.p[seen], counts.sum()
         cost = penalty * np.log(max(n, 2.0))
         fits = counts @ np.log(p)
@@ -78,7 +94,7 @@ class Model:
             if fit - best <= cost:
                 break
             chosen, best, share = trial, fit, part
-        return {self.languages[k]: float(s) for k, s in zip(chosen, share)}
+        return {self.languages[k]: float(s) for k, s in zip(chosen, share)}, float(best / n), float(n)
 
     @staticmethod
     def _proportions(p: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -93,9 +109,11 @@ class Model:
         return share, float(counts @ np.log(p @ share))
 
 
-def fit(docs: DataFrame, most_docs: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, most_docs: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", levels: bool = False) -> Model:
     """A model from labelled documents; per language about most_docs of them, chosen by a hash of their id.
 
+    With levels it also learns how well each language's texts fit, which label reads.
+
     The n-gram counts of the chosen documents are whole. Rows without a label are not used.
     """
     spark = docs.sparkSession
@@ -125,7 +143,24 @@ def fit(docs: DataFrame, most_docs: int = 4000, text_col: str = "text", lang_col
     # at most buckets x languages rows
     for r in chosen.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.bucket, index[r.lang]] = r.n
-    return Model(languages, counts)
+    model = Model(languages, counts)
+    if levels:
+        model.levels = _levels(chosen, model)
+    return model
+
+
+def _levels(chosen: DataFrame, model: Model) -> dict[str, float]:
+    """By language, the log-likelihood for each n-gram that all but a thousandth of its labelled texts reach."""
+    sent = chosen.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fits = [sent.value.inferred(t) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f if n else None for _, f, n in fits], pa.float64())], names=["lang", "fit"])
+
+    # one row a language
+    found = chosen.mapInArrow(run, "lang string, fit double").groupBy("lang").agg(F.percentile_approx("fit", 0.001, 10_000).alias("level")).collect()
+    return {r.lang: r.level for r in found if r.level is not None}
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +187,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def label(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, with the predicted language (or `und`) in lang_col."""
+    """The rows of docs, all columns, with the predicted language (or `und`) in lang_col.
+
+    A text that fits no language of a model with levels is `und` too.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -160,7 +198,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mixtures = [sent.value.mixture(t) for t in texts(b, text_col)]
+            mixtures = [sent.value.known(t) for t in texts(b, text_col)]
             top = pa.array([max(x, key=x.get) if x else UNKNOWN for x in mixtures], pa.string())
             yield b.set_column(at, b.schema.field(at).with_type(pa.string()), top)
 

@@ -55,3 +55,11 @@ def test_edited_copies_of_the_given_table_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert {1, 6} <= kept and not {177, 145} & kept  # Jaccard 0.83 each; fingerprints differ in 11 and 7 bits
+
+
+def test_texts_in_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(corpus_pipeline.COLUMNS)
+    junk = ["xqzj kkwp zzt qqx vvk wqz", "Съешь ещё этих мягких французских булок", "日本語の文章です"]
+    more = spark.createDataFrame([(9000 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(more), "").collect()}
+    assert kept == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
