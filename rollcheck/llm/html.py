@@ -37,6 +37,11 @@ AROUND = frozenset(
 )
 PAGE_HEADS = frozenset("header site-header page-header top-header global-header".split())
 LAYOUT = frozenset("has with without no".split())
+#: Of these, what other readers or sellers wrote; the rest only tells of a place on the page, which an article may have too.
+NEVER = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr comment comments commentlist disqus respond reply replies "
+    "newsletter subscribe subscription signup login modal popup pagination pager copyright disclaimer".split()
+)
 LIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|site-header|page-header|topbar|comments?|comment-\w*|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|modal|popup|overlay|pagination|pager|toolbar|skip|legal|copyright|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -47,14 +52,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search menu menub
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
 LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+NAMES = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
 
-def surrounds(words: str) -> bool:
+def surrounds(words: str, names: frozenset = AROUND) -> bool:
     """Whether class and id words name what surrounds an article: post-footer and comment-list do, has-sidebar doesn't."""
     for word in words.lower().split():
         parts = re.split("[-_]+", word)
-        if word in PAGE_HEADS or (parts[0] not in LAYOUT and (parts[0] in AROUND or parts[-1] in AROUND)):
+        if (word in PAGE_HEADS and names is AROUND) or (parts[0] not in LAYOUT and (parts[0] in names or parts[-1] in names)):
             return True
     return False
 
@@ -90,8 +96,11 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return " ".join(words), gone
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page, however badly nested; comments, dropped elements and their content are left out."""
+def parse(page: str, names: frozenset = AROUND) -> Node:
+    """The element tree of a page, however badly nested; comments, dropped elements and their content are left out.
+
+    So are elements whose class or id has one of the names.
+    """
     root = Node("html", "", None)
     here, at, skip, depth = root, 0, "", 0
     token = TOKEN
@@ -145,7 +154,7 @@ def parse(page: str) -> Node:
             if name in ("br", "hr"):
                 here.children.append(Node(name, "", here))
             continue
-        if (name in DROPPED or gone or (name not in ("article", "main") and surrounds(words))) and name not in ("html", "body"):
+        if (name in DROPPED or gone or (name not in ("article", "main") and surrounds(words, names))) and name not in ("html", "body"):
             if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
                 skip, depth = name, 1
             continue
@@ -217,6 +226,8 @@ def _score(root: Node) -> dict[int, tuple[int, int]]:
             node.points += 10
         length, linked = sizes[id(node)][:2]
         node.points *= 1 - (linked / length if length else 0)
+        if surrounds(node.marks) and node.name not in ("html", "body", "article", "main"):
+            node.points /= 2
     return {k: (v[0], v[1]) for k, v in sizes.items()}
 
 
@@ -247,11 +258,41 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+def _prose(node: Node) -> int:
+    """Length of the text below a node in blocks that read like prose, links left out."""
+    length, todo = 0, [node]
+    while todo:
+        n = todo.pop()
+        own = SPACE.sub(" ", "".join(c if isinstance(c, str) else " ".join(_blocks(c)) if c.name not in BLOCKS and c.name != "a" else "" for c in n.children)).strip()
+        length += len(own) if len(own) >= 25 else 0
+        todo += [c for c in n.children if isinstance(c, Node) and c.name in BLOCKS]
+    return length
+
+
 def main_text(page: str | None) -> str:
-    """The article's text; empty where a page has none."""
+    """The article's text; empty where a page has none.
+
+    Where elements left out by their names held more than twice the prose that was found, the page is
+    read again with those names kept that only tell of a place; where nothing is found, with all.
+    """
     if not page:
         return ""
-    root = parse(page)
+    text = _article(parse(page))
+    if surrounds_any(page):
+        placed = parse(page, NEVER)
+        if _prose(placed) > 3 * len(text):
+            text = _article(placed) or text
+        if not text:
+            text = _article(parse(page, frozenset()))
+    return text
+
+
+def surrounds_any(page: str) -> bool:
+    """Whether some tag of the page may be left out by its names."""
+    return any(surrounds(html.unescape(m[1] or m[2] or m[3])) for m in NAMES.finditer(page))
+
+
+def _article(root: Node) -> str:
     sizes = _score(root)
     nodes = [n for n in _nodes(root) if n.name in BLOCKS and n.name not in ("br", "hr", "tr", "thead", "tbody", "tfoot")]
     best = max(nodes, key=lambda n: n.points, default=None)

@@ -50,3 +50,12 @@ def test_given_pages(spark):
         body = r.html[r.html.index("<article>") + 9 : r.html.index("</article>")]
         want = " ".join(h._blocks(h.parse(f"<div>{body}</div>")))
         assert h.main_text(r.html) == want
+
+
+def test_text_inside_elements_named_like_surroundings():
+    for name in ("content-with-sidebar", "elementor-widget", "page-with-sidebar", "layout-right-sidebar", "legal-article"):
+        page = f"<body><div class=menu><a>x</a></div><div class={name}><p>{ARTICLE}</p><p>{ARTICLE}</p></div><p>Short, but a sentence here.</p><div class=comments><p>{ARTICLE * 9}</p></div></body>"
+        assert f"{ARTICLE} {ARTICLE}" in h.main_text(page) and ARTICLE * 2 not in h.main_text(page)
+    page = f"<body><div id=wrap><p>{ARTICLE}</p></div><div class=comments><p>{ARTICLE * 9}</p></div></body>"
+    assert h.main_text(page) == ARTICLE
+    assert h.main_text("<body><nav>a</nav></body>") == ""
