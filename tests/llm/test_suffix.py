@@ -60,7 +60,33 @@ def made(seed):
 def test_rows_equal_brute_force(spark):
     rows = made(1)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_bytes int").repartition(5)
-    for options in ({}, {"most_places": 1}, {"most_bodies": 2}, {"copies_limit": -1, "table_bits": 12}):
+    for options in ({}, {"most_places": 1}, {"most_bodies": 2}, {"copies_limit": -1, "most_bodies": 6}, {"copies_limit": -1, "table_bits": 12}):
         got = suffix.remove_repeats(df, **options).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got) == brute(rows)
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_lists_of_bodies_lose_no_pair():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(6)]
+    raw = [" ".join(rng.choice(words) for _ in range(20)).encode() for _ in range(40)]
+    s = suffix.Segments(raw, 50)
+    at = np.flatnonzero(s.anchor == np.unique(s.anchor, return_counts=True)[0][np.argmax(np.unique(s.anchor, return_counts=True)[1])])
+    body = list(dict.fromkeys(s.bodies(s.doc[at], s.first[at], s.n[at])))
+    lo = np.array([rng.randrange(50) for _ in body])
+    whole = set(zip(*(x.tolist() for x in suffix._repeats(body, lo, 50))))
+    assert len(body) > 8 and whole
+    for most in (1, 3, 7):
+        found = set()
+        for part in suffix._together(body, 50, most):
+            which, window = suffix._repeats([body[i] for i in part.tolist()], lo[part], 50)
+            found |= set(zip(part[which].tolist(), window.tolist()))
+        assert found == whole
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([97, 98, 255, 0]), st.booleans()), min_size=1, max_size=120))
+def test_wanted_suffixes_keep_their_order(symbols):
+    t, wanted = np.array([c for c, _ in symbols], np.uint8), np.array([w for _, w in symbols])
+    whole = suffix.suffix_array(t)
+    assert suffix.suffix_array(t, wanted=wanted).tolist() == whole[wanted[whole]].tolist()
