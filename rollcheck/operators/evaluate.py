@@ -10,12 +10,6 @@ from rollcheck.functions import text as X
 FIELDS = ("serial_number", "ident", "name", "age")
 
 
-def long_fields(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row per case and field."""
-    pairs = ", ".join(f"'{f}', {f}" for f in FIELDS)
-    return df.select(*keys, F.expr(f"stack({len(FIELDS)}, {pairs}) as (field, {value})"))
-
-
 def _norm(value: Column, field: Column) -> Column:
     out = F.lit(None).cast("string")
     for f in FIELDS:
@@ -24,10 +18,13 @@ def _norm(value: Column, field: Column) -> Column:
 
 
 def compared(gold: DataFrame, observations: DataFrame) -> DataFrame:
-    """Gold and predicted value of every case, configuration and field, normalised, with edit distances."""
-    g = long_fields(gold, ["case_id", "part_number", "lang"], "gold")
-    o = long_fields(observations, ["case_id", "config_id", "retry_count", "runtime_ms"], "predicted")
-    j = g.join(o, ["case_id", "field"])
+    """Gold and predicted value of every case, configuration and field, normalised, with edit distances.
+
+    Cases are joined before their fields are stacked, so a case crosses the shuffle once.
+    """
+    o = observations.select("case_id", "config_id", "failure_code", *[F.col(f).alias(f"_{f}") for f in FIELDS])
+    pairs = ", ".join(f"'{f}', {f}, _{f}" for f in FIELDS)
+    j = gold.select("case_id", "part_number", "lang", *FIELDS).join(o, "case_id").select("case_id", "config_id", "part_number", "lang", "failure_code", F.expr(f"stack({len(FIELDS)}, {pairs}) as (field, gold, predicted)"))
     j = j.withColumn("g", F.coalesce(_norm(F.col("gold"), F.col("field")), F.lit(""))).withColumn("p", F.coalesce(_norm(F.col("predicted"), F.col("field")), F.lit("")))
     return j.withColumn("char_edits", F.levenshtein("g", "p")).withColumn("word_edits", X.token_distance(F.col("g"), F.col("p")))
 
@@ -59,26 +56,35 @@ def aggregate_metrics(gold: DataFrame, observations: DataFrame) -> DataFrame:
     return c.groupingSets(sets, "config_id", "lang", "part_number").agg(F.count("*").alias("cases"), F.count_if(F.col("g") == F.col("p")).alias("matches"), F.count_if(F.col("p") == "").alias("empty"), F.sum("char_edits").alias("char_edits"))
 
 
-def error_class(gold: Column, predicted: Column) -> Column:
-    """What kind of error a predicted value is; null where it is right."""
-    flat = lambda c, p: F.lower(F.regexp_replace(c, p, ""))
-    swap = lambda c: F.translate(F.upper(c), "OIZSBG", "012586")
-    latin = lambda c: c.rlike("[A-Za-z]")
+# fixed values: letters and digits taken for each other, and words of failure codes
+CONFUSABLE = ("O0", "0O", "I1", "1I", "S5", "5S", "B8", "8B", "Z2", "2Z")
+CROP_CODES = "crop|layout|geometry"
+PARSER_CODES = "parse|invalid"
+
+
+def error_class(gold: Column, predicted: Column, field: Column, lang: Column, failure: Column) -> Column:
+    """What kind of error a predicted value is, from normalised values ('' for none); null where it is right."""
+    code = F.lower(F.coalesce(failure, F.lit("")))
+    spaceless = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    plain = lambda c: F.regexp_replace(c, "(?U)[^\\w\\s]", "")
+    swapped = F.exists(F.zip_with(F.split(gold, ""), F.split(predicted, ""), lambda a, b: F.concat(F.upper(a), F.upper(b))), lambda x: F.coalesce(x.isin(*CONFUSABLE), F.lit(False)))
     return (
-        F.when(gold == predicted, None)
+        F.when((gold == predicted) & (gold != ""), None)
+        .when(code.rlike(CROP_CODES), "crop_layout_issue")
+        .when(code.rlike(PARSER_CODES), "field_parser_rejection")
         .when(predicted == "", "empty")
-        .when(flat(gold, "\\s+") == flat(predicted, "\\s+"), "spacing")
-        .when(flat(gold, "[^\\p{L}\\p{N}]+") == flat(predicted, "[^\\p{L}\\p{N}]+"), "punctuation")
-        .when(swap(gold) == swap(predicted), "digit_letter_confusion")
-        .when(latin(gold) != latin(predicted), "script_confusion")
+        .when(spaceless(gold) == spaceless(predicted), "spacing")
+        .when(plain(gold) == plain(predicted), "punctuation")
+        .when((F.length(gold) == F.length(predicted)) & swapped, "digit_letter_confusion")
+        .when((lang == "te") & field.isin("name", "relation_name"), "script_confusion")
         .otherwise("wrong_character")
     )
 
 
 def error_classes(gold: DataFrame, observations: DataFrame) -> DataFrame:
     c = compared(gold, observations)
-    raw = lambda name: F.coalesce(F.col(name), F.lit(""))
-    return c.withColumn("error", error_class(raw("gold"), raw("predicted"))).filter("error is not null").groupBy("config_id", "field", "error").agg(F.count("*").alias("n"))
+    found = c.withColumn("error", error_class(F.col("g"), F.col("p"), F.col("field"), F.col("lang"), F.col("failure_code")))
+    return found.filter("error is not null").groupBy("config_id", "field", "error").agg(F.count("*").alias("n"))
 
 
 def retry_impact(gold: DataFrame, observations: DataFrame, baseline: str, final: str) -> DataFrame:

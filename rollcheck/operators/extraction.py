@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
 
+# fixed values: labels and shapes of a record's fields in three scripts
 NAME = "(?:Name|ఓటరు\\s*పేరు|نام)"
 FIELD_PATTERNS = {
     "name": f"(?im){NAME}\\s*:\\s*([^\\n]+)",
@@ -32,32 +32,54 @@ def parse_blocks(pages: DataFrame) -> DataFrame:
 
 
 WORDS = "page_id long, text string, conf double, x0 double, y0 double, x1 double, y1 double"
+# fixed values: what a line of a field looks like, in three scripts
+LABELS = {
+    "name": "(?i)(?:^|\\s)(?:Name|ఓటరు\\s*పేరు|نام)\\s*:",
+    "relation_name": "(?i)(?:Father|Mother|Husband|Guardian|తండ్రి|తల్లి|భర్త|సంరక్షక|والد|والدہ|شوہر|سرپرست).*:",
+    "house": "(?i)(?:House|ఇంటి|مکان).*:",
+    "age": "(?i)(?:Age|వయస్సు|వయసూ|عمر).*[:\\s]",
+    "gender": "(?i)(?:Gender|లింగం|లింగము|جنس).*[:\\s]",
+    "ident": "(?i)(?:EPIC|Voter\\s*ID)|\\b[A-Z]{3}\\d{7}\\b",
+}
+
+
+def text_lines(words: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
+    """Lines of words: keys, line_no, text, y (mean middle), box, and sum and number of the confidences.
+
+    Words of a key are sorted by their middles; a line ends where the next middle lies further away than
+    the greater of `least` and 0.55 of the taller of the two words.
+    """
+    c = F.col
+    y, h = (c("y0") + c("y1")) / 2, F.greatest(F.lit(1.0), c("y1") - c("y0"))
+    placed = words.filter(F.trim("text") != "").withColumns({"_y": y, "_h": h})
+    down = Window.partitionBy(*keys).orderBy("_y", "x0", "text")
+    reach = F.greatest(F.lit(least), F.greatest("_h", F.lag("_h").over(down)) * 0.55)
+    numbered = placed.withColumn("_new", F.when(c("_y") - F.lag("_y").over(down) <= reach, 0).otherwise(1)).withColumn("line_no", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    lines = numbered.groupBy(*keys, "line_no").agg(F.array_sort(F.collect_list(F.struct("x0", F.trim("text").alias("t")))).alias("_w"), F.avg("_y").alias("y"), *box, F.sum("conf").alias("conf_sum"), F.count("conf").alias("conf_n"))
+    return lines.withColumn("text", F.array_join(F.transform("_w", lambda w: w["t"]), " ")).drop("_w")
 
 
-def _lines(words: pd.DataFrame) -> list[str]:
-    """Lines of one page column, top to bottom; a word joins a line whose middle is near."""
-    lines: list[dict] = []
-    for w in words.sort_values(["y0", "x0"]).itertuples():
-        y, height = (w.y0 + w.y1) / 2, max(1.0, w.y1 - w.y0)
-        line = next((n for n in lines if abs(n["y"] - y) <= max(n["h"], height) * 0.55), None)
-        if line is None:
-            line = {"y": y, "h": height, "w": []}
-            lines.append(line)
-        line["w"].append((w.x0, w.text.strip()))
-        line["y"] += (y - line["y"]) / len(line["w"])
-        line["h"] = max(line["h"], height)
-    return [" ".join(t for _, t in sorted(n["w"], key=lambda v: v[0])) for n in sorted(lines, key=lambda n: n["y"])]
+def _column(width: float):
+    return F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("x0") + F.col("x1")) / 2 / (width / 3)))).cast("int")
+
+
+def _joined_lines(order: list[str]):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), "\n").alias("text")
 
 
 def columnize(words: DataFrame, page_width: float) -> DataFrame:
-    """Text of three reading columns per page; one page column is a group."""
-    c = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("x0") + F.col("x1")) / 2 / (page_width / 3)))).cast("int")
+    """Text of three reading columns per page."""
+    return text_lines(words.withColumn("col", _column(page_width)), ["page_id", "col"]).groupBy("page_id").agg(_joined_lines(["col", "line_no"]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "col": [pdf["col"].iloc[0]], "text": ["\n".join(_lines(pdf))]})
 
-    per = words.filter(F.trim("text") != "").withColumn("col", c).groupBy("page_id", "col").applyInPandas(run, "page_id long, col int, text string")
-    return per.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("col", "text"))).alias("t")).select("page_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+def _confidences(keep=None):
+    """Rounded mean confidence of the words on the lines of each label; a label without one has no entry."""
+    means = []
+    for k, p in LABELS.items():
+        hit = F.col("text").rlike(p) if keep is None else F.col("text").rlike(p) & keep
+        means.append(F.struct(F.lit(k).alias("key"), F.round(F.sum(F.when(hit, F.col("conf_sum"))) / F.nullif(F.sum(F.when(hit, F.col("conf_n"))), F.lit(0))).cast("int").alias("value")))
+    return F.map_from_entries(F.filter(F.array(*means), lambda e: e["value"].isNotNull())).alias("confidence")
 
 
 def grid_words(words: DataFrame, width: float, height: float) -> DataFrame:
@@ -65,46 +87,60 @@ def grid_words(words: DataFrame, width: float, height: float) -> DataFrame:
     return words.withColumn("cell", X.grid_cell((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.lit(width), F.lit(height))).filter("cell is not null and trim(text) <> ''")
 
 
-def grid_codes(words: DataFrame, width: float, height: float) -> DataFrame:
-    """Serial, ident and mean confidence from the top of each cell."""
+def _cell_codes(g: DataFrame, width: float, height: float, share: float) -> DataFrame:
+    """Of the words in the top share of each cell: their line, the first short number on the left, and mean confidence."""
     row = height * (0.972 - 0.032) / 10
-    g = grid_words(words, width, height)
     top = height * 0.032 + F.floor(F.col("cell") / 3) * row
-    head = g.filter((F.col("y0") + F.col("y1")) / 2 < top + row * 0.22)
+    head = g.filter((F.col("y0") + F.col("y1")) / 2 < top + row * share)
     left = (F.col("x0") + F.col("x1")) / 2 < (F.col("cell") % 3) * (width / 3) + width / 3 * 0.48
-    seen = head.groupBy("page_id", "cell").agg(
+    return head.groupBy("page_id", "cell").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", F.trim("text").alias("t")))), lambda w: w["t"]), " ").alias("line"),
         F.min(F.when(left & F.trim("text").rlike("^[0-9]{1,4}$"), F.struct("y0", "x0", F.trim("text").alias("t"))))["t"].alias("near"),
         F.round(F.avg("conf")).alias("conf"),
     )
-    empty = lambda c: F.nullif(c, F.lit(""))
-    serial = F.coalesce("near", empty(F.regexp_extract("line", "(?i)(?:^|\\s)([0-9]{1,4})(?=\\s|[A-Z])", 1)))
-    return seen.select("page_id", "cell", serial.alias("serial"), F.upper(empty(F.regexp_extract("line", "(?i)\\b([A-Z]{3}[0-9]{7})\\b", 1))).alias("ident"), "conf")
-
 
-def grid_cards(words: DataFrame, width: float, height: float) -> DataFrame:
-    """Text and mean confidence of each cell."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "text": ["\n".join(_lines(pdf))], "conf": [pdf["conf"].mean()]})
+def _found(text: str, pattern: str):
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
-    return grid_words(words, width, height).groupBy("page_id", "cell").applyInPandas(run, "page_id long, cell int, text string, conf double")
 
+def grid_codes(words: DataFrame, width: float, height: float) -> DataFrame:
+    """Serial, ident and mean confidence from the top of each cell."""
+    seen = _cell_codes(grid_words(words, width, height), width, height, 0.22)
+    serial = F.coalesce("near", _found("line", "(?i)(?:^|\\s)([0-9]{1,4})(?=\\s|[A-Z])"))
+    return seen.select("page_id", "cell", serial.alias("serial"), F.upper(_found("line", "(?i)\\b([A-Z]{3}[0-9]{7})\\b")).alias("ident"), "conf")
 
-def layout_segments(words: DataFrame, width: float) -> DataFrame:
-    """Union box of each name-label segment of a page column, from its label's line to the next one's."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0"])
-        label = pdf["text"].str.contains(NAME, regex=True, case=False)
-        out = []
-        for _, part in pdf.groupby(label.cumsum()):
-            if label[part.index[0]]:
-                out.append((part["page_id"].iloc[0], part["x0"].min(), part["y0"].min(), part["x1"].max(), part["y1"].max(), part["conf"].mean()))
-        return pd.DataFrame(out, columns=["page_id", "x0", "y0", "x1", "y1", "conf"])
+def grid_cards(words: DataFrame, width: float, height: float) -> DataFrame:
+    """(page_id, cell, text, confidence) of the cells that hold a name label.
 
-    c = F.greatest(F.lit(0), F.least(F.lit(2), F.floor((F.col("x0") + F.col("x1")) / 2 / (width / 3)))).cast("int")
-    return words.filter(F.trim("text") != "").withColumn("col", c).groupBy("page_id", "col").applyInPandas(run, "page_id long, x0 double, y0 double, x1 double, y1 double, conf double")
+    The text starts with a mark, then serial and ident from the cell's top fifth if they are there, then
+    the cell's lines; confidence maps each label to the rounded mean of its lines' words.
+    """
+    g = grid_words(words, width, height)
+    lines = text_lines(g, ["page_id", "cell"], 6.0)
+    named = "(?i)(?:Name|ఓటరు\\s*పేరు|نام)\\s*:"
+    cells = lines.groupBy("page_id", "cell").agg(_joined_lines(["line_no"]), F.max(F.col("text").rlike(named)).alias("_named"), _confidences()).filter("_named")
+    top = _cell_codes(g, width, height, 0.2).select("page_id", "cell", "near", F.upper(_found("line", "(?i)\\b([A-Z]{3}[0-9]{7})\\b")).alias("code"))
+    out = cells.join(top, ["page_id", "cell"], "left")
+    head = F.concat_ws("\n", F.lit("--- RECORD ---"), F.concat(F.lit("Serial Number: "), F.col("near")), F.concat(F.lit("EPIC: "), F.col("code")), F.col("text"))
+    return out.select("page_id", "cell", head.alias("text"), "confidence")
+
+
+def layout_segments(words: DataFrame, width: float, height: float) -> DataFrame:
+    """Box and confidences of each name label's segment of a page column.
+
+    A segment reaches half way to the labels above and below; the first starts 60 above its label, the
+    last ends 80 or 12 percent of the page below, within the page.
+    """
+    c = F.col
+    lines = text_lines(words.withColumn("col", _column(width)), ["page_id", "col"], 6.0)
+    down = Window.partitionBy("page_id", "col").orderBy("y")
+    names = lines.filter(c("text").rlike(LABELS["name"])).select("page_id", "col", c("y").alias("at"), ((F.lag("y").over(down) + c("y")) / 2).alias("above"), ((F.lead("y").over(down) + c("y")) / 2).alias("below"))
+    spans = names.select("page_id", "col", "at", F.coalesce("above", F.greatest(F.lit(0.0), c("at") - 60)).alias("low"), F.coalesce("below", F.least(F.lit(float(height)), c("at") + max(80.0, height * 0.12))).alias("high"))
+    inside = spans.join(lines, ["page_id", "col"]).filter((c("y") >= c("low")) & (c("y") < c("high")))
+    box = inside.groupBy("page_id", "col", "at").agg(F.min("x0").alias("x"), F.min("y0").alias("top"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("y1") - F.min("y0")).alias("height"), _confidences())
+    return box.select("page_id", "col", "at", "x", c("top").alias("y"), "width", "height", "confidence")
 
 
 def choose_layout(candidates: DataFrame) -> DataFrame:
@@ -160,10 +196,16 @@ def page_batch(cards: DataFrame) -> DataFrame:
     return cards.groupBy("expected_page").agg(F.count_if(~wrong).alias("kept"), F.count_if(wrong).alias("isolated"), F.count("*").alias("cards"))
 
 
-def page_status(cards: DataFrame) -> DataFrame:
-    """cards (page, card_index, state) -> the page's state and its cards' states in order."""
-    g = cards.groupBy("page").agg(F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "review").alias("review"), F.array_sort(F.collect_list(F.struct("card_index", "state"))).alias("cards"))
-    return g.select("page", F.when(F.col("failed") > 0, "requires_review").when(F.col("review") > 0, "completed_with_warnings").otherwise("completed").alias("status"), F.array_join(F.transform("cards", lambda c: c["state"]), ",").alias("states"))
+def page_status(cards: DataFrame, warned: DataFrame | None = None) -> DataFrame:
+    """cards (page, card_index, state: failed, requires_review or extracted) -> the page's state and its cards' states in order.
+
+    A failed or doubtful card sends the page to review; otherwise a page of `warned` is completed with warnings.
+    """
+    g = cards.groupBy("page").agg(F.count_if(F.col("state").isin("failed", "requires_review")).alias("doubtful"), F.array_sort(F.collect_list(F.struct("card_index", "state"))).alias("cards"))
+    if warned is not None:
+        g = g.join(warned.select("page", F.lit(True).alias("_warned")).distinct(), "page", "left")
+    quiet = F.lit(False) if warned is None else F.coalesce("_warned", F.lit(False))
+    return g.select("page", F.when(F.col("doubtful") > 0, "requires_review").when(quiet, "completed_with_warnings").otherwise("completed").alias("status"), F.array_join(F.transform("cards", lambda c: c["state"]), ",").alias("states"))
 
 
 def check_outcomes(attempts: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
-from rollcheck.operators.reconcile import serial_completeness
 from rollcheck.operators.registry import active_records, link_records, small
 
 
@@ -14,37 +13,70 @@ def _blank(name: str) -> Column:
     return F.col(name).isNull() | (F.trim(F.col(name).cast("string")) == "")
 
 
-def quality_summary(records: DataFrame, documents: DataFrame, expectations: DataFrame, pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row of counts; each table is read once with conditional aggregates."""
-    active = link_records(active_records(records, documents), expectations)
-    live = documents.filter("active_version").select("doc_id")
-    slots = expectations.agg(F.sum("expected_total").alias("expected_slots"))
-    source = active.agg(
+FIELDS = ("name", "relation", "house", "age", "ident")
+
+
+def quality_summary(records: DataFrame, documents: DataFrame, expectations: DataFrame, pages: DataFrame, issues: DataFrame, part: int | None = None, edition: str | None = None) -> DataFrame:
+    """One row of 23 counts for all parts or one, all editions or one.
+
+    Serial figures are over the slots' canonical records where no edition is given, over the edition's
+    source records where one is. Records are read and linked once, grouped by slot for both.
+    """
+    if edition is not None and edition not in ("en", "te", "ur"):
+        raise ValueError(f"unsupported edition: {edition}")
+    live = documents.filter("active_version").select("doc_id", "part_number", F.col("lang").alias("_edition"))
+    if part is not None:
+        live, expectations, records = live.filter(F.col("part_number") == part), expectations.filter(F.col("part_number") == part), records.filter(F.col("part_number") == part)
+    linked = link_records(records.join(small(live.select("doc_id", "_edition")), "doc_id"), expectations)
+    mine = F.lit(True) if edition is None else F.col("_edition") == edition
+    source = linked.filter(mine)
+    live = live if edition is None else live.filter(F.col("_edition") == edition)
+    slots = expectations.agg(F.coalesce(F.sum("expected_total"), F.lit(0)).cast("long").alias("expected_slots"), F.coalesce(F.sum(F.col("serial_end") - F.col("serial_start") + 1), F.lit(0)).cast("long").alias("active_slots"))
+    own = (F.col("lang") == "en") & F.col("slot_serial").isNotNull()
+    # one group a serial: its records, those of the edition, and its only English record's state
+    serials = linked.groupBy("part_number", X.parse_serial(F.col("serial_number")).alias("n")).agg(
+        F.count_if(mine).alias("mine"),
+        F.count_if(mine & F.col("slot_serial").isNotNull()).alias("met"),
+        F.count_if(own).alias("own"),
+        F.max(F.when(own, F.col("verification_status"))).alias("state"),
+    )
+    alone = F.col("own") == 1
+    figures = serials.agg(
+        F.count_if(alone).alias("canonical"),
+        F.count_if(alone & (F.col("state") == "verified")).alias("verified_slots"),
+        F.count_if(F.col("met") > 0).alias("met"),
+        F.count_if((F.col("mine") > 1) & F.col("n").isNotNull()).alias("twice"),
+        F.coalesce(F.sum(F.col("mine") - F.col("met")), F.lit(0)).alias("outside"),
+    )
+    serial = slots.crossJoin(figures).select(
+        "expected_slots",
+        "active_slots",
+        (F.col("active_slots") - (F.col("canonical") if edition is None else F.col("met"))).alias("missing_serials"),
+        (F.lit(0).cast("long") if edition is None else F.col("twice")).alias("duplicate_serial_groups"),
+        (F.lit(0).cast("long") if edition is None else F.col("outside")).alias("unexpected_serials"),
+        "verified_slots",
+        (F.col("active_slots") - F.col("verified_slots")).alias("unverified_slots"),
+    )
+    names = {"name": "name", "relation": "relation_name", "house": "house", "age": "age", "ident": "ident"}
+    counted = source.agg(
         F.count("*").alias("source_records"),
         F.count_if(F.col("slot_serial").isNotNull()).alias("linked_records"),
         F.count_if(F.col("slot_serial").isNull()).alias("reconciliation_conflicts"),
-        *[F.count_if(_blank(c)).alias(f"null_{c}") for c in ("house", "age", "ident", "gender")],
-    )
-    serial = serial_completeness(active, expectations).agg(
-        F.count_if(F.col("state") == "missing").alias("missing_serials"),
-        F.count_if((F.col("occurrences") > 1) & F.col("serial_no").isNotNull()).alias("duplicate_serial_groups"),
-        F.coalesce(F.sum(F.when(F.col("state") == "unexpected", F.col("occurrences"))), F.lit(0)).alias("unexpected_serials"),
+        *[F.count_if(_blank(names[f])).alias(f"null_{f}") for f in FIELDS],
     )
     key = F.upper(F.trim("ident"))
-    who = F.coalesce(F.concat_ws(":", F.col("part_number"), F.col("slot_serial")), F.col("record_id"))
-    who = F.when(F.col("slot_serial").isNull(), F.concat(F.lit("source:"), F.col("record_id"))).otherwise(who)
-    idents = active.filter(key != "").groupBy(key.alias("k")).agg(F.countDistinct(who).alias("n")).filter("n > 1").agg(F.count("*").alias("duplicate_ident_groups"))
-    page = pages.join(small(live), "doc_id").agg(
-        F.sum("records_detected").alias("expected_cards"),
-        F.sum("records_extracted").alias("extracted_cards"),
-        F.count_if(F.col("status").isin("failed", "requires_review")).alias("failed_pages"),
+    who = F.when(F.col("slot_serial").isNull(), F.concat(F.lit("source:"), F.col("record_id"))).otherwise(F.concat_ws(":", F.col("part_number"), F.col("slot_serial")))
+    idents = source.filter(key != "").groupBy(key.alias("k")).agg(F.min(who).alias("x"), F.max(who).alias("y")).agg(F.count_if(F.col("x") < F.col("y")).alias("duplicate_ident_groups"))
+    page = pages.join(small(live.select("doc_id")), "doc_id").agg(
+        F.coalesce(F.sum("records_detected"), F.lit(0)).alias("expected_cards"),
+        F.coalesce(F.sum("records_extracted"), F.lit(0)).alias("extracted_cards"),
+        F.count_if(F.col("status").isin("failed", "requires_review") | F.col("error_type").isNotNull()).alias("failed_pages"),
         F.count_if(F.col("records_detected") > F.col("records_extracted")).alias("partial_pages"),
     )
-    issue = issues.filter("status = 'open'").join(small(live), "doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_issues") for s in ("critical", "needs_review", "informational")])
-    out = slots
-    for one in (source, serial, idents, page, issue):  # each is one row
-        out = out.crossJoin(one)
-    return out
+    issue = issues.filter("status = 'open'").join(small(live.select("doc_id")), "doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}_issues") for s in ("critical", "needs_review", "informational")])
+    for one in (counted, idents, page, issue):  # each is one row
+        serial = serial.crossJoin(one)
+    return serial
 
 
 def quality_analytics(summary: DataFrame) -> DataFrame:
@@ -65,7 +97,7 @@ def quality_analytics(summary: DataFrame) -> DataFrame:
         X.percent(c("linked_records"), c("source_records")).alias("linked_pct"),
         X.percent(c("extracted_cards"), c("expected_cards")).alias("extracted_pct"),
         *[X.percent(c(f"{s}_issues"), issues).alias(f"{s}_pct") for s in ("critical", "needs_review", "informational")],
-        *[X.percent(c(f"null_{f}"), c("source_records")).alias(f"missing_{f}_pct") for f in ("house", "age", "ident", "gender")],
+        *[X.percent(c(f"null_{f}"), c("source_records")).alias(f"missing_{f}_pct") for f in FIELDS],
         F.array_join(blockers, ",").alias("blockers"),
     )
 
@@ -78,15 +110,17 @@ def document_integrity(records: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("declared", F.lit(0)).alias("declared")).withColumn("agrees", F.col("stored") == F.col("declared"))
 
 
-def duplicate_marking(records: DataFrame) -> DataFrame:
-    """(record_id, probable_duplicate): equal ident, or equal house, age and gender, within a document."""
-    ident = X.ident_key(F.col("ident"))
-    house = X.house_key(F.col("house"))
-    print_ = F.when(house.isNotNull(), F.concat_ws("|", house, F.col("age"), F.col("gender")))
-    keyed = records.select("record_id", "doc_id", ident.alias("i"), print_.alias("p"))
+def duplicate_marking(records: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(record_id, probable_duplicate): within a document an equal ident, or equal name, relation's name, house and age.
+
+    The second needs a name and a house; all are compared in normal form.
+    """
+    name, house = X.norm_text(F.col("name"), ascii_only), X.norm_house(F.col("house"), ascii_only)
+    person = F.when((name != "") & (house != ""), F.concat_ws("|", name, X.norm_text(F.col("relation_name"), ascii_only), house, F.coalesce(F.col("age").cast("string"), F.lit(""))))
+    keyed = records.select("record_id", "doc_id", F.nullif("ident", F.lit("")).alias("i"), person.alias("p"))
     by_ident = keyed.filter("i is not null").groupBy("doc_id", "i").agg(F.count("*").alias("n_i"))
-    by_print = keyed.filter("p is not null").groupBy("doc_id", "p").agg(F.count("*").alias("n_p"))
-    joined = keyed.join(by_ident, ["doc_id", "i"], "left").join(by_print, ["doc_id", "p"], "left")
+    by_person = keyed.filter("p is not null").groupBy("doc_id", "p").agg(F.count("*").alias("n_p"))
+    joined = keyed.join(by_ident, ["doc_id", "i"], "left").join(by_person, ["doc_id", "p"], "left")
     return joined.select("record_id", ((F.coalesce("n_i", F.lit(0)) > 1) | (F.coalesce("n_p", F.lit(0)) > 1)).alias("probable_duplicate"))
 
 
@@ -107,24 +141,45 @@ def page_sequence(pages: DataFrame) -> DataFrame:
     return seen.withColumn("issue", kind).filter("issue is not null").select("doc_id", "page", "printed_page", "so_far", "issue")
 
 
-def document_rollup(pages: DataFrame) -> DataFrame:
-    """Per document: pages by state, records, and the document's own state."""
-    out = pages.groupBy("doc_id").agg(*[F.count_if(F.col("status") == s).alias(f"{s}_pages") for s in ("processed", "requires_review", "failed")], F.sum("records_extracted").alias("records"), F.count("*").alias("pages"))
-    state = F.when(F.col("processed_pages") + F.col("requires_review_pages") == 0, "interrupted").when(F.col("failed_pages") + F.col("requires_review_pages") > 0, "completed_with_warnings").otherwise("completed")
-    return out.withColumn("state", state)
-
+def document_rollup(documents: DataFrame, pages: DataFrame, records: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per document: pages processed and for review, records, voted edition, and the document's state.
 
-def page_integrity(pages: DataFrame, documents: DataFrame, most: int = 30) -> DataFrame:
-    """Violations of page rules: unknown document, page below 1, too many records, more extracted than detected."""
-    known = pages.join(documents.select("doc_id", F.lit(True).alias("_known")), "doc_id", "left")
-    reason = F.when(F.col("_known").isNull(), "unknown_document").when(F.col("page") < 1, "page_outside_document").when(F.col("records_detected") > most, "too_many_records").when(F.col("records_extracted") > F.col("records_detected"), "extracted_over_detected")
+    Interrupted if a page's persistence failed; with warnings if a page or record needs review, a
+    serial issue (issues: doc_id, one row each) stands, or the records differ from the expected total.
+    """
+    c = F.col
+    zero = lambda name: F.coalesce(c(name), F.lit(0).cast("long"))
+    per = pages.groupBy("doc_id").agg(F.count_if(c("status").isin("processed", "requires_review")).alias("processed_pages"), F.count_if(c("status") == "requires_review").alias("review_pages"), F.count_if(c("error_type") == "page_persistence_failed").alias("lost_pages"))
+    held = records.groupBy("doc_id").agg(F.count("*").alias("records"), F.count_if(c("verification_status") == "requires_review").alias("review_records"))
+    open_ = issues.groupBy("doc_id").agg(F.count("*").alias("serial_issues"))
+    out = documents.select("doc_id", "expected_total").join(per, "doc_id", "left").join(held, "doc_id", "left").join(open_, "doc_id", "left").join(edition_vote(pages, documents).select("doc_id", "lang"), "doc_id")
+    out = out.select("doc_id", "lang", "expected_total", *[zero(n).alias(n) for n in ("processed_pages", "review_pages", "lost_pages", "records", "review_records", "serial_issues")])
+    differs = F.coalesce(c("records") != c("expected_total"), F.lit(False))
+    warned = (c("review_pages") > 0) | (c("review_records") > 0) | (c("serial_issues") > 0) | differs
+    return out.withColumn("state", F.when(c("lost_pages") > 0, "interrupted").when(warned, "completed_with_warnings").otherwise("completed"))
+
+
+def page_integrity(pages: DataFrame, documents: DataFrame, runs: DataFrame | None = None, most: int = 30) -> DataFrame:
+    """Violations of page rules, the first that holds.
+
+    Unknown document, page outside 1 .. pages, a run (run_id) of another document, more records detected
+    than a page holds, more extracted than detected, more for review than extracted.
+    """
+    c = F.col
+    known = pages.join(small(documents.select("doc_id", F.col("pages").alias("_pages"))), "doc_id", "left")
+    reason = F.when(c("_pages").isNull(), "unknown_document").when(~c("page").between(1, c("_pages")), "page_outside_document")
+    if runs is not None:
+        known = known.join(runs.select("run_id", c("doc_id").alias("_run_doc")), "run_id", "left")
+        reason = reason.when(c("run_id").isNotNull() & ~c("doc_id").eqNullSafe(c("_run_doc")), "run_of_other_document")
+    reason = reason.when(~c("records_detected").between(0, most), "too_many_records").when(~c("records_extracted").between(0, c("records_detected")), "extracted_over_detected").when(~c("records_review").between(0, c("records_extracted")), "review_over_extracted")
     return known.withColumn("violation", reason).filter("violation is not null").select("doc_id", "page", "violation")
 
 
-def edition_vote(records: DataFrame) -> DataFrame:
-    """The edition most of a document's records have; ties go to the smaller name."""
-    n = records.groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
-    return n.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("n"), "lang")).alias("lang"), F.max("n").alias("votes"))
+def edition_vote(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, lang, votes): the language most pages were found in, on ties the one met first; else the declared edition."""
+    n = pages.filter("detected_language is not null").groupBy("doc_id", "detected_language").agg(F.count("*").alias("n"), F.min("page").alias("first"))
+    best = n.groupBy("doc_id").agg(F.max_by("detected_language", F.struct("n", -F.col("first"))).alias("_voted"), F.max("n").alias("_votes"))
+    return documents.select("doc_id", F.col("lang").alias("_declared")).join(best, "doc_id", "left").select("doc_id", F.coalesce("_voted", "_declared").alias("lang"), F.coalesce("_votes", F.lit(0).cast("long")).alias("votes"))
 
 
 AGES = ("18_25", "26_35", "36_45", "46_60", "61_75", "76_plus", "unknown_invalid")
@@ -200,3 +255,50 @@ def has_comparable_revision(documents: DataFrame) -> DataFrame:
 def dashboard_counts(records: DataFrame) -> DataFrame:
     """Older age bands with genders, over all records."""
     return records.groupBy(X.age_band(F.col("age")).alias("age_band")).agg(F.count("*").alias("records"), F.count_if(F.lower(F.trim("gender")).startswith("m")).alias("m"), F.count_if(F.lower(F.trim("gender")).startswith("f")).alias("f"))
+
+
+def dashboard_filter(records: DataFrame, documents: DataFrame, part: int | None = None, edition: str | None = None, document: int | None = None, status: str | None = None, gender: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Records of known documents by the filters that are given; gender is a prefix, an age bound leaves out unknown ages."""
+    c = F.col
+    for value, keep in (
+        (part, c("part_number") == part),
+        (edition, c("lang") == edition),
+        (document, c("doc_id") == document),
+        (status, c("verification_status") == status),
+        (low, c("age") >= low if low is not None else None),
+        (high, c("age") <= high if high is not None else None),
+    ):
+        if value is not None:
+            records = records.filter(keep)
+    if gender:
+        records = records.filter(F.lower(F.trim("gender")).startswith(gender.lower()))
+    return records.join(documents.select("doc_id"), "doc_id", "left_semi")
+
+
+def house_filter(groups: DataFrame, text: str) -> DataFrame:
+    """House groups whose key holds the text in key form; a blank text keeps all."""
+    key = "".join(text.split()).lower()
+    return groups.filter(F.col("house_key").contains(key)) if key else groups
+
+
+def report_scope(matrix: DataFrame, part: int | None = None, edition: str | None = None) -> DataFrame:
+    """Rows of a part and edition matrix for a report."""
+    matrix = matrix if part is None else matrix.filter(F.col("part_number") == part)
+    return matrix if edition is None else matrix.filter(F.col("lang") == edition)
+
+
+def coverage_floor(coverage: DataFrame, summary: DataFrame) -> DataFrame:
+    """One row: the least linked share of all editions, in percent, and the missing fields of all records."""
+    share = coverage.agg(F.min(X.percent(F.col("linked_slots"), F.col("expected_slots"))).alias("least_pct"))
+    missing = sum((F.col(f"null_{f}") for f in FIELDS), F.lit(0).cast("long"))
+    return share.crossJoin(summary.select(missing.alias("missing_fields")))  # one row each
+
+
+def open_issue_slots(issues: DataFrame, linked: DataFrame) -> DataFrame:
+    """Slots, each once, of which some record has an open issue."""
+    return linked.filter("slot_serial is not null").join(issues.filter("status = 'open'").select("record_id"), "record_id", "left_semi").select("part_number", "slot_serial").distinct()
+
+
+def recent_rows(ledger: DataFrame, at: str, key: str, most: int = 10) -> DataFrame:
+    """The latest rows of a ledger, which is what its page shows."""
+    return ledger.orderBy(F.col(at).desc(), F.col(key).desc()).limit(most)

@@ -11,9 +11,9 @@ from rollcheck.operators.registry import expected_slots, link_records, small
 FIELDS = ("ident", "house", "age", "gender")
 
 
-def _scope(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Active records with comparable fields and their slot."""
-    active = records.join(small(documents.filter("active_version").select("doc_id")), "doc_id").filter(F.col("lang").isin("en", "te"))
+def _scope(records: DataFrame, documents: DataFrame, expectations: DataFrame, editions: tuple[str, ...] = ("en", "te")) -> DataFrame:
+    """Active records of some editions with comparable fields and their slot."""
+    active = records.join(small(documents.filter("active_version").select("doc_id")), "doc_id").filter(F.col("lang").isin(*editions))
     return link_records(active, expectations).select(
         "record_id",
         "part_number",
@@ -111,7 +111,7 @@ def totals(summary: DataFrame) -> DataFrame:
 
 def edition_coverage(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
     """Per edition: expected slots, source records, linked slots, unlinked records, slots without one."""
-    scope = _scope(records, documents, expectations)
+    scope = _scope(records, documents, expectations, ("en", "te", "ur"))
     per = scope.groupBy("lang").agg(F.count("*").alias("source_records"), F.countDistinct(F.when(F.col("slot_serial").isNotNull(), F.struct("part_number", "slot_serial"))).alias("linked_slots"), F.count_if(F.col("slot_serial").isNull()).alias("unlinked_records"))
     total = expectations.agg(F.sum("expected_total").alias("expected_slots"))
     editions = total.withColumn("lang", F.explode(F.array(*map(F.lit, ("en", "te", "ur")))))  # one row a literal edition

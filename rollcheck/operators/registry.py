@@ -32,17 +32,22 @@ def link_records(records: DataFrame, expectations: DataFrame) -> DataFrame:
     return joined.withColumn("slot_serial", F.when(F.col("_part").isNotNull(), n)).drop("_part", "serial_start", "serial_end")
 
 
-def quarantine(records: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Adds quarantine_reason: why a record's serial is not an expected slot's; null if it is."""
+def quarantine(records: DataFrame, expectations: DataFrame, legacy: Column | None = None) -> DataFrame:
+    """Adds quarantine_reason: why a record's serial is not an expected slot's; null if it is.
+
+    Looked at in this order: no serial, one that is not digits, one that no expectation of its part
+    holds in canonical form (an unknown part has none), and rows that the caller marks as legacy.
+    """
     e = small(expectations.select(F.col("part_number").alias("_part"), "serial_start", "serial_end"))
     joined = records.join(e, F.col("part_number") == F.col("_part"), "left")
     s = F.trim("serial_number")
     reason = (
-        F.when(F.col("_part").isNull(), "legacy_orphan")
-        .when(s.isNull() | (s == ""), "missing_serial")
+        F.when(s.isNull(), "missing_serial")
         .when(~s.rlike("^[0-9]+$"), "non_numeric_serial")
         .when(~X.is_canonical_serial(F.col("serial_number"), F.col("serial_start"), F.col("serial_end")), "unexpected_or_noncanonical_serial")
     )
+    if legacy is not None:
+        reason = reason.when(legacy, "legacy_orphan")
     return joined.withColumn("quarantine_reason", reason).drop("_part", "serial_start", "serial_end")
 
 
@@ -99,10 +104,33 @@ def house_issues(records: DataFrame, issues: DataFrame) -> DataFrame:
     return bad.join(issues.filter("issue_type = 'house_number' and status = 'open'").select("record_id"), "record_id", "left_anti")
 
 
-def activate_version(documents: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds becomes_active: the newest completed document of each part and edition, by the given order."""
-    rank = F.row_number().over(Window.partitionBy("part_number", "lang").orderBy(*order))
-    return documents.withColumn("becomes_active", rank == 1)
+def activate_version(documents: DataFrame, order: list[Column], finished: tuple[str, ...] = ("completed", "completed_with_warnings")) -> DataFrame:
+    """Adds becomes_active: the first finished document of each part and edition, by the given order.
+
+    Where none is finished the active one stays, so an interrupted run never leaves an edition empty.
+    """
+    ready = F.col("processing_status").isin(*finished)
+    here = Window.partitionBy("part_number", "lang")
+    rank = F.row_number().over(here.orderBy(ready.desc(), *order))
+    return documents.withColumn("becomes_active", F.when(F.max(ready).over(here), rank == 1).otherwise(F.col("active_version")))
+
+
+def lookup_documents(documents: DataFrame, ids: DataFrame | None = None, active_only: bool = False) -> DataFrame:
+    """Documents, those of an id frame (doc_id), or the active ones; an empty id frame gives none."""
+    out = documents.filter("active_version") if active_only else documents
+    return out if ids is None else out.join(ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def slot_records(linked: DataFrame, documents: DataFrame, slots: DataFrame) -> DataFrame:
+    """Linked records of some slots (part_number, slot_serial) in active documents."""
+    return active_records(linked, documents).join(slots.select("part_number", "slot_serial"), ["part_number", "slot_serial"], "left_semi")
+
+
+def source_locator(records: DataFrame, documents: DataFrame) -> DataFrame:
+    """(record_id, filename, part_number, revision_id, page): where a record stands; the page is kept within 1 .. pages, null is the first."""
+    d = small(documents.select("doc_id", "filename", "revision_id", "pages"))
+    page = F.least(F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)), F.greatest("pages", F.lit(1)))
+    return records.select("record_id", "doc_id", "part_number", "page").join(d, "doc_id").select("record_id", "filename", "part_number", "revision_id", page.alias("page"))
 
 
 def missing_primary(linked: DataFrame, slots: DataFrame, edition: str = "en") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
+from rollcheck.operators.paging import offset_page, with_total
+from rollcheck.operators.registry import active_records
 
 
 def apply_filters(df: DataFrame, **filters) -> DataFrame:
@@ -32,31 +34,130 @@ def rank_text(name: Column, query: str, fuzzy: bool = True) -> Column:
     """struct(score, kind): exact, partial, transliteration or fuzzy match of a text; null without one."""
     left, right = X.norm_text(name), X.norm_text(F.lit(query))
     latin_l, latin_r = X.romanize(name), X.romanize(F.lit(query))
-    best = F.round(F.greatest(X.similarity(left, right), X.similarity(latin_l, latin_r)) * 100)
+    best = F.round(F.greatest(X.similarity(left, right, True), X.similarity(latin_l, latin_r, True)) * 100)  # both are in normal form
     made = lambda score, kind: F.struct(score.cast("double").alias("score"), F.lit(kind).alias("kind"))
     same = (latin_l != "") & (latin_r != "") & (latin_l.contains(latin_r) | latin_r.contains(latin_l))
     out = F.when(left == "", None).when(left == right, made(F.lit(100), "exact")).when(left.contains(right), made(F.lit(96), "partial")).when(same, made(F.lit(92), "transliteration"))
     return out.when(best >= 72, made(best, "fuzzy")) if fuzzy and len(query) >= 3 else out
 
 
-def rank_records(df: DataFrame, name_col: str, query: str, age_col: str | None = None, age: int | None = None, tolerance: int = 0) -> DataFrame:
-    """Weighted mean of name (6) and age (5) scores with the explanation; rows that miss a filter go."""
-    out = df.withColumn("_n", rank_text(F.col(name_col), query)).filter("_n is not null")
-    score, weight = F.col("_n.score") * 6, 6
-    parts = [F.struct(F.lit("Name").alias("field"), F.col("_n.score").alias("score"), F.col("_n.kind").alias("kind"))]
-    if age is not None:
-        gap = F.abs(F.col(age_col) - age)
-        out = out.filter(gap <= tolerance)
-        one = F.when(gap == 0, 100.0).otherwise(F.greatest(F.lit(85), 100 - gap * 5).cast("double"))
-        score, weight = score + one * 5, weight + 5
-        parts.append(F.struct(F.lit("Age").alias("field"), one.alias("score"), F.when(gap == 0, "exact").otherwise("partial").alias("kind")))
-    return out.withColumn("score", F.round(score / weight)).withColumn("explanation", F.array(*parts)).drop("_n")
+KINDS = ("exact", "partial", "transliteration", "fuzzy")
+WEIGHTS = {"name": 6, "father": 7, "mother": 7, "husband": 7, "house": 8, "age": 5, "gender": 4, "ident": 10, "serial": 9}
+_RELATIVES = {"father": "Father", "mother": "Mother", "husband": "Husband"}
 
 
-def blocked_fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str, least: float = 0.72) -> DataFrame:
-    """(left_id, right_id, similarity) of all pairs with a trigram similarity of at least `least`.
+def rank_records(df: DataFrame, filters: dict, fuzzy: bool = True, tolerance: int = 0) -> DataFrame:
+    """Records that meet every given filter, with score, match_type (the weakest) and explanation.
 
-    Equal texts are one row on each side until the end, so copies don't multiply. A pair at the
+    filters may hold part, edition and the keys of WEIGHTS. Names are matched exactly, in part, by
+    transliteration or nearly (see rank_text), a relative's name only under its relation; an age within the
+    tolerance; house, gender, ident and serial in normal form. The score is the weighted mean of the
+    filters' scores, 100 without any. Columns read: name, relation_type, relation_name, house, age,
+    gender, ident, serial_number, part_number, lang.
+    """
+    unknown = set(filters) - set(WEIGHTS) - {"part", "edition"}
+    if unknown:
+        raise ValueError(f"unsupported filters: {sorted(unknown)}")
+    given = {k: v for k, v in filters.items() if v not in (None, "")}
+    out = apply_filters(df, part_number=given.get("part"), lang=given.get("edition"))
+    full = lambda: F.struct(F.lit(100.0).alias("score"), F.lit("exact").alias("kind"))
+    terms: list[tuple[str, Column]] = []
+    for key in ("name", *_RELATIVES):
+        if key in given:
+            if key != "name":
+                out = out.filter(F.col("relation_type") == _RELATIVES[key])
+            terms.append((key, rank_text(F.col("name" if key == "name" else "relation_name"), str(given[key]), fuzzy)))
+    if "house" in given:
+        terms.append(("house", F.when(X.norm_house(F.col("house")) == X.norm_house(F.lit(str(given["house"]))), full())))
+    if "age" in given:
+        gap = F.abs(F.col("age") - int(given["age"]))
+        near = F.struct(F.greatest(F.lit(85.0), 100.0 - gap * 5).alias("score"), F.lit("partial").alias("kind"))
+        terms.append(("age", F.when(gap == 0, full()).when(gap <= tolerance, near)))
+    for key, column in (("gender", "gender"), ("ident", "ident"), ("serial", "serial_number")):
+        if key in given:
+            terms.append((key, F.when(X.norm_text(F.col(column)) == X.norm_text(F.lit(str(given[key]))), full())))
+    if not terms:
+        return out.withColumns({"score": F.lit(100.0), "match_type": F.lit("exact"), "explanation": F.array().cast("array<struct<field:string,score:double,kind:string>>")})
+    out = out.withColumns({f"_{k}": t for k, t in terms}).dropna(subset=[f"_{k}" for k, _ in terms])
+    explained = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_{k}.score").alias("score"), F.col(f"_{k}.kind").alias("kind")) for k, _ in terms])
+    score = F.round(sum((F.col(f"_{k}.score") * WEIGHTS[k] for k, _ in terms), F.lit(0.0)) / sum(WEIGHTS[k] for k, _ in terms))
+    weakest = F.greatest(F.lit(1), *[F.array_position(F.array(*map(F.lit, KINDS)), F.col(f"_{k}.kind")).cast("int") for k, _ in terms])
+    return out.withColumns({"score": score, "match_type": F.element_at(F.array(*map(F.lit, KINDS)), weakest), "explanation": explained}).drop(*[f"_{k}" for k, _ in terms])
+
+
+RELATIONS = ("Father", "Mother", "Husband", "Guardian", "Other", "Unknown")
+
+
+def _tenths(value: Column, query: str) -> Column:
+    """Score of a text in tenths: 1000 equal, 960 holding the query, else trigram similarity, half up in whole numbers."""
+    q = F.lit(query)
+    x, y = X.trigrams(value), X.trigrams(q)
+    k, m = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+    near = F.when(m > 0, F.floor((2000 * k + m) / (2 * m))).otherwise(0)
+    return F.when(value == q, 1000).when(value.contains(q), 960).otherwise(near).cast("int")
+
+
+def search_records(
+    records: DataFrame,
+    documents: DataFrame,
+    part: int | None = None,
+    edition: str = "en",
+    name: str | None = None,
+    relation_name: str | None = None,
+    relation_type: str | None = None,
+    house: str | None = None,
+    age: int | None = None,
+    gender: str | None = None,
+    ident: str | None = None,
+    serial: str | None = None,
+    fuzzy: bool = True,
+) -> DataFrame:
+    """Records of active documents that meet the filters, with match_score (null without a text filter); see search_page.
+
+    Name and relation weigh 6, house 8; each given text must score 72, or 96 without fuzzy. Records are
+    searched with their corrections applied (see review.apply_corrections).
+    """
+    if edition not in ("en", "te", "ur"):
+        raise ValueError(f"unsupported edition: {edition}")
+    if relation_type is not None and relation_type not in RELATIONS:
+        raise ValueError(f"unsupported relation type: {relation_type}")
+    if age is not None and not 18 <= age <= 125:
+        raise ValueError(f"unsupported age: {age}")
+    blank = lambda v: v is None or not v.strip()
+    out = apply_filters(active_records(records, documents), part_number=part, lang=edition, relation_type=relation_type, age=age)
+    for column, value, form in (("gender", gender, F.lower), ("ident", ident, F.upper), ("serial_number", serial, lambda c: c)):
+        if not blank(value):
+            out = out.filter(form(F.trim(column)) == form(F.lit(value.strip())))
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    texts = []
+    if not blank(name):
+        texts.append((6, _tenths(low("name"), name.strip().lower())))
+    if not blank(relation_name):
+        texts.append((6, _tenths(low("relation_name"), relation_name.strip().lower())))
+    if not blank(house):
+        texts.append((8, _tenths(F.regexp_replace(low("house"), "\\s+", ""), "".join(house.split()).lower())))
+    if not texts:
+        return out.withColumn("match_score", F.lit(None).cast("decimal(18,1)"))
+    out = out.withColumns({f"_t{i}": t for i, (_, t) in enumerate(texts)})
+    for i in range(len(texts)):
+        out = out.filter(F.col(f"_t{i}") >= (720 if fuzzy else 960))
+    weight = sum(w for w, _ in texts)
+    total = sum((F.col(f"_t{i}") * w for i, (w, _) in enumerate(texts)), F.lit(0))
+    tenths = F.floor((2 * total + weight) / (2 * weight))
+    return out.withColumn("match_score", (tenths.cast("decimal(17,0)") / 10).cast("decimal(18,1)")).drop(*[f"_t{i}" for i in range(len(texts))])
+
+
+def search_page(found: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """A page of search_records in rank order, 1 to 100 rows, with the total of all that was found."""
+    number = F.when(F.col("serial_number").rlike("^[0-9]+$"), F.col("serial_number").try_cast("int"))
+    order = [F.col("match_score").desc_nulls_last(), F.col("part_number"), number.asc_nulls_last(), F.col("serial_number"), F.col("record_id")]
+    return with_total(offset_page(found, order, min(max(limit, 1), 100), max(offset, 0)), found)
+
+
+def blocked_fuzzy_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, least: float = 0.72) -> DataFrame:
+    """(left_text, right_text, similarity) of all different texts with a trigram similarity of at least `least`.
+
+    Equal texts are one row on each side, so copies don't multiply; text_members names the rows behind them. A pair at the
     threshold must share one of its rarest trigrams: with n trigrams at most n - ceil(least * n) can
     miss, so each side is sent by its n - ceil(least * n) + 1 rarest only, and common trigrams seldom
     meet. Rarity is counted over both sides; no trigram is dropped.
@@ -73,5 +174,10 @@ def blocked_fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, left_tex
     p, q = rare(a).select("x", F.col("t").alias("lt"), F.col("m").alias("lm")), rare(b).select("x", F.col("t").alias("rt"), F.col("m").alias("rm"))
     met = p.join(q, "x").filter((F.least("lm", "rm") >= F.ceil(F.greatest("lm", "rm") * least))).select("lt", "rt").distinct()
     close = met.withColumn("similarity", X.trigram_similarity(F.col("lt"), F.col("rt"))).filter(F.col("similarity") >= least)
-    l_ids, r_ids = left.select(F.col(left_id).alias("left_id"), F.col(left_text).alias("lt")), right.select(F.col(right_id).alias("right_id"), F.col(right_text).alias("rt"))
-    return close.join(l_ids, "lt").join(r_ids, "rt").select("left_id", "right_id", "similarity")
+    return close.select(F.col("lt").alias("left_text"), F.col("rt").alias("right_text"), "similarity")
+
+
+def text_members(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, side: str) -> DataFrame:
+    """(text, id): which rows stand behind the texts of one side of blocked_fuzzy_join's pairs."""
+    rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    return rows.join(pairs.select(F.col(f"{side}_text").alias("text")), "text", "left_semi")

@@ -76,21 +76,24 @@ scalar("b16_similarity", "part", "p_partkey", lambda: F.round(X.similarity(c("p_
 _tri = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)+2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _trisim = lambda a, b: f"round(len(list_intersect({_tri(a)}, {_tri(b)}))::double / len(list_distinct(list_concat({_tri(a)}, {_tri(b)}))), 6)"
 scalar("b17_trigram_similarity", "part", "p_partkey", lambda: F.round(X.trigram_similarity(c("p_name"), c("p_type")), 6), _trisim("p_name", "p_type"))
-scalar("b18_edit_distance", "part", "p_partkey", lambda: F.levenshtein("p_name", "p_type"), "levenshtein(p_name, p_type)::int")
+scalar("b18_edit_distance", "part", "p_partkey", lambda: F.concat_ws(":", F.levenshtein("p_name", "p_type"), X.token_distance(c("p_name"), c("p_name"))), "levenshtein(p_name, p_type)::int || ':0'")
 scalar("b19_edition_from_filename", "part", "p_partkey", lambda: X.edition_from_filename(F.concat(F.lit("roll-"), F.when(c("p_partkey") % 3 == 0, "TEL").when(c("p_partkey") % 3 == 1, "Urdu").otherwise("xx"), F.lit("-227.pdf"))), "case p_partkey%3 when 0 then 'te' when 1 then 'ur' else 'en' end")
 scalar("b20_part_from_text", "part", "p_partkey", lambda: X.part_from_text(F.concat(F.lit("Part No. 227 and part "), (227 + c("p_partkey") % 3).cast("string")), F.lit("x.pdf"), [227, 228]), "case when p_partkey%3 = 1 then null else 227 end")
 scalar("b21_revision_from_filename", "part", "p_partkey", lambda: X.revision_from_filename(F.concat(F.lit("roll_"), (2020 + c("p_partkey") % 5).cast("string"), F.lit(".pdf"))), "cast(2020 + p_partkey % 5 as varchar)")
-scalar("b22_detect_language", "documents", "doc_id", lambda: X.detect_language(c("text"))["language"], "'en'")
-scalar("b23_expected_total", "documents", "doc_id", lambda: X.expected_total(F.concat(F.substring("text", 1, 20), F.lit(" Total Electors : "), (c("doc_id") + 10).cast("string"))), "cast(substr(cast(doc_id+10 as varchar), 1, 5) as int)")
+_scripts = lambda: F.concat(F.when(c("doc_id") % 3 == 0, F.repeat(F.lit("రామ"), F.length("text"))).when(c("doc_id") % 3 == 1, F.repeat(F.lit("شوہر"), F.length("text"))).otherwise(F.lit("")), F.when(c("doc_id") % 7 == 0, "12").otherwise(c("text")))
+scalar("b22_detect_language", "documents", "doc_id", lambda: X.detect_language(_scripts())["language"], "case when doc_id%3=0 and length(text) > 1 then 'te' when doc_id%3=1 and length(text) > 0 then 'ur' else 'en' end")
+scalar("b23_expected_total", "documents", "doc_id", lambda: X.expected_total(F.concat(c("text"), F.lit(" Total Electors : "), (c("doc_id") + 10).cast("string"))), "cast(coalesce(nullif(regexp_extract(text || ' Total Electors : ' || (doc_id+10), '" + X.TOTALS[0] + "', 1), ''), regexp_extract(text, '" + X.TOTALS[1] + "', 1)) as int)")
 scalar("b24_printed_page", "part", "p_partkey", lambda: X.printed_page(F.concat(F.lit("Total Pages 30 - Page : "), c("p_partkey").cast("string"))), "nullif(p_partkey, 0)::int")
-scalar("b25_page_type", "pages", "doc_id", lambda: X.page_type(c("status"), c("records_detected"), c("page")), "case when records_detected > 0 then 'voter' else 'unknown' end")
+_page_text = "case page%5 when 0 then 'Electors Summary' when 1 then 'a map of it' when 2 then 'Draft  Roll 2020' else status end"
+scalar("b25_page_type", "pages", "doc_id", lambda: X.page_type(F.expr(_page_text), F.when(c("page") % 2 == 0, c("records_detected")).otherwise(0), c("page")), "case when page%2=0 and records_detected > 0 then 'voter' when page%5=0 then 'summary' when page%5=1 then 'map' when page%5=2 and page<=3 then 'cover' else 'unknown' end")
 scalar("b26_record_labels", "documents", "doc_id", lambda: X.count_record_labels(F.concat(F.lit("1. Name: x\n"), c("text"))), "1 + len(regexp_extract_all(text, '(?im)(?:^|\\n)\\s*(?:\\[?\\d{1,4}\\]?[.)-]?\\s*)?(?:Name)\\s*:'))::int")
-scalar("b27_relation_type", "part", "p_partkey", lambda: X.relation_type(F.when(c("p_partkey") % 2 == 0, " FATHER ").otherwise("x")), "case when p_partkey%2=0 then 'Father' else 'Unknown' end")
+scalar("b27_relation_type", "records", "record_id", lambda: X.relation_type(F.concat(F.lit(" "), F.upper("relation_type"), F.lit(" "))), "relation_type")
 scalar("b28_percent", "pages", "doc_id", lambda: X.percent(c("records_extracted"), c("records_detected")), "case when records_detected > 0 then round(greatest(0, least(100, records_extracted::decimal(20,4)/records_detected*100)), 1) else 0 end::decimal(18,1)")
 scalar("b29_norm_search", "documents", "doc_id", lambda: X.norm_search(c("text")), "substr(regexp_replace(trim(text, ' '), '\\s+', ' ', 'g'), 1, 120)")
-scalar("b30_escape_like", "records", "record_id", lambda: X.escape_like(F.concat(c("lang"), F.lit("%_x"))), "lang || '\\%\\_x'")
+scalar("b30_escape_like", "records", "record_id", lambda: X.escape_like(F.concat_ws("%", "house", "ident", F.lit("a_b"))), "replace(replace(concat_ws('%', house, ident, 'a_b'), '%', '\\%'), '_', '\\_')")
 scalar("b31_route_query", "records", "record_id", lambda: X.route_query(F.coalesce("ident", "house", F.lit("a name"))), "case when regexp_matches(coalesce(ident, house, 'a name'), '(?i)^[A-Z]{3}[0-9]{7}$') then 'ident' when regexp_matches(coalesce(ident, house, 'a name'), '^[0-9][0-9A-Za-z/-]*$') then 'house' else 'name' end")
-scalar("b32_issue_type", "issues", "issue_id", lambda: X.issue_type(F.when(c("issue_id") % 3 == 0, "Unable to process page").when(c("issue_id") % 3 == 1, "Page sequence broken")), "case issue_id%3 when 0 then 'page_failure' when 1 then 'page_sequence' else 'low_confidence' end")
+_message = "case issue_id%7 when 0 then 'Unable to process page' when 1 then 'Page sequence broken' when 2 then 'Printed page 3 missing' when 3 then 'Language unclear' when 4 then 'Detected 31' when 5 then issue_detail end"
+scalar("b32_issue_type", "issues", "issue_id", lambda: X.issue_type(F.expr(_message)), "case issue_id%7 when 0 then 'page_failure' when 1 then 'page_sequence' when 2 then 'missing_page' when 3 then 'language' when 4 then 'malformed_record' else 'low_confidence' end")
 scalar("b35_grid_cell", "pages", "doc_id", lambda: X.grid_cell((c("page") * 30).cast("double"), (c("page") * 41 % 1000).cast("double"), F.lit(600.0), F.lit(1000.0)), "case when floor((page*41%1000 - 32.0)/94.0) between 0 and 9 then (floor((page*41%1000 - 32.0)/94.0)*3 + greatest(0, least(2, floor(page*30/200.0))))::int end")
 scalar("b37_evidence", "records", "record_id", lambda: X.evidence(c("house"), c("serial_number")), "case when house is null or serial_number is null then 'unavailable' when house=serial_number then 'match' else 'mismatch' end")
 scalar("b38_field_diff", "records", "record_id", lambda: X.differs(c("house"), c("serial_number")), "coalesce(trim(house),'') <> coalesce(trim(serial_number),'')")
@@ -111,9 +114,12 @@ def _b12(f):
     return linked.select("record_id", F.when(c("slot_serial").isNotNull(), F.concat_ws(":", "part_number", "slot_serial")).alias("v"))
 
 
-@query("b15_romanize")
+_LATIN = "case when name like 'Person%' then regexp_replace(lower(name), '\\s+', ' ', 'g') when name is null then '' else 'raama ' || substr(name, 5) end"
+
+
+@query("b15_romanize", f"select record_id, {_LATIN} as v from fx_records")
 def _b15(f):
-    return f["records"].select("record_id", X.romanize(c("gender")).alias("v"))
+    return f["records"].select("record_id", X.romanize(c("name")).alias("v"))
 
 
 @query("b33_record_id")
@@ -132,10 +138,10 @@ def _a3(f):
     return R.active_records(f["records"], f["documents_roll"]).select("record_id")
 
 
-@query("a4_compat_views", "select doc_id, part_number, lang as source_language from fx_documents")
+@query("a4_compat_views", "select 'documents' as v, doc_id, lang as x from fx_documents union all select 'records', doc_id, record_id from fx_records union all select 'pages', doc_id, status from fx_pages")
 def _a4(f):
     io.compat_views(f.spark, {"documents": f["documents_roll"], "pages": f["pages"], "records": f["records"], "issues": f["issues"]})
-    return f.spark.sql("select doc_id, part_number, source_language from compat_uploaded_documents")
+    return f.spark.sql("select 'documents' as v, doc_id, source_language as x from compat_uploaded_documents").unionByName(f["records"].select(F.lit("records").alias("v"), "doc_id", c("record_id").alias("x"))).unionByName(f["pages"].select(F.lit("pages").alias("v"), "doc_id", c("status").alias("x")))
 
 
 @query("a6_inspect_filenames", "select part_number, case when part_number%5=0 then 'part_unknown' when part_number%3=0 then 'part_conflict' end as refusal from fx_expectations")
@@ -184,9 +190,23 @@ def _c3(f):
     return f["records"].filter(c("age").between(43 - 2, 43 + 2)).select("record_id")
 
 
-@query("c4_review_category", "select issue_id from fx_issues where issue_type in ('page_failure','missing_page','page_sequence')")
+_CATEGORY = {
+    "critical": "severity='critical'",
+    "pages": "record_id is null or issue_type in ('page_failure','missing_page','malformed_record','page_sequence','card_count_mismatch','partial_page')",
+    "records": "record_id is not null",
+    "low_confidence": "issue_type='low_confidence'",
+    "serial_gaps": "issue_type in ('serial_gap','missing_serial')",
+    "house_number": "record_id is not null and (house is null or trim(house)='' or length(house)>40 or not regexp_matches(house,'[0-9]') or regexp_matches(house,'(?i)(photo|not available|elector|gender|age)') or coalesce(conf<95,false))",
+    "possible_duplicate": "issue_type in ('possible_duplicate','duplicate_serial','duplicate_ident')",
+    "language": "issue_type in ('language','language_incomplete')",
+}
+
+
+@query("c4_review_category", "with j as (select i.*, r.house, r.conf from fx_issues i left join fx_records r on r.record_id=i.record_id) " + " union all ".join(f"select '{k}' as category, issue_id from j where {w}" for k, w in _CATEGORY.items()))
 def _c4(f):
-    return f["issues"].filter(V.CATEGORIES["pages"]()).select("issue_id")
+    j = f["issues"].join(f["records"].select("record_id", "house", "conf"), "record_id", "left")
+    hit = F.array_compact(F.array(*[F.when(p(), k) for k, p in V.CATEGORIES.items()]))
+    return j.select(F.explode(hit).alias("category"), "issue_id")
 
 
 @query("c5_contains_any", "select issue_id from fx_issues where contains(lower(concat_ws(' ', issue_detail, record_id)), 'user 1')")
@@ -194,9 +214,14 @@ def _c5(f):
     return f["issues"].filter(V.contains_any("USER 1", "issue_detail", "record_id")).select("issue_id")
 
 
-@query("c9_needs_attention", "select doc_id, page from fx_pages where status='requires_review' or records_extracted < 20")
+@query("c6_dashboard_filter", "select record_id from fx_records r where lang='te' and verification_status='unverified' and starts_with(lower(trim(gender)),'f') and age between 30 and 60 and exists (select 1 from fx_documents d where d.doc_id=r.doc_id)")
+def _c6(f):
+    return Q.dashboard_filter(f["records"], f["documents_roll"], edition="te", status="unverified", gender="F", low=30, high=60).select("record_id")
+
+
+@query("c9_needs_attention", "select record_id from fx_records where verification_status='requires_review' or conf < 95")
 def _c9(f):
-    return f["pages"].filter((c("status") == "requires_review") | (c("records_extracted") < 20)).select("doc_id", "page")
+    return V.needs_attention(f["records"]).select("record_id")
 
 
 # --- joins, set operations and windows
@@ -215,11 +240,28 @@ def _d14(f):
     return R.house_peers(f["records"])
 
 
+@query("d4_open_issue_slots", f"with {_LINKED} select distinct part_number, slot_serial from linked l where slot_serial is not null and exists (select 1 from fx_issues i where i.status='open' and i.record_id=l.record_id)")
+def _d4(f):
+    return Q.open_issue_slots(f["issues"], R.link_records(f["records"], f["expectations"]))
+
+
 @query("d15_latest_row", "select doc_id, issue_id, issue_type from (select *, row_number() over (partition by doc_id order by created_at desc, issue_id desc) n from fx_issues) where n=1")
 def _d15(f):
     return V.latest_per_document(f["issues"]).select("doc_id", "issue_id", "issue_type")
 
 
+@query("d18_lookup", f"with {_LINKED} select 'document' as what, filename as v from fx_documents where active_version and doc_id in (select doc_id from fx_pages where status='failed') union all select 'record', l.record_id from linked l join fx_documents d on d.doc_id=l.doc_id and d.active_version where exists (select 1 from linked o where o.part_number=l.part_number and o.slot_serial=l.slot_serial and o.verification_status='verified')")
+def _d18(f):
+    linked = R.link_records(f["records"], f["expectations"])
+    docs = R.lookup_documents(f["documents_roll"], f["pages"].filter("status = 'failed'").select("doc_id"), True).select(F.lit("document").alias("what"), c("filename").alias("v"))
+    return docs.unionByName(R.slot_records(linked, f["documents_roll"], linked.filter("verification_status = 'verified'")).select(F.lit("record").alias("what"), c("record_id").alias("v")))
+
+
+@query("d19_source_locator", "select r.record_id, d.filename, r.part_number, d.revision_id, least(greatest(coalesce(r.page, 1), 1), greatest(d.pages, 1)) as page from fx_records r join fx_documents d on d.doc_id=r.doc_id")
+def _d19(f):
+    return R.source_locator(f["records"], f["documents_roll"])
+
+
 @query("d16_snowflake", "select r.r_name, n.n_name, count(distinct c.c_custkey) customers, count(*) orders from region r join nation n on n.n_regionkey=r.r_regionkey join customer c on c.c_nationkey=n.n_nationkey join orders o on o.o_custkey=c.c_custkey group by 1,2")
 def _d16(f):
     per = f["orders"].groupBy("o_custkey").agg(F.count("*").alias("n"))
@@ -250,7 +292,7 @@ def _f6(f):
     return Q.page_sequence(f["pages"])
 
 
-@query("f8_near_groups", f"with s as (select doc_id, ({_serial('serial_number')})::double v from fx_records where ({_serial('serial_number')}) is not null), a as (select *, case when v - lag(v) over (partition by doc_id order by v) <= 2 then 0 else 1 end x from s), b as (select *, sum(x) over (partition by doc_id order by v rows unbounded preceding) g from a) select doc_id, g::bigint as group_no, round(avg(v), 6) as mean_value, count(*) as n from b group by 1,2")
+@query("f8_near_groups", f"with s as (select doc_id, ({_serial('serial_number')})::double v from fx_records where ({_serial('serial_number')}) is not null), a as (select *, case when v - lag(v) over (partition by doc_id order by v) <= 2 then 0 else 1 end x from s), b as (select *, sum(x) over (partition by doc_id order by v, x desc rows unbounded preceding) g from a) select doc_id, g::bigint as group_no, round(avg(v), 6) as mean_value, count(*) as n from b group by 1,2")
 def _f8(f):
     values = f["records"].select("doc_id", X.parse_serial(c("serial_number")).cast("double").alias("v")).filter("v is not null")
     return P.near_groups(values, "doc_id", "v", 2)
@@ -262,9 +304,9 @@ def _r1(f):
     return R.expected_slots(f["expectations"])
 
 
-@query("r2_quarantine", f"select r.record_id, case when trim(serial_number) is null or trim(serial_number)='' then 'missing_serial' when not regexp_full_match(trim(serial_number), '[0-9]+') then 'non_numeric_serial' when not (cast(try_cast(trim(serial_number) as int) as varchar)=trim(serial_number) and try_cast(trim(serial_number) as int) between e.serial_start and e.serial_end) then 'unexpected_or_noncanonical_serial' end as quarantine_reason from fx_records r join fx_expectations e on e.part_number=r.part_number")
+@query("r2_quarantine", f"select r.record_id, case when serial_number is null then 'missing_serial' when not regexp_full_match(trim(serial_number), '[0-9]+') then 'non_numeric_serial' when not coalesce(regexp_full_match(trim(serial_number), '[0-9]{{1,9}}') and cast(try_cast(trim(serial_number) as int) as varchar)=trim(serial_number) and try_cast(trim(serial_number) as int) between e.serial_start and e.serial_end, false) then 'unexpected_or_noncanonical_serial' end as quarantine_reason from fx_records r left join fx_expectations e on e.part_number=r.part_number and e.part_number%4<>0")
 def _r2(f):
-    return R.quarantine(f["records"], f["expectations"]).select("record_id", "quarantine_reason")
+    return R.quarantine(f["records"], f["expectations"].filter("part_number % 4 <> 0")).select("record_id", "quarantine_reason")
 
 
 @query("r3_link_records", f"with {_LINKED} select record_id, slot_serial from linked")
@@ -287,9 +329,10 @@ def _r6(f):
     return R.distinct_slots_v0(f["records"])
 
 
-@query("r7_registry_invariant", "select part_number, expected_total, 500::bigint as slots, expected_total=500 as holds from fx_expectations")
+@query("r7_registry_invariant", "with s as (select part_number, count(*) n from (select part_number, unnest(generate_series(serial_start, serial_end - case when part_number%3=0 then 1 else 0 end)) x from fx_expectations) group by 1) select e.part_number, e.expected_total, s.n as slots, s.n=e.expected_total as holds from fx_expectations e join s using (part_number)")
 def _r7(f):
-    return R.registry_invariant(R.expected_slots(f["expectations"]), f["expectations"])
+    short = f["expectations"].withColumn("serial_end", c("serial_end") - F.when(c("part_number") % 3 == 0, 1).otherwise(0))
+    return R.registry_invariant(R.expected_slots(short), f["expectations"])
 
 
 @query("r8_quarantine_house", f"select record_id, case when not ({_suspicious('house')}) then house end as house, case when {_suspicious('house')} then 0.0 else conf end as conf, case when {_suspicious('house')} then 'requires_review' else 'unverified' end as verification_status from fx_records")
@@ -302,7 +345,7 @@ def _r8b(f):
     return R.house_issues(f["records"].withColumn("house", F.concat_ws(" ", "house", "gender")), f["issues"]).select("record_id", "doc_id", "issue_type")
 
 
-@query("r9_activate_version", "select doc_id, row_number() over (partition by part_number, lang order by doc_id desc)=1 as becomes_active from fx_documents")
+@query("r9_activate_version", "with d as (select *, processing_status in ('completed','completed_with_warnings') ready from fx_documents) select doc_id, case when max(ready::int) over (partition by part_number, lang)=1 then row_number() over (partition by part_number, lang order by ready desc, doc_id desc)=1 else active_version end as becomes_active from d")
 def _r9(f):
     return R.activate_version(f["documents_roll"], [c("doc_id").desc()]).select("doc_id", "becomes_active")
 
@@ -310,7 +353,7 @@ def _r9(f):
 # --- completeness and reconciliation
 _SCOPE = f"""scope as (select r.record_id, r.part_number, r.lang, r.created_at, nullif(upper(trim(r.ident)),'') ident, {_house('r.house')} house, r.age, nullif(lower(trim(r.gender)),'') gender,
  case when ({_serial('r.serial_number')}) between e.serial_start and e.serial_end then {_serial('r.serial_number')} end slot_serial
- from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number)"""
+ from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number where r.lang in ('en','te'))"""
 _ev = lambda x: f"case when en.{x} is null or te.{x} is null then 'unavailable' when en.{x}=te.{x} then 'match' else 'mismatch' end {x}_evidence"
 _PAIRED = f"""{_SCOPE}, {_SLOTS},
  counts as (select part_number, slot_serial, count(*) filter (lang='en') en_count, count(*) filter (lang='te') te_count from scope where slot_serial is not null group by 1,2),
@@ -339,7 +382,7 @@ for _name, _status, _text in (("q7_reconcile_client", C.status_client, _CLIENT),
 
 _SUMMARY = f"""with {_PAIRED_ID}, st as (select *, {_STATUS} status from paired),
  a as (select part_number, count(*) filter (en_count>0 and te_count>0) both_present, {', '.join(f"count(*) filter (status='{s}') {s}" for s in ('reconciled', 'needs_review', 'missing_en', 'duplicate_source', 'ident_conflict'))}, count(*) filter (te_count=0) missing_te from st group by 1),
- d as (select part_number, count(*) active_documents from fx_documents where active_version group by 1),
+ d as (select part_number, count(*) active_documents from fx_documents where active_version and lang in ('en','te') group by 1),
  s as (select part_number, count(*) source_records, count(*) filter (slot_serial is null) unlinked_records, count(distinct case when lang='en' then slot_serial end) en_linked_slots, count(distinct case when lang='te' then slot_serial end) te_linked_slots from scope group by 1)
  select e.part_number, e.expected_total, 'r1' as revisions, a.* exclude (part_number), d.active_documents, coalesce(s.source_records,0) source_records, coalesce(s.unlinked_records,0) unlinked_records, coalesce(s.en_linked_slots,0) en_linked_slots, coalesce(s.te_linked_slots,0) te_linked_slots
  from fx_expectations e join a using (part_number) join d using (part_number) left join s using (part_number)"""
@@ -363,7 +406,10 @@ def _q10(f):
     return C.evidence_rows(*_roll(f))
 
 
-@query("q1_edition_coverage", f"with {_SCOPE}, p as (select lang, count(*) source_records, count(distinct part_number*1000+slot_serial) linked, count(*) filter (slot_serial is null) unlinked from scope group by 1), t as (select sum(expected_total)::bigint n from fx_expectations) select l as lang, t.n as expected_slots, coalesce(source_records,0) source_records, coalesce(linked,0) linked_slots, coalesce(unlinked,0) unlinked_records, greatest(t.n - coalesce(linked,0), 0) unavailable_slots from (values ('en'),('te'),('ur')) v(l) cross join t left join p on p.lang=l")
+_SCOPE_ALL = _SCOPE.replace("in ('en','te')", "in ('en','te','ur')")
+
+
+@query("q1_edition_coverage", f"with {_SCOPE_ALL}, p as (select lang, count(*) source_records, count(distinct part_number*1000+slot_serial) linked, count(*) filter (slot_serial is null) unlinked from scope group by 1), t as (select sum(expected_total)::bigint n from fx_expectations) select l as lang, t.n as expected_slots, coalesce(source_records,0) source_records, coalesce(linked,0) linked_slots, coalesce(unlinked,0) unlinked_records, greatest(t.n - coalesce(linked,0), 0) unavailable_slots from (values ('en'),('te'),('ur')) v(l) cross join t left join p on p.lang=l")
 def _q1(f):
     return C.edition_coverage(*_roll(f))
 
@@ -399,18 +445,27 @@ def _q13(f):
 
 # --- quality
 _ACTIVE = f"active as (select r.*, {_serial('r.serial_number')} n, e.serial_start, e.serial_end from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number)"
-_Q4 = f"""with {_ACTIVE}, {_SLOTS}, sc as (select part_number, n, count(*) k from active where n is not null group by 1,2)
- select (select sum(expected_total)::bigint from fx_expectations) expected_slots,
- count(*) source_records, count(*) filter (n between serial_start and serial_end) linked_records, count(*) filter (not coalesce(n between serial_start and serial_end, false)) reconciliation_conflicts,
- count(*) filter (house is null or trim(house)='') null_house, count(*) filter (age is null) null_age, count(*) filter (ident is null or trim(ident)='') null_ident, count(*) filter (gender is null or trim(gender)='') null_gender,
- (select count(*) from slots s left join sc on sc.part_number=s.part_number and sc.n=s.serial_no where sc.k is null) missing_serials,
- (select count(*) from sc where k>1) duplicate_serial_groups,
- count(*) filter (not coalesce(n between serial_start and serial_end, false)) unexpected_serials,
- (select count(*) from (select upper(trim(ident)) from active where trim(ident)<>'' group by 1 having count(distinct case when n between serial_start and serial_end then part_number || ':' || n else 'source:' || record_id end)>1)) duplicate_ident_groups,
- (select sum(records_detected)::bigint from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version) expected_cards, (select sum(records_extracted)::bigint from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version) extracted_cards,
- (select count(*) from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version where status in ('failed','requires_review')) failed_pages, (select count(*) from fx_pages p join fx_documents d on d.doc_id=p.doc_id and active_version where records_detected>records_extracted) partial_pages,
- {', '.join(f"(select count(*) from fx_issues i join fx_documents d on d.doc_id=i.doc_id and active_version where i.status='open' and severity='{s}') {s}_issues" for s in ('critical', 'needs_review', 'informational'))}
- from active"""
+def _q4_sql(edition: str | None) -> str:
+    mine = f"d.lang='{edition}'" if edition else "true"
+    docs = f"join fx_documents d on d.doc_id=p.doc_id and d.active_version and {mine}"
+    n = _serial("r.serial_number")
+    return f"""with {_SLOTS}, act as (select r.*, {n} n, {mine} mine, case when ({n}) between e.serial_start and e.serial_end then {n} end slot from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version left join fx_expectations e on e.part_number=r.part_number),
+ canon as (select part_number, slot, min(verification_status) state from act where lang='en' and slot is not null group by 1,2 having count(*)=1),
+ sc as (select part_number, n, count(*) k from act where mine and n is not null group by 1,2), src as (select * from act where mine)
+ select (select sum(expected_total)::bigint from fx_expectations) expected_slots, (select count(*) from slots) active_slots,
+ {"(select count(*) from slots s left join sc on sc.part_number=s.part_number and sc.n=s.serial_no where sc.k is null)" if edition else "(select count(*) from slots) - (select count(*) from canon)"} missing_serials,
+ {"(select count(*) from sc where k>1)" if edition else "0::bigint"} duplicate_serial_groups, {"count(*) filter (slot is null)" if edition else "0::bigint"} unexpected_serials,
+ (select count(*) from canon where state='verified') verified_slots, (select count(*) from slots) - (select count(*) from canon where state='verified') unverified_slots,
+ count(*) source_records, count(slot) linked_records, count(*) filter (slot is null) reconciliation_conflicts,
+ {', '.join(f"count(*) filter ({x} is null or trim({x}::varchar)='') null_{y}" for x, y in (("name", "name"), ("relation_name", "relation"), ("house", "house"), ("age", "age"), ("ident", "ident")))},
+ (select count(*) from (select upper(trim(ident)) from src where trim(ident)<>'' group by 1 having count(distinct case when slot is not null then part_number || ':' || slot else 'source:' || record_id end)>1)) duplicate_ident_groups,
+ (select coalesce(sum(records_detected),0)::bigint from fx_pages p {docs}) expected_cards, (select coalesce(sum(records_extracted),0)::bigint from fx_pages p {docs}) extracted_cards,
+ (select count(*) from fx_pages p {docs} where status in ('failed','requires_review') or error_type is not null) failed_pages, (select count(*) from fx_pages p {docs} where records_detected>records_extracted) partial_pages,
+ {', '.join(f"(select count(*) from fx_issues p {docs} where p.status='open' and severity='{x}') {x}_issues" for x in ('critical', 'needs_review', 'informational'))}
+ from src"""
+
+
+_Q4 = _q4_sql(None)
 
 
 @query("q4_quality_summary", _Q4)
@@ -418,11 +473,21 @@ def _q4(f):
     return Q.quality_summary(*_roll(f), f["pages"], f["issues"])
 
 
+@query("q4_quality_summary_edition", _q4_sql("te"))
+def _q4b(f):
+    return Q.quality_summary(*_roll(f), f["pages"], f["issues"], edition="te")
+
+
+@query("e17_coverage_floor", f"with {_SCOPE_ALL}, p as (select lang, count(distinct part_number*1000+slot_serial) n from scope group by 1), t as (select sum(expected_total) n from fx_expectations) select min(round(coalesce(p.n,0)::decimal(20,4)/t.n*100, 1))::decimal(18,1) least_pct, (select null_name+null_relation+null_house+null_age+null_ident from (" + oracle(_Q4) + ")) missing_fields from (values ('en'),('te'),('ur')) v(l) cross join t left join p on p.lang=v.l")
+def _e17(f):
+    return Q.coverage_floor(C.edition_coverage(*_roll(f)), Q.quality_summary(*_roll(f), f["pages"], f["issues"]))
+
+
 _pct = lambda a, b: f"case when {b} > 0 then round(greatest(0, least(100, {a}::decimal(20,4)/({b})*100)), 1) else 0 end::decimal(18,1)"
 _issues_sum = "(critical_issues+needs_review_issues+informational_issues)"
 
 
-@query("q12_quality_analytics", f"select {_pct('linked_records', 'source_records')} linked_pct, {_pct('extracted_cards', 'expected_cards')} extracted_pct, {', '.join(f'{_pct(s + "_issues", _issues_sum)} {s}_pct' for s in ('critical', 'needs_review', 'informational'))}, {', '.join(f'{_pct("null_" + x, "source_records")} missing_{x}_pct' for x in ('house', 'age', 'ident', 'gender'))}, concat_ws(',', case when missing_serials>0 then 'missing_serials' end, case when duplicate_serial_groups>0 then 'duplicate_serials' end, case when unexpected_serials>0 then 'unexpected_serials' end, case when duplicate_ident_groups>0 then 'duplicate_idents' end, case when failed_pages>0 then 'failed_pages' end, case when critical_issues>0 then 'critical_issues' end) as blockers from (" + oracle(_Q4) + ")")
+@query("q12_quality_analytics", f"select {_pct('linked_records', 'source_records')} linked_pct, {_pct('extracted_cards', 'expected_cards')} extracted_pct, {', '.join(f'{_pct(s + "_issues", _issues_sum)} {s}_pct' for s in ('critical', 'needs_review', 'informational'))}, {', '.join(f'{_pct("null_" + x, "source_records")} missing_{x}_pct' for x in ('name', 'relation', 'house', 'age', 'ident'))}, concat_ws(',', case when missing_serials>0 then 'missing_serials' end, case when duplicate_serial_groups>0 then 'duplicate_serials' end, case when unexpected_serials>0 then 'unexpected_serials' end, case when duplicate_ident_groups>0 then 'duplicate_idents' end, case when failed_pages>0 then 'failed_pages' end, case when critical_issues>0 then 'critical_issues' end) as blockers from (" + oracle(_Q4) + ")")
 def _q12(f):
     return Q.quality_analytics(Q.quality_summary(*_roll(f), f["pages"], f["issues"]))
 
@@ -432,24 +497,39 @@ def _q14(f):
     return Q.document_integrity(f["records"], f["pages"])
 
 
-@query("q15_duplicate_marking", f"select record_id, (case when ({_ident('ident')}) is null then 1 else count(*) over (partition by doc_id, {_ident('ident')}) end > 1) or (case when ({_house('house')}) is null then 1 else count(*) over (partition by doc_id, concat_ws('|', {_house('house')}, age, gender), ({_house('house')}) is null) end > 1) as probable_duplicate from fx_records")
+_person = f"case when {_norm('name')}<>'' and {_norm('house')}<>'' then concat_ws('|', {_norm('name')}, {_norm('relation_name')}, regexp_replace({_norm('house')}, '\\s*/\\s*', '/', 'g'), coalesce(age::varchar,'')) end"
+
+
+@query("q15_duplicate_marking", f"with k as (select record_id, doc_id, nullif(ident,'') i, {_person} p from fx_records) select record_id, (i is not null and count(*) over (partition by doc_id, i) > 1) or (p is not null and count(*) over (partition by doc_id, p) > 1) as probable_duplicate from k")
 def _q15(f):
     return Q.duplicate_marking(f["records"])
 
 
-@query("q18_document_rollup", "with r as (select doc_id, count(*) filter (status='processed') processed_pages, count(*) filter (status='requires_review') requires_review_pages, count(*) filter (status='failed') failed_pages, sum(records_extracted)::bigint records, count(*) pages from fx_pages group by 1) select *, case when processed_pages+requires_review_pages=0 then 'interrupted' when failed_pages+requires_review_pages>0 then 'completed_with_warnings' else 'completed' end as state from r")
+_VOTE = "v as (select doc_id, detected_language, count(*) n, min(page) first from fx_pages where detected_language is not null group by 1,2), w as (select * from (select *, row_number() over (partition by doc_id order by n desc, first) k from v) where k=1), vote as (select d.doc_id, coalesce(w.detected_language, d.lang) lang, coalesce(w.n, 0) votes from fx_documents d left join w on w.doc_id=d.doc_id)"
+
+
+@query("q18_document_rollup", f"with {_VOTE}, p as (select doc_id, count(*) filter (status in ('processed','requires_review')) processed_pages, count(*) filter (status='requires_review') review_pages, count(*) filter (error_type='page_persistence_failed') lost_pages from fx_pages group by 1), r as (select doc_id, count(*) records, count(*) filter (verification_status='requires_review') review_records from fx_records group by 1), g as (select doc_id, count(*) serial_issues from (select doc_id, n - lag(n) over (partition by doc_id order by n) d from (select distinct doc_id, {_serial('serial_number')} n from fx_records where ({_serial('serial_number')}) is not null)) where d>1 group by 1), z as (select d.doc_id, vote.lang, d.expected_total, coalesce(processed_pages,0) processed_pages, coalesce(review_pages,0) review_pages, coalesce(lost_pages,0) lost_pages, coalesce(records,0) records, coalesce(review_records,0) review_records, coalesce(serial_issues,0) serial_issues from fx_documents d join vote using (doc_id) left join p using (doc_id) left join r using (doc_id) left join g using (doc_id)) select *, case when lost_pages>0 then 'interrupted' when review_pages>0 or review_records>0 or serial_issues>0 or records<>expected_total then 'completed_with_warnings' else 'completed' end as state from z")
 def _q18(f):
-    return Q.document_rollup(f["pages"])
+    return Q.document_rollup(f["documents_roll"], f["pages"], f["records"], Q.serial_gaps(f["records"]).select("doc_id"))
+
 
+_Q19 = "select doc_id, page + case when doc_id%11=0 then 20 else 0 end page, case when doc_id%5=0 then doc_id%7 end run_id, records_detected, records_extracted - case when page%13=0 then 99 else 0 end records_extracted, records_review + case when page%3=0 then records_extracted else 0 end records_review from fx_pages"
 
-@query("q19_page_integrity", "select doc_id, page, 'too_many_records' as violation from fx_pages where records_detected > 20 and page>=1")
+
+@query("q19_page_integrity", f"with p as ({_Q19}) select p.doc_id, p.page, case when d.doc_id is null then 'unknown_document' when p.page not between 1 and d.pages then 'page_outside_document' when p.run_id is not null then 'run_of_other_document' when records_detected not between 0 and 20 then 'too_many_records' when records_extracted not between 0 and records_detected then 'extracted_over_detected' when records_review not between 0 and records_extracted then 'review_over_extracted' end as violation from p left join (select * from fx_documents where doc_id%6<>0) d on d.doc_id=p.doc_id where d.doc_id is null or p.page not between 1 and d.pages or p.run_id is not null or records_detected not between 0 and 20 or records_extracted not between 0 and records_detected or records_review not between 0 and records_extracted")
 def _q19(f):
-    return Q.page_integrity(f["pages"], f["documents_roll"], 20)
+    n = c("page")
+    pages = f["pages"].select(
+        "doc_id", (n + F.when(c("doc_id") % 11 == 0, 20).otherwise(0)).alias("page"), F.when(c("doc_id") % 5 == 0, c("doc_id") % 7).alias("run_id"), "records_detected",
+        (c("records_extracted") - F.when(n % 13 == 0, 99).otherwise(0)).alias("records_extracted"), (c("records_review") + F.when(n % 3 == 0, c("records_extracted")).otherwise(0)).alias("records_review"),
+    )
+    runs = f["documents_roll"].select((c("doc_id") % 7).alias("run_id")).distinct().withColumn("doc_id", F.lit(-1))
+    return Q.page_integrity(pages, f["documents_roll"].filter("doc_id % 6 <> 0"), runs, 20)
 
 
-@query("e10_edition_vote", "with n as (select doc_id, lang, count(*) n from fx_records group by 1,2) select doc_id, lang, n as votes from (select *, row_number() over (partition by doc_id order by n desc, lang) k from n) where k=1")
+@query("e10_edition_vote", f"with {_VOTE} select * from vote")
 def _e10(f):
-    return Q.edition_vote(f["records"])
+    return Q.edition_vote(f["pages"], f["documents_roll"])
 
 
 # --- demographics
@@ -496,64 +576,134 @@ def _i4(f):
     return Q.house_groups(Q.canonical_rows(*_roll(f)))
 
 
+@query("c8_house_filter", f"with {_CANON} select house_key, count(*) members from canon where contains(house_key, '9-9') group by 1")
+def _c8(f):
+    rows = Q.house_filter(Q.canonical_rows(*_roll(f)), " 9 - 9")
+    return rows.groupBy("house_key").agg(F.count("*").alias("members"))
+
+
+@query("c10_report_scope", f"with {_SCOPE} select lang, count(*) records from scope where part_number=3 and lang='te' group by 1")
+def _c10(f):
+    return Q.report_scope(C.part_edition_quality(*_roll(f)), 3, "te").select("lang", c("source_records").alias("records"))
+
+
 @query("i5_comparable_revision", "select count(distinct revision_id)>1 as comparable, count(distinct revision_id) as revisions from fx_documents")
 def _i5(f):
     return Q.has_comparable_revision(f["documents_roll"])
 
 
 # --- review
-@query("v2_review_queue", "select i.issue_id, i.doc_id, d.part_number, d.lang, i.record_id, i.issue_type, i.severity, i.issue_detail, i.created_at, r.ident, r.house, r.serial_number from fx_issues i join fx_documents d on d.doc_id=i.doc_id and d.active_version left join fx_records r on r.record_id=i.record_id where i.status='open' and i.severity='critical' and contains(lower(concat_ws(' ', i.issue_detail, r.ident, r.house, r.serial_number)), 'user 1')")
+_JOINED = "j as (select i.issue_id, i.issue_type, i.severity, i.status, i.issue_detail, i.created_at, i.record_id, d.active_version, coalesce(r.part_number, d.part_number) part_number, coalesce(r.lang, d.lang) lang, r.serial_number, r.name, r.relation_type, r.relation_name, r.house, r.age, r.gender, r.ident, r.verification_status, r.conf, d.filename, p.status page_status from fx_issues i join fx_documents d on d.doc_id=i.doc_id left join fx_records r on r.record_id=i.record_id left join fx_pages p on p.doc_id=i.doc_id and p.page=i.page)"
+_SHOWN = ("issue_id", "issue_type", "severity", "record_id", "part_number", "lang", "serial_number", "name", "relation_type", "relation_name", "house", "age", "gender", "ident", "verification_status", "filename", "page_status", "created_at")
+_FOUND = "contains(lower(concat_ws(' ', issue_type, issue_detail, part_number, serial_number, name, relation_name, house, ident, filename)), 'user 1')"
+
+
+def _queue(f, **given):
+    return V.review_queue(f["issues"], f["documents_roll"], f["records"], f["pages"], **given).select(*_SHOWN)
+
+
+@query("v1_review_page", f"with {_JOINED}, x as (select * from j where status='open' and (record_id is null or issue_type in ('page_failure','missing_page','malformed_record','page_sequence')) and lang='te') select {', '.join(_SHOWN)}, (select count(*) from x) total from x order by created_at desc, issue_id desc limit 100 offset 10")
+def _v1(f):
+    found = V.review_queue_v1(f["issues"], f["documents_roll"], f["records"], f["pages"], category="pages", edition="te").select(*_SHOWN)
+    return G.with_total(G.offset_page(found, [c("created_at").desc(), c("issue_id").desc()], 500, 10), found)
+
+
+@query("v2_review_queue", f"with {_JOINED} select {', '.join(_SHOWN)} from j where active_version and status='open' and severity='critical' and {_FOUND}")
 def _v2(f):
-    return V.review_queue(f["issues"], f["documents_roll"], f["records"], "critical", "User  1")
+    return _queue(f, severity="critical", search=" USER 1")
+
+
+@query("v2_review_page", f"with {_JOINED}, x as (select * from j where active_version and {_CATEGORY['house_number']}) select {', '.join(_SHOWN)}, (select count(*) from x) total from x where (created_at, issue_id) < (timestamp '2100-01-01', 0) order by created_at desc, issue_id desc limit 50")
+def _v2b(f):
+    import datetime
+
+    found = _queue(f, status="all", category="house_number")
+    return G.with_total(G.keyset_page(found, ["created_at", "issue_id"], (datetime.datetime(2100, 1, 1), 0), 50, descending=True), found)
 
 
-@query("v3_issue_severity", "select issue_id, case when issue_type in ('page_failure','missing_serial') then 'critical' when issue_type in ('low_confidence','language') then 'informational' else 'needs_review' end as v from fx_issues")
+@query("v3_issue_severity", "select issue_id, case when issue_type='low_confidence' then 'informational' when issue_type in ('page_failure','missing_page','malformed_record','possible_duplicate','serial_gap','page_sequence','missing_serial','duplicate_serial','unexpected_serial','duplicate_ident','card_count_mismatch','partial_page','reconciliation_conflict','verification_conflict') then 'critical' else 'needs_review' end as v from fx_issues")
 def _v3(f):
     return f["issues"].select("issue_id", V.issue_severity(c("issue_type")).alias("v"))
 
 
+_FACTS = "facts as (select issue_id, case issue_id%6 when 0 then 'low_ocr_confidence' when 1 then 'normalization_variance' when 2 then 'language_unavailable' when 3 then 'missing_serial' when 4 then 'partial_page' else 'house_number' end kind, case issue_id%5 when 0 then 'conflict' when 1 then null else 'confirmed' end identity_agreement, case issue_id%7 when 0 then 'conflict' when 1 then 'weak' else 'strong' end structured_agreement, issue_id%11=0 has_ident_conflict, issue_id%2=0 or issue_id%9=1 deterministic, issue_id%13<>0 values_kept from fx_issues)"
+
+
 def _facts(f):
     n = c("issue_id")
-    return f["issues"].select("issue_id", c("issue_type").alias("kind"), (n % 3 != 0).alias("identity_agrees"), (n % 4 != 0).alias("structure_agrees"), (n % 7 == 0).alias("has_conflict"), (n % 2 == 0).alias("deterministic"), (n % 11 != 0).alias("values_kept"))
+    kind = F.when(n % 6 == 0, "low_ocr_confidence").when(n % 6 == 1, "normalization_variance").when(n % 6 == 2, "language_unavailable").when(n % 6 == 3, "missing_serial").when(n % 6 == 4, "partial_page").otherwise("house_number")
+    facts = f["issues"].select(
+        "issue_id", kind.alias("kind"), F.when(n % 5 == 0, "conflict").when(n % 5 != 1, "confirmed").alias("identity_agreement"), F.when(n % 7 == 0, "conflict").when(n % 7 == 1, "weak").otherwise("strong").alias("structured_agreement"),
+        (n % 11 == 0).alias("has_ident_conflict"), ((n % 2 == 0) | (n % 9 == 1)).alias("deterministic"), (n % 13 != 0).alias("values_kept"), c("created_at").alias("resolved_at"),
+        F.create_map(F.lit("detail"), c("issue_detail")).alias("original_values"), F.create_map(F.lit("detail"), F.lower("issue_detail")).alias("resulting_values"),
+    )
+    return facts.withColumns({f"has_{b}": F.lit(None).cast("boolean") for b in V.BLOCKERS if b != "ident_conflict"})
 
 
-_NEVER = "issue_type in ('missing_serial','duplicate_ident','page_failure')"
-_FOUND = f"case when {_NEVER} or issue_id%7=0 then 'critical' when issue_id%3=0 or issue_id%4=0 then 'needs_review' else 'informational' end"
+_BACKED = "kind='low_ocr_confidence' and identity_agreement='confirmed' and structured_agreement='strong'"
 
 
-@query("v4_classify_issue", f"select issue_id, {_FOUND} as severity_found, ({_FOUND})<>'informational' as manual, case when {_NEVER} then 'kind_needs_person' when issue_id%7=0 then 'conflict' when issue_id%3=0 then 'identity_differs' when issue_id%4=0 then 'structure_differs' else 'evidence_agrees' end as reason from fx_issues")
+@query("v4_classify_issue", f"with {_FACTS} select issue_id, case when kind='missing_serial' then 'critical' when ({_BACKED}) or kind='language_unavailable' then 'informational' else 'needs_review' end severity_found, not coalesce(({_BACKED}) or kind='language_unavailable', false) as manual, case when kind='missing_serial' then 'identity_or_completeness' when {_BACKED} then 'corroborated' when kind='low_ocr_confidence' then 'not_corroborated' when kind='language_unavailable' then 'availability_only' else 'needs_person' end reason from facts")
 def _v4(f):
     return V.classify_issue(_facts(f)).select("issue_id", "severity_found", "manual", "reason")
 
 
-@query("v5_auto_resolution", f"select issue_id, ({_FOUND})='informational' and issue_id%11<>0 as auto, case when ({_FOUND})='informational' and issue_id%11<>0 then case when issue_id%2=0 then 'deterministic_correction' else 'agreement' end end as path from fx_issues")
+_PATH = "case when values_kept and not has_ident_conflict and identity_agreement='confirmed' and structured_agreement<>'conflict' then case when kind='low_ocr_confidence' and structured_agreement='strong' then 'structured_auto_verification' when kind='normalization_variance' and deterministic then 'deterministic_normalization' end end"
+
+
+@query("v5_auto_resolution", f"with {_FACTS} select issue_id, ({_PATH}) is not null as auto, {_PATH} as path from facts")
 def _v5(f):
     return V.auto_resolution(_facts(f)).select("issue_id", "auto", "path")
 
 
-@query("v6_resolution_audit")
+@query("v6_resolution_audit", f"with {_FACTS} select f.issue_id, 'auto_resolved' as action, {_PATH} as path, i.created_at as resolved_at, i.issue_detail as before, lower(i.issue_detail) as after from facts f join fx_issues i using (issue_id) where ({_PATH}) is not null")
 def _v6(f):
-    return V.resolution_audit(V.auto_resolution(_facts(f)))
+    out = V.resolution_audit(V.auto_resolution(_facts(f)))
+    return out.select("issue_id", "action", "path", "resolved_at", c("original_values.detail").alias("before"), c("resulting_values.detail").alias("after"))
 
 
-@query("v7_apply_corrections", "select r.record_id, r.house as original_house, coalesce(x.v, r.house) as house from fx_records r left join (select record_id, 'H' || max(issue_id) v from fx_issues where record_id is not null and issue_id%2=0 group by 1) x on x.record_id=r.record_id")
-def _v7(f):
+_GIVEN = "g as (select issue_id, record_id, status, case issue_id%7 when 0 then 'reason_missing' when 1 then 'unknown_field' end early, issue_id%2=0 verify from fx_issues), ok as (select * from g where early is null and status='open' and record_id is not null)"
+
+
+def _corrected(f):
     n = c("issue_id")
-    given = f["issues"].filter("record_id is not null").select("record_id", F.when(n % 2 == 0, "house").otherwise("colour").alias("field"), F.concat(F.lit("H"), n).alias("value"), F.lit("seen on page").alias("reason"), n.alias("at"))
-    return V.apply_corrections(f["records"], given)["records"].select("record_id", "original_house", "house")
+    values = F.create_map(F.when(n % 7 == 1, "colour").otherwise("house"), F.concat(F.lit("H"), n), F.lit("age"), F.when(n % 3 == 0, "77").otherwise("x"))
+    given = f["issues"].select(n.alias("correction_id"), "issue_id", values.alias("values"), F.when(n % 7 == 0, "  ").otherwise(" seen ").alias("reason"), (n % 2 == 0).alias("verify"), n.alias("at"))
+    return V.apply_corrections(f["records"], f["issues"], given)
+
+
+@query("v7_apply_corrections", f"with {_GIVEN}, x as (select record_id, max(issue_id) n, max(verify::int)=1 v from ok group by 1) select r.record_id, r.house original_house, case when x.n is null then r.house else 'H' || x.n end house, case when x.n%3=0 then 77 else r.age end age, case when x.v then 'verified' else r.verification_status end verification_status from fx_records r left join x on x.record_id=r.record_id")
+def _v7(f):
+    return _corrected(f)["records"].select("record_id", "original_house", "house", "age", "verification_status")
+
+
+@query("v7_corrected_issues", f"with {_GIVEN} select i.issue_id, case when ok.verify then 'resolved' else i.status end status, case when ok.verify then 'human_verified' when not ok.verify then 'human_correction' end resolution_type, case when ok.issue_id is not null then 'seen' end resolution_reason from fx_issues i left join ok using (issue_id)")
+def _v7b(f):
+    return _corrected(f)["issues"].select("issue_id", "status", "resolution_type", "resolution_reason")
 
 
-@query("v8_apply_verifications", "select record_id, case when record_id in (select record_id from fx_issues where status='resolved' and record_id is not null) then 'verified' else 'unverified' end as verification_status from fx_records")
+@query("v7_refused_and_audit", f"with {_GIVEN} select issue_id, coalesce(early, case when status<>'open' then 'issue_not_open' else 'no_record' end) as what from g where early is not null or status<>'open' or record_id is null union all select issue_id, case when verify then 'review_corrected_and_verified' else 'review_correction_saved' end from ok")
+def _v7c(f):
+    out = _corrected(f)
+    return out["rejected"].select("issue_id", c("rejected").alias("what")).unionByName(out["audit"].select("issue_id", c("action").alias("what")))
+
+
+@query("v8_apply_verifications", "with v as (select issue_id, record_id from fx_issues where status='open' and issue_id%3=0 and record_id is not null) select record_id as id, case when record_id in (select record_id from v) then 'verified' else verification_status end as state from fx_records union all select issue_id::varchar, case when issue_id in (select issue_id from v) then 'resolved' else status end from fx_issues")
 def _v8(f):
-    done = f["issues"].filter("status = 'resolved' and record_id is not null").select("record_id", "issue_id")
-    return V.apply_verifications(f["records"], done).select("record_id", "verification_status")
+    out = V.apply_verifications(f["records"], f["issues"], f["issues"].filter("issue_id % 3 = 0").select("issue_id"))
+    return out["records"].select(c("record_id").alias("id"), c("verification_status").alias("state")).unionByName(out["issues"].select(c("issue_id").cast("string").alias("id"), c("status").alias("state")))
 
 
-@query("v9_auto_resolve", "with p as (select doc_id from fx_pages group by 1 having count(*) filter (status='failed')=0) select issue_id, case when status='open' and issue_type='page_failure' and doc_id in (select doc_id from p) then 'resolved' else status end as new_status from fx_issues")
+@query("v9_auto_resolve", "select issue_id, case when status='open' and issue_type in ('page_failure','malformed_record') and exists (select 1 from fx_pages p where p.doc_id=i.doc_id and p.page=i.page and p.status='processed') then 'resolved' else status end as new_status from fx_issues i")
 def _v9(f):
     return V.auto_resolve_reprocessed(f["issues"], f["pages"]).select("issue_id", "new_status")
 
 
+@query("g8_recent_rows", "select issue_id, created_at from fx_issues order by created_at desc, issue_id desc limit 10")
+def _g8(f):
+    return Q.recent_rows(f["issues"].select("issue_id", "created_at"), "created_at", "issue_id")
+
+
 @query("t5_new_issues", "select i.issue_id from fx_issues i where not exists (select 1 from fx_issues o where o.status='open' and o.doc_id=i.doc_id and o.issue_type=i.issue_type and o.issue_detail=i.issue_detail)")
 def _t5(f):
     return V.new_issues(f["issues"], f["issues"]).select("issue_id")
@@ -600,14 +750,41 @@ def _s1(f):
     return S.search_names(f["part"].select("p_partkey", "p_name"), "p_name", "red widget").select("p_partkey", "score")
 
 
+_tenths = lambda x, q: f"case when {x}='{q}' then 1000 when contains({x}, '{q}') then 960 else (select case when m>0 then (2000*k+m)//(2*m) else 0 end from (select len(list_intersect({_tri(x)}, {_tri(repr(q))})) k, len(list_distinct(list_concat({_tri(x)}, {_tri(repr(q))}))) m)) end"
+_low = lambda x: f"lower(trim(coalesce({x},'')))"
+_S1 = f"""t as (select r.*, {_tenths(_low('name'), 'person  77 of place 27')} a, {_tenths(_low('relation_name'), 'elder 47')} b from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version where r.lang='en'),
+ x as (select *, ((2*(6*a+6*b)+12)//24/10)::decimal(18,1) match_score from t where a>=720 and b>=720)"""
+
+
+@query("s1_search_records", f"with {_S1} select record_id, match_score, (select count(*) from x) total from x order by match_score desc, part_number, case when regexp_full_match(serial_number, '[0-9]+') then serial_number::int end nulls last, serial_number, record_id limit 100")
+def _s1r(f):
+    found = S.search_records(f["records"], f["documents_roll"], name=" Person  77 of Place 27", relation_name="Elder 47")
+    return S.search_page(found, 100).select("record_id", "match_score", "total")
+
+
+@query("s1_search_exact", f"select record_id, match_score::decimal(18,1) match_score from (select r.record_id, case when {_house('house')}='9' then 100.0 else 96.0 end match_score from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version where r.lang='te' and relation_type='Father' and lower(trim(gender))='female' and contains({_house('house')}, '9'))")
+def _s1e(f):
+    return S.search_records(f["records"], f["documents_roll"], edition="te", relation_type="Father", gender=" female", house="9", fuzzy=False).select("record_id", "match_score")
+
+
+@query("s2_rank_exact", f"select record_id, round((100*8 + case when age=40 then 100 else greatest(85, 100-abs(age-40)*5) end*5 + 100*4)/17.0) as score, case when age=40 then 'exact' else 'partial' end as match_type from fx_records where part_number=2 and {_norm('house')}='9-9' and abs(age-40)<=30 and {_norm('gender')}='male'")
+def _s2x(f):
+    return S.rank_records(f["records"], {"part": 2, "house": "9 - 9", "age": 40, "gender": "MALE"}, tolerance=30).select("record_id", "score", "match_type")
+
+
 @query("s2_rank_records")
 def _s2(f):
-    return S.rank_records(f["part"].select("p_partkey", "p_name", "p_size"), "p_name", "widget", "p_size", 20, 10).select("p_partkey", "score", F.size("explanation").alias("parts"))
+    return S.rank_records(f["records"], {"name": "raama 12", "father": "Elder"}).select("record_id", "score", "match_type", F.array_join(F.transform("explanation", lambda e: e["kind"]), ",").alias("kinds"))
 
 
-@query("s3_blocked_fuzzy_join", f"with n as (select distinct p_name t from part), m as (select a.t lt, b.t rt, {_trisim('a.t', 'b.t')} s from n a, n b) select a.p_partkey left_id, b.p_partkey right_id, m.s similarity from m join part a on a.p_name=m.lt join part b on b.p_name=m.rt where m.s >= 0.9")
+@query("s3_blocked_fuzzy_join", f"with n as (select distinct p_name t from part) select a.t left_text, b.t right_text, {_trisim('a.t', 'b.t')} similarity from n a, n b where {_trisim('a.t', 'b.t')} >= 0.9")
 def _s3(f):
-    return S.blocked_fuzzy_join(f["part"], f["part"], "p_partkey", "p_name", "p_partkey", "p_name", 0.9).withColumn("similarity", F.round("similarity", 6))
+    return S.blocked_fuzzy_join(f["part"], f["part"], "p_name", "p_name", 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("s3_text_members", f"with n as (select distinct p_name t from part) select p_name as text, p_partkey as id from part where p_name in (select a.t from n a, n b where {_trisim('a.t', 'b.t')} >= 0.9)")
+def _s3b(f):
+    return S.text_members(f["part"], "p_partkey", "p_name", S.blocked_fuzzy_join(f["part"], f["part"], "p_name", "p_name", 0.9), "left")
 
 
 # --- extraction tables
@@ -622,9 +799,9 @@ def _p8(f):
     return P.build_records(_cards(f)).drop("requires_review").withColumn("issues", F.array_join("issues", ","))
 
 
-@query("p10_issue_rows", f"select record_id card_id, 'invalid_age' as issue_type from fx_records where not coalesce(age between 18 and 125, false)")
+@query("p10_issue_rows", f"with i as (select record_id card_id, unnest([case when nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') is null then 'missing_serial' end, case when not coalesce(regexp_matches(ident, '{X.IDENT_SHAPE}'), false) then 'invalid_ident' end, case when not coalesce(age between 18 and 125, false) then 'invalid_age' end, case when {_suspicious('house')} then 'suspicious_house' end, case when conf/100 < 0.95 then 'low_confidence' end]) issue_type from fx_records) select * from i where issue_type is not null")
 def _p10(f):
-    return P.issue_rows(P.build_records(_cards(f))).filter("issue_type = 'invalid_age'")
+    return P.issue_rows(P.build_records(_cards(f)))
 
 
 @query("p9_page_batch", "select page as expected_page, count(*) filter (printed_page=page) kept, count(*) filter (printed_page<>page) isolated, count(*) cards from fx_pages group by 1")
@@ -632,9 +809,11 @@ def _p9(f):
     return P.page_batch(f["pages"].select(c("doc_id").alias("card_id"), c("printed_page").alias("page"), c("page").alias("expected_page")))
 
 
-@query("p11_page_status", "select doc_id page, case when count(*) filter (status='failed')>0 then 'requires_review' when count(*) filter (status='requires_review')>0 then 'completed_with_warnings' else 'completed' end as status, string_agg(case status when 'requires_review' then 'review' else status end, ',' order by page) as states from fx_pages group by 1")
+@query("p11_page_status", "with k as (select doc_id*100+page page, record_id card_index, case when age%29=0 then 'failed' when age%23=0 then 'requires_review' else 'extracted' end state from fx_records where page is not null) select page, case when count(*) filter (state<>'extracted')>0 then 'requires_review' when page%2=0 then 'completed_with_warnings' else 'completed' end as status, string_agg(state, ',' order by card_index) as states from k group by 1")
 def _p11(f):
-    return P.page_status(f["pages"].select(c("doc_id").alias("page"), c("page").alias("card_index"), F.when(c("status") == "requires_review", "review").otherwise(c("status")).alias("state")))
+    state = F.when(c("age") % 29 == 0, "failed").when(c("age") % 23 == 0, "requires_review").otherwise("extracted")
+    cards = f["records"].filter("page is not null").select((c("doc_id") * 100 + c("page")).alias("page"), c("record_id").alias("card_index"), state.alias("state"))
+    return P.page_status(cards, cards.select("page").distinct().filter("page % 2 = 0"))
 
 
 @query("p13_check_outcomes", "select doc_id card_id, status field, 'attempts_not_contiguous' as violation from fx_pages group by 1,2 having list_sort(list(distinct page)) <> range(1, count(*)+1)")
@@ -674,7 +853,9 @@ def _p2(f):
 
 @query("p3_grid_cards")
 def _p3(f):
-    return P.grid_cards(_words(f), 600.0, 1000.0)
+    w = _words(f)
+    label = w.select("page_id", F.concat(F.lit("Name: "), c("text")).alias("text"), "conf", "x0", (c("y0") + 40).alias("y0"), "x1", (c("y1") + 40).alias("y1"))
+    return P.grid_cards(w.unionByName(label.filter("text not like '%7%'")), 600.0, 1000.0).select("page_id", "cell", "text", c("confidence.name").alias("name_confidence"))
 
 
 @query("p4_grid_codes", f"select doc_id::bigint page_id, (({_serial('serial_number')})-1)::int as cell, min(serial_number) serial, null::varchar as ident, round(avg(conf)) as conf from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
@@ -685,12 +866,14 @@ def _p4(f):
 @query("p5_layout_segments")
 def _p5(f):
     w = _words(f)
-    return P.layout_segments(w.withColumn("text", F.when(F.crc32("text") % 2 == 0, "Name:").otherwise(c("text"))), 600.0)
+    return P.layout_segments(w.withColumn("text", F.when(F.crc32("text") % 2 == 0, "Name:").otherwise(c("text"))), 600.0, 1000.0).select("page_id", "col", "at", "x", "y", "width", "height", F.array_join(F.map_keys("confidence"), ",").alias("labels"))
 
 
-@query("p6_choose_layout", "select doc_id page_id, 'columns' as layout, 2 as labels from documents")
+@query("p6_choose_layout", "with l as (select doc_id, len(regexp_extract_all(text, '(?im)(?:^|\\n)\\s*(?:\\[?\\d{1,4}\\]?[.)-]?\\s*)?(?:Name)\\s*:'))::int n from documents) select doc_id page_id, case doc_id%3 when 0 then 'grid' when 1 then 'columns' else case when n>0 then 'raw' else 'grid' end end as layout, case when doc_id%3<2 then n+1 else n end as labels from l")
 def _p6(f):
-    return P.choose_layout(f["documents"].select(c("doc_id").alias("page_id"), F.lit("Name: a").alias("grid"), F.lit("Name: a\nName: b").alias("columns"), F.lit("").alias("raw")))
+    t, n = c("text"), c("doc_id") % 3
+    more = lambda k: F.when(n == k, F.concat(t, F.lit("\nName: x"))).when(n == 2, F.lit("")).otherwise(t)
+    return P.choose_layout(f["documents"].select(c("doc_id").alias("page_id"), more(0).alias("grid"), more(1).alias("columns"), t.alias("raw")))
 
 
 @query("p7_backfill_codes", f"select doc_id::bigint page_id, ({_serial('serial_number')})-1 as cell, min(serial_number) serial from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
@@ -729,12 +912,13 @@ def _k3(f):
     return K.field_metrics(f["gold"], f["observations"])
 
 
-_KEYED = "j as (select o.config_id, g.lang, g.part_number, 'ident' field, g.ident g, coalesce(o.ident,'') p from fx_gold g join fx_observations o using (case_id) union all select o.config_id, g.lang, g.part_number, 'serial_number', g.serial_number, o.serial_number from fx_gold g join fx_observations o using (case_id) union all select o.config_id, g.lang, g.part_number, 'age', g.age, o.age from fx_gold g join fx_observations o using (case_id))"
+_gold_forms = {"serial_number": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "age": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "ident": "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')", "name": "nullif(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '')"}
+_KEYED = "j as (" + " union all ".join(f"select o.config_id, o.case_id, g.lang, g.part_number, o.failure_code, '{k}' field, coalesce({v.format('g.' + k)},'') g, coalesce({v.format('o.' + k)},'') p from fx_gold g join fx_observations o using (case_id)" for k, v in _gold_forms.items()) + ")"
 
 
-@query("k3_exact_accuracy", f"with {_KEYED} select config_id, field, count(*) cases, count(*) filter (g=p) correct, count(*) filter (p='') missing from j group by 1,2")
+@query("k3_exact_accuracy", f"with {_KEYED} select config_id, field, count(*) cases, count(*) filter (g=p and g<>'') correct, count(*) filter (p='') missing, count(*) filter (p<>'' and g<>p) incorrect, count(*) filter (field='ident' and p<>'' and not regexp_matches(p, '^[A-Z]{{3}}[0-9]{{7}}$')) bad_idents, round(avg(case when field='age' then abs(try_cast(p as int)-try_cast(g as int)) end), 6) age_mae from j group by 1,2")
 def _k3b(f):
-    return K.field_metrics(f["gold"], f["observations"]).filter("field <> 'name'").select("config_id", "field", "cases", "correct", "missing")
+    return K.field_metrics(f["gold"], f["observations"]).select("config_id", "field", "cases", "correct", "missing", "incorrect", "bad_idents", "age_mae")
 
 
 @query("k4_aggregate_metrics")
@@ -742,7 +926,11 @@ def _k4(f):
     return K.aggregate_metrics(f["gold"], f["observations"])
 
 
-@query("k5_error_classes")
+_swapped = "len(list_filter(range(1, length(g)+1), lambda i: upper(substr(g,i,1)) || upper(substr(p,i,1)) in ('O0','0O','I1','1I','S5','5S','B8','8B','Z2','2Z')))>0"
+_plain = lambda x: f"regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')"
+
+
+@query("k5_error_classes", f"with {_KEYED} select config_id, field, error, count(*) n from (select *, case when g=p and g<>'' then null when regexp_matches(coalesce(failure_code,''), 'crop|layout|geometry') then 'crop_layout_issue' when regexp_matches(coalesce(failure_code,''), 'parse|invalid') then 'field_parser_rejection' when p='' then 'empty' when replace(g,' ','')=replace(p,' ','') then 'spacing' when {_plain('g')}={_plain('p')} then 'punctuation' when length(g)=length(p) and {_swapped} then 'digit_letter_confusion' when lang='te' and field='name' then 'script_confusion' else 'wrong_character' end error from j) where error is not null group by 1,2,3")
 def _k5(f):
     return K.error_classes(f["gold"], f["observations"])
 
@@ -772,9 +960,9 @@ def _k10(f):
     return K.report_checksum(K.field_metrics(f["gold"], f["observations"]))
 
 
-@query("t4_resume_set", "select doc_id, page, case when status in ('processed','requires_review') then 'skip' when page%2=0 then 'retry' else 'give_up' end as action from fx_pages")
+@query("t4_resume_set", "select doc_id, page, case when status='processed' or (status='requires_review' and coalesce(error_type,'') not in ('page_processing_failed','page_persistence_failed')) then 'skip' when status='requires_review' then 'retry' else 'process' end as action from fx_pages")
 def _t4(f):
-    return T.resume_set(f["pages"].withColumn("error_type", F.lit("storage_failed")).withColumn("attempt", F.when(c("page") % 2 == 0, 1).otherwise(3)))
+    return T.resume_set(f["pages"])
 
 
 @query("t1_judge_batch", "select record_id, case when age%2=0 then 'idempotent' when age%3=0 then 'rejected' else 'inserted' end as outcome from fx_records")

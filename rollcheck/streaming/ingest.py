@@ -72,11 +72,11 @@ def checkpoint_stream(pages: DataFrame, target: str, checkpoint: str) -> Streami
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-RETRYABLE = ("recognition_failed", "storage_failed")
+RETRYABLE = ("page_processing_failed", "page_persistence_failed")
 
 
 def resume_set(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, action) for checkpoints: skip the finished, retry the retryable below three attempts, else give up."""
-    done = F.col("status").isin("processed", "requires_review")
-    again = F.col("error_type").isin(*RETRYABLE) & (F.col("attempt") < 3)
-    return pages.select("doc_id", "page", F.when(done, "skip").when(F.coalesce(again, F.lit(False)), "retry").otherwise("give_up").alias("action"))
+    """(doc_id, page, action) of saved pages: skip the processed and those whose review has another cause than a lost run; retry the latter; process the rest."""
+    again = F.coalesce(F.col("error_type").isin(*RETRYABLE), F.lit(False))
+    review = F.col("status") == "requires_review"
+    return pages.select("doc_id", "page", F.when((F.col("status") == "processed") | (review & ~again), "skip").when(review, "retry").otherwise("process").alias("action"))
