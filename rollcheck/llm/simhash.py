@@ -24,6 +24,10 @@ BITS = 64
 #: Bits of the fingerprints of keep_first_similar; of the first 128, a pair at Jaccard 0.8 differs in 19 on average, with a deviation of 4.
 WIDE = 256
 NEAR = 34
+#: Bins of a node's sketch of its shingle set; a bin keeps the least hash that falls into it, as a byte, 0 if none does.
+BINS = 256
+#: A pair is compared exactly if its sketches' share of equal bins is at most so many deviations below the similarity.
+SPREAD = 3.0
 #: Multipliers that make further hashes of a shingle's hash.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -181,10 +185,28 @@ def _shingles(line: bytes, shingle_words: int) -> set[bytes]:
     return {b" ".join(words[i : i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
 
 
-def wide_fingerprint(line: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
-    """Majority bits of WIDE / 64 hashes of every distinct shingle, as WIDE zeros and ones."""
+def sketch(h: np.ndarray) -> bytes:
+    """One byte for each bin of a set of hashes, from the least hash in it."""
+    h = np.sort(h)
+    bins, first = np.unique(h % np.uint64(BINS), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = (h[first] // np.uint64(BINS) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches (a row each) may belong to sets of the similarity: equal bins among those that either fills."""
+    filled, same = ((x | y) > 0).sum(-1), ((x == y) & (x > 0)).sum(-1)
+    return same >= filled * similarity - SPREAD * np.sqrt(filled * similarity * (1 - similarity)) - 1
+
+
+def shingle_hashes(line: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, seed) for s in _shingles(line, shingle_words)), np.uint64)
+    return np.fromiter((digest(s, seed) for s in _shingles(line, shingle_words)), np.uint64)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """Majority bits of WIDE / 64 hashes of every distinct shingle's hash, as WIDE zeros and ones."""
     counts = np.zeros(WIDE, np.int64)
     for at in range(0, len(h), 1 << 15):
         x = h[at : at + (1 << 15), None] * _ODD[None, :]
@@ -207,42 +229,117 @@ def _tables(rows: int, similarity: float, miss: float) -> np.ndarray:
     return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(n)])
 
 
+NODE = "struct<node:long,lo:long,hi:long>"
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a > b) of a bucket's members with at most NEAR different bits of 128."""
+    """Of a bucket's members, near are those with at most NEAR different bits of 128.
+
+    A row (a, b, far) for each member that is near another: b is the nearest, far their different bits.
+    A row (rest) for each set of members that nearness joins: a member's nearest in another bucket may be nearer still.
+    """
     for b in batches:
         members = b.column(0)
         at = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
         node, lo, hi = (f.to_numpy() for f in members.flatten().flatten())
         order = np.lexsort((node, at))
         at, node, lo, hi = at[order], node[order], lo[order].view(np.uint64), hi[order].view(np.uint64)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for d in range(1, len(at)):  # all members with the d-th after them in their bucket
+        n = len(at)
+        best, far, root = np.arange(n), np.full(n, 999), np.arange(n)
+        pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for d in range(1, n):  # all members with the d-th after them in their bucket
             i = np.flatnonzero(at[d:] == at[:-d])
             if not len(i):
                 break
-            i = i[np.bitwise_count(lo[i] ^ lo[i + d]).astype(np.int16) + np.bitwise_count(hi[i] ^ hi[i + d]) <= NEAR]
-            left.append(node[i + d])
-            right.append(node[i])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+            bits = np.bitwise_count(lo[i] ^ lo[i + d]).astype(np.int64) + np.bitwise_count(hi[i] ^ hi[i + d])
+            i, bits = i[bits <= NEAR], bits[bits <= NEAR]
+            for x, y in ((i, i + d), (i + d, i)):
+                closer = bits < far[x]
+                best[x[closer]], far[x[closer]] = y[closer], bits[closer]
+            pairs.append((i, i + d))
+        x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        while len(x):  # the smallest member that nearness reaches
+            new = root.copy()
+            np.minimum.at(new, x, root[y])
+            np.minimum.at(new, y, root[x])
+            if (new == root).all():
+                break
+            root = new
+        linked = np.flatnonzero(far < 999)
+        some = np.flatnonzero(np.bincount(root, minlength=n)[root] > 1) if n else linked
+        some = some[np.argsort(root[some], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate(([True], root[some[1:]] != root[some[:-1]], [True]))) if len(some) else np.zeros(1, np.int64)
+        rest = pa.StructArray.from_arrays([pa.array(node[some]), pa.array(lo[some].view(np.int64)), pa.array(hi[some].view(np.int64))], names=["node", "lo", "hi"])
+        rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
+        m, k = len(linked), len(rest)
+        none = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[best[linked]]), pa.array(far[linked]), pa.nulls(m, rest.type)], names=["a", "b", "far", "rest"])
+        yield pa.RecordBatch.from_arrays([none, none, none, rest], names=["a", "b", "far", "rest"])
+
+
+def _apart(similarity: float):
+    """(set, node, of) of the members that are near and alike one of another group, from (set, (node, lo, hi, of, sketch) structs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+            for at, members in zip(b.column(0).to_pylist(), b.column(1)):
+                *numbers, drawn = members.values.flatten()
+                node, lo, hi, of = (f.to_numpy() for f in numbers)
+                lo, hi = lo.view(np.uint64), hi.view(np.uint64)
+                drawn = np.frombuffer(b"".join(drawn.to_pylist()), np.uint8).reshape(len(node), BINS)
+                y, x = np.nonzero(np.tri(len(node), k=-1, dtype=bool) & (of[:, None] != of[None, :]))
+                near = np.bitwise_count(lo[x] ^ lo[y]).astype(np.int16) + np.bitwise_count(hi[x] ^ hi[y]) <= NEAR
+                x, y = x[near], y[near]
+                near = alike(drawn[x], drawn[y], similarity)
+                keep = np.unique(np.concatenate((x[near], y[near])))
+                for to, v in zip(out, (np.full(len(keep), at), node[keep], of[keep])):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["set", "node", "of"])
+
+    return run
+
+
+def _joined(similarity: float, shingle_words: int):
+    """Links (a, b) that join the groups of a set's members as far as their pairs reach the similarity, compared exactly; from (node, of, text) structs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = [], []
+            for members in b.column(0).to_pylist():
+                sets = [_shingles(m["text"].encode().lower(), shingle_words) for m in members]
+                of = [m["of"] for m in members]
+                for y in range(len(members)):
+                    for x in range(y):
+                        if of[x] == of[y] or min(len(sets[x]), len(sets[y])) < similarity * max(len(sets[x]), len(sets[y])):
+                            continue
+                        both = len(sets[x] & sets[y])
+                        if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                            left.append(max(members[x]["node"], members[y]["node"]))
+                            right.append(min(members[x]["node"], members[y]["node"]))
+                            of = [of[x] if k == of[y] else k for k in of]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 2) -> DataFrame:
-    """(a, b) pairs, a > b, of nodes that share a key and may be similar, from (key, node, lo, hi).
+def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFrame:
+    """(a, b, far, rest) of nodes that share a key and may be similar, as _met gives them, from (key, node, lo, hi).
 
-    A larger bucket is never gathered: its members meet its smallest node, and then, twice at most,
-    those with whom they share 16 more bits of the fingerprint.
+    A larger bucket is never gathered: its members are dealt into parts of about the limit, each with the
+    bucket's smallest node, and meet again, once, those with whom they share 16 more bits of the fingerprint.
     """
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keyed.join(sizes, "key")
-    few = met.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, "a long, b long")
+    few = met.filter(F.col("n") <= bucket_limit).select("key", F.lit(0).alias("part"), "node", "lo", "hi")
     many = cut(met.filter(F.col("n") > bucket_limit))
-    if many.isEmpty():
-        return few
-    hubs = many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("hub"))
-    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("hub.lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hub.hi")))
-    reached = many.join(hubs, "key").filter((far <= NEAR) & (F.col("node") != F.col("hub.node")))
-    found = few.unionByName(reached.select(F.col("node").alias("a"), F.col("hub.node").alias("b")))
-    if again:
+    large = not many.isEmpty()
+    if large:
+        dealt = many.select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_limit)).cast("int").alias("part"), "node", "lo", "hi")
+        hubs = dealt.select("key", "part").distinct().join(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("hub")).select("key", "hub.*"), "key")
+        few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi")).dropDuplicates(["key", "part", "node"])
+    found = few.groupBy("key", "part").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, f"a long, b long, far long, rest array<{NODE}>")
+    if large and again:
         more = F.shiftrightunsigned("lo", 16 * again).bitwiseAND(F.lit(0xFFFF))
         found = found.unionByName(_candidates(many.select(F.xxhash64("key", more).alias("key"), "node", "lo", "hi"), bucket_limit, again - 1))
     return found
@@ -275,8 +372,10 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
     Texts of the same lower-case words are one node. Candidates are nodes that agree in the sampled
     bits of some table and in most of 128 bits; the sets of word shingles of each candidate pair are
     compared exactly before it links. miss is the share of pairs just at the similarity that would meet
-    in no table if bits were independent. First each node is compared with its smallest candidate, then the candidates whose
-    groups are still apart. A group's smallest id stays, null ids last, ties by a hash of the text.
+    in no table if bits were independent. First each node is compared with its nearest candidate, then
+    those in a bucket whose groups are still apart and whose sketches are alike, a bucket at a time; pairs are
+    never written out. A group's smallest id stays,
+    null ids last, ties by a hash of the text.
     """
     spark = docs.sparkSession
     row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.col(text_col).cast("string"))
@@ -284,16 +383,18 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints = [], []
+            nodes, prints, drawn = [], [], []
             for t in texts(b):
                 line = b" ".join(t.encode().lower().split())
+                h = shingle_hashes(line, shingle_words)
                 nodes.append(xxhash.xxh3_64_intdigest(line))
-                prints.append(np.packbits(wide_fingerprint(line, shingle_words), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], names=["id", "h", "node", "fp"])
+                prints.append(np.packbits(wide_fingerprint(h), bitorder="little").tobytes())
+                drawn.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(drawn, pa.binary())], names=["id", "h", "node", "fp", "sketch"])
 
     given = docs.select(row_id.alias("id"), row_hash.alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(given.mapInArrow(prints, "id long, h long, node long, fp binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("fp").alias("fp")))
+    rows = cut(given.mapInArrow(prints, "id long, h long, node long, fp binary, sketch binary"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
     tables = _tables(nodes.count(), similarity, miss)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,15 +407,20 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(of), lo.take(of), hi.take(of)], names=["key", "node", "lo", "hi"])
 
     keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, node long, lo long, hi long")
-    pairs = cut(_candidates(keyed, bucket_limit).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")), "node")
+    found = cut(_candidates(keyed, bucket_limit).distinct())
+    pairs, rest = found.filter("a is not null"), found.filter("a is null").select(F.xxhash64("rest").alias("set"), F.explode("rest").alias("m")).select("set", "m.*")
+    wanted = pairs.select(F.col("a").alias("node")).distinct().join(nodes.select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")), "node")  # each near node is some row's a
     lines = cut(given.join(wanted, ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
-    stars = cut(pairs.groupBy("a").agg(F.min("b").alias("b")))
-    links = cut(_similar(stars, lines, similarity, shingle_words))
-    group = connected_components(links)
-    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = pairs.join(stars, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    group = connected_components(links.unionByName(_similar(apart, lines, similarity, shingle_words)))
+    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = cut(_similar(nearest, lines, similarity, shingle_words))
+    group = cut(connected_components(links))
+    of = F.coalesce("component", "node").alias("of")
+    grouped = rest.join(group, "node", "left").select("set", "node", "lo", "hi", of)
+    open_ = grouped.groupBy("set").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.collect_list(F.struct("node", "lo", "hi", "of")).alias("m")).filter("x < y")
+    drawn = open_.select("set", F.explode("m").alias("m")).select("set", "m.*").join(nodes.select("node", "sketch"), "node")
+    sets = drawn.groupBy("set").agg(F.collect_list(F.struct("node", "lo", "hi", "of", "sketch")).alias("m"))
+    still = sets.select("set", "m").mapInArrow(_apart(similarity), "set long, node long, of long")
+    told = still.join(lines, "node").groupBy("set").agg(F.collect_list(F.struct("node", "of", "text")).alias("m")).select("m")
+    group = connected_components(links.unionByName(told.mapInArrow(_joined(similarity, shingle_words), "a long, b long")))
     named = nodes.join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 from rollcheck.llm import simhash
 from rollcheck.llm.graph import connected_components
@@ -89,3 +90,17 @@ def test_similar_texts_are_one_group(spark):
         got = sorted((str(r.doc_id), str(r.text).lower().split()) for r in simhash.keep_first_similar(df, bucket_limit=limit).collect())
         assert got == sorted((str(i), str(t).lower().split()) for i, t in rows if i not in range(100, 140) and t != "AND one  more")
     assert simhash.keep_first_similar(df.limit(0)).count() == 0
+
+
+def test_sketches_of_similar_sets_are_alike():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 40, 400, 4000):
+        for similarity, want in ((0.8, True), (0.3, False)):
+            both = int(round(2 * n * similarity / (1 + similarity)))  # two sets of n with this Jaccard, or a little more
+            both += both < 2 * n * similarity / (1 + similarity)
+            hits = 0
+            for _ in range(200):
+                h = rng.integers(0, 1 << 63, 2 * n - both, np.uint64)
+                x, y = (np.frombuffer(simhash.sketch(v), np.uint8) for v in (h[:n], h[n - both :]))
+                hits += bool(simhash.alike(x, y, 0.8))
+            assert hits >= 198 if want else n < 40 or hits <= 20
