@@ -28,6 +28,9 @@ ENDS_PARAGRAPH = BLOCKS - {"br"} | {"nav", "footer", "aside", "form", "fieldset"
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 #: An open element of the same kind ends where the next starts.
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements whose end tag may be left out.
+OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
+FORMS = frozenset("form fieldset".split())
 SCOPES = frozenset("ul ol dl table article section main div body nav aside footer".split())
 #: First or last part of a class or id word of what surrounds an article.
 AROUND = frozenset(
@@ -42,10 +45,6 @@ NEVER = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr comment comments commentlist disqus respond reply replies "
     "newsletter subscribe subscription signup login modal popup pagination pager copyright disclaimer".split()
 )
-LIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget|footer|foot|masthead|site-header|page-header|topbar|comments?|comment-\w*|disqus|respond|replies|reply|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|modal|popup|overlay|pagination|pager|toolbar|skip|legal|copyright|disclaimer)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|blog)(?:$|[\s_-])", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 
@@ -96,13 +95,13 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return " ".join(words), gone
 
 
-def parse(page: str, names: frozenset = AROUND) -> Node:
+def parse(page: str, names: frozenset = AROUND, dropped: frozenset = DROPPED) -> Node:
     """The element tree of a page, however badly nested; comments, dropped elements and their content are left out.
 
     So are elements whose class or id has one of the names.
     """
     root = Node("html", "", None)
-    here, at, skip, depth = root, 0, "", 0
+    here, at, skip, depth, inner = root, 0, "", 0, 0
     token = TOKEN
     while True:
         m = token.search(page, at)
@@ -117,8 +116,15 @@ def parse(page: str, names: frozenset = AROUND) -> Node:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if skip in OPEN_ENDED and not inner:  # it may end without its own end tag
+            if m[1]:
+                over = name != skip and (name in SCOPES or name in FORMS)
+            else:
+                over = skip in SAME.get(name, ()) or (skip == "p" and name in ENDS_PARAGRAPH)
+            skip = "" if over else skip
         if m[1]:
             if skip:
+                inner -= name in SCOPES and inner > 0
                 if name == skip:
                     depth -= 1
                     skip = skip if depth else ""
@@ -131,6 +137,7 @@ def parse(page: str, names: frozenset = AROUND) -> Node:
             continue
         if skip:
             depth += name == skip and not m[3].rstrip().endswith("/")
+            inner += name in SCOPES and name != skip
             if name in RAW and name != skip:
                 at = _after_raw(page, at, name)
             continue
@@ -154,9 +161,9 @@ def parse(page: str, names: frozenset = AROUND) -> Node:
             if name in ("br", "hr"):
                 here.children.append(Node(name, "", here))
             continue
-        if (name in DROPPED or gone or (name not in ("article", "main") and surrounds(words, names))) and name not in ("html", "body"):
+        if (name in dropped or gone or (name not in ("article", "main") and surrounds(words, names))) and name not in ("html", "body"):
             if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                skip, depth = name, 1
+                skip, depth, inner = name, 1, 0
             continue
         if name in ("html", "body") and here is not root:
             continue
@@ -273,7 +280,8 @@ def main_text(page: str | None) -> str:
     """The article's text; empty where a page has none.
 
     Where elements left out by their names held more than twice the prose that was found, the page is
-    read again with those names kept that only tell of a place; where nothing is found, with all.
+    read again with those names kept that only tell of a place; where nothing is found, with all. Likewise
+    where forms hold more than three times that and 200 more.
     """
     if not page:
         return ""
@@ -284,6 +292,10 @@ def main_text(page: str | None) -> str:
             text = _article(placed) or text
         if not text:
             text = _article(parse(page, frozenset()))
+    if "<form" in page.lower():  # some pages stand in one form as a whole
+        whole = parse(page, AROUND, DROPPED - FORMS)
+        if _prose(whole) > 3 * len(text) + 200:
+            text = _article(whole) or text
     return text
 
 

@@ -59,3 +59,16 @@ def test_text_inside_elements_named_like_surroundings():
     page = f"<body><div id=wrap><p>{ARTICLE}</p></div><div class=comments><p>{ARTICLE * 9}</p></div></body>"
     assert h.main_text(page) == ARTICLE
     assert h.main_text("<body><nav>a</nav></body>") == ""
+
+
+def test_elements_left_out_end_without_end_tags():
+    assert h.main_text(f'<article><p class="share">Share this<p>{ARTICLE}<p>{ARTICLE}</article>') == f"{ARTICLE} {ARTICLE}"
+    assert h.main_text(f'<ul><li class="nav-item">Home<li class="nav-item">About</ul><article><p>{ARTICLE}</article>') == ARTICLE
+    assert h.main_text(f'<table><tr><td class="menu">Home<td><p>{ARTICLE}</p><p>{ARTICLE}</p></table>') == f"{ARTICLE} {ARTICLE}"
+    assert h.main_text(f'<div><ul><li class="nav"><ul><li>x<li>y</ul>z<li>w</ul><p>{ARTICLE}</p></div>').endswith(ARTICLE)
+
+
+def test_page_inside_a_form():
+    body = f"<div id=main><p>{ARTICLE}</p><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"
+    assert h.main_text(f"<body><form id=aspnet><div class=menu><a>x</a></div>{body}</form></body>") == f"{ARTICLE} {ARTICLE} {ARTICLE}"
+    assert h.main_text("<body><form><p>Sign up here, please, with your name.</p></form></body>") == ""
