@@ -24,9 +24,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder, spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A new path in the cluster's shared folder, spark.checkpoint.dir; in local mode a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

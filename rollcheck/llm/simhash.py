@@ -174,7 +174,8 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle_words: int = 3, seed: i
 
 def _rows_of(docs: DataFrame, best: DataFrame, row_id: Column, row_hash: Column) -> DataFrame:
     """One row of docs for each (first.id, first.h) of best."""
-    own = ["__kept_id", "__kept_hash"]
+    longer = max(map(len, docs.columns)) + 1  # so that no column of docs has these names
+    own = [name.ljust(longer, "_") for name in ("__kept_id", "__kept_hash")]
     best = best.select(F.col("first.id").alias(own[0]), F.col("first.h").alias(own[1]))
     known = docs.withColumns({own[0]: row_id, own[1]: row_hash})
     return known.join(best, own, "left_semi").dropDuplicates(own).drop(*own)
