@@ -244,6 +244,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
         node, lo, hi = (f.to_numpy() for f in members.flatten().flatten())
         order = np.lexsort((node, at))
+        order = order[np.concatenate(([True], (np.diff(at[order]) != 0) | (np.diff(node[order]) != 0)))[: len(order)]]  # a bucket's smallest node comes twice in its own part
         at, node, lo, hi = at[order], node[order], lo[order].view(np.uint64), hi[order].view(np.uint64)
         n = len(at)
         best, far, root = np.arange(n), np.full(n, 999), np.arange(n)
@@ -302,7 +303,7 @@ def _apart(similarity: float):
 
 
 def _joined(similarity: float, shingle_words: int):
-    """Links (a, b) that join the groups of a set's members as far as their pairs reach the similarity, compared exactly; from (node, of, text) structs."""
+    """Links (a, b) between the groups of a set's members whose pairs reach the similarity, compared exactly; from (of, text) structs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,8 +317,8 @@ def _joined(similarity: float, shingle_words: int):
                             continue
                         both = len(sets[x] & sets[y])
                         if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
-                            left.append(max(members[x]["node"], members[y]["node"]))
-                            right.append(min(members[x]["node"], members[y]["node"]))
+                            left.append(max(of[x], of[y]))
+                            right.append(min(of[x], of[y]))
                             of = [of[x] if k == of[y] else k for k in of]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
@@ -330,7 +331,7 @@ def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFram
     A larger bucket is never gathered: its members are dealt into parts of about the limit, each with the
     bucket's smallest node, and meet again, once, those with whom they share 16 more bits of the fingerprint.
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = keyed.join(sizes, "key")
     few = met.filter(F.col("n") <= bucket_limit).select("key", F.lit(0).alias("part"), "node", "lo", "hi")
     many = cut(met.filter(F.col("n") > bucket_limit))
@@ -338,7 +339,7 @@ def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFram
     if large:
         dealt = many.select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_limit)).cast("int").alias("part"), "node", "lo", "hi")
         hubs = dealt.select("key", "part").distinct().join(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("hub")).select("key", "hub.*"), "key")
-        few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi")).dropDuplicates(["key", "part", "node"])
+        few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi"))
     found = few.groupBy("key", "part").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, f"a long, b long, far long, rest array<{NODE}>")
     if large and again:
         more = F.shiftrightunsigned("lo", 16 * again).bitwiseAND(F.lit(0xFFFF))
@@ -421,7 +422,8 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
     drawn = open_.select("set", F.explode("m").alias("m")).select("set", "m.*").join(nodes.select("node", "sketch"), "node")
     sets = drawn.groupBy("set").agg(F.collect_list(F.struct("node", "lo", "hi", "of", "sketch")).alias("m"))
     still = sets.select("set", "m").mapInArrow(_apart(similarity), "set long, node long, of long")
-    told = still.join(lines, "node").groupBy("set").agg(F.collect_list(F.struct("node", "of", "text")).alias("m")).select("m")
-    group = connected_components(links.unionByName(told.mapInArrow(_joined(similarity, shingle_words), "a long, b long")))
-    named = nodes.join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
+    told = still.join(lines, "node").groupBy("set").agg(F.collect_list(F.struct("of", "text")).alias("m")).select("m")
+    over = connected_components(told.mapInArrow(_joined(similarity, shingle_words), "a long, b long"))  # groups into larger ones
+    named = nodes.join(group, "node", "left").select(of, "first").join(over.select(F.col("node").alias("of"), F.col("component").alias("over")), "of", "left")
+    named = named.select(F.coalesce("over", "of").alias("component"), "first")
     return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)
