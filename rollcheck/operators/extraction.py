@@ -227,6 +227,56 @@ def run_manifest(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.coalesce(X.clean_pages(F.col("pages")), F.sequence(F.lit(1), F.col("total_pages"))).alias("pages"), F.coalesce("version", F.lit("1")).alias("version"), F.lit("pending").alias("status"))
 
 
+#: Fields whose confidence has a column of its own in the record table.
+CONFIDENCES = ("name", "relation", "house", "age", "ident")
+
+
+def to_storage_row(candidates: DataFrame) -> DataFrame:
+    """Checked candidates as rows of the record table.
+
+    candidates: record_id, doc_id, part_number, serial_no, lang, page, printed_page, card_index, age, card_text, box,
+    raw and normalized (structs of name, relation_type, relation_name, house, gender, ident), confidence (map of field to
+    0 .. 1), requires_review, method, parser_version, revision_id, issue_codes. Confidences become percentages; a
+    candidate is never stored as verified, only as unverified or for review.
+    """
+    raw, clean = F.col("raw"), F.col("normalized")
+    percents = F.transform_values("confidence", lambda _, v: v * 100)
+    return candidates.select(
+        "record_id",
+        "doc_id",
+        "part_number",
+        F.col("serial_no").cast("string").alias("serial_number"),
+        raw["name"].alias("name"),
+        clean["name"].alias("normalized_name"),
+        X.relation_type(clean["relation_type"]).alias("relation_type"),
+        raw["relation_name"].alias("relation_name"),
+        clean["relation_name"].alias("normalized_relation_name"),
+        raw["house"].alias("house"),
+        clean["house"].alias("normalized_house"),
+        "age",
+        raw["gender"].alias("gender"),
+        clean["ident"].alias("ident"),
+        "page",
+        "printed_page",
+        F.col("card_text").alias("text"),
+        "lang",
+        X.mean_confidence(F.col("confidence")).alias("conf"),
+        "box",
+        F.when(F.col("requires_review"), "requires_review").otherwise("unverified").alias("verification_status"),
+        percents.alias("field_confidence"),
+        *[percents[k].alias(f"{k}_confidence") for k in CONFIDENCES],
+        "card_index",
+        F.col("method").alias("extraction_method"),
+        F.col("parser_version").alias("normalization_version"),
+        F.struct("revision_id", "parser_version", "issue_codes").alias("evidence"),
+    )
+
+
+def to_page_row(states: DataFrame) -> DataFrame:
+    """Page checkpoints (with attempts, 1 for the first) as rows of the page table: retries are the attempts after the first."""
+    return states.withColumns({"retry_count": F.col("attempts") - 1, "extraction_attempts": F.col("attempts")}).drop("attempts")
+
+
 def near_groups(values: DataFrame, key: str, value: str, gap: float) -> DataFrame:
     """Sorted values of a key in groups whose neighbours are within a gap: group number, mean and size."""
     w = Window.partitionBy(key).orderBy(value)

@@ -144,11 +144,24 @@ def _a4(f):
     return f.spark.sql("select 'documents' as v, doc_id, source_language as x from compat_uploaded_documents").unionByName(f["records"].select(F.lit("records").alias("v"), "doc_id", c("record_id").alias("x"))).unionByName(f["pages"].select(F.lit("pages").alias("v"), "doc_id", c("status").alias("x")))
 
 
-@query("a6_inspect_filenames", "select part_number, case when part_number%5=0 then 'part_unknown' when part_number%3=0 then 'part_conflict' end as refusal from fx_expectations")
+@query("a1_load_registry", "select 'orders' as name, count(*) n, sum(o_orderkey)::bigint as keys from orders union all select 'customer', count(*), sum(c_custkey)::bigint from customer")
+def _a1(f):
+    typed = io.load_registry(f.spark, f.sf_dir, {"orders": "o_orderkey long, o_custkey long", "customer": "c_custkey long, c_name string"})
+    keys = {"orders": "o_orderkey", "customer": "c_custkey"}
+    one, two = (typed[k].agg(F.count("*").alias("n"), F.sum(keys[k]).alias("keys")).select(F.lit(k).alias("name"), "n", "keys") for k in keys)
+    return one.unionByName(two)
+
+
+@query("a6_inspect_filenames", """select doc_id, case when doc_id%13=0 then 'not_a_pdf' when part_number%5=0 and doc_id%3=0 then 'part_unknown' when part_number%3=0 and part_number%5<>0 and doc_id%3<>0 then 'part_conflict'
+ when doc_id%7=0 and doc_id%4=0 then 'edition_unknown' when doc_id%7<>0 and doc_id%4<>0 and doc_id%11=0 and lang<>'te' then 'edition_conflict' end as refusal,
+ case when doc_id%7=0 then null else lang end as detected_lang, cast(2000+doc_id%30 as int) as revision_year from fx_documents""")
 def _a6(f):
-    p = c("part_number")
-    files = f["expectations"].select("part_number", F.concat(F.lit("a-"), p, F.lit(".PDF")).alias("name"), p.alias("declared_part"), F.when(p % 5 == 0, None).when(p % 3 == 0, p + 1).otherwise(p).alias("detected_part"))
-    return io.inspect_filenames(files).select("part_number", "refusal")
+    d, p = c("doc_id"), c("part_number")
+    code = F.when(d % 7 == 0, "ROLL").when(c("lang") == "te", "tel").when(c("lang") == "ur", "URDU").otherwise("ENG")
+    name = F.concat(F.lit("S1-"), code, F.lit("-x-"), (2000 + d % 30).cast("string"), F.when(d % 13 == 0, ".doc").otherwise(".PDF"))
+    detected = F.when(p % 5 == 0, None).when(p % 3 == 0, p + 1).otherwise(p)
+    files = f["documents_roll"].select("doc_id", name.alias("name"), F.when(d % 3 != 0, p).alias("declared_part"), detected.alias("detected_part"), F.when(d % 4 == 0, None).when(d % 11 == 0, "te").otherwise(c("lang")).alias("declared_lang"))
+    return io.inspect_filenames(files).select("doc_id", "refusal", "detected_lang", "revision_year")
 
 
 @query("a7_dedupe_by_checksum", "with k as (select sha256(text) s, count(*) n from documents group by 1) select d.doc_id from documents d join k on k.s=sha256(d.text) where k.n=1")
@@ -809,6 +822,20 @@ def _p9(f):
     return P.page_batch(f["pages"].select(c("doc_id").alias("card_id"), c("printed_page").alias("page"), c("page").alias("expected_page")))
 
 
+@query("p12_to_storage_row", f"select record_id, cast(({_serial('serial_number')}) as varchar) as serial_number, name, {_norm('name')} as normalized_name, house, {_house('house')} as normalized_house, round((conf + case when age%7=0 then null else 50 end) / 2, 6) as both_conf, round(case when age%7=0 then conf else (conf+50)/2 end, 6) as conf, case when conf<75 then 'requires_review' else 'unverified' end as verification_status, round(conf, 6) as name_confidence, case when age%7<>0 then 50.0::double end as age_confidence, cast(null as double) as house_confidence, 'r-' || (part_number%3) as revision_id, case when conf<75 then 'low_confidence' else '' end as codes from fx_records")
+def _p12(f):
+    r = f["records"]
+    text = lambda name, house: F.struct(name.alias("name"), c("relation_type"), c("relation_name"), house.alias("house"), c("gender"), c("ident"))
+    found = r.select(
+        "record_id", "doc_id", "part_number", X.parse_serial(c("serial_number")).alias("serial_no"), "lang", "page", c("page").alias("printed_page"), F.lit(1).alias("card_index"), "age", c("name").alias("card_text"), F.lit(None).cast("string").alias("box"),
+        text(c("name"), c("house")).alias("raw"), text(X.norm_text(c("name"), ascii_only=False), X.house_key(c("house"))).alias("normalized"),
+        F.create_map(F.lit("name"), c("conf") / 100, F.lit("age"), F.when(c("age") % 7 != 0, 0.5)).alias("confidence"),
+        (c("conf") < 75).alias("requires_review"), F.lit("cards").alias("method"), F.lit("p1").alias("parser_version"), F.concat(F.lit("r-"), c("part_number") % 3).alias("revision_id"), F.array_compact(F.array(F.when(c("conf") < 75, "low_confidence"))).alias("issue_codes"),
+    )
+    rows = P.to_storage_row(found)
+    return rows.select("record_id", "serial_number", "name", "normalized_name", "house", "normalized_house", F.round((c("name_confidence") + c("age_confidence")) / 2, 6).alias("both_conf"), F.round("conf", 6).alias("conf"), "verification_status", F.round("name_confidence", 6).alias("name_confidence"), "age_confidence", "house_confidence", "evidence.revision_id", F.array_join("evidence.issue_codes", ",").alias("codes"))
+
+
 @query("p11_page_status", "with k as (select doc_id*100+page page, record_id card_index, case when age%29=0 then 'failed' when age%23=0 then 'requires_review' else 'extracted' end state from fx_records where page is not null) select page, case when count(*) filter (state<>'extracted')>0 then 'requires_review' when page%2=0 then 'completed_with_warnings' else 'completed' end as status, string_agg(state, ',' order by card_index) as states from k group by 1")
 def _p11(f):
     state = F.when(c("age") % 29 == 0, "failed").when(c("age") % 23 == 0, "requires_review").otherwise("extracted")

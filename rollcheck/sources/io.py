@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcheck.functions import text as X
+
+#: Types of the registry's base tables.
+REGISTRY = {
+    "documents": "doc_id long, part_number int, lang string, active_version boolean, revision_id string, filename string, pages int, expected_total int, processing_status string",
+    "records": "record_id string, doc_id long, part_number int, serial_number string, lang string, ident string, house string, age int, gender string, name string, relation_type string, relation_name string, verification_status string, created_at timestamp, conf double, page int",
+    "pages": "doc_id long, part_number int, page int, printed_page int, status string, error_type string, detected_language string, records_detected int, records_extracted int, records_review int",
+    "issues": "issue_id long, doc_id long, page int, record_id string, issue_type string, severity string, status string, issue_detail string, created_at timestamp",
+    "expectations": "part_number int, serial_start int, serial_end int, expected_total int",
+}
+
+
+def load_registry(spark: SparkSession, directory: str, tables: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The base tables of a folder, one Parquet file or folder each, under declared types; a column that a file lacks is null."""
+    return {name: spark.read.schema(ddl).parquet(f"{directory.rstrip('/')}/{name}.parquet") for name, ddl in (tables or REGISTRY).items()}
+
+
+#: Most bytes of a table of verified cases.
+MOST_BYTES = 5 << 20
 GROUND_TRUTH = ["case_id", "part_number", "lang", "serial_number", "ident", "name", "age"]
 
 
 def read_ground_truth(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV of verified cases whose header must be exactly the given columns; blank rows are refused when read."""
+    """CSV of verified cases, 5 MiB at most, whose header must be exactly the given columns; blank rows are refused when read."""
     columns = columns or GROUND_TRUTH
+    if (spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0) > MOST_BYTES:
+        raise ValueError("more than 5 MiB")
     first = spark.read.text(path).limit(1).collect()
-    header = first[0].value.lstrip("﻿").split(",") if first else []
+    header = next(csv.reader([first[0].value.lstrip("﻿")])) if first else []
     if len(header) != len(set(header)) or set(header) != set(columns):
         raise ValueError(f"header must have {sorted(set(columns) - set(header))} and not {sorted(set(header) - set(columns))}, each once")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -22,9 +45,12 @@ def read_ground_truth(spark: SparkSession, path: str, columns: list[str] | None
     return df.withColumn(columns[0], F.when(blank, F.raise_error(F.lit("blank row"))).otherwise(F.col(columns[0])))
 
 
-def export_csv(df: DataFrame, path: str, nested: str | None = None) -> None:
-    """Quoted CSV; a nested column goes out as JSON text."""
+def export_csv(df: DataFrame, path: str, nested: str | None = None, editions: tuple[str, ...] = ()) -> None:
+    """Quoted CSV; a nested column goes out as JSON text, parted into one column for each edition (its lang) if some are given."""
     out = df.withColumn(nested, F.to_json(nested)) if nested else df
+    if nested and editions:
+        of = lambda edition: F.filter(nested, lambda r: r["lang"] == edition)
+        out = df.select(*[c for c in df.columns if c != nested], *[F.to_json(of(e)).alias(f"{e}_{nested}") for e in editions])
     out.write.option("header", True).option("quoteAll", True).csv(path)
 
 
@@ -42,11 +68,14 @@ def export_json(df: DataFrame, path: str) -> DataFrame:
 FORMATS = ("csv", "json", "parquet")
 
 
-def log_export(spark: SparkSession, ledger: str, fmt: str, rows: int, status: str) -> None:
-    """Appends a validated row to the ledger."""
-    if fmt not in FORMATS or status not in ("completed", "failed") or rows < 0:
-        raise ValueError("unknown format or status, or a negative count")
-    spark.createDataFrame([(fmt, rows, status)], "format string, rows long, status string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(ledger)
+def log_export(spark: SparkSession, ledger: str, fmt: str, rows: int | None, status: str, error: str | None = None, audit: str | None = None) -> None:
+    """Appends a validated row to the ledger and, where audit names one, to the audit log; a missing or negative count is 0."""
+    if fmt not in FORMATS or status not in ("completed", "failed"):
+        raise ValueError("unknown format or status")
+    row = spark.createDataFrame([(fmt, max(rows or 0, 0), status, error)], "format string, rows long, status string, error string").withColumn("at", F.current_timestamp())
+    row.withColumn("completed_at", F.when(F.col("status") == "completed", F.col("at"))).write.mode("append").parquet(ledger)
+    if audit:
+        row.select(F.concat(F.lit("dataset.export."), "status").alias("action"), F.lit("dataset_export").alias("entity"), F.struct("format", "rows").alias("detail"), "at").write.mode("append").parquet(audit)
 
 
 def master_dataset(slots: DataFrame, records: DataFrame) -> DataFrame:
@@ -69,9 +98,22 @@ def split_known_files(files: DataFrame, known: DataFrame) -> dict[str, DataFrame
 
 
 def inspect_filenames(files: DataFrame) -> DataFrame:
-    """files (name, declared_part, detected_part) -> reason of refusal or null."""
-    why = F.when(~F.lower("name").endswith(".pdf"), "not_a_pdf").when(F.col("detected_part").isNull(), "part_unknown").when(F.col("declared_part") != F.col("detected_part"), "part_conflict")
-    return files.withColumn("refusal", why)
+    """files (name, declared_part, detected_part and, if known, declared_lang) with detected_lang, revision_year and refusal, null if the file is fine.
+
+    A declared part or edition stands in for one that the name does not tell; both must agree where both are known.
+    """
+    declared = F.col("declared_lang") if "declared_lang" in files.columns else F.lit(None).cast("string")
+    part = F.coalesce("declared_part", "detected_part")
+    named = files.withColumn("detected_lang", F.when(F.col("name").rlike(X.EDITION_CODE), X.edition_from_filename(F.col("name"))))
+    named = named.withColumn("revision_year", F.regexp_extract("name", r"(?:^|\D)(20\d{2})(?:\D|$)", 1).try_cast("int"))
+    why = (
+        F.when(~F.coalesce(F.lower("name").endswith(".pdf"), F.lit(False)), "not_a_pdf")
+        .when(part.isNull(), "part_unknown")
+        .when(F.col("declared_part") != F.col("detected_part"), "part_conflict")
+        .when(F.coalesce(declared, "detected_lang").isNull(), "edition_unknown")
+        .when(declared != F.col("detected_lang"), "edition_conflict")
+    )
+    return named.withColumn("refusal", why)
 
 
 def directory_filter(users: DataFrame, text: str | None = None, role: str | None = None) -> DataFrame:

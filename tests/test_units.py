@@ -244,7 +244,28 @@ def test_files(spark, tmp_path):
     assert '"lang' in spark.read.text(str(tmp_path / "csv")).filter(F.col("value").contains("en")).first().value.replace("\\", "")
     assert io.export_json(df, str(tmp_path / "json")).first().rows == 1
     io.log_export(spark, str(tmp_path / "ledger"), "csv", 1, "completed")
-    io.log_export(spark, str(tmp_path / "ledger"), "json", 2, "failed")
+    io.log_export(spark, str(tmp_path / "ledger"), "json", -2, "failed", "disk full", str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).first().action == "dataset.export.failed"
+    io.export_csv(df, str(tmp_path / "by"), "r", ("en", "te"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "by")).columns == ["id", "en_r", "te_r"]
+    quoted = tmp_path / "q.csv"
+    quoted.write_text('"a,b",c\n1,2\n')
+    assert io.read_ground_truth(spark, str(quoted), ["a,b", "c"]).first()["a,b"] == "1"
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
     with pytest.raises(ValueError):
         io.log_export(spark, str(tmp_path / "ledger"), "xml", 1, "completed")
+
+
+def test_registry_files_and_names(spark, tmp_path):
+    spark.createDataFrame([(1, 5)], "part_number int, serial_start int").write.parquet(str(tmp_path / "expectations.parquet"))
+    typed = io.load_registry(spark, str(tmp_path), {"expectations": io.REGISTRY["expectations"]})["expectations"]
+    assert tuple(typed.first()) == (1, 5, None, None)
+    files = [("AC-ENG-227-2024.pdf", 227, 227, "te"), ("AC-ENG-227-2024.pdf", 227, 227, None), ("x.pdf", 227, None, None), ("x.txt", 227, 227, "en"), ("AC-URD-228.pdf", 227, 228, "ur"), (None, 1, 1, "en")]
+    got = io.inspect_filenames(spark.createDataFrame(files, "name string, declared_part int, detected_part int, declared_lang string")).collect()
+    assert [r.refusal for r in got] == ["edition_conflict", None, "edition_unknown", "not_a_pdf", "part_conflict", "not_a_pdf"]
+    assert [r.revision_year for r in got] == [2024, 2024, None, None, None, None]
+
+
+def test_page_row(spark):
+    row = extraction.to_page_row(spark.createDataFrame([(1, 3)], "page int, attempts int")).first()
+    assert (row.retry_count, row.extraction_attempts) == (2, 3)
