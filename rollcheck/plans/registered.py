@@ -992,6 +992,16 @@ def _t4(f):
     return T.resume_set(f["pages"])
 
 
+@query("t1_check_batch", """with n as (select doc_id, page, count(*) n from fx_records group by 1,2), k as (select doc_id, page, count(*) k from fx_issues group by 1,2)
+ select r.record_id, case when n.n > 30 or coalesce(k.k, 0) > 300 then 'batch_too_large' when r.part_number+case when r.age%31=0 then 1 else 0 end <> d.part_number then 'part_mismatch'
+ when r.verification_status='verified' then 'not_unverified' when r.age%37=0 then 'linked_or_verified'
+ when r.serial_number is not null and not coalesce(regexp_full_match(r.serial_number, '[0-9]+') and try_cast(r.serial_number as int) between e.serial_start and e.serial_end, false) then 'invalid_serial' end as refusal
+ from fx_records r join n on n.doc_id is not distinct from r.doc_id and n.page is not distinct from r.page left join k on k.doc_id=r.doc_id and k.page=r.page join fx_documents d on d.doc_id=r.doc_id join fx_expectations e on e.part_number=d.part_number""")
+def _t1c(f):
+    rows = f["records"].withColumns({"part_number": c("part_number") + F.when(c("age") % 31 == 0, 1).otherwise(0), "slot_serial": F.when(c("age") % 37 == 0, 1)})
+    return T.check_batch(rows, f["documents_roll"], f["expectations"], f["issues"]).select("record_id", "refusal")
+
+
 @query("t1_judge_batch", "select record_id, case when age%2=0 then 'idempotent' when age%3=0 then 'rejected' else 'inserted' end as outcome from fx_records")
 def _t1(f):
     rows = f["records"].select("record_id", *T.EVIDENCE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,19 +34,52 @@ def judge(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     return rows.withColumn("outcome", F.when(~same, "rejected").when(F.col("_old").isNotNull(), "idempotent").otherwise("inserted")).drop("_e", "_first", "_old")
 
 
+#: Most records of a page in one batch, and most issues.
+PAGE_RECORDS, PAGE_ISSUES = 30, 300
+
+
+def check_batch(batch: DataFrame, documents: DataFrame, expectations: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Adds refusal, null where a record may be stored: the first rule that it breaks.
+
+    A page brings at most 30 records and 300 issues; the record's part is its document's; it is unverified or for
+    review and carries no link or verifier; a serial number lies in the range of its part.
+    """
+    page = ["doc_id", "page"]
+    rows = batch.join(batch.groupBy(*page).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_{c}" for c in page}), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("page").eqNullSafe(F.col("_page")), "left")
+    if issues is not None:
+        rows = rows.join(issues.groupBy(*page).agg(F.count("*").alias("_issues")), page, "left")
+    else:
+        rows = rows.withColumn("_issues", F.lit(0))
+    rows = rows.join(documents.select("doc_id", F.col("part_number").alias("_part")), "doc_id", "left")
+    rows = rows.join(expectations.select(F.col("part_number").alias("_part"), F.col("serial_start").alias("_low"), F.col("serial_end").alias("_high")), "_part", "left")
+    serial = F.when(F.col("serial_number").rlike("^[0-9]+$"), F.col("serial_number").try_cast("int"))
+    bound = [F.col(c).isNotNull() for c in ("slot_serial", "verified_by", "verified_at") if c in batch.columns]
+    why = (
+        F.when((F.col("_n") > PAGE_RECORDS) | (F.coalesce("_issues", F.lit(0)) > PAGE_ISSUES), "batch_too_large")
+        .when(~F.col("_part").eqNullSafe(F.col("part_number")), "part_mismatch")
+        .when(~F.coalesce(F.col("verification_status").isin("unverified", "requires_review"), F.lit(False)), "not_unverified")
+        .when(F.array_contains(F.array(F.lit(False), *bound), True), "linked_or_verified")
+        .when(F.col("serial_number").isNotNull() & ~F.coalesce(serial.between(F.col("_low"), F.col("_high")), F.lit(False)), "invalid_serial")
+    )
+    return rows.withColumn("refusal", why).select(*batch.columns, "refusal")
+
+
 def ingest_stream(records: DataFrame, target: str, audit: str, checkpoint: str) -> StreamingQuery:
-    """Appends new records to target and a count of outcomes to audit for each batch, all available input at once.
+    """Adds new records to target and a count of outcomes to audit, all available input at once.
 
-    A batch that runs again finds its own rows stored and inserts nothing.
+    Both have a folder for each batch of each stream (run, from the checkpoint's path). A batch that runs again is
+    judged without its own folder and writes it anew, so neither table changes.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.parquet(target) if _exists(spark, target) else None
+        stored = spark.read.parquet(target).filter(~((F.col("run") == run) & (F.col("batch") == number))) if _exists(spark, target) else None
         judged = judge(batch, stored).persist()
+        own = f"run={run}/batch={number}"
         try:
-            judged.filter("outcome = 'inserted'").drop("outcome").dropDuplicates(["record_id"]).write.mode("append").parquet(target)
-            judged.groupBy("outcome").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.mode("append").parquet(audit)
+            judged.groupBy("outcome").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{audit}/{own}")
+            judged.filter("outcome = 'inserted'").drop("outcome").dropDuplicates(["record_id"]).write.mode("overwrite").parquet(f"{target}/{own}")
         finally:
             judged.unpersist()
 

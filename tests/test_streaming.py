@@ -12,6 +12,11 @@ def test_ingest_twice_inserts_once(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(src)
         ingest.ingest_stream(stream, target, audit, str(tmp_path / f"cp{k}")).awaitTermination()
     assert spark.read.parquet(target).count() == n
+    for name in ("0", ".0.crc"):  # as if the job had ended before the batch was committed
+        (tmp_path / "cp0" / "commits" / name).unlink(missing_ok=True)
+    stream = spark.readStream.schema(rows.schema).parquet(src)
+    ingest.ingest_stream(stream, target, audit, str(tmp_path / "cp0")).awaitTermination()
+    assert spark.read.parquet(target).count() == n
     changed = rows.limit(5).withColumn("age", F.col("age") + 1)
     changed.write.parquet(str(tmp_path / "src2"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src2"))
