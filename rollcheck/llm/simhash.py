@@ -24,8 +24,8 @@ BITS = 64
 #: Bits of the fingerprints of keep_first_similar; of the first 128, a pair at Jaccard 0.8 differs in 19 on average, with a deviation of 4.
 WIDE = 256
 NEAR = 34
-#: Bins of a node's sketch of its shingle set; a bin keeps the least hash that falls into it, as a byte, 0 if none does.
-BINS = 256
+#: Bins of a node's sketch of its shingle set; a bin keeps the least hash that falls into it as 1 .. 15, 0 if none does.
+BINS = 512
 #: A pair is compared exactly if its sketches' share of equal bins is at most so many deviations below the similarity.
 SPREAD = 3.0
 #: Multipliers that make further hashes of a shingle's hash.
@@ -180,6 +180,7 @@ def _rows_of(docs: DataFrame, best: DataFrame, row_id: Column, row_hash: Column)
     known = docs.withColumns({own[0]: row_id, own[1]: row_hash})
     return known.join(best, own, "left_semi").dropDuplicates(own).drop(*own)
 
+
 def _shingles(line: bytes, shingle_words: int) -> set[bytes]:
     """The distinct shingles of a line of words parted by one space; a line of fewer words is one shingle."""
     words = line.split()
@@ -187,18 +188,32 @@ def _shingles(line: bytes, shingle_words: int) -> set[bytes]:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """One byte for each bin of a set of hashes, from the least hash in it."""
+    """A set's size in four bytes, then half a byte for each bin of its hashes, from the least hash in it."""
     h = np.sort(h)
     bins, first = np.unique(h % np.uint64(BINS), return_index=True)
     out = np.zeros(BINS, np.uint8)
-    out[bins.astype(np.int64)] = (h[first] // np.uint64(BINS) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+    out[bins.astype(np.int64)] = (h[first] // np.uint64(BINS) % np.uint64(15)).astype(np.uint8) + 1
+    return np.uint32(len(h)).tobytes() + (out[0::2] | out[1::2] << 4).tobytes()
+
+
+def read_sketches(drawn: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, bins), a row for each sketch."""
+    raw = np.frombuffer(b"".join(drawn), np.uint8).reshape(len(drawn), 4 + BINS // 2)
+    size = np.ascontiguousarray(raw[:, :4]).view(np.uint32)[:, 0].astype(np.int64)
+    return size, np.concatenate((raw[:, 4:] & 15, raw[:, 4:] >> 4), axis=1)
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sketches (a row each) may belong to sets of the similarity: equal bins among those that either fills."""
+def alike(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes n, m and bins x, y (a row each) may belong to sets of the similarity.
+
+    The bins that either fills draw as many members of the union without replacement; of two sets just at
+    the similarity the share of equal ones scatters as a draw from a union of that size does.
+    """
+    union = (n + m) / (1 + similarity)
     filled, same = ((x | y) > 0).sum(-1), ((x == y) & (x > 0)).sum(-1)
-    return same >= filled * similarity - SPREAD * np.sqrt(filled * similarity * (1 - similarity)) - 1
+    left = np.clip(1 - filled / union, 0, 1)
+    enough = same >= filled * similarity - SPREAD * np.sqrt(filled * similarity * (1 - similarity) * left) - 1
+    return enough & (np.minimum(n, m) >= similarity * np.maximum(n, m))
 
 
 def shingle_hashes(line: bytes, shingle_words: int, seed: int = 42) -> np.ndarray:
@@ -230,6 +245,8 @@ def _tables(rows: int, similarity: float, miss: float) -> np.ndarray:
     return np.stack([rng.choice(WIDE, width, replace=False) for _ in range(n)])
 
 
+#: A bucket's key holds the table's number above so many bits.
+TABLE_BITS = 40
 NODE = "struct<node:long,lo:long,hi:long>"
 
 
@@ -289,11 +306,11 @@ def _apart(similarity: float):
                 *numbers, drawn = members.values.flatten()
                 node, lo, hi, of = (f.to_numpy() for f in numbers)
                 lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-                drawn = np.frombuffer(b"".join(drawn.to_pylist()), np.uint8).reshape(len(node), BINS)
+                size, drawn = read_sketches(drawn.to_pylist())
                 y, x = np.nonzero(np.tri(len(node), k=-1, dtype=bool) & (of[:, None] != of[None, :]))
                 near = np.bitwise_count(lo[x] ^ lo[y]).astype(np.int16) + np.bitwise_count(hi[x] ^ hi[y]) <= NEAR
                 x, y = x[near], y[near]
-                near = alike(drawn[x], drawn[y], similarity)
+                near = alike(size[x], drawn[x], size[y], drawn[y], similarity)
                 keep = np.unique(np.concatenate((x[near], y[near])))
                 for to, v in zip(out, (np.full(len(keep), at), node[keep], of[keep])):
                     to.append(v)
@@ -328,21 +345,22 @@ def _joined(similarity: float, shingle_words: int):
 def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFrame:
     """(a, b, far, rest) of nodes that share a key and may be similar, as _met gives them, from (key, node, lo, hi).
 
-    A larger bucket is never gathered: its members are dealt into parts of about the limit, each with the
-    bucket's smallest node, and meet again, once, those with whom they share 16 more bits of the fingerprint.
+    A larger bucket is never gathered: its members meet again, once, by as many more bits of the fingerprint
+    as halve it to the limit, other bits in each table. What is then still larger is dealt into parts of about the
+    limit, each with the bucket's smallest node.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = keyed.join(sizes, "key")
     few = met.filter(F.col("n") <= bucket_limit).select("key", F.lit(0).alias("part"), "node", "lo", "hi")
     many = cut(met.filter(F.col("n") > bucket_limit))
     large = not many.isEmpty()
-    if large:
+    if large and not again:
         dealt = many.select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_limit)).cast("int").alias("part"), "node", "lo", "hi")
         hubs = dealt.select("key", "part").distinct().join(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("hub")).select("key", "hub.*"), "key")
         few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi"))
     found = few.groupBy("key", "part").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, f"a long, b long, far long, rest array<{NODE}>")
     if large and again:
-        more = F.shiftrightunsigned("lo", 16 * again).bitwiseAND(F.lit(0xFFFF))
+        more = F.expr(f"shiftrightunsigned(if(key >> {TABLE_BITS} & 1 = 0, lo, hi), cast((key >> {TABLE_BITS}) * 5 % 48 as int)) & (shiftleft(1L, least(16, cast(ceil(log2(n / {bucket_limit})) as int) + 1)) - 1)")
         found = found.unionByName(_candidates(many.select(F.xxhash64("key", more).alias("key"), "node", "lo", "hi"), bucket_limit, again - 1))
     return found
 
@@ -403,7 +421,7 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
         for b in batches:
             packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             bits = np.unpackbits(packed, axis=1, bitorder="little").astype(np.int64)
-            key = np.stack([(t << 40) + bits[:, at] @ (1 << np.arange(len(at))) for t, at in enumerate(tables)], 1)
+            key = np.stack([(t << TABLE_BITS) + bits[:, at] @ (1 << np.arange(len(at))) for t, at in enumerate(tables)], 1)
             of = pa.array(np.repeat(np.arange(b.num_rows), len(tables)))
             lo, hi = (pa.array(np.ascontiguousarray(packed[:, k : k + 8]).view(np.int64).ravel()) for k in (0, 8))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(of), lo.take(of), hi.take(of)], names=["key", "node", "lo", "hi"])

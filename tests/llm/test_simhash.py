@@ -101,6 +101,6 @@ def test_sketches_of_similar_sets_are_alike():
             hits = 0
             for _ in range(200):
                 h = rng.integers(0, 1 << 63, 2 * n - both, np.uint64)
-                x, y = (np.frombuffer(simhash.sketch(v), np.uint8) for v in (h[:n], h[n - both :]))
-                hits += bool(simhash.alike(x, y, 0.8))
+                size, bins = simhash.read_sketches([simhash.sketch(v) for v in (h[:n], h[n - both :])])
+                hits += bool(simhash.alike(size[0], bins[0], size[1], bins[1], 0.8))
             assert hits >= 198 if want else n < 40 or hits <= 20
