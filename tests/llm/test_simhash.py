@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import xxhash
-from rollcheck.llm import simhash
+from rollcheck.llm import graph, simhash
 from rollcheck.llm.graph import connected_components
 
 
@@ -104,3 +104,25 @@ def test_sketches_of_similar_sets_are_alike():
                 size, bins = simhash.read_sketches([simhash.sketch(v) for v in (h[:n], h[n - both :])])
                 hits += bool(simhash.alike(size[0], bins[0], size[1], bins[1], 0.8))
             assert hits >= 198 if want else n < 40 or hits <= 20
+
+
+def test_components_of_links_that_no_task_holds_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    links = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(4000, 4200)]
+    low: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while low.setdefault(x, x) != x:
+            x = low[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            a, b = root(a), root(b)
+            low[max(a, b)] = min(a, b)
+    want = sorted((x, root(x)) for x in low)
+    df = spark.createDataFrame(links * 2, "a long, b long")
+    for most in (graph.TASK_LINKS, 40):
+        monkeypatch.setattr(graph, "TASK_LINKS", most)
+        assert sorted(map(tuple, graph.connected_components(df).collect())) == want
+    assert graph.connected_components(df.limit(0)).count() == 0
