@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, katz, language, media, mixing, pii, runs, simhash, suffix, tokens
+from . import decontaminate, html, katz, language, media, mixing, pii, runs, secrets, simhash, suffix, tokens
 from .common import fold
 
 
@@ -52,12 +52,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+def _spans(found: DataFrame, base_kinds: tuple[str, ...]) -> DataFrame:
+    """Counts and digest of the base kinds and all spans as one text."""
     written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*pii.BASE)), written), ",")
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", written), ",").alias("spans"))
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(*base_kinds)), written), ",")
+    return found.select("doc_id", *map(count, base_kinds), F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("spans", written), ",").alias("spans"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(pii.personal_data(_table(spark, sf_dir, "documents")), pii.BASE)
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +108,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secrets.secrets(_table(spark, sf_dir, "documents")), secrets.BASE)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
