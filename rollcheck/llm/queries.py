@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, katz, language, media, mixing, pii, runs, secrets, simhash, suffix, tokens
+from . import decontaminate, html, katz, language, media, mixing, phrases, pii, runs, secrets, simhash, suffix, tokens
 from .common import fold
 
 
@@ -112,9 +112,47 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.secrets(_table(spark, sf_dir, "documents")), secrets.BASE)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select lang, row_number() over () as piece, regexp_extract_all(part, '[^\x20\x09]+') as ws
+  from (select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as part
+        from documents)),
+starts as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from pieces),
+grams as (
+  select lang, k, ws[i:i + k - 1] as key, count(*) as f
+  from starts, (values (1), (2), (3), (4)) v(k)
+  where i + k - 1 <= len(ws)
+  group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang),
+freq as (select * from grams where f >= 30),
+cand as (select * from freq where k > 1),
+inside as (
+  select lang, key[i:i + m - 1] as key, max(f) as held
+  from cand, (values (2), (3)) v(m), (values (1), (2), (3)) u(i)
+  where m < k and i + m - 1 <= k
+  group by all),
+kept as (
+  select c.* from cand c left join inside using (lang, key)
+  where held is null or 100 * held::hugeint < 80 * c.f::hugeint),
+cuts as (
+  select c.lang, c.key, c.f as a, j, l.f as l, r.f as r, (2000000::hugeint * c.f) // (l.f::hugeint + r.f) as score
+  from kept c, (values (1), (2), (3)) v(j), freq l, freq r
+  where j < c.k and l.lang = c.lang and r.lang = c.lang and l.key = c.key[1:j] and r.key = c.key[j + 1:c.k]),
+best as (select *, row_number() over (partition by lang, key order by score, j) as nth from cuts),
+named as (select lang, array_to_string(key, ' ') as phrase, a, l, r, cast(score as bigint) as score from best where nth = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op13_collocations": OP13_SQL}
