@@ -23,6 +23,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def small_bytes(spark: SparkSession, size: int) -> None:
+    """Lower (never raise) the session's bytes per Arrow batch, where single rows are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > size:
+        spark.conf.set(key, str(size))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder, spark.checkpoint.dir; in local mode a folder of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small_batches, texts
+from .common import cut, shared_dir, small_batches, small_bytes, texts
 
 #: Most candidates of a trie, about; a trie of four-word phrases has some 10 slots of 8 bytes for each.
 SHARD = 500_000
 #: Positions that a task gathers before it sums and passes on the counts of longer phrases.
-GATHER = 4_000_000
+GATHER = 1_000_000
+#: Rows of a batch that a task passes on, and bytes of one that it takes in.
+ROWS, BYTES = 50_000, 8 << 20
 #: Words are handed to the trie in digits of so many bits, which keeps each node's children few.
 DIGIT = 4
 UNKNOWN = "und"
@@ -245,13 +247,16 @@ def _counted(blocks: DataFrame, row, k: int, longer: bool, alone: bool) -> DataF
         nexts: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = gathered = 0
 
-        def longest() -> pa.RecordBatch:
+        def longest() -> Iterator[pa.RecordBatch]:
             states, codes = (np.concatenate(x) for x in zip(*nexts))
             order = np.lexsort((codes, states))
             states, codes = states[order], codes[order]
             starts = np.flatnonzero(np.r_[True, (states[1:] != states[:-1]) | (codes[1:] != codes[:-1])])
             names_of = list(known)
-            return rows(k + 1, [names_of[i] for i in lang_of[states[starts]].tolist()], np.column_stack([trie.phrases(states[starts]), codes[starts]]), np.diff(np.r_[starts, len(states)]))
+            n = np.diff(np.r_[starts, len(states)])
+            for at in range(0, len(starts), ROWS):
+                part = starts[at : at + ROWS]
+                yield rows(k + 1, [names_of[i] for i in lang_of[states[part]].tolist()], np.column_stack([trie.phrases(states[part]), codes[part]]), n[at : at + ROWS])
 
         for b in batches:
             for lang, codes, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "codes", "places"))):
@@ -276,16 +281,16 @@ def _counted(blocks: DataFrame, row, k: int, longer: bool, alone: bool) -> DataF
                     nexts.append((states[inside][good], after[good]))
                     gathered += int(good.sum())
                     if gathered > GATHER:
-                        yield longest()
+                        yield from longest()
                         nexts, gathered = [], 0
         if gathered:
-            yield longest()
+            yield from longest()
         if seen:
             total += np.bincount(np.concatenate(seen), minlength=len(total))
         hit = np.flatnonzero(total)
         names_of = list(known)
-        for start in range(0, len(hit), 200_000):
-            part = hit[start : start + 200_000]
+        for start in range(0, len(hit), ROWS):
+            part = hit[start : start + ROWS]
             yield rows(k, [names_of[i] for i in lang_of[part].tolist()], trie.phrases(part), total[part])
 
     schema = f"size int, lang string, {', '.join(f'{c} long' for c in names)}, n long"
@@ -356,6 +361,7 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, share: i
     """
     spark = docs.sparkSession
     small_batches(spark)
+    small_bytes(spark, BYTES)
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     path = shared_dir(spark, "words")
     _word_counts(given).write.parquet(path)
