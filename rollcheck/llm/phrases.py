@@ -29,8 +29,10 @@ from .common import cut, shared_dir, small_batches, small_bytes, texts
 SHARD = 500_000
 #: Positions that a task gathers before it sums and passes on the counts of longer phrases.
 GATHER = 1_000_000
-#: Rows of a batch that a task passes on, and bytes of one that it takes in.
-ROWS, BYTES = 50_000, 8 << 20
+#: Groups that counts are dealt to, at least; more words have more, so that a group stays near GATHER positions.
+DEALS = 256
+#: Bytes of a batch that a task takes in.
+BYTES = 8 << 20
 #: Words are handed to the trie in digits of so many bits, which keeps each node's children few.
 DIGIT = 4
 UNKNOWN = "und"
@@ -207,18 +209,23 @@ class Trie:
 
 
 def _tries(candidates: DataFrame, k: int, shards: int) -> DataFrame:
-    """(shard, symbols, base, check, digits): a trie for each shard of about SHARD candidates, chosen by a hash of the phrase."""
+    """(shard, symbols, base, check, digits, langs, lang_of): a trie for each shard of about SHARD candidates, chosen by a hash of the phrase."""
     names = [f"c{j}" for j in range(1, k + 1)]
-    keyed = candidates.select(F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int").alias("shard"), *names)
+    keyed = candidates.select(F.pmod(F.xxhash64(*names), F.lit(shards)).cast("int").alias("shard"), "lang", *names)
 
     def build(table: pa.Table) -> pa.Table:
-        t = Trie(np.stack([table[c].to_numpy().view(np.uint64) for c in names], axis=1))
-        return pa.table({"shard": table["shard"][:1], "symbols": [t.symbols.tobytes()], "base": [t.base.tobytes()], "check": [t.check.tobytes()], "digits": pa.array([t.digits], pa.int32())})
+        codes = np.stack([table[c].to_numpy().view(np.uint64) for c in names], axis=1)
+        t = Trie(codes)
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        lang_of = np.zeros(len(t.symbols), np.int32)
+        lang_of[np.searchsorted(t.symbols, codes)] = langs.indices.to_numpy(zero_copy_only=False)[:, None]
+        arrays = {n: [x.tobytes()] for n, x in (("symbols", t.symbols), ("base", t.base), ("check", t.check))}
+        return pa.table({"shard": table["shard"][:1], **arrays, "digits": pa.array([t.digits], pa.int32()), "langs": [langs.dictionary.to_pylist()], "lang_of": [lang_of.tobytes()]})
 
-    return keyed.groupBy("shard").applyInArrow(build, "shard int, symbols binary, base binary, check binary, digits int")
+    return keyed.groupBy("shard").applyInArrow(build, "shard int, symbols binary, base binary, check binary, digits int, langs array<string>, lang_of binary")
 
 
-def _load(row, k: int) -> Trie:
+def _load(row: dict, k: int) -> Trie:
     t = Trie.__new__(Trie)
     t.words, t.digits = k, row["digits"]
     t.symbols = np.frombuffer(row["symbols"], np.uint64)
@@ -226,81 +233,112 @@ def _load(row, k: int) -> Trie:
     return t
 
 
-def _counted(blocks: DataFrame, row, k: int, longer: bool, alone: bool) -> DataFrame:
-    """(size, lang, c1 .., n): counts of the trie's phrases, and of phrases of one word more that may be frequent.
-
-    Where this trie is the only one of its length, both parts of a longer phrase are looked up in it; otherwise
-    only the first part is.
+def _summed(states: np.ndarray, nexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (state, next) in order, and their counts or the sums of n."""
+    order = np.lexsort((nexts, states))
+    states, nexts = states[order], nexts[order]
+    starts = np.flatnonzero(np.r_[True, (states[1:] != states[:-1]) | (nexts[1:] != nexts[:-1])])
+    sums = np.diff(np.r_[starts, len(states)]) if n is None else np.add.reduceat(n[order], starts)
+    return states[starts], nexts[starts], sums
+
+
+def _packed(states: np.ndarray, nexts: np.ndarray, n: np.ndarray, deals: int) -> pa.RecordBatch:
+    """(deal, states, nexts, n): rows of arrays, dealt by a hash of state and next, in the narrowest type that holds them."""
+    mixed = states.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ nexts.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    deal = ((mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)) % np.uint64(deals)
+    order = np.argsort(deal, kind="stable")
+    deal, states, nexts, n = deal[order], states[order], nexts[order], n[order]
+    cuts = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+    wide = np.min_scalar_type(int(n.max()))
+    parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(deal)]))
+    columns = [[x[i:j].tobytes() for i, j in parts] for x in (states.astype(np.int32), nexts, n.astype(wide))]
+    return pa.RecordBatch.from_arrays([pa.array(deal[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in columns]], names=["deal", "states", "nexts", "n"])
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    states, nexts, n = [], [], []
+    for s, x, c in zip(*(table[name].to_pylist() for name in ("states", "nexts", "n"))):
+        states.append(np.frombuffer(s, np.int32))
+        m = len(states[-1])
+        nexts.append(np.frombuffer(x, f"u{len(x) // m}").astype(np.uint64))
+        n.append(np.frombuffer(c, f"u{len(c) // m}").astype(np.int64))
+    return np.concatenate(states), np.concatenate(nexts), np.concatenate(n)
+
+
+def _counted(blocks: DataFrame, row: dict, k: int, longer: bool, alone: bool, least: int, deals: int) -> DataFrame:
+    """(size, lang, c1 .., n): the trie's phrases, and phrases of one word more, that occur least times or more.
+
+    Tasks pass on arrays of states with their counts, and of states with a word behind them (its number in this trie
+    where that is the only one of its length, so that both parts are known; its code otherwise). They are dealt out by
+    a hash, so no group grows with one phrase, and summed.
     """
     names = [f"c{j}" for j in range(1, k + 2)]
-    shared = blocks.sparkSession.sparkContext.broadcast({n: row[n] if n == "digits" else bytes(row[n]) for n in ("symbols", "base", "check", "digits")})
-
-    def rows(size: int, langs: list[str], codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.ascontiguousarray(codes[:, j]).view(np.int64)) if j < size else pa.nulls(len(n), pa.int64()) for j in range(k + 1)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), pa.array(langs, pa.string()), *columns, pa.array(n.astype(np.int64))], names=["size", "lang", *names, "n"])
+    shared = blocks.sparkSession.sparkContext.broadcast({n: bytes(x) if isinstance(x, bytearray) else x for n, x in row.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _load(shared.value, k)
-        known: dict[str, int] = {}
-        seen: list[tuple[np.ndarray, int]] = []
-        total, lang_of = np.zeros(len(trie.base), np.int64), np.zeros(len(trie.base), np.int32)
+        total = np.zeros(len(trie.base), np.int64)
+        seen: list[np.ndarray] = []
         nexts: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = gathered = 0
-
-        def longest() -> Iterator[pa.RecordBatch]:
-            states, codes = (np.concatenate(x) for x in zip(*nexts))
-            order = np.lexsort((codes, states))
-            states, codes = states[order], codes[order]
-            starts = np.flatnonzero(np.r_[True, (states[1:] != states[:-1]) | (codes[1:] != codes[:-1])])
-            names_of = list(known)
-            n = np.diff(np.r_[starts, len(states)])
-            for at in range(0, len(starts), ROWS):
-                part = starts[at : at + ROWS]
-                yield rows(k + 1, [names_of[i] for i in lang_of[states[part]].tolist()], np.column_stack([trie.phrases(states[part]), codes[part]]), n[at : at + ROWS])
-
         for b in batches:
-            for lang, codes, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "codes", "places"))):
+            for codes, places in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("codes", "places"))):
                 codes = np.frombuffer(codes, np.uint64)
                 places = np.frombuffer(places, np.uint16 if len(codes) <= 1 << 16 else np.uint32)
-                at, states = trie.accepted(trie.numbers(codes), places)
-                lang_of[states] = known.setdefault(lang, len(known))
+                numbers = trie.numbers(codes)
+                at, states = trie.accepted(numbers, places)
                 seen.append(states)
                 waiting += len(states)
                 if waiting > len(total):
                     total += np.bincount(np.concatenate(seen), minlength=len(total))
                     seen, waiting = [], 0
-                if longer:
-                    inside = at + k < len(places)
-                    after = codes[places[at[inside] + k]]
-                    if alone:
-                        starts = np.zeros(len(places) + 1, bool)
-                        starts[at] = True
-                        good = starts[at[inside] + 1]
-                    else:
-                        good = after != 0
-                    nexts.append((states[inside][good], after[good]))
-                    gathered += int(good.sum())
-                    if gathered > GATHER:
-                        yield from longest()
-                        nexts, gathered = [], 0
+                if not longer:
+                    continue
+                inside = at + k < len(places)
+                if alone:
+                    starts = np.zeros(len(places) + 1, bool)
+                    starts[at] = True
+                    good = inside & starts[np.minimum(at + 1, len(places))]
+                    after = (numbers[places[at[good] + k]] + 1).astype(np.uint32)
+                else:
+                    good = inside
+                    good[inside] = codes[places[at[inside] + k]] != 0
+                    after = codes[places[at[good] + k]]
+                nexts.append((states[good], after))
+                gathered += len(after)
+                if gathered > GATHER:
+                    yield _packed(*_summed(*(np.concatenate(x) for x in zip(*nexts))), deals)
+                    nexts, gathered = [], 0
         if gathered:
-            yield from longest()
+            yield _packed(*_summed(*(np.concatenate(x) for x in zip(*nexts))), deals)
         if seen:
             total += np.bincount(np.concatenate(seen), minlength=len(total))
         hit = np.flatnonzero(total)
-        names_of = list(known)
-        for start in range(0, len(hit), ROWS):
-            part = hit[start : start + ROWS]
-            yield rows(k, [names_of[i] for i in lang_of[part].tolist()], trie.phrases(part), total[part])
+        if len(hit):
+            yield _packed(hit, np.zeros(len(hit), np.uint32), total[hit], deals)
+
+    def add(table: pa.Table) -> pa.Table:
+        states, after, n = _summed(*_unpacked(table))
+        often = n >= least
+        states, after, n = states[often], after[often], n[often]
+        trie = _load(shared.value, k)
+        own = after == 0
+        last = np.where(own, np.uint64(0), trie.symbols[(np.maximum(after, np.uint64(1)) - np.uint64(1)).astype(np.int64)] if alone else after)
+        codes = trie.phrases(states)
+        lang_of = np.frombuffer(shared.value["lang_of"], np.int32)[np.searchsorted(trie.symbols, codes[:, 0])]
+        langs = pa.DictionaryArray.from_arrays(pa.array(lang_of), pa.array(shared.value["langs"], pa.string())).cast(pa.string())
+        columns = {c: pa.array(np.ascontiguousarray(codes[:, j]).view(np.int64)) for j, c in enumerate(names[:-1])}
+        return pa.table({"size": pa.array(np.where(own, k, k + 1).astype(np.int32)), "lang": langs, **columns, names[-1]: pa.array(last.view(np.int64), mask=own), "n": pa.array(n)})
 
-    schema = f"size int, lang string, {', '.join(f'{c} long' for c in names)}, n long"
-    return blocks.mapInArrow(run, schema).groupBy("size", "lang", *names).agg(F.sum("n").alias("n"))
+    dealt = blocks.mapInArrow(run, "deal int, states binary, nexts binary, n binary")
+    return dealt.groupBy("deal").applyInArrow(add, f"size int, lang string, {', '.join(f'{c} long' for c in names)}, n long")
 
 
-def frequent_phrases(blocks: DataFrame, words: DataFrame, least: int, most_words: int) -> DataFrame:
-    """(lang, key, f) of all words and phrases that occur least times or more; key is the array of their word codes."""
+def frequent_phrases(blocks: DataFrame, words: DataFrame, least: int, most_words: int, total: int) -> DataFrame:
+    """(lang, key, f) of all words and phrases that occur least times or more; key is the array of their word codes, total the number of all words."""
     candidates = words.select("lang", F.col("code").alias("c1"))
     found = words.select("lang", F.array("code").alias("key"), F.col("n").alias("f"))
+    deals = max(DEALS, total // GATHER)
     for k in range(1, most_words + 1):
         shards = -(-candidates.count() // SHARD)
         if not shards:
@@ -309,7 +347,7 @@ def frequent_phrases(blocks: DataFrame, words: DataFrame, least: int, most_words
         passes = []
         for row in (tries.filter(F.col("shard") == s).first() for s in range(shards)):
             if row is not None:
-                passes.append(cut(_counted(blocks, row, k, k < most_words, shards == 1).filter(F.col("n") >= least)))
+                passes.append(cut(_counted(blocks, row.asDict(), k, k < most_words, shards == 1, least, deals)))
         counts = passes[0]
         for p in passes[1:]:
             counts = counts.unionByName(p)
@@ -370,7 +408,8 @@ def collocations(docs: DataFrame, least: int = 30, most_words: int = 4, share: i
     path = shared_dir(spark, "blocks")
     _blocks(given, salt).write.parquet(path)
     words = cut(words.filter(F.col("n") >= least))
-    frequent = frequent_phrases(spark.read.parquet(path), words, least, most_words)
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    frequent = frequent_phrases(spark.read.parquet(path), words, least, most_words, total)
     scored = cut(score_phrases(frequent, share))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     if top is not None:  # phrases are spelled after this: equals of the last rank stay in until then
