@@ -133,6 +133,16 @@ def serial_gaps(records: DataFrame) -> DataFrame:
     return gaps.select("doc_id", low.alias("gap_from"), high.alias("gap_to"), F.when(low == high, low.cast("string")).otherwise(F.concat_ws("-", low, high)).alias("gap"))
 
 
+def serial_gap_issues(records: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """(doc_id, issue_type, issue_detail, status): an open serial_gap issue for each gap, those that are open already left out."""
+    gaps = serial_gaps(records)
+    text = F.concat(F.lit("Possible missing/unreadable serial "), F.col("gap_from"), F.when(F.col("gap_to") > F.col("gap_from"), F.concat(F.lit("–"), "gap_to")).otherwise(""))
+    rows = gaps.select("doc_id", F.lit("serial_gap").alias("issue_type"), text.alias("issue_detail"), F.lit("open").alias("status"))
+    if issues is None:
+        return rows
+    return rows.join(issues.filter("issue_type = 'serial_gap' and status = 'open'").select("doc_id", "issue_detail"), ["doc_id", "issue_detail"], "left_anti").select(*rows.columns)
+
+
 def page_sequence(pages: DataFrame) -> DataFrame:
     """Pages whose printed number skips or falls behind the largest so far."""
     w = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
@@ -194,8 +204,22 @@ def canonical_rows(records: DataFrame, documents: DataFrame, expectations: DataF
     return first.select("part_number", "slot_serial", "r.record_id", "r.age", valid.alias("valid_age"), X.age_group(F.col("r.age")).alias("age_group"), X.gender_group(F.col("r.gender")).alias("gender_group"), X.house_key(F.col("r.house")).alias("house_key"), X.ident_key(F.col("r.ident")).alias("ident_key"))
 
 
+GENDERS = ("male", "female", "other_unknown")
+
+
+def check_demographics(part: int | None, gender: str | None, age: str | None, expectations: DataFrame | None = None) -> None:
+    """ValueError for a gender filter or age group that is none, and for a part without an expectation where those are given."""
+    if gender is not None and gender not in GENDERS:
+        raise ValueError(f"unsupported gender filter: {gender}")
+    if age is not None and age not in AGES:
+        raise ValueError(f"unsupported age group: {age}")
+    if part is not None and expectations is not None and expectations.filter(F.col("part_number") == part).isEmpty():
+        raise ValueError(f"unsupported part: {part}")
+
+
 def demographic_filter(rows: DataFrame, part: int | None = None, gender: str | None = None, age: str | None = None) -> DataFrame:
-    """Only the given filters; other_unknown takes both groups."""
+    """Only the given filters; other_unknown takes both groups. Values that are no filter raise ValueError."""
+    check_demographics(part, gender, age)
     if part is not None:
         rows = rows.filter(F.col("part_number") == part)
     if gender is not None:
@@ -219,6 +243,167 @@ def insights(rows: DataFrame) -> DataFrame:
     return people.crossJoin(houses).crossJoin(idents)  # one row each
 
 
+#: Labels of the age groups and house sizes of a report.
+AGE_LABELS = ("18–25", "26–35", "36–45", "46–60", "61–75", "76+", "Unknown / invalid")
+HOUSE_KEYS = {"one": "1 voter", "two": "2 voters", "three_four": "3–4 voters", "five_six": "5–6 voters", "seven_plus": "7+ voters"}
+
+
+def insights_report(records: DataFrame, documents: DataFrame, expectations: DataFrame, issues: DataFrame, part: int | None = None, gender: str | None = None, age: str | None = None) -> DataFrame:
+    """One row: 33 figures and three arrays (parts, age_groups, house_groups) over the canonical records that pass the filters.
+
+    Canonical is a slot's first English record, whose verification is the slot's. A slot needs review if it is not
+    verified and its record is marked for it or some record of the slot has an open issue. Serial figures and missing
+    slots look at all records of the part, whatever the other filters. Records are read once: they are grouped by slot,
+    and the slots, with a row for each part's expectation, by part, house, ident and age in one grouping-sets
+    aggregate, from whose rows every figure comes. Ages in years are few, so the median comes from their counts.
+    """
+    check_demographics(part, gender, age, expectations)
+    c = F.col
+    if part is not None:
+        records, expectations = records.filter(c("part_number") == part), expectations.filter(c("part_number") == part)
+    open_ = issues.filter("status = 'open'").groupBy("record_id").agg(F.count_if(c("severity") == "critical").alias("_critical"))
+    known = active_records(records, documents).join(small(expectations.select("part_number")), "part_number")
+    rows = link_records(known, expectations).join(open_, "record_id", "left")
+    english = c("lang") == "en"
+    first = F.min_by(F.struct("age", "gender", "house", "ident", c("verification_status").alias("status")), F.when(english, c("record_id")))
+    slots = rows.groupBy("part_number", "slot_serial").agg(
+        F.count_if(english).alias("en"),
+        F.count_if(c("lang") == "te").alias("te"),
+        (F.count("_critical") > 0).alias("open_issue"),
+        F.coalesce(F.sum("_critical"), F.lit(0)).alias("critical"),
+        F.when((F.count_if(english) > 0) & c("slot_serial").isNotNull(), first).alias("r"),
+    )
+    held = c("r").isNotNull()
+    people = slots.select(
+        "part_number",
+        "slot_serial",
+        "en",
+        "te",
+        "open_issue",
+        "critical",
+        held.alias("held"),
+        c("r.age").alias("age"),
+        c("r.status").alias("status"),
+        X.age_group(c("r.age")).alias("age_group"),
+        X.gender_group(c("r.gender")).alias("gender_group"),
+        X.house_key(c("r.house")).alias("house_key"),
+        X.ident_spaceless(c("r.ident")).alias("ident_key"),
+    )
+    keep = c("held")
+    if gender is not None:
+        keep = keep & (c("gender_group").isin("other", "unknown") if gender == "other_unknown" else c("gender_group") == gender)
+    if age is not None:
+        keep = keep & (c("age_group") == age)
+    valid = F.when(c("age").between(18, 125), c("age"))
+    review = (c("status") == "requires_review") | c("open_issue")
+    verified = c("status") == "verified"
+    linked = c("slot_serial").isNotNull()
+    ones = {
+        "n": keep,
+        **{g: keep & (c("gender_group") == g) for g in ("male", "female", "other", "unknown")},
+        "valid_n": keep & valid.isNotNull(),
+        "no_age": keep & c("age").isNull(),
+        "verified": keep & verified,
+        "review": keep & ~verified & review,
+        "no_house": keep & c("house_key").isNull(),
+        "no_ident": keep & c("ident_key").isNull(),
+    }
+    n = lambda condition: F.when(condition, 1).otherwise(0).cast("long")
+    people = people.select(
+        "part_number",
+        F.when(keep, c("house_key")).alias("house_key"),
+        F.when(keep, c("ident_key")).alias("ident_key"),
+        F.when(keep, valid).alias("valid_age"),
+        F.when(keep, valid).alias("years"),
+        *[n(F.coalesce(x, F.lit(False))).alias(k) for k, x in ones.items()],
+        F.when(keep, c("critical")).otherwise(0).alias("critical"),
+        n(c("held")).alias("held"),
+        F.when(linked, 0).otherwise(c("en") + c("te")).alias("unexpected"),
+        F.when(linked, n(c("en") > 1) + n(c("te") > 1)).otherwise(0).alias("repeated"),
+    )
+    sums = [*ones, "critical", "held", "unexpected", "repeated"]
+    zero = F.lit(0).cast("long")
+    nulls = {"house_key": "string", "ident_key": "string", "valid_age": "int", "years": "int"}
+    wanted = expectations.select(
+        "part_number",
+        *[F.lit(None).cast(t).alias(k) for k, t in nulls.items()],
+        *[zero.alias(k) for k in sums],
+        c("expected_total").cast("long").alias("expected"),
+        (c("serial_end") - c("serial_start") + 1).cast("long").alias("slots"),
+    )
+    both = people.withColumns({"expected": zero, "slots": zero}).unionByName(wanted)
+    keys = ["part_number", "house_key", "ident_key", "valid_age"]
+    sets = both.groupingSets([[c("part_number")], [c("part_number"), c("house_key")], [c("ident_key")], [c("valid_age")]], *keys)
+    grains = sets.agg(F.grouping_id().alias("_set"), *[F.sum(k).alias(k) for k in [*sums, "expected", "slots"]], F.sum("years").alias("age_sum"), F.min("years").alias("youngest"), F.max("years").alias("oldest"))
+    by_part, by_house, by_ident, by_age = (c("_set") == k for k in (0b0111, 0b0011, 0b1101, 0b1110))
+    in_house, of_age = by_house & c("house_key").isNotNull(), by_age & c("valid_age").isNotNull()
+    of = lambda k: F.sum(F.when(by_part, c(k)))
+    sizes = {"house_groups": (1, 1 << 62), "single": (1, 1), "two": (2, 2), "three_four": (3, 4), "five_six": (5, 6), "seven_plus": (7, 1 << 62)}
+    # one row a part, and one without a part that holds the figures by ident and age
+    parts = grains.groupBy("part_number").agg(
+        *[of(k).alias(k) for k in [*sums, "expected", "slots", "age_sum"]],
+        *[f(F.when(by_part, c(k))).alias(k) for f, k in ((F.min, "youngest"), (F.max, "oldest"))],
+        *[F.count_if(in_house & c("n").between(*size)).alias(k) for k, size in sizes.items()],
+        F.max(F.when(in_house, c("n"))).alias("largest"),
+        F.sum(F.when(in_house, c("n"))).alias("housed"),
+        F.count_if(by_ident & c("ident_key").isNotNull() & (c("n") > 1)).alias("shared_idents"),
+        F.percentile(F.when(of_age, c("valid_age")), 0.5, F.when(of_age, c("n")).otherwise(zero)).alias("median"),
+        *[F.sum(F.when(of_age & (X.age_group(c("valid_age")) == a), c("n"))).alias(f"_{a}") for a in AGES[:-1]],
+    )
+    mean = lambda whole, count: F.round(whole.cast("decimal(28,6)") / F.nullif(count, zero), 1).cast("double")
+    row = F.struct(
+        c("part_number").alias("part"),
+        "expected",
+        c("n").alias("available"),
+        "male",
+        "female",
+        (c("other") + c("unknown")).alias("other_unknown"),
+        mean(c("age_sum"), c("valid_n")).alias("average_age"),
+        c("youngest").alias("youngest_age"),
+        c("oldest").alias("oldest_age"),
+        "house_groups",
+        "verified",
+        c("review").alias("needs_review"),
+    )
+    total = lambda k: F.coalesce(F.sum(k), zero)
+    out = parts.agg(
+        total("expected").alias("expected_total"),
+        total("n").alias("available_total"),
+        *[total(g).alias(f"{g}_total") for g in ("male", "female", "other")],
+        total("unknown").alias("unknown_gender_total"),
+        total("valid_n").alias("valid_age_count"),
+        total("no_age").alias("missing_age_count"),
+        (total("n") - total("valid_n") - total("no_age")).alias("invalid_age_count"),
+        mean(F.sum("age_sum"), total("valid_n")).alias("average_age"),
+        F.round(F.max("median"), 1).alias("median_age"),
+        F.min("youngest").alias("youngest_age"),
+        F.max("oldest").alias("oldest_age"),
+        total("house_groups").alias("house_group_count"),
+        *[total(k).alias(f"{k}_house_groups") for k in list(sizes)[1:]],
+        F.coalesce(F.max("largest"), zero).alias("largest_house_group"),
+        mean(F.sum("housed"), total("house_groups")).alias("average_voters_per_house"),
+        total("verified").alias("verified_total"),
+        total("review").alias("needs_review_total"),
+        (total("n") - total("verified") - total("review")).alias("unverified_total"),
+        total("critical").alias("critical_issue_count"),
+        total("shared_idents").alias("duplicate_ident_groups"),
+        total("unknown").alias("missing_gender_count"),
+        total("no_house").alias("missing_house_count"),
+        total("no_ident").alias("missing_ident_count"),
+        (total("slots") - total("held")).alias("missing_serial_count"),
+        total("unexpected").alias("unexpected_serial_count"),
+        total("repeated").alias("duplicate_part_serial_groups"),
+        F.array_sort(F.collect_list(F.when(c("part_number").isNotNull(), row))).alias("parts"),
+        *[total(f"_{a}").alias(f"_{a}") for a in AGES[:-1]],
+    )
+    ages = [c(f"_{a}") for a in AGES[:-1]] + [c("available_total") - c("valid_age_count")]
+    counts = [c(f"{k}_house_groups") for k in list(sizes)[1:]]
+    label = lambda key, name, count: F.struct(F.lit(key).alias("key"), F.lit(name).alias("label"), count.alias("count"))
+    out = out.withColumn("age_groups", F.array(*[label(a, name, x) for a, name, x in zip(AGES, AGE_LABELS, ages)]))
+    out = out.withColumn("house_groups", F.array(*[label(k, name, x) for (k, name), x in zip(HOUSE_KEYS.items(), counts)]))
+    return out.withColumn("revision_count", F.lit(1).cast("long")).drop(*[f"_{a}" for a in AGES[:-1]])
+
+
 def age_histogram(rows: DataFrame) -> DataFrame:
     """Every age group, empty ones too."""
     labels = rows.sparkSession.createDataFrame([(a,) for a in AGES], "age_group string")
@@ -257,6 +442,36 @@ def dashboard_counts(records: DataFrame) -> DataFrame:
     return records.groupBy(X.age_band(F.col("age")).alias("age_band")).agg(F.count("*").alias("records"), F.count_if(F.lower(F.trim("gender")).startswith("m")).alias("m"), F.count_if(F.lower(F.trim("gender")).startswith("f")).alias("f"))
 
 
+BANDS = ("18-25", "26-35", "36-50", "51-65", "66+", "missing")
+
+
+def dashboard_totals(records: DataFrame) -> DataFrame:
+    """The older dashboard's figures in one pass: a row for all records (part_number null) and one for each part.
+
+    records, men, women, others and missing by gender prefix, the six age bands, verified, for review, and houses,
+    which are house numbers of a part.
+    """
+    c = F.col
+    gender, band = X.norm_text(c("gender"), ascii_only=True), X.age_band(c("age"))
+    rows = records.select("part_number", "verification_status", gender.alias("g"), band.alias("band"), F.nullif(X.norm_house(c("house"), ascii_only=True), F.lit("")).alias("h"))
+    house = F.when(c("h").isNotNull(), F.struct(c("part_number").alias("of"), "h"))
+    rows = rows.withColumn("house", house)
+    known = [c("g").startswith(x) for x in ("m", "f")]
+    out = rows.groupingSets([[], [c("part_number")]], "part_number").agg(
+        F.count("*").alias("records"),
+        F.count_if(known[0]).alias("men"),
+        F.count_if(known[1]).alias("women"),
+        F.count_if((c("g") != "") & ~known[0] & ~known[1]).alias("others"),
+        F.count_if(c("g") == "").alias("no_gender"),
+        *[F.count_if(c("band") == b).alias(f"age_{b}") for b in BANDS],
+        F.count_if(c("verification_status") == "verified").alias("verified"),
+        F.count_if(c("verification_status") == "requires_review").alias("review"),
+        F.countDistinct("house").alias("houses"),
+        F.grouping("part_number").alias("_all"),
+    )
+    return out.withColumn("scope", F.when(c("_all") == 1, "all").otherwise("part")).drop("_all")
+
+
 def dashboard_filter(records: DataFrame, documents: DataFrame, part: int | None = None, edition: str | None = None, document: int | None = None, status: str | None = None, gender: str | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
     """Records of known documents by the filters that are given; gender is a prefix, an age bound leaves out unknown ages."""
     c = F.col

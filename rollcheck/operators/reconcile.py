@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
+from rollcheck.operators.completeness import member_lists
+from rollcheck.operators.paging import read_page
 from rollcheck.operators.registry import expected_slots, link_records, small
 
 FIELDS = ("ident", "house", "age", "gender")
@@ -84,6 +86,38 @@ def status_client() -> Column:
     )
 
 
+def edition_links(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Links of unique English and Telugu records of a slot whose idents don't conflict: ids, evidence, decision (verified, needs_review) and reason."""
+    c = F.col
+    pairs = pair_editions(records, documents, expectations).withColumn("decision", status_client()).filter(c("decision").isin("verified", "needs_review"))
+    reason = F.when(c("decision") == "verified", "unique identity is corroborated by strong structured fields").otherwise("unique identity matched, but structured corroboration is incomplete or inconsistent")
+    return pairs.select("part_number", "slot_serial", c("en.record_id").alias("en_id"), c("te.record_id").alias("te_id"), *[f"{f}_evidence" for f in FIELDS], "decision", reason.alias("reason"))
+
+
+def edition_conflicts(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """(kind, lang, part_number, slot_serial, n, chunk, record_ids) of what forbids a link.
+
+    duplicate_identity: several records of an edition on one slot, in rows of bounded size; structural_conflict: a record
+    without a slot; ident_conflict: unique records whose idents differ (lang is null, both ids).
+    """
+    c = F.col
+    scope = _scope(records, documents, expectations).select("part_number", "lang", "slot_serial", "record_id")
+    groups = member_lists(scope.filter("slot_serial is not null"), ["part_number", "lang", "slot_serial"], "record_id").filter("n > 1")
+    columns = ["lang", "part_number", "slot_serial", "n", "chunk", "record_ids"]
+    double = groups.withColumnRenamed("members", "record_ids").select(F.lit("duplicate_identity").alias("kind"), *columns)
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    loose = scope.filter("slot_serial is null").select(F.lit("structural_conflict").alias("kind"), "lang", "part_number", "slot_serial", one.alias("n"), zero.alias("chunk"), F.array("record_id").alias("record_ids"))
+    clash = pair_editions(records, documents, expectations).filter(status_client() == "conflict")
+    idents = clash.select(F.lit("ident_conflict").alias("kind"), F.lit(None).cast("string").alias("lang"), "part_number", "slot_serial", (one + 1).alias("n"), zero.alias("chunk"), F.array_sort(F.array("en.record_id", "te.record_id")).alias("record_ids"))
+    return double.unionByName(loose).unionByName(idents)
+
+
+def unmatched_records(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """(lang, record_id) of the editions' records that no link holds."""
+    linked = edition_links(records, documents, expectations).select(F.explode(F.array("en_id", "te_id")).alias("record_id"))
+    return _scope(records, documents, expectations).select("lang", "record_id").join(linked, "record_id", "left_anti").select("lang", "record_id")
+
+
 def reconciliation_summary(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
     """One row per part: documents, records, linked slots and the slots in each status."""
     status = pair_editions(records, documents, expectations).withColumn("status", status_sql())
@@ -171,6 +205,93 @@ def evidence_rows(records: DataFrame, documents: DataFrame, expectations: DataFr
     return linked.unionByName(unlinked)
 
 
+DETAILS = ("record_id", "doc_id", "revision_id", "name", "relation_name", "house", "age", "gender", "ident", "page", "verification_status")
+STATUSES = ("reconciled", "needs_review", "missing_en", "missing_te", "duplicate_source", "ident_conflict", "unlinked_source")
+LAST_SERIAL = (1 << 31) - 1
+
+
+def evidence_detail(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """The drill-down with its evidence: a row per slot with the newest record of each edition, and a row per record without a slot.
+
+    row_key, part_number, serial_number, serial_sort, status, verification_status, counts and field evidence, en and te as
+    structs of DETAILS, and search_text, which a search looks in. Records are read once.
+    """
+    c = F.col
+    docs = small(documents.filter("active_version").select("doc_id", "revision_id"))
+    linked = link_records(records.filter(c("lang").isin("en", "te")).join(docs, "doc_id"), expectations)
+    keyed = linked.select(
+        "part_number",
+        "lang",
+        "slot_serial",
+        "serial_number",
+        "created_at",
+        F.struct(*DETAILS).alias("d"),
+        F.struct(F.nullif(F.upper(F.trim("ident")), F.lit("")).alias("ident"), X.house_key(c("house")).alias("house"), "age", F.nullif(F.lower(F.trim("gender")), F.lit("")).alias("gender")).alias("k"),
+        F.when(c("slot_serial").isNull(), c("record_id")).alias("loose"),
+    )
+    # the newest record of each edition, the smallest id of equal ones
+    newest = F.struct((-F.unix_micros(c("created_at").cast("timestamp"))).alias("age"), c("d.record_id").alias("id"))
+    pick = lambda lang, what: F.when(F.count_if(c("lang") == lang) > 0, F.min_by(what, F.when(c("lang") == lang, newest)))
+    grouped = keyed.groupBy("part_number", "slot_serial", "loose").agg(
+        *[F.count_if(c("lang") == x).alias(f"{x}_count") for x in ("en", "te")],
+        *[pick(x, c("d")).alias(x) for x in ("en", "te")],
+        *[pick(x, c("k")).alias(f"_{x}") for x in ("en", "te")],
+        F.max("serial_number").alias("_serial"),
+    )
+    slots = expected_slots(expectations).withColumnRenamed("serial_no", "slot_serial")
+    out = slots.withColumn("loose", F.lit(None).cast("string")).withColumn("_slot", F.lit(True))
+    same = [out[k].eqNullSafe(grouped[k]) for k in ("part_number", "slot_serial", "loose")]
+    mine = [F.coalesce(out[k], grouped[k]).alias(k) for k in ("part_number", "slot_serial", "loose")]
+    out = out.join(grouped, same, "full").select(*mine, "_slot", *[F.coalesce(f"{x}_count", F.lit(0)).alias(f"{x}_count") for x in ("en", "te")], "en", "te", "_en", "_te", "_serial")
+    loose = c("loose").isNotNull()
+    out = out.withColumns({f"{f}_evidence": F.when(loose, "unavailable").otherwise(X.evidence(c(f"_en.{f}"), c(f"_te.{f}"))) for f in FIELDS})
+    serial = F.when(loose, c("_serial")).otherwise(c("slot_serial").cast("string"))
+    digits = F.when(c("_serial").rlike("^[0-9]+$"), c("_serial").try_cast("int"))
+    text = F.lower(F.concat_ws(" ", c("part_number").cast("string"), "serial_number", *[c(f"{x}.{f}") for x in ("en", "te") for f in ("name", "relation_name", "house", "ident")]))
+    return out.select(
+        F.when(loose, F.concat(F.lit("source:"), "loose")).otherwise(F.concat_ws(":", F.lit("slot"), "part_number", "slot_serial")).alias("row_key"),
+        "part_number",
+        serial.alias("serial_number"),
+        F.when(loose, F.coalesce(digits, F.lit(LAST_SERIAL))).otherwise(c("slot_serial")).alias("serial_sort"),
+        F.when(loose, "unlinked_source").otherwise(status_sql()).alias("status"),
+        F.coalesce("en.verification_status", "te.verification_status").alias("verification_status"),
+        "en_count",
+        "te_count",
+        *[f"{f}_evidence" for f in FIELDS],
+        "en",
+        "te",
+    ).withColumn("search_text", text)
+
+
+EVIDENCE_CURSOR = ["part_number", "serial_sort", "row_key"]
+
+
+def evidence_page(spark: SparkSession, path: str, part: int | None = None, status: str = "all", search: str | None = None, limit: int = 25, after: tuple | None = None) -> DataFrame:
+    """A page of evidence_detail as write_paged stored it with facets part_number and status; total_count is over the whole result."""
+    if status != "all" and status not in STATUSES:
+        raise ValueError(f"unsupported status: {status}")
+    where = ({"part_number": part} if part is not None else {}) | ({"status": status} if status != "all" else {})
+    text = (search or "").strip().lower()
+    return read_page(spark, path, EVIDENCE_CURSOR, limit, after, where, F.contains("search_text", F.lit(text)) if text else None)
+
+
+SERIAL_CURSOR = ["part_number", "edition", "page_cursor", "chunk"]
+
+
+def serial_page(spark: SparkSession, path: str, part: int, edition: str | None = None, status: str = "all", limit: int = 50, after: tuple | None = None) -> DataFrame:
+    """A page of completeness.serial_rows as write_paged stored it with facets part_number, edition and serial_status.
+
+    No edition means the elected records. after is the last row's page_cursor and chunk; total_count is over the rows behind it.
+    """
+    if edition is not None and edition not in ("en", "te", "ur"):
+        raise ValueError(f"unsupported edition: {edition}")
+    if status != "all" and status not in ("ok", "missing", "duplicate", "unexpected"):
+        raise ValueError(f"unsupported status: {status}")
+    own = (part, edition or "canonical")
+    where = dict(zip(SERIAL_CURSOR, own)) | ({"serial_status": status} if status != "all" else {})
+    return read_page(spark, path, SERIAL_CURSOR, limit, None if after is None else (*own, *after), where, remaining=True)
+
+
 def release_gate(records: DataFrame, documents: DataFrame, expectations: DataFrame, issues: DataFrame) -> DataFrame:
     """Per part: what stands against a release, and whether nothing does."""
     s = pair_editions(records, documents, expectations).withColumn("status", status_sql())
@@ -184,3 +305,40 @@ def release_gate(records: DataFrame, documents: DataFrame, expectations: DataFra
     out = per.join(open_issues, "part_number", "left").withColumn("critical_issues", F.coalesce("critical_issues", F.lit(0)))
     against = sum((F.col(c) for c in out.columns if c != "part_number"), F.lit(0))
     return out.withColumn("ready", against == 0)
+
+
+BLOCKERS = ("missing_slots", "duplicate_slots", "incomplete_slots", "unverified_slots", "unreconciled_slots", "critical_issues")
+
+
+def release_report(records: DataFrame, documents: DataFrame, expectations: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per part: slots that are unique, fully sourced, verified and reconciled, what stands against a release, its codes, and ready.
+
+    A slot is missing without any record, duplicate if an edition has several; the others are unique, and incomplete
+    without both editions, unverified unless both records are verified. Open critical issues count where a record of a
+    unique slot has them.
+    """
+    c = F.col
+    slots = evidence_detail(records, documents, expectations).filter(c("status") != "unlinked_source")
+    linked = link_records(records.filter(c("lang").isin("en", "te")).join(small(documents.filter("active_version").select("doc_id")), "doc_id"), expectations)
+    critical = issues.filter("status = 'open' and severity = 'critical'").join(linked.filter("slot_serial is not null").select("record_id", "part_number", "slot_serial"), "record_id")
+    critical = critical.groupBy("part_number", c("slot_serial").alias("serial_sort")).agg(F.count("*").alias("_critical"))
+    rows = slots.join(critical, ["part_number", "serial_sort"], "left")
+    missing, duplicate = (c("en_count") == 0) & (c("te_count") == 0), (c("en_count") > 1) | (c("te_count") > 1)
+    unique = ~missing & ~duplicate
+    sourced = c("en").isNotNull() & c("te").isNotNull()
+    verified = F.coalesce((c("en.verification_status") == "verified") & (c("te.verification_status") == "verified"), F.lit(False))
+    reconciled = c("status") == "reconciled"
+    out = rows.groupBy("part_number").agg(
+        F.count_if(unique).alias("unique_slots"),
+        F.count_if(unique & sourced).alias("sourced_slots"),
+        F.count_if(unique & verified).alias("verified_slots"),
+        F.count_if(unique & reconciled).alias("reconciled_slots"),
+        F.count_if(missing).alias("missing_slots"),
+        F.count_if(duplicate).alias("duplicate_slots"),
+        F.count_if(unique & ~sourced).alias("incomplete_slots"),
+        F.count_if(unique & ~verified).alias("unverified_slots"),
+        F.count_if(unique & ~reconciled).alias("unreconciled_slots"),
+        F.coalesce(F.sum(F.when(unique, c("_critical"))), F.lit(0)).alias("critical_issues"),
+    )
+    codes = F.array_compact(F.array(*[F.when(c(k) > 0, k) for k in BLOCKERS]))
+    return out.withColumn("blockers", codes).withColumn("ready", F.size("blockers") == 0)

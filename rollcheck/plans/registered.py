@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
+from rollcheck.operators import completeness as L
 from rollcheck.operators import evaluate as K
 from rollcheck.operators import extraction as P
 from rollcheck.operators import paging as G
@@ -76,7 +77,10 @@ scalar("b16_similarity", "part", "p_partkey", lambda: F.round(X.similarity(c("p_
 _tri = lambda x: f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w)+2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _trisim = lambda a, b: f"round(len(list_intersect({_tri(a)}, {_tri(b)}))::double / len(list_distinct(list_concat({_tri(a)}, {_tri(b)}))), 6)"
 scalar("b17_trigram_similarity", "part", "p_partkey", lambda: F.round(X.trigram_similarity(c("p_name"), c("p_type")), 6), _trisim("p_name", "p_type"))
-scalar("b18_edit_distance", "part", "p_partkey", lambda: F.concat_ws(":", F.levenshtein("p_name", "p_type"), X.token_distance(c("p_name"), c("p_name"))), "levenshtein(p_name, p_type)::int || ':0'")
+_wordlist = lambda x: f"string_split({x}, ' ')"
+_letters = lambda x, a, b: f"array_to_string(list_transform({_wordlist(x)}, lambda w: chr((47+list_position(list_distinct(list_concat({_wordlist(a)}, {_wordlist(b)})), w))::int)), '')"
+_turned = "(p_type || ' ' || p_name || ' steel')"
+scalar("b18_edit_distance", "part", "p_partkey", lambda: F.concat_ws(":", F.levenshtein("p_name", "p_type"), X.token_distance(F.concat_ws(" ", c("p_name"), c("p_type")), F.concat_ws(" ", c("p_type"), c("p_name"), F.lit("steel")))), f"levenshtein(p_name, p_type)::int || ':' || levenshtein({_letters("(p_name || ' ' || p_type)", "(p_name || ' ' || p_type)", _turned)}, {_letters(_turned, "(p_name || ' ' || p_type)", _turned)})::int")
 scalar("b19_edition_from_filename", "part", "p_partkey", lambda: X.edition_from_filename(F.concat(F.lit("roll-"), F.when(c("p_partkey") % 3 == 0, "TEL").when(c("p_partkey") % 3 == 1, "Urdu").otherwise("xx"), F.lit("-227.pdf"))), "case p_partkey%3 when 0 then 'te' when 1 then 'ur' else 'en' end")
 scalar("b20_part_from_text", "part", "p_partkey", lambda: X.part_from_text(F.concat(F.lit("Part No. 227 and part "), (227 + c("p_partkey") % 3).cast("string")), F.lit("x.pdf"), [227, 228]), "case when p_partkey%3 = 1 then null else 227 end")
 scalar("b21_revision_from_filename", "part", "p_partkey", lambda: X.revision_from_filename(F.concat(F.lit("roll_"), (2020 + c("p_partkey") % 5).cast("string"), F.lit(".pdf"))), "cast(2020 + p_partkey % 5 as varchar)")
@@ -171,6 +175,27 @@ def _a7(f):
     return io.split_known_files(files, repeated)["new"].select("doc_id")
 
 
+@query("a7_file_decisions", """with lost as (select distinct doc_id from fx_pages where status='requires_review' and error_type in ('page_processing_failed','page_persistence_failed')), known as (select d.filename, bool_or(processing_status in ('failed','interrupted','processing') or l.doc_id is not null) again from fx_documents d left join lost l using (doc_id) where d.part_number%5<>0 group by 1)
+ select d.doc_id, case when k.filename is null then 'new' when again then 'resume' else 'refuse' end as decision from fx_documents d left join known k using (filename)""")
+def _a7d(f):
+    docs = f["documents_roll"].withColumn("checksum", F.sha2("filename", 256))
+    known = docs.filter("part_number % 5 <> 0").select("doc_id", "checksum", c("processing_status").alias("status"))
+    parts = io.split_known_files(docs.select("doc_id", "checksum"), known, f["pages"])
+    each = [df.select("doc_id", F.lit(k).alias("decision")) for k, df in parts.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("h3_upsert_into", "select l_suppkey as k, coalesce(max(l_partkey) filter (l_orderkey%2=0 and l_suppkey%3=0), max(l_partkey) filter (l_orderkey%2=1)) as v from lineitem where l_orderkey%2=1 or l_suppkey%3=0 group by 1")
+def _h3u(f):
+    path = io.scratch_dir(f.spark, "upsert")
+    rows = f["lineitem"].select(c("l_suppkey").alias("k"), c("l_partkey").alias("v"), "l_orderkey")
+    io.upsert_into(rows.filter("l_orderkey % 2 = 1").select("k", "v"), path, ["k"], 16)
+    later = rows.filter("l_orderkey % 2 = 0 and k % 3 = 0").select("k", "v")
+    for _ in range(2):  # the second run changes nothing
+        io.upsert_into(later, path, ["k"], 16)
+    return f.spark.read.parquet(path).select("k", "v")
+
+
 _LINKED = f"linked as (select r.*, e.serial_start is not null ok, case when e.serial_start is not null then {_serial('r.serial_number')} end slot_serial from fx_records r left join fx_expectations e on e.part_number=r.part_number and ({_serial('r.serial_number')}) between e.serial_start and e.serial_end)"
 _SLOTS = "slots as (select part_number, unnest(generate_series(serial_start, serial_end))::int serial_no from fx_expectations)"
 
@@ -393,6 +418,21 @@ for _name, _status, _text in (("q7_reconcile_client", C.status_client, _CLIENT),
         lambda f, s=_status: C.pair_editions(*_roll(f)).select("part_number", "slot_serial", c("en.record_id").alias("en_id"), c("te.record_id").alias("te_id"), s().alias("status"))
     )
 
+@query("q7_links", f"with {_PAIRED_ID}, k as (select *, {_CLIENT} decision from paired) select part_number, slot_serial, en_id, te_id, {', '.join(f'{x}_evidence' for x in C.FIELDS)}, decision, case decision when 'verified' then 'unique identity is corroborated by strong structured fields' else 'unique identity matched, but structured corroboration is incomplete or inconsistent' end reason from k where decision in ('verified', 'needs_review')")
+def _q7l(f):
+    return C.edition_links(*_roll(f))
+
+
+@query("q7_conflicts", f"with {_PAIRED_ID}, k as (select *, {_CLIENT} decision from paired) select 'duplicate_identity' kind, lang, part_number, slot_serial, count(*) n, string_agg(record_id, ',' order by record_id) record_ids from scope where slot_serial is not null group by 2,3,4 having count(*)>1 union all select 'structural_conflict', lang, part_number, slot_serial, 1, record_id from scope where slot_serial is null union all select 'ident_conflict', null, part_number, slot_serial, 2, least(en_id, te_id) || ',' || greatest(en_id, te_id) from k where decision='conflict'")
+def _q7c(f):
+    return C.edition_conflicts(*_roll(f)).withColumn("record_ids", F.array_join("record_ids", ",")).drop("chunk")
+
+
+@query("q7_unmatched", f"with {_PAIRED_ID}, k as (select *, {_CLIENT} decision from paired), linked as (select unnest([en_id, te_id]) record_id from k where decision in ('verified', 'needs_review')) select lang, record_id from scope anti join linked using (record_id)")
+def _q7u(f):
+    return C.unmatched_records(*_roll(f))
+
+
 _SUMMARY = f"""with {_PAIRED_ID}, st as (select *, {_STATUS} status from paired),
  a as (select part_number, count(*) filter (en_count>0 and te_count>0) both_present, {', '.join(f"count(*) filter (status='{s}') {s}" for s in ('reconciled', 'needs_review', 'missing_en', 'duplicate_source', 'ident_conflict'))}, count(*) filter (te_count=0) missing_te from st group by 1),
  d as (select part_number, count(*) active_documents from fx_documents where active_version and lang in ('en','te') group by 1),
@@ -456,6 +496,138 @@ def _q13(f):
     return C.release_gate(*_roll(f), f["issues"])
 
 
+# --- completeness as lists, and paged reports
+_EDITIONS = "ed as (select * from (values ('en'),('te')) v(lang)), e as (select x.*, ed.lang from fx_expectations x cross join ed where part_number<>1)"
+_LISTS = f"""{_EDITIONS}, x as (select part_number, lang, record_id, {_serial('serial_number')} s, {_ident('ident')} k from fx_records where lang in ('en','te')),
+ known as (select x.*, serial_start, serial_end from x join e using (part_number, lang)),
+ gone as (select part_number, lang, unnest(generate_series(serial_start, serial_end)) n from e except select part_number, lang, s from known),
+ isl as (select *, n - row_number() over (partition by part_number, lang order by n) g from gone),
+ kinds as (select *, case when s is null then 'invalid' when s between serial_start and serial_end then 'duplicate' else 'unexpected' end kind from known),
+ lists as (select part_number, lang, 'missing' kind, min(n)::bigint low, max(n)::bigint high, null::varchar k, count(*) n, null::varchar ids from isl group by part_number, lang, g
+ union all select part_number, lang, kind, s::bigint, s::bigint, null, count(*), string_agg(record_id, ',' order by record_id) from kinds group by part_number, lang, kind, s having kind<>'duplicate' or count(*)>1
+ union all select part_number, lang, 'unsupported', null, null, null, count(*), string_agg(record_id, ',' order by record_id) from x anti join e using (part_number, lang) group by 1,2
+ union all select null, lang, 'duplicate_ident', null, null, k, count(*), string_agg(record_id, ',' order by record_id) from known where k is not null group by lang, k having count(*)>1)"""
+
+
+def _edition_records(f):
+    both = f["expectations"].filter("part_number <> 1").select("*", F.explode(F.array(F.lit("en"), F.lit("te"))).alias("lang"))
+    return f["records"].filter("lang in ('en', 'te')"), both, ("lang",)
+
+
+@query("q5_completeness_lists", f"with {_LISTS} select * from lists")
+def _q5l(f):
+    rows = L.completeness_lists(*_edition_records(f))
+    whole = rows.groupBy("part_number", "lang", "kind", "low", "high", c("key").alias("k"), "n").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return whole.withColumn("ids", F.when(F.size("ids") > 0, F.array_join(F.array_sort("ids"), ",")))
+
+
+_ENTRY = "low || ':' || n || ':' || ids"
+
+
+@query("q5_completeness_report", f"""with {_LISTS}, per as (select part_number, lang, coalesce(sum(n) filter (kind='missing'), 0)::bigint missing_count, string_agg(low || '-' || high, ',' order by low) filter (kind='missing') missing,
+ string_agg({_ENTRY}, ';' order by low) filter (kind='duplicate') duplicate, string_agg({_ENTRY}, ';' order by low) filter (kind='unexpected') unexpected, string_agg(ids, ',' order by ids) filter (kind='invalid') invalid from lists where part_number is not null and kind<>'unsupported' group by 1,2),
+ n as (select part_number, lang, count(*) record_count, count(*) filter (s between serial_start and serial_end) valid_count from known group by 1,2)
+ select e.part_number, e.lang, e.serial_end-e.serial_start+1::bigint expected_count, coalesce(record_count, 0) record_count, coalesce(valid_count, 0) valid_count, e.serial_end-e.serial_start+1-coalesce(missing_count, 0) unique_expected_count, coalesce(missing_count, 0) missing_count,
+ coalesce(missing, '') missing, coalesce(duplicate, '') duplicate, coalesce(unexpected, '') unexpected, coalesce(invalid, '') invalid, per.part_number is null as complete from e left join per using (part_number, lang) left join n using (part_number, lang)""")
+def _q5r(f):
+    out = L.completeness_report(*_edition_records(f))
+    entry = lambda r: F.concat_ws(":", r["serial"], r["n"], F.array_join(r["ids"], ","))
+    return out.withColumns(
+        {
+            "missing": F.array_join(F.transform("missing", lambda r: F.concat_ws("-", r["low"], r["high"])), ","),
+            "duplicate": F.array_join(F.transform("duplicate", entry), ";"),
+            "unexpected": F.array_join(F.transform("unexpected", entry), ";"),
+            "invalid": F.array_join("invalid", ","),
+        }
+    )
+
+
+@query("q5_edition_verdict", f"""with {_LISTS}, against as (select lang, count(distinct k) filter (kind='duplicate_ident') duplicate_idents, coalesce(sum(n) filter (kind='unsupported'), 0)::bigint unsupported from lists group by 1)
+ select ed.lang, (select count(*) from known where known.lang=ed.lang) record_count, coalesce(duplicate_idents, 0) duplicate_idents, coalesce(unsupported, 0) unsupported, not exists (select 1 from lists where lists.lang=ed.lang) as complete from ed left join against using (lang)""")
+def _q5v(f):
+    given = _edition_records(f)
+    return L.edition_verdict(L.completeness_report(*given), L.completeness_lists(*given))
+
+
+@query("q6_suspicious_ident_lists", f"with x as (select part_number, lang, record_id, {_ident('ident')} k, {_serial('serial_number')} s from fx_records) select part_number, lang, k as ident, string_agg(distinct s::varchar, ',' order by s::varchar) serials, count(*) n, string_agg(record_id, ',' order by record_id) ids from x where k is not null group by 1,2,3 having count(distinct s)>1")
+def _q6l(f):
+    texts = F.array_join(F.array_sort(F.transform("serials", lambda s: s.cast("string"))), ",")
+    return L.suspicious_ident_lists(f["records"]).select("part_number", "lang", "ident", texts.alias("serials"), "n", F.array_join("ids", ",").alias("ids"))
+
+
+@query("d14_house_members", f"select doc_id, part_number, {_house('house')} as house_key, min(record_id) representative, count(*) n, string_agg(record_id, ',' order by record_id) members from fx_records where ({_house('house')}) is not null group by 1,2,3")
+def _d14m(f):
+    return L.house_members(f["records"]).select("doc_id", "part_number", "house_key", "representative", "n", F.array_join("members", ",").alias("members"))
+
+
+_SERIAL_ROWS = f"""active as (select r.part_number, r.lang edition, r.record_id, trim(r.serial_number) t, {_serial('r.serial_number')} n0 from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version),
+ elected as (select r.part_number, 'canonical' edition, min(record_id) record_id, n0::varchar t, n0 from active r join fx_expectations e on e.part_number=r.part_number and n0 between serial_start and serial_end where edition='en' group by r.part_number, n0 having count(*)=1),
+ own as (select a.*, case when n0 between serial_start and serial_end then n0 end n from (select * from active union all select * from elected) a join fx_expectations e using (part_number)),
+ met as (select part_number, edition, n, case when n is null then coalesce(nullif(t, ''), '[missing]') end o, count(*) k, string_agg(record_id, ',' order by record_id) ids from own group by 1,2,3,4),
+ every as (select e.part_number, v.edition, unnest(generate_series(serial_start, serial_end)) n from fx_expectations e cross join (values ('en'),('te'),('ur'),('canonical')) v(edition)),
+ srows as (select part_number, edition, n::varchar serial_number, case when k is null then 'missing' when k>1 then 'duplicate' else 'ok' end serial_status, coalesce(k, 0) occurrence_count, coalesce(ids, '') source_record_ids, '0:' || lpad(n::varchar, 12, '0') page_cursor from every left join met using (part_number, edition, n)
+  union all select part_number, edition, o, 'unexpected', k, ids, '1:' || o from met where n is null)"""
+
+
+def _serial_page(f, *args):
+    path = io.scratch_dir(f.spark, "serials")
+    linked = R.link_records(R.active_records(f["records"], f["documents_roll"]), f["expectations"])
+    G.write_paged(L.serial_rows(*_roll(f), R.elect_canonical(linked)), path, C.SERIAL_CURSOR, ("part_number", "edition", "serial_status"), 8)
+    return C.serial_page(f.spark, path, *args).withColumn("source_record_ids", F.array_join("source_record_ids", ",")).drop("chunk")
+
+
+for _name, _args in (("q3_serial_page_edition", (2, "te", "all", 100, ("0:000000000450", 0))), ("q3_serial_page_duplicates", (1, "te", "duplicate", 20, None)), ("q3_serial_page_unexpected", (2, "te", "unexpected", 7, ("1:S2", 0))), ("q3_serial_page_canonical", (2, None, "missing", 30, ("0:000000000100", 0)))):
+    _where = f"part_number={_args[0]} and edition='{_args[1] or 'canonical'}'" + (f" and serial_status='{_args[2]}'" if _args[2] != "all" else "") + (f" and page_cursor>'{_args[4][0]}'" if _args[4] else "")
+    query(_name, f"with {_SERIAL_ROWS}, q as (select * from srows where {_where}) select *, (select count(*) from q) as total_count from q order by page_cursor limit {_args[3]}")(lambda f, x=_args: _serial_page(f, *x))
+
+
+_ONE = lambda x: ", ".join(f"{x}.{k} {x}_{k}" for k in C.DETAILS)
+_DETAIL = f"""own as (select r.*, d.revision_id, nullif(upper(trim(r.ident)),'') i, {_house('r.house')} h, nullif(lower(trim(r.gender)),'') g, case when ({_serial('r.serial_number')}) between e.serial_start and e.serial_end then {_serial('r.serial_number')} end slot_serial
+  from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version left join fx_expectations e on e.part_number=r.part_number where r.lang in ('en','te')),
+ ranked as (select *, row_number() over (partition by part_number, slot_serial, lang order by created_at desc, record_id) rn, count(*) over (partition by part_number, slot_serial, lang) cnt from own where slot_serial is not null),
+ {_SLOTS},
+ paired as (select s.part_number, s.serial_no slot_serial, coalesce(en.cnt, 0) en_count, coalesce(te.cnt, 0) te_count, {_ONE('en')}, {_ONE('te')}, {', '.join(f"case when en.{k} is null or te.{k} is null then 'unavailable' when en.{k}=te.{k} then 'match' else 'mismatch' end {n}_evidence" for k, n in (('i', 'ident'), ('h', 'house'), ('age', 'age'), ('g', 'gender')))}
+  from slots s left join ranked en on en.part_number=s.part_number and en.slot_serial=s.serial_no and en.lang='en' and en.rn=1 left join ranked te on te.part_number=s.part_number and te.slot_serial=s.serial_no and te.lang='te' and te.rn=1),
+ detail as (select concat_ws(':', 'slot', part_number, slot_serial) row_key, part_number, slot_serial::varchar serial_number, slot_serial serial_sort, {_STATUS} status, coalesce(en_verification_status, te_verification_status) verification_status, * exclude (part_number, slot_serial) from paired
+  union all by name select 'source:' || record_id row_key, part_number, serial_number, coalesce(case when regexp_full_match(serial_number, '[0-9]+') then try_cast(serial_number as int) end, {C.LAST_SERIAL}) serial_sort, 'unlinked_source' status, verification_status, (lang='en')::bigint en_count, (lang='te')::bigint te_count,
+  {', '.join(f"case when lang='{x}' then {k} end {x}_{k}" for x in ('en', 'te') for k in C.DETAILS)}, {', '.join(f"'unavailable' {k}_evidence" for k in C.FIELDS)} from own where slot_serial is null),
+ texts as (select *, lower(concat_ws(' ', part_number, serial_number, {', '.join(f"{x}_{k}" for x in ('en', 'te') for k in ('name', 'relation_name', 'house', 'ident'))})) search_text from detail)"""
+
+
+def _evidence_page(f, *args):
+    path = io.scratch_dir(f.spark, "evidence")
+    G.write_paged(C.evidence_detail(*_roll(f)), path, C.EVIDENCE_CURSOR, ("part_number", "status"), 8)
+    page = C.evidence_page(f.spark, path, *args)
+    flat = [c(f"{x}.{k}").alias(f"{x}_{k}") for x in ("en", "te") for k in C.DETAILS]
+    return page.select(*[x for x in page.columns if x not in ("en", "te", "search_text")], *flat)
+
+
+for _name, _args in (
+    ("q10_evidence_page", (None, "all", None, 100, (2, 480, "slot:2:480"))),
+    ("q10_evidence_page_unlinked", (2, "unlinked_source", None, 25, None)),
+    ("q10_evidence_page_search", (None, "all", "  Place 7 ", 40, (1, 30, "slot:1:30"))),
+    ("q10_evidence_page_conflicts", (1, "duplicate_source", "elder 3", 25, None)),
+):
+    _where = " and ".join(["true", *([f"part_number={_args[0]}"] if _args[0] else []), *([f"status='{_args[1]}'"] if _args[1] != "all" else []), *([f"contains(search_text, '{_args[2].strip().lower()}')"] if _args[2] else [])])
+    _after = f"(part_number, serial_sort, row_key) > {_args[4]}" if _args[4] else "true"
+    query(_name, f"with {_DETAIL}, q as (select * exclude (search_text) from texts where {_where}) select *, (select count(*) from q) as total_count from q where {_after} order by part_number, serial_sort, row_key limit {_args[3]}")(lambda f, x=_args: _evidence_page(f, *x))
+
+
+@query("q13_release_report", f"""with {_DETAIL}, own_slots as (select record_id, part_number, slot_serial from own where slot_serial is not null),
+ crit as (select part_number, slot_serial serial_sort, count(*) n from fx_issues i join own_slots using (record_id) where i.status='open' and i.severity='critical' group by 1,2),
+ k as (select d.*, coalesce(crit.n, 0) n, en_count=0 and te_count=0 missing, en_count>1 or te_count>1 twice, en_record_id is not null and te_record_id is not null sourced, coalesce(en_verification_status='verified' and te_verification_status='verified', false) checked from detail d left join crit using (part_number, serial_sort) where status<>'unlinked_source'),
+ g as (select part_number, count(*) filter (not missing and not twice) unique_slots, count(*) filter (not missing and not twice and sourced) sourced_slots, count(*) filter (not missing and not twice and checked) verified_slots, count(*) filter (not missing and not twice and status='reconciled') reconciled_slots, count(*) filter (missing) missing_slots, count(*) filter (twice) duplicate_slots,
+  count(*) filter (not missing and not twice and not sourced) incomplete_slots, count(*) filter (not missing and not twice and not checked) unverified_slots, count(*) filter (not missing and not twice and status<>'reconciled') unreconciled_slots, coalesce(sum(n) filter (not missing and not twice), 0)::bigint critical_issues from k group by 1)
+ select *, concat_ws(',', {', '.join(f"case when {k}>0 then '{k}' end" for k in C.BLOCKERS)}) blockers, {' and '.join(f'{k}=0' for k in C.BLOCKERS)} as ready from g""")
+def _q13r(f):
+    return C.release_report(*_roll(f), f["issues"]).withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query("q16_serial_gap_issues", f"with n as (select distinct doc_id, {_serial('serial_number')} n from fx_records where ({_serial('serial_number')}) is not null), g as (select doc_id, n, lag(n) over (partition by doc_id order by n) b from n) select doc_id, 'serial_gap' issue_type, 'Possible missing/unreadable serial ' || (b+1) || case when n-1>b+1 then '–' || (n-1) else '' end issue_detail, 'open' as status from g where n-b>1")
+def _q16i(f):
+    return Q.serial_gap_issues(f["records"])
+
+
 # --- quality
 _ACTIVE = f"active as (select r.*, {_serial('r.serial_number')} n, e.serial_start, e.serial_end from fx_records r join fx_documents d on d.doc_id=r.doc_id and d.active_version join fx_expectations e on e.part_number=r.part_number)"
 def _q4_sql(edition: str | None) -> str:
@@ -554,6 +726,53 @@ def _i1(f):
     return Q.insights(Q.canonical_rows(*_roll(f)))
 
 
+def _insights_sql(part: int | None = None, gender: str | None = None, age: str | None = None) -> str:
+    """The report's figures one by one; arrays as texts."""
+    inside = f"part_number={part}" if part is not None else "true"
+    keep = [inside]
+    if gender is not None:
+        keep.append("gender_group in ('other','unknown')" if gender == "other_unknown" else f"gender_group='{gender}'")
+    if age is not None:
+        keep.append(f"age_group='{age}'")
+    ident = "nullif(upper(regexp_replace(trim(ident), '\\s+', '', 'g')), '')"
+    n = lambda where: f"(select count(*) from kept where {where})"
+    house = lambda where: f"(select count(*) from houses where {where})"
+    review = "status<>'verified' and (status='requires_review' or open_issue)"
+    ages = "||';'||".join(f"'{a}:'||{n(f"age_group='{a}'")}" for a in Q.AGES)
+    sizes = "||';'||".join(f"'{k}:'||{house(w)}" for k, w in zip(Q.HOUSE_KEYS, ("m=1", "m=2", "m between 3 and 4", "m between 5 and 6", "m>=7")))
+    return f"""with {_ACTIVE.replace("active as (", "active0 as (")}, active as (select * from active0 where {inside}),
+ canon as (select * from (select part_number, n slot_serial, record_id, age, verification_status status, case when age between 18 and 125 then age end valid_age, {_age('age')} age_group, {_gender('gender')} gender_group, {_house('house')} house_key, {ident} ident_key, row_number() over (partition by part_number, n order by record_id) k from active where n between serial_start and serial_end and lang='en') where k=1),
+ opened as (select a.part_number, a.n slot_serial, count(*) filter (i.severity='critical') critical from active a join fx_issues i on i.record_id=a.record_id and i.status='open' where a.n between serial_start and serial_end group by 1,2),
+ kept as (select canon.*, o.part_number is not null open_issue, coalesce(o.critical, 0) critical from canon left join opened o using (part_number, slot_serial) where {' and '.join(keep)}),
+ houses as (select part_number, house_key, count(*) m from kept where house_key is not null group by 1,2),
+ e as (select * from fx_expectations where {inside}),
+ per as (select e.part_number, e.expected_total, count(k.record_id) available, count(*) filter (gender_group='male') male, count(*) filter (gender_group='female') female, count(*) filter (gender_group in ('other','unknown')) other_unknown, round(avg(valid_age), 1) mean_age, min(valid_age) youngest, max(valid_age) oldest, count(distinct house_key) houses, count(*) filter (status='verified') verified, count(*) filter ({review}) review from e left join kept k using (part_number) group by 1,2)
+ select (select sum(expected_total)::bigint from e) expected_total, {n('true')} available_total, {', '.join(f"{n(f"gender_group='{g}'")} {c}" for g, c in (('male', 'male_total'), ('female', 'female_total'), ('other', 'other_total'), ('unknown', 'unknown_gender_total')))},
+ {n('valid_age is not null')} valid_age_count, {n('age is null')} missing_age_count, {n('age is not null and valid_age is null')} invalid_age_count,
+ (select round(avg(valid_age), 1) from kept) average_age, (select round(median(valid_age), 1)::double from kept) median_age, (select min(valid_age) from kept) youngest_age, (select max(valid_age) from kept) oldest_age,
+ {house('true')} house_group_count, {house('m=1')} single_house_groups, {house('m=2')} two_house_groups, {house('m between 3 and 4')} three_four_house_groups, {house('m between 5 and 6')} five_six_house_groups, {house('m>=7')} seven_plus_house_groups,
+ (select coalesce(max(m), 0) from houses) largest_house_group, (select round(avg(m), 1) from houses) average_voters_per_house,
+ {n("status='verified'")} verified_total, {n(review)} needs_review_total, {n(f"status<>'verified' and not ({review})")} unverified_total,
+ (select coalesce(sum(critical), 0)::bigint from kept) critical_issue_count, (select count(*) from (select 1 from kept where ident_key is not null group by ident_key having count(*)>1)) duplicate_ident_groups,
+ {n("gender_group='unknown'")} missing_gender_count, {n('house_key is null')} missing_house_count, {n('ident_key is null')} missing_ident_count,
+ (select sum(serial_end-serial_start+1)::bigint from e) - (select count(*) from canon) missing_serial_count,
+ (select count(*) from active where lang in ('en','te') and not coalesce(n between serial_start and serial_end, false)) unexpected_serial_count,
+ (select count(*) from (select 1 from active where lang in ('en','te') and n between serial_start and serial_end group by part_number, lang, n having count(*)>1)) duplicate_part_serial_groups,
+ (select string_agg(concat_ws(':', part_number, expected_total, available, male, female, other_unknown, coalesce(mean_age::varchar, '-'), coalesce(youngest::varchar, '-'), coalesce(oldest::varchar, '-'), houses, verified, review), ';' order by part_number) from per) parts,
+ {ages} as age_groups, {sizes} as house_groups, 1::bigint revision_count"""
+
+
+def _insights(f, *filters):
+    parts = F.transform("parts", lambda r: F.concat_ws(":", *[F.coalesce(r[k].cast("string"), F.lit("-")) for k in ("part", "expected", "available", "male", "female", "other_unknown", "average_age", "youngest_age", "oldest_age", "house_groups", "verified", "needs_review")]))
+    counts = lambda name: F.array_join(F.transform(name, lambda r: F.concat_ws(":", r["key"], r["count"])), ";").alias(name)
+    out = Q.insights_report(*_roll(f), f["issues"], *filters)
+    return out.withColumns({"parts": F.array_join(parts, ";"), "age_groups": counts("age_groups"), "house_groups": counts("house_groups")})
+
+
+for _name, _filters in (("i1_insights_report", ()), ("i1_insights_part_gender", (2, "other_unknown")), ("i1_insights_age", (None, "male", "36_45"))):
+    query(_name, _insights_sql(*_filters))(lambda f, x=_filters: _insights(f, *x))
+
+
 @query("i1_age_histogram", f"with {_CANON} select l as age_group, count(canon.record_id) n from (values {', '.join(f"('{a}')" for a in Q.AGES)}) v(l) left join canon on age_group=l group by 1")
 def _i1a(f):
     return Q.age_histogram(Q.canonical_rows(*_roll(f)))
@@ -584,6 +803,16 @@ def _i3(f):
     return Q.dashboard_counts(f["records"])
 
 
+_HOUSE_TEXT = f"nullif(regexp_replace({_norm("coalesce(house, '')")}, '\\s*/\\s*', '/', 'g'), '')"
+_GENDER_TEXT = _norm("coalesce(gender, '')")
+_TOTALS = f"select {{part}} part_number, count(*) records, count(*) filter (starts_with(g,'m')) men, count(*) filter (starts_with(g,'f')) women, count(*) filter (g<>'' and not starts_with(g,'m') and not starts_with(g,'f')) others, count(*) filter (g='') no_gender, {', '.join(f"count(*) filter (band='{b}') as \"age_{b}\"" for b in Q.BANDS)}, count(*) filter (verification_status='verified') verified, count(*) filter (verification_status='requires_review') review, count(distinct case when h is not null then part_number || ':' || h end) houses, '{{scope}}' as scope from t"
+
+
+@query("i3_dashboard_totals", f"with t as (select part_number, verification_status, {_GENDER_TEXT} g, {_HOUSE_TEXT} h, case when age is null then 'missing' when age<=25 then '18-25' when age<=35 then '26-35' when age<=50 then '36-50' when age<=65 then '51-65' else '66+' end band from fx_records) " + _TOTALS.format(part="null", scope="all") + " union all " + _TOTALS.format(part="part_number", scope="part") + " group by part_number")
+def _i3t(f):
+    return Q.dashboard_totals(f["records"])
+
+
 @query("i4_house_groups", f"with {_CANON} select house_key, count(*) members, count(*) filter (gender_group='male') men, count(*) filter (gender_group='female') women from canon where house_key is not null group by 1 order by try_cast(house_key as int) nulls last, house_key limit 200")
 def _i4(f):
     return Q.house_groups(Q.canonical_rows(*_roll(f)))
@@ -861,16 +1090,23 @@ def _p15(f):
 
 @query("p1_parse_blocks")
 def _p1(f):
-    r = f["records"].filter("serial_number is not null")
-    line = F.concat(c("serial_number"), F.lit(". Name: Person "), c("part_number"), F.lit("\nFather Name: Elder\nHouse No: "), F.coalesce("house", F.lit("1")), F.lit("\nAge: "), c("age"), F.lit("\nGender: Male\n"))
+    r = f["records"]
+    line = F.concat(F.coalesce("serial_number", F.lit("")), F.lit(". Name: Person "), c("part_number"), F.lit("\nFather Name: Elder\nHouse No: "), F.coalesce("house", F.lit("1")), F.lit("\nAge: "), c("age"), F.lit("\nGender: Male\n"))
     pages = r.groupBy(c("doc_id").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("text"))
     return P.parse_blocks(pages)
 
 
 def _words(f):
-    r = f["records"]
+    """Every numbered record as a word in the cell of its serial, 30 to a page."""
     n = X.parse_serial(c("serial_number"))
-    return r.filter(n.between(1, 30)).select(c("doc_id").cast("long").alias("page_id"), c("serial_number").alias("text"), c("conf"), (((n - 1) % 3) * 200 + 5).cast("double").alias("x0"), (32 + F.floor((n - 1) / 3) * 94 + 2).cast("double").alias("y0"), (((n - 1) % 3) * 200 + 40).cast("double").alias("x1"), (32 + F.floor((n - 1) / 3) * 94 + 12).cast("double").alias("y1"))
+    cell = (n - 1) % 30
+    page = c("doc_id").cast("long") * 1000 + F.floor((n - 1) / 30)
+    left, top = (cell % 3) * 200, 32 + F.floor(cell / 3) * 94
+    box = {"x0": left + 5, "y0": top + 2, "x1": left + 40, "y1": top + 12}
+    return f["records"].filter(n >= 1).select(page.alias("page_id"), c("serial_number").alias("text"), c("conf"), *[v.cast("double").alias(k) for k, v in box.items()])
+
+
+_CELL = f"doc_id::bigint*1000 + (({_serial('serial_number')})-1)//30 page_id, ((({_serial('serial_number')})-1)%30)::int as cell"
 
 
 @query("p2_columnize")
@@ -885,7 +1121,7 @@ def _p3(f):
     return P.grid_cards(w.unionByName(label.filter("text not like '%7%'")), 600.0, 1000.0).select("page_id", "cell", "text", c("confidence.name").alias("name_confidence"))
 
 
-@query("p4_grid_codes", f"select doc_id::bigint page_id, (({_serial('serial_number')})-1)::int as cell, min(serial_number) serial, null::varchar as ident, round(avg(conf)) as conf from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
+@query("p4_grid_codes", f"select {_CELL}, min(serial_number) serial, null::varchar as ident, round(avg(conf)) as conf from fx_records where ({_serial('serial_number')}) >= 1 group by 1,2")
 def _p4(f):
     return P.grid_codes(_words(f), 600.0, 1000.0)
 
@@ -903,7 +1139,7 @@ def _p6(f):
     return P.choose_layout(f["documents"].select(c("doc_id").alias("page_id"), more(0).alias("grid"), more(1).alias("columns"), t.alias("raw")))
 
 
-@query("p7_backfill_codes", f"select doc_id::bigint page_id, ({_serial('serial_number')})-1 as cell, min(serial_number) serial from fx_records where ({_serial('serial_number')}) between 1 and 30 group by 1,2")
+@query("p7_backfill_codes", f"select {_CELL}, min(serial_number) serial from fx_records where ({_serial('serial_number')}) >= 1 group by 1,2")
 def _p7(f):
     codes = P.grid_codes(_words(f), 600.0, 1000.0)
     bare = codes.select("page_id", "cell", F.lit(None).cast("string").alias("serial"), F.lit(None).cast("string").alias("ident"))
@@ -934,21 +1170,42 @@ def _k1(f):
     return K.validate_ground_truth(f["gold"])
 
 
-@query("k3_field_metrics")
+_gold_forms = {"serial_number": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "age": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "ident": "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')", **{k: "nullif(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '')" for k in ("name", "relation_name", "relation_type", "gender")}, "house": "nullif(trim(regexp_replace({}, '\\s+', ' ', 'g')), '')"}
+_KEYED = "j as (" + " union all ".join(f"select o.config_id, o.case_id, g.lang, g.part_number, o.failure_code, '{k}' field, coalesce({v.format('g.' + k)},'') g, coalesce({v.format('o.' + k)},'') p from fx_gold g join fx_observations o using (case_id) where g.{k} is not null" for k, v in _gold_forms.items()) + ")"
+
+
+@query("k3_exact_accuracy", f"with {_KEYED} select config_id, field, count(*) cases, count(*) filter (g=p and g<>'') correct, count(*) filter (p='') missing, count(*) filter (p<>'' and g<>p) incorrect, count(*) filter (field='ident' and p<>'' and not regexp_matches(p, '^[A-Z]{{3}}[0-9]{{7}}$')) bad_idents, round(avg(case when field='age' then abs(try_cast(p as int)-try_cast(g as int)) end), 6) age_mae from j group by 1,2")
+def _k3b(f):
+    return K.field_metrics(f["gold"], f["observations"]).select("config_id", "field", "cases", "correct", "missing", "incorrect", "bad_idents", "age_mae")
+
+
+# edits by words: each different word of the pair stands for one letter; edits by characters lie in ASCII parts only
+_split = lambda x: f"list_filter(string_split({x}, ' '), lambda w: w<>'')"
+_coded = lambda x: f"array_to_string(list_transform({_split(x)}, lambda w: chr((47+list_position(list_distinct(list_concat({_split('g')}, {_split('p')})), w))::int)), '')"
+_text = "field in ('name','relation_name')"
+_FIELD_FIGURES = f"""count(*) cases, count(*) filter (g=p and g<>'') correct, count(*) filter (p<>'' and g<>p) incorrect, count(*) filter (p='') missing, count(*) filter (p='' and failure_code is not null) failures,
+ round(count(*) filter (g=p and g<>'')/count(*), 6) accuracy, round(sum(levenshtein(g, p)) filter ({_text})/sum(length(g)) filter ({_text}), 6) cer, round(sum(levenshtein({_coded('g')}, {_coded('p')})) filter ({_text})/sum(len({_split('g')})) filter ({_text}), 6) wer,
+ count(*) filter (field='ident' and p<>'' and not regexp_matches(p, '^[A-Z]{{3}}[0-9]{{7}}$')) bad_idents, count(case when field='age' then try_cast(p as int)-try_cast(g as int) end) parseable_ages, round(avg(case when field='age' then abs(try_cast(p as int)-try_cast(g as int)) end), 6) age_mae"""
+
+
+@query("k3_field_metrics", f"with {_KEYED} select config_id, field, {_FIELD_FIGURES} from j group by 1,2")
 def _k3(f):
     return K.field_metrics(f["gold"], f["observations"])
 
 
-_gold_forms = {"serial_number": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "age": "nullif(regexp_replace({}, '[^0-9]', '', 'g'), '')", "ident": "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')", "name": "nullif(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '')"}
-_KEYED = "j as (" + " union all ".join(f"select o.config_id, o.case_id, g.lang, g.part_number, o.failure_code, '{k}' field, coalesce({v.format('g.' + k)},'') g, coalesce({v.format('o.' + k)},'') p from fx_gold g join fx_observations o using (case_id)" for k, v in _gold_forms.items()) + ")"
+_SCOPED = f"m as (select config_id, 'overall' scope, field, {_FIELD_FIGURES} from j group by 1,3 union all select config_id, 'language:' || lang, field, {_FIELD_FIGURES} from j group by config_id, lang, field)"
 
 
-@query("k3_exact_accuracy", f"with {_KEYED} select config_id, field, count(*) cases, count(*) filter (g=p and g<>'') correct, count(*) filter (p='') missing, count(*) filter (p<>'' and g<>p) incorrect, count(*) filter (field='ident' and p<>'' and not regexp_matches(p, '^[A-Z]{{3}}[0-9]{{7}}$')) bad_idents, round(avg(case when field='age' then abs(try_cast(p as int)-try_cast(g as int)) end), 6) age_mae from j group by 1,2")
-def _k3b(f):
-    return K.field_metrics(f["gold"], f["observations"]).select("config_id", "field", "cases", "correct", "missing", "incorrect", "bad_idents", "age_mae")
+@query("k3_metrics_by_edition", f"with {_KEYED}, {_SCOPED} select * from m")
+def _k3e(f):
+    return K.field_metrics_by_edition(f["gold"], f["observations"])
 
 
-@query("k4_aggregate_metrics")
+_CARDS = f"cards as (select config_id, case_id, lang, part_number, count(*) evaluated, count(*) filter (p='') as empty from j group by all), w as (select c.*, o.retry_count, o.runtime_ms, o.memory_mb, concat({', '.join(f"coalesce({v.format('o.' + k)}, '')" for k, v in _gold_forms.items())})<>'' as good from cards c join fx_observations o using (config_id, case_id))"
+_CARD_FIGURES = "count(*) cases, count(*) filter (good) successful, count(*) filter (not good) extraction_failures, sum(evaluated)::bigint evaluated_fields, sum(w.empty)::bigint empty_fields, count(*) filter (retry_count>0) retried, round(count(*) filter (retry_count>0)/count(*), 6) retry_rate, sum(runtime_ms) runtime_ms, max(memory_mb) memory_mb"
+
+
+@query("k4_aggregate_metrics", f"with {_KEYED}, {_CARDS} select config_id, lang, part_number, {_CARD_FIGURES} from w group by grouping sets ((config_id), (config_id, lang), (config_id, part_number))")
 def _k4(f):
     return K.aggregate_metrics(f["gold"], f["observations"])
 
@@ -957,7 +1214,7 @@ _swapped = "len(list_filter(range(1, length(g)+1), lambda i: upper(substr(g,i,1)
 _plain = lambda x: f"regexp_replace({x}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', '', 'g')"
 
 
-@query("k5_error_classes", f"with {_KEYED} select config_id, field, error, count(*) n from (select *, case when g=p and g<>'' then null when regexp_matches(coalesce(failure_code,''), 'crop|layout|geometry') then 'crop_layout_issue' when regexp_matches(coalesce(failure_code,''), 'parse|invalid') then 'field_parser_rejection' when p='' then 'empty' when replace(g,' ','')=replace(p,' ','') then 'spacing' when {_plain('g')}={_plain('p')} then 'punctuation' when length(g)=length(p) and {_swapped} then 'digit_letter_confusion' when lang='te' and field='name' then 'script_confusion' else 'wrong_character' end error from j) where error is not null group by 1,2,3")
+@query("k5_error_classes", f"with {_KEYED} select config_id, field, error, count(*) n from (select *, case when g=p and g<>'' then null when regexp_matches(coalesce(failure_code,''), 'crop|layout|geometry') then 'crop_layout_issue' when regexp_matches(coalesce(failure_code,''), 'parse|invalid') then 'field_parser_rejection' when p='' then 'empty' when replace(g,' ','')=replace(p,' ','') then 'spacing' when {_plain('g')}={_plain('p')} then 'punctuation' when length(g)=length(p) and {_swapped} then 'digit_letter_confusion' when lang='te' and field in ('name','relation_name') then 'script_confusion' else 'wrong_character' end error from j) where error is not null group by 1,2,3")
 def _k5(f):
     return K.error_classes(f["gold"], f["observations"])
 
@@ -967,7 +1224,12 @@ def _k6(f):
     return K.retry_impact(f["gold"], f["observations"], "a", "b").filter("field in ('ident', 'age')")
 
 
-@query("k7_rank_configs")
+_RANKED = f"""{_SCOPED}, ranks as (select *, row_number() over (order by ident_accuracy desc, serial_number_accuracy desc, telugu_name_accuracy desc, mean_accuracy desc, runtime_ms, config_id) place from (
+ select config_id, coalesce(max(accuracy) filter (scope='overall' and field='ident'), -1) ident_accuracy, coalesce(max(accuracy) filter (scope='overall' and field='serial_number'), -1) serial_number_accuracy, coalesce(max(accuracy) filter (scope='language:te' and field='name'), -1) telugu_name_accuracy,
+ round(coalesce(avg(accuracy) filter (scope='overall'), -1), 6) mean_accuracy, (select sum(runtime_ms) from fx_observations o where o.config_id=m.config_id) runtime_ms from m group by config_id))"""
+
+
+@query("k7_rank_configs", f"with {_KEYED}, {_RANKED} select * from ranks")
 def _k7(f):
     return K.rank_configs(f["gold"], f["observations"])
 
@@ -977,9 +1239,27 @@ def _k8(f):
     return K.check_observations(f["gold"], f["observations"], ["b"])
 
 
-@query("k9_gate_candidates")
+_BOUNDS = dict(accuracy={"ident": 0.9, "age": 0.8, "name": 0.5}, cer={"name": 0.05, "ident": 0.5}, wer={"name": 0.3}, languages=("te", "xx"), failure_rate=0.001, empty_rate=0.05, runtime_per_card=12.5)
+_POLICY = "pol as (select * from (values " + ", ".join([f"('{s}', '{k}', '{m}', {v})" for s in ("overall", "language:te", "language:xx") for m in ("accuracy", "cer", "wer") for k, v in _BOUNDS[m].items()] + [f"('overall', null, '{m}', {_BOUNDS[m]})" for m in K.CARD_METRICS]) + ") v(scope, field, metric, bound))"
+_BREACHES = f"""{_KEYED}, {_RANKED}, {_CARDS}, {_POLICY}, c as (select config_id, {_CARD_FIGURES} from w group by 1),
+ long as ({' union all '.join(f"select config_id, scope, field, '{k}' metric, {k} as value from m" for k in K.FIELD_METRICS)} union all select config_id, 'overall', null, 'failure_rate', extraction_failures/cases from c union all select config_id, 'overall', null, 'empty_rate', empty_fields/evaluated_fields from c union all select config_id, 'overall', null, 'runtime_per_card', runtime_ms/cases from c),
+ held as (select k.config_id, pol.*, long.value, case when value is null then 'is unmeasured' when pol.metric='accuracy' and value<bound then 'is below policy' when pol.metric<>'accuracy' and value>bound then 'exceeds policy' end verdict from (select distinct config_id from fx_observations) k cross join pol left join long on long.config_id=k.config_id and long.scope=pol.scope and long.field is not distinct from pol.field and long.metric=pol.metric),
+ breaches as (select *, concat_ws(' ', scope, field, case metric {' '.join(f"when '{k}' then '{v}'" for k, v in (K.FIELD_METRICS | K.CARD_METRICS).items())} end, verdict) reason from held where verdict is not null)"""
+
+
+@query("k9_policy_breaches", f"with {_BREACHES} select config_id, scope, field, metric, bound::double as bound, round(value, 6) as value, reason from breaches")
+def _k9p(f):
+    return K.policy_breaches(f["gold"], f["observations"], K.policy_rows(f.spark, **_BOUNDS)).withColumn("value", F.round("value", 6))
+
+
+@query("k9_gate_candidates", f"with {_BREACHES}, b as (select config_id, string_agg(reason, ', ' order by reason) blockers from breaches group by 1), g as (select r.config_id, place, coalesce(blockers, '') blockers, blockers is null as eligible from ranks r left join b using (config_id)) select *, coalesce(place=(select min(place) from g where eligible), false) as selected from g")
 def _k9(f):
-    return K.gate_candidates(f["gold"], f["observations"], [("ident", 0.9, 0.02), ("age", 0.8, 1.0)])
+    return K.gate_candidates(f["gold"], f["observations"], K.policy_rows(f.spark, **_BOUNDS))
+
+
+@query("k9_evidence_blockers", "select unnest(['coverage is not of the required parts', 'too few configurations were measured', 'verified case count is below the policy minimum']) as blocker from (select count(*) n, count(distinct part_number) p from fx_gold) where n < 1000000 and p = 4")
+def _k9e(f):
+    return K.evidence_blockers(f["gold"], f["observations"], [1, 2, 3], 1_000_000, 3)
 
 
 @query("k10_report_checksum")
@@ -987,6 +1267,12 @@ def _k10(f):
     return K.report_checksum(K.field_metrics(f["gold"], f["observations"]))
 
 
+@query("k10_changed_buckets", "select config_id, field from fx_gold cross join (values ('a'),('b')) k(config_id) cross join (values ('age')) v(field) where false")
+def _k10c(f):
+    report = K.field_metrics(f["gold"], f["observations"])
+    return K.changed_rows(report, K.verify_manifest(report.repartition(3), K.report_manifest(report))).select("config_id", "field")
+
+
 @query("t4_resume_set", "select doc_id, page, case when status='processed' or (status='requires_review' and coalesce(error_type,'') not in ('page_processing_failed','page_persistence_failed')) then 'skip' when status='requires_review' then 'retry' else 'process' end as action from fx_pages")
 def _t4(f):
     return T.resume_set(f["pages"])

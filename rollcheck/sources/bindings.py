@@ -53,12 +53,16 @@ VIEWS = {
       from lineitem group by l_orderkey) r on r.l_orderkey=e.event_id""",
     "fx_gold": """select p_partkey case_id, cast(p_partkey%4+1 as int) part_number, case p_partkey%2 when 0 then 'en' else 'te' end lang,
  cast(p_partkey as string) serial_number, concat('ABC',lpad(cast(p_partkey as string),7,'0')) ident,
- case p_partkey%2 when 0 then p_name else concat('రామ ',p_name) end name, cast(18+p_partkey%60 as string) age from part""",
+ case p_partkey%2 when 0 then p_name else concat('రామ ',p_name) end name, cast(18+p_partkey%60 as string) age,
+ case when p_partkey%8=0 then null else concat(p_type, '  ', p_brand) end relation_name, case p_partkey%3 when 0 then 'Father' when 1 then 'Husband' else 'Mother' end relation_type,
+ concat(cast(p_size as string), '-', cast(p_partkey%9 as string)) house, case p_partkey%2 when 0 then 'Male' else 'Female' end gender from part""",
     "fx_observations": """select case_id, config_id, cast(case when config_id='b' and case_id%4=0 then 1 else 0 end as int) retry_count, cast(10+case_id%7 as double) runtime_ms, cast(100+case_id%50 as double) memory_mb,
  case when case_id%23=0 and config_id='a' then 'crop_out_of_page' when case_id%29=0 then 'invalid_value' when case_id%31=0 then 'timeout' end failure_code,
  serial_number, case when case_id%11=0 then null when case_id%5=0 and config_id='a' then replace(ident,'B','8') else ident end ident,
  case when case_id%3=0 and config_id='a' then replace(name,'e','c') when case_id%4=1 then replace(name,' ','') when case_id%6=2 and config_id='b' then concat(name,'.') else name end name,
- case when case_id%7=0 then cast(cast(age as int)+3 as string) else age end age
+ case when case_id%7=0 then cast(cast(age as int)+3 as string) else age end age,
+ case when case_id%9=0 then null when case_id%10=1 then replace(relation_name, 'Brand', 'Brond') else relation_name end relation_name, case when case_id%37=0 then 'Guardian' else relation_type end relation_type,
+ case when case_id%12=0 then replace(house, '-', ' -') else house end house, case when case_id%41=0 and config_id='b' then null else gender end gender
  from fx_gold cross join (values ('a'),('b')) k(config_id)""",
 }
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,18 @@ from pyspark.sql import types as T
 
 from rollcheck.functions import text as X
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; a folder of our own where that is unset, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 #: Types of the registry's base tables.
 REGISTRY = {
     "documents": "doc_id long, part_number int, lang string, active_version boolean, revision_id string, filename string, pages int, expected_total int, processing_status string",
@@ -91,9 +105,23 @@ def normalize_geography(ref: DataFrame, parent: str, child: str, value: str) ->
     return ref.groupBy(parent, child).agg(F.min(value).alias(value))
 
 
-def split_known_files(files: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
-    """files and known (checksum, status): new ones, ones to resume, and repeated ones to refuse."""
-    j = files.join(known.groupBy("checksum").agg(F.max(F.col("status").isin("failed", "interrupted")).alias("resumable")), "checksum", "left")
+#: States of a document whose run may go on, and errors of a page that may be tried again.
+RESUMABLE = ("failed", "interrupted", "processing")
+RETRYABLE = ("page_processing_failed", "page_persistence_failed")
+
+
+def split_known_files(files: DataFrame, known: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:
+    """files and known (checksum, status, and doc_id where pages are given): new ones, ones to resume, and repeated ones to refuse.
+
+    A known file resumes if its run failed, was interrupted or has not ended, or if one of its pages waits for
+    review because it was lost.
+    """
+    can = F.col("status").isin(*RESUMABLE)
+    if pages is not None:
+        lost = pages.filter((F.col("status") == "requires_review") & F.col("error_type").isin(*RETRYABLE)).select("doc_id").distinct()
+        known = known.join(lost.withColumn("_lost", F.lit(True)), "doc_id", "left")
+        can = F.coalesce(can, F.lit(False)) | F.coalesce("_lost", F.lit(False))
+    j = files.join(known.groupBy("checksum").agg(F.coalesce(F.max(can), F.lit(False)).alias("resumable")), "checksum", "left")
     return {"new": j.filter("resumable is null"), "resume": j.filter("resumable"), "refuse": j.filter("not resumable")}
 
 
@@ -127,3 +155,27 @@ def compat_views(spark: SparkSession, frames: dict[str, DataFrame], prefix: str
     names = {"documents": ("uploaded_documents", {"lang": "source_language"}), "pages": ("document_pages", {"page": "page_number"}), "records": ("source_records", {"lang": "source_language", "house": "house_number"}), "issues": ("record_issues", {"issue_detail": "detail"})}
     for k, (view, renamed) in names.items():
         frames[k].withColumnsRenamed(renamed).createOrReplaceTempView(prefix + view)
+
+
+def upsert_into(new: DataFrame, path: str, keys: list[str], buckets: int = 64, keep_old: bool = False) -> None:
+    """Inserts or updates rows by key in a Parquet table dealt to `buckets` folders by a hash of the key.
+
+    Only the folders that new rows fall in are read and written; a re-run leaves the table as it is. Of several new rows
+    with one key one is taken, the greatest. keep_old leaves known keys as they are. One writer at a time.
+    """
+    from rollcheck.operators.registry import upsert
+
+    spark = new.sparkSession
+    rest = [x for x in new.columns if x not in keys]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, *[F.col(f"r.{x}").alias(x) for x in rest], bucket)
+    scratch_dir(spark, "unused")
+    one = one.checkpoint()
+    touched = [r.bucket for r in one.select("bucket").distinct().collect()]  # `buckets` numbers at most
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [p for p in (f"{path}/bucket={b}" for b in touched) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    if there:
+        old = spark.read.option("basePath", path).parquet(*there).select(*one.columns)
+        one = upsert(old, one, keys, keep_old).checkpoint()  # stored before the folders that it is read from are replaced
+    one.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

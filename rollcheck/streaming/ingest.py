@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from rollcheck.sources.io import RETRYABLE
+
 EVIDENCE = ("doc_id", "part_number", "serial_number", "lang", "ident", "house", "age", "gender")
 
 
@@ -269,9 +271,6 @@ def latest_pages(spark: SparkSession, target: str) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(F.max_by(F.struct(*names), F.struct("attempt", "batch", "run")).alias("s")).select("doc_id", "page", "s.*")
 
 
-RETRYABLE = ("page_processing_failed", "page_persistence_failed")
-
-
 def resume_set(pages: DataFrame) -> DataFrame:
     """(doc_id, page, action) of saved pages: skip the processed and those whose review has another cause than a lost run; retry the latter; process the rest."""
     again = F.coalesce(F.col("error_type").isin(*RETRYABLE), F.lit(False))
