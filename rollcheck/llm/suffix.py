@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, cut, ids_and_texts, parts, small_batches
@@ -348,7 +348,7 @@ def _packed_segments(length: int, marks, table_bits: int, log_buckets: int, n_bu
                 out["bucket"].append(int(bucket[a]))
                 out["bodies"].append(press(b"".join(body)))
                 out["sizes"].append(press(np.fromiter(map(len, body), np.uint16, len(body)).tobytes()))
-                places = (m.ids[docs].astype(np.int64), m.tks[docs].astype(np.int32), which, doc.astype(np.uint32), first[part].astype(np.uint32))
+                places = (m.ids[docs].astype(np.int64), m.tks[docs].astype(np.int64), which, doc.astype(np.uint32), first[part].astype(np.uint32))
                 out["places"].append(press(np.array([len(docs), z - a], np.int64).tobytes() + b"".join(p.tobytes() for p in places)))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in ("bodies", "sizes", "places")]]))
 
@@ -416,10 +416,10 @@ def _bucket_windows(length: int, most: int):
             number = np.array([known.setdefault(text[x:y], len(known)) for x, y in zip([0, *stops[:-1]], stops)], np.int64)
             raw = open_(places)
             n_docs, n = np.frombuffer(raw, np.int64, 2).tolist()
-            at = 16 + 12 * n_docs
+            at = 16 + 16 * n_docs
             own, doc, first = (np.frombuffer(raw, np.uint32, n, at + 4 * n * k) for k in range(3))
             ids.append(np.frombuffer(raw, np.int64, n_docs, 16)[doc])
-            tks.append(np.frombuffer(raw, np.int32, n_docs, 16 + 8 * n_docs)[doc])
+            tks.append(np.frombuffer(raw, np.int64, n_docs, 16 + 8 * n_docs)[doc])
             which.append(number[own])
             firsts.append(first.astype(np.int32))
         body = list(known)
@@ -514,6 +514,20 @@ def _hot_windows(met: DataFrame, length: int) -> DataFrame:
     return found.select("id", "tk", "first", (F.octet_length("body") - (length - 1)).alias("n"), F.when(F.col("id") == F.col("lo"), F.col("hits")).alias("hits"))
 
 
+def _text_key(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), "md5")
+
+
+def _with_text_key(rows: DataFrame) -> DataFrame:
+    """Adds tk, 64 bits that tell different texts of one id apart: salts are tried until no id has two texts with one key."""
+    for salt in range(100):
+        keyed = rows.withColumn("tk", _text_key(salt))
+        clash = keyed.groupBy("id", "tk").agg((F.min("md5") < F.max("md5")).alias("two")).filter("two")
+        if clash.isEmpty():
+            return keyed
+    raise ValueError("texts of one id outnumber what 64-bit keys can tell apart")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, most_places: int = 4_000_000, most_bodies: int = 65_536, table_bits: int = 27, copies_limit: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (removed byte runs), kept (the other bytes).
 
@@ -526,13 +540,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, most_places: int = 4_000_0
     instead. Such keys come to the driver, at most two for each most_bodies segments of the input.
     A bucket with more than most_bodies different segments gets a suffix array for each most_bodies or so.
 
-    Null texts count as empty. A null id comes last; documents with one id don't count against each
+    Very long texts are cut into segments, so a text is whole in one task only where its bytes are removed. Other
+    columns of the table, whatever their names, are not read. Null texts count as empty. A null id comes last; documents with one id don't count against each
     other, so repeated rows get equal results. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("md5", F.md5("text")).withColumn("tk", F.hash("md5"))
+    rows = _with_text_key(rows.withColumn("md5", F.md5("text")))
     keys = rows.select("id", "md5", "tk")
     firsts = keys.groupBy("md5").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # one text may have very many copies
@@ -556,9 +571,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, most_places: int = 4_000_0
     packed = search.mapInArrow(_packed_segments(length, marks, table_bits, log_buckets, n_buckets), "bucket int, bodies binary, sizes binary, places binary")
     if n_buckets > TASK_BUCKETS * parts(spark):
         packed = packed.repartition(n_buckets // TASK_BUCKETS, "bucket")
-    where = packed.groupBy("bucket").applyInArrow(_bucket_windows(length, most_bodies), "id long, tk int, first int, n int, hits array<int>")
+    where = packed.groupBy("bucket").applyInArrow(_bucket_windows(length, most_bodies), "id long, tk long, first int, n int, hits array<int>")
     if hot:
-        met = search.mapInArrow(_listed_segments(length, marks, table_bits, log_buckets), "id long, tk int, first int, body binary")
+        met = search.mapInArrow(_listed_segments(length, marks, table_bits, log_buckets), "id long, tk long, first int, body binary")
         where = where.unionByName(_hot_windows(met, length))
     marked = where.groupBy("id", "tk").agg(F.collect_list(F.struct("first", "n", "hits")).alias("marked"))
     marked = marked.withColumn("copy", F.lit(False))

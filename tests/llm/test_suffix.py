@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from rollcheck.llm import suffix
 
 
@@ -66,6 +67,31 @@ def test_rows_equal_brute_force(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_with_one_key(spark, monkeypatch):
+    """Different texts without an id, or with one id, whose first keys are equal: the marks of one are not the other's."""
+    shared = "a passage that stands in the first document and in one of the others, too, word for word"
+    rows = [(1, shared + " one"), (None, "x " + shared), (None, "nothing of it here " * 8), (7, shared), (7, "another text of that id " * 5), (None, None)]
+    keys = suffix._text_key
+    monkeypatch.setattr(suffix, "_text_key", lambda salt: F.lit(5).cast("long") if salt < 2 else keys(salt))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"copies_limit": -1}):
+        got = sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in suffix.remove_repeats(df, **options).collect())
+        assert got == sorted((str(d), n, k) for d, n, k in brute_rows(rows))
+    assert any(n for _, n, _ in got)
+
+
+def brute_rows(rows, length=50):
+    raw = [(2**63 - 1 if d is None else d, (t or "").encode()) for d, t in rows]
+    out = []
+    for d, r in raw:
+        gone = [False] * len(r)
+        for i in range(len(r) - length + 1):
+            if any(e < d and r[i : i + length] in q for e, q in raw):
+                gone[i : i + length] = [True] * length
+        out.append((None if d == 2**63 - 1 else d, sum(gone), bytes(c for c, g in zip(r, gone) if not g)))
+    return out
+
+
 def test_lists_of_bodies_lose_no_pair():
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdef") for _ in range(30)) for _ in range(6)]
