@@ -71,7 +71,7 @@ class Index:
             text = np.stack([self.items[k][1][a : a + n] for k, a in probes])
             self.triples[n] = np.unique(self.triple(text.reshape(-1))[: text.size].reshape(text.shape)[:, : n - 2])
             every.append(self.triples[n])
-            self.sampled[n] = rng.integers(0, 3 * n, (walks, tables, samples))
+            self.sampled[n] = rng.integers(0, 2 * n, (walks, tables, samples))  # the walk leaves the window at about 2 n
             key = self.hashed(text, n).reshape(len(text), -1)
             probe = np.repeat(np.arange(len(text)), key.shape[1])
             order = np.argsort(key.reshape(-1), kind="stable")
@@ -93,7 +93,7 @@ class Index:
         value = np.zeros((rows, *taken.shape), np.uint64)
         for walk in range(self.walks):
             at = np.zeros(rows, np.int64)
-            for step in range(3 * n):
+            for step in range(2 * n):
                 symbol = padded[np.arange(rows), at]
                 for t, s in zip(*np.nonzero(taken[walk] == step)):
                     value[:, walk, t, s] = symbol
@@ -114,16 +114,20 @@ class Index:
         out: set[tuple[int, int, int]] = set()
         for n, probes in self.probes.items():
             need = n - 2 - 3 * allowed_edits(n, self.similarity)
-            own = np.isin(triple[hit], self.triples[n])
-            p, d = hit[own], doc[own]
-            if len(p) < need:
+            if need < 1:  # so many edits are allowed that no triple need be left: every window is embedded
+                low = bounds[:-1][bounds[:-1] < bounds[1:]]
+                high = bounds[1:][bounds[:-1] < bounds[1:]] - n
+            else:
+                own = np.isin(triple[hit], self.triples[n])
+                p, d = hit[own], doc[own]
+                if len(p) < need:
+                    continue
+                # stretches of `need` hits of one document within the window's triples
+                k = np.flatnonzero((p[need - 1 :] - p[: len(p) - need + 1] <= n - 3) & (d[need - 1 :] == d[: len(d) - need + 1]))
+                low = np.maximum(p[k + need - 1] - (n - 3), bounds[d[k]])
+                high = np.minimum(p[k], bounds[d[k] + 1] - n)
+            if not len(low):
                 continue
-            # stretches of `need` hits of one document within the window's triples
-            k = np.flatnonzero((p[need - 1 :] - p[: len(p) - need + 1] <= n - 3) & (d[need - 1 :] == d[: len(d) - need + 1]))
-            if not len(k):
-                continue
-            low = np.maximum(p[k + need - 1] - (n - 3), bounds[d[k]])
-            high = np.minimum(p[k], bounds[d[k] + 1] - n)
             # a document that ends within the last window: the window that ends with it
             starts = np.unique(np.concatenate([np.arange(a, max(a, b) + 1) for a, b in zip(low.tolist(), high.tolist())]))
             whose = np.searchsorted(bounds, starts, side="right") - 1
@@ -219,7 +223,9 @@ def find_matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, blo
     An item is held where its words turn into a stretch of the document's by at most (1 - similarity)
     edits a word. Items under 3 words are never held, to 5 words only without edits. The benchmark is
     taken in blocks of block_items items against all documents, so each broadcast is bounded. Null
-    and empty texts hold nothing; repeated rows and items give repeated results.
+    and empty texts hold nothing; repeated rows and items give repeated results, one of them where an item's places
+    tie. Long texts are looked through whole; where the similarity leaves an item no word triple, all windows are
+    embedded. Other columns, whatever their names, are not read, and empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)

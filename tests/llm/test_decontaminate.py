@@ -88,3 +88,28 @@ def test_recall_at_the_limit():
 def test_place():
     item = np.array([1, 2, 3, 4])
     assert dc.closest(item, np.array([9, 1, 2, 8, 3, 4, 9])) == (1, 1, 6)
+
+
+def test_any_similarity():
+    """Down to a similarity that leaves no word triple of an item; what is found is right, and planted places are found."""
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(2000)]
+    for similarity in (1.0, 0.9, 0.65, 0.5, 0.3):
+        items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([3, 6, 12, 20, 40])]
+        index = dc.Index(items, similarity)
+        texts = ["", "short text"]
+        for _, s in items:
+            texts.append(" ".join([*(rng.choice(vocab) for _ in range(20)), s, *(rng.choice(vocab) for _ in range(5))]))
+        got = {(m[0], m[1]): m[4] for m in index.matches(texts)}
+        assert all(got.get((i + 2, i)) == 0 for i, _ in items)
+        assert all(e <= dc.allowed_edits(len(items[i][1].split()), similarity) for (_, i), e in got.items())
+
+
+def test_unrelated_windows_seldom_meet():
+    """Sampling inside the walk: windows without a word of the item share a table's key only by chance."""
+    rng = np.random.default_rng(4)
+    index = dc.Index([(0, " ".join(f"w{k}" for k in range(20)))])
+    windows = rng.integers(1000, 5000, (300, 20))
+    table, _ = index.keys[20]
+    share = np.isin(index.hashed(windows, 20).reshape(300, -1), table).any(axis=1).mean()
+    assert share < 0.1
