@@ -279,9 +279,9 @@ def _prose(node: Node) -> int:
 def main_text(page: str | None) -> str:
     """The article's text; empty where a page has none.
 
-    Where elements left out by their names held more than twice the prose that was found, the page is
-    read again with those names kept that only tell of a place; where nothing is found, with all. Likewise
-    where forms hold more than three times that and 200 more.
+    Where elements left out by their names held more than three times the prose that was found, the page is read
+    again with those names kept that only tell of a place; what readers or sellers wrote (NEVER) stays out. A form
+    is part of the text only if the best container of the page lies inside it, as on pages that stand in one form.
     """
     if not page:
         return ""
@@ -290,15 +290,30 @@ def main_text(page: str | None) -> str:
         placed = parse(page, NEVER)
         if _prose(placed) > 3 * len(text):
             text = _article(placed) or text
-        if not text:
-            text = _article(parse(page, frozenset()))
-    if "<form" in page.lower():  # some pages stand in one form as a whole
+    if "<form" in page.lower() or "<fieldset" in page.lower():
         whole = parse(page, AROUND, DROPPED - FORMS)
-        if _prose(whole) > 3 * len(text) + 200:
+        best = _best(whole)
+        above = []
+        while best is not None and best.parent is not None:
+            best = best.parent
+            above.append(best)
+        if any(n.name in FORMS for n in above):
+            for node in _nodes(whole):
+                node.children = [c for c in node.children if isinstance(c, str) or c.name not in FORMS or c in above]
+                node.points = 0.0
             text = _article(whole) or text
     return text
 
 
+def _best(root: Node, scored: bool = False) -> Node | None:
+    """The block with most points, None if none has any."""
+    if not scored:
+        _score(root)
+    nodes = [n for n in _nodes(root) if n.name in BLOCKS and n.name not in ("br", "hr", "tr", "thead", "tbody", "tfoot")]
+    best = max(nodes, key=lambda n: n.points, default=None)
+    return best if best is not None and best.points > 0 else None
+
+
 def surrounds_any(page: str) -> bool:
     """Whether some tag of the page may be left out by its names."""
     return any(surrounds(html.unescape(m[1] or m[2] or m[3])) for m in NAMES.finditer(page))
@@ -306,9 +321,8 @@ def surrounds_any(page: str) -> bool:
 
 def _article(root: Node) -> str:
     sizes = _score(root)
-    nodes = [n for n in _nodes(root) if n.name in BLOCKS and n.name not in ("br", "hr", "tr", "thead", "tbody", "tfoot")]
-    best = max(nodes, key=lambda n: n.points, default=None)
-    if best is None or best.points <= 0:
+    best = _best(root, scored=True)
+    if best is None:
         whole = [n for n in _nodes(root) if n.name in ("article", "main")] or [root]
         return " ".join(x for n in whole if not _inside(n, whole) for x in _blocks(n))
     while best.parent is not None and best.name not in ("article", "main") and _holder(best) is not None:

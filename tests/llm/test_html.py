@@ -72,3 +72,67 @@ def test_page_inside_a_form():
     body = f"<div id=main><p>{ARTICLE}</p><p>{ARTICLE}</p><p>{ARTICLE}</p></div>"
     assert h.main_text(f"<body><form id=aspnet><div class=menu><a>x</a></div>{body}</form></body>") == f"{ARTICLE} {ARTICLE} {ARTICLE}"
     assert h.main_text("<body><form><p>Sign up here, please, with your name.</p></form></body>") == ""
+
+
+def test_forms_and_adverts_stay_out():
+    long = "<div><p>Your name, your mail and your wishes go here, please, so that we can write to you. " * 4 + "</p></div>"
+    page = f"<body><article><p>A short article, of one sentence only here.</p></article><form action=x>{long}</form></body>"
+    assert h.main_text(page) == "A short article, of one sentence only here."
+    page = f"<body><div id=content><p>{ARTICLE}</p><p>{ARTICLE}</p></div><form><p>{'Log in, with your name. ' * 30}</p></form></body>"
+    assert h.main_text(page) == f"{ARTICLE} {ARTICLE}"
+    for name in ("ad", "cookie-consent", "comments", "newsletter-box"):
+        assert h.main_text(f"<body><div class='{name}'><p>{ARTICLE}</p><p>{ARTICLE}</p></div></body>") == ""
+    inner = f"<h1>Site</h1><form id=page><div id=main><p>{ARTICLE}</p><p>{ARTICLE}</p><form><p>{ARTICLE}</p></form></div><fieldset><p>Pick one, of these, please, now.</p></fieldset></form>"
+    got = h.main_text(f"<body>{inner}</body>")
+    assert got.startswith(f"{ARTICLE} {ARTICLE}") and "Pick" not in got
+
+
+def independent(page):
+    """The text of well-formed pages by the standard library's parser: the one article element's blocks, without what is left out."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.run = [], [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in h.BLOCKS:
+                self.end()
+            if tag not in h.VOID:
+                self.open.append((tag, dict(attrs).get("class") or ""))
+
+        def handle_endtag(self, tag):
+            if tag in h.BLOCKS:
+                self.end()
+            while self.open and self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            names = [t for t, _ in self.open]
+            if "article" in names and not any(t in h.DROPPED or c in ("ad", "share") for t, c in self.open):
+                self.run.append(data)
+
+        def end(self):
+            text = " ".join("".join(self.run).split())
+            self.run = []
+            if text:
+                self.out.append(text)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.end()
+    return " ".join(reader.out)
+
+
+def test_made_pages_against_another_parser():
+    import random
+
+    rng = random.Random(8)
+    inline = ["plain words, and more", "<b>bold</b> text", "a &amp; b &lt; c", "<a href=x>link</a> here", "line<br>break", "<i>x</i>&#228;", "<span>spaced\n  out</span>", "<script>var x = '<p>';</script>done"]
+    for _ in range(300):
+        paragraph = lambda: f"<p>{' '.join(rng.choice(inline) for _ in range(rng.randint(3, 9)))}, with a full sentence, too.</p>"
+        parts = [rng.choice([paragraph, lambda: f"<h2>{rng.choice(inline)}</h2>", lambda: "<ul><li>one point</li><li>two points</li></ul>", lambda: f"<blockquote>{paragraph()}</blockquote>", lambda: "<div class=ad><p>Buy this, cheap.</p></div>", lambda: "<form><p>Fill this in.</p></form>"])() for _ in range(rng.randint(2, 8))]
+        page = f"<html><body><nav><a>Home</a></nav><article>{paragraph()}{''.join(parts)}{paragraph()}</article><footer>rights</footer></body></html>"
+        assert h.main_text(page) == independent(page)
