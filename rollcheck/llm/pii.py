@@ -24,6 +24,7 @@ BASE = KINDS[:4]
 CUES = ("account", "acct", "iban", "passport", "username", "user id", "member id", "customer id", "ssn", "token", "api key", "api_key", "apikey", "secret", "password")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 GROUPED = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
@@ -32,16 +33,24 @@ AUTHORITY = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++(?::[^\s/@]*+)?@[A-Za-z0-9
 AFTER_CUE = re.compile(r"(?:[\x20_](?:no|nr|number|id|key))?\.?[\x20]{0,2}[:=#]?[\x20]{0,2}[\"']?(?P<value>[A-Za-z0-9][A-Za-z0-9_-]*+(?:\x20[A-Z0-9]{2,4}(?![A-Z0-9])){0,8}+)", re.IGNORECASE)
 
 
-def _automaton() -> ahocorasick.Automaton:
+_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def folded(text: str) -> str:
+    """A-Z in lower case, every character at its place."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def _automaton(cues: tuple[str, ...] = CUES) -> ahocorasick.Automaton:
+    """Anchors as they stand in a text whose A-Z are lower-cased."""
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
     a.add_word("://", ("://", 3))
     for d in "0123456789":
         a.add_word(d, ("0", 1))
-    for c in CUES:
-        for form in {c, c.upper(), c.capitalize(), c.title()}:
-            a.add_word(form, ("cue", len(c)))
+    for c in cues:
+        a.add_word(folded(c), ("cue", len(c)))
     a.make_automaton()
     return a
 
@@ -86,8 +95,8 @@ def _account(text: str, at: int, size: int) -> tuple[int, int] | None:
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     out: list[tuple[str, int, int]] = []
-    email_end = dotted_end = grouped_end = 0
-    for last, (what, size) in automaton.iter(text):
+    email_end = dotted_end = grouped_end = scheme_end = 0
+    for last, (what, size) in automaton.iter(folded(text)):
         at = last - size + 1
         if what == "0":
             if at >= dotted_end:
@@ -122,8 +131,11 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
                     out.append(("phone", at, at + len(run)))
         elif what == "://":
             start = at
-            while start and at - start < 20 and text[start - 1].isascii() and text[start - 1].isalnum():
+            while start > scheme_end and text[start - 1] in SCHEME:
                 start -= 1
+            scheme_end = last + 1
+            while start < at and not text[start].isalpha():  # a scheme starts with a letter
+                start += 1
             if start < at and (m := AUTHORITY.match(text, last + 1)):
                 out.append(("login", start, m.end()))
         elif found := _account(text, at, size):
@@ -134,17 +146,17 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, i
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cues: tuple[str, ...] = CUES) -> DataFrame:
     """(doc_id, spans): array of (kind, start, end) for every row, empty where nothing is found.
 
     email, ip, card and phone are leftmost matches, not overlapping within a kind; login is a URL
-    with user information, account an identifier behind a cue, and these two may overlap others.
+    with user information, account an identifier behind one of the cues in any case, and these two may overlap others.
     A null text counts as empty; repeated rows and ids stay; other columns are not read.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton()
+        automaton = _automaton(cues)
         for b in batches:
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t, automaton)] for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS)], names=["doc_id", "spans"])

@@ -51,3 +51,15 @@ def test_rows(spark):
     got = pii.personal_data(df).collect()
     assert sorted((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.spans]) for r in got) == sorted((str(d), brute(t or "")) for d, t in rows)
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_whole_schemes_and_any_case():
+    def added(t):
+        return {(k, t[s:e]) for k, s, e in pii.find_spans(t, A) if k not in pii.BASE}
+
+    t = "é soap+verylongschemename.abcdefgh://user:pw@host.org PassWord: hunter2222x, 1+9x://a:b@c.d"
+    assert added(t) == {("login", "soap+verylongschemename.abcdefgh://user:pw@host.org"), ("account", "hunter2222x"), ("login", "x://a:b@c.d")}
+    own = pii._automaton(("Kundennummer",))
+    assert [(k, s) for k, s, _ in pii.find_spans("KUNDENnummer: ab123456; token: 99887766x", own)] == [("account", 14)]
+    assert pii.folded("ÀİA") == "Àİa" and len(pii.folded("İ" * 9)) == 9
+    assert len(pii.find_spans("a" * 200_000 + "://" * 50_000, A)) == 0
