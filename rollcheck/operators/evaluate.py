@@ -171,12 +171,24 @@ def rank_configs(gold: DataFrame, observations: DataFrame) -> DataFrame:
     return per.join(time, "config_id").withColumn("place", F.row_number().over(Window.orderBy(*best, "runtime_ms", "config_id")))  # one row a configuration
 
 
-def check_observations(gold: DataFrame, observations: DataFrame, no_retry: list[str]) -> DataFrame:
-    """Violations: repeated case and configuration, unknown case, retries where none are allowed."""
+def check_observations(gold: DataFrame, observations: DataFrame, no_retry: list[str], configs: list[str] | None = None) -> DataFrame:
+    """Violations: repeated case and configuration, unknown case, case that a configuration lacks, unknown configuration, retries where none are allowed.
+
+    configs are the known configurations; those met are taken where it is not given.
+    """
+    c = F.col
     double = observations.groupBy("case_id", "config_id").agg(F.count("*").alias("n")).filter("n > 1").select("case_id", "config_id", F.lit("repeated").alias("violation"))
     unknown = observations.join(gold.select("case_id"), "case_id", "left_anti").select("case_id", "config_id", F.lit("unknown_case").alias("violation"))
-    retried = observations.filter(F.col("config_id").isin(*no_retry) & (F.col("retry_count") > 0)).select("case_id", "config_id", F.lit("retry_not_allowed").alias("violation"))
-    return double.unionByName(unknown).unionByName(retried)
+    retried = observations.filter(c("config_id").isin(*no_retry) & (c("retry_count") > 0)).select("case_id", "config_id", F.lit("retry_not_allowed").alias("violation"))
+    if configs is None:
+        names = observations.select("config_id").distinct()
+        foreign = observations.limit(0).select("case_id", "config_id", F.lit("unknown_config").alias("violation"))
+    else:
+        names = gold.sparkSession.createDataFrame([(x,) for x in configs], "config_id string")
+        foreign = observations.filter(~c("config_id").isin(*configs)).select("case_id", "config_id", F.lit("unknown_config").alias("violation"))
+    wanted = gold.select("case_id").distinct().crossJoin(F.broadcast(names))  # a configuration is a setting of the run: few
+    lacking = wanted.join(observations.select("case_id", "config_id"), ["case_id", "config_id"], "left_anti").select("case_id", "config_id", F.lit("missing_case").alias("violation"))
+    return double.unionByName(unknown).unionByName(retried).unionByName(foreign).unionByName(lacking)
 
 
 POLICY = "scope string, field string, metric string, bound double"

@@ -222,6 +222,23 @@ def check_cards(cards: DataFrame) -> DataFrame:
     return cards.withColumn("place", place).withColumn("violation", why).filter("violation is not null").select("page", "card_index", "violation")
 
 
+def check_page_counts(pages: DataFrame, cards: DataFrame, most: int = 30) -> DataFrame:
+    """pages (page, candidate_count, validated_count) against their cards (page): the first rule that a page breaks.
+
+    The validated count is the number of cards, and no higher than the candidates, which are 0 to `most`; cards of no page are told too.
+    """
+    c = F.col
+    held = cards.groupBy("page").agg(F.count("*").alias("_cards"))
+    rows = pages.withColumn("_page", F.lit(True)).join(held, "page", "full").withColumn("_cards", F.coalesce("_cards", F.lit(0)))
+    why = (
+        F.when(c("_page").isNull(), "unknown_page")
+        .when(~F.coalesce(c("candidate_count").between(0, most), F.lit(False)), "candidates")
+        .when(~c("validated_count").eqNullSafe(c("_cards")), "count")
+        .when(c("validated_count") > c("candidate_count"), "over_candidates")
+    )
+    return rows.withColumn("violation", why).filter("violation is not null").select("page", "violation")
+
+
 def run_manifest(jobs: DataFrame) -> DataFrame:
     """jobs (job_id, pages, total_pages, version) -> run rows; no page list means all pages."""
     return jobs.select("job_id", F.coalesce(X.clean_pages(F.col("pages")), F.sequence(F.lit(1), F.col("total_pages"))).alias("pages"), F.coalesce("version", F.lit("1")).alias("version"), F.lit("pending").alias("status"))

@@ -85,6 +85,13 @@ def distinct_slots_v0(records: DataFrame, edition: str = "en") -> DataFrame:
     return records.filter((F.col("lang") == edition) & F.col("serial_number").isNotNull()).select("part_number", "serial_number").distinct()
 
 
+def slot_activity_v0(slots: DataFrame, records: DataFrame, edition: str = "en") -> DataFrame:
+    """slots (part_number, serial_number) as known, and those met now: active where the edition's active records have them, else inactive."""
+    met = distinct_slots_v0(records, edition).withColumn("_met", F.lit(True))
+    known = slots.select("part_number", "serial_number").distinct()
+    return known.join(met, ["part_number", "serial_number"], "full").select("part_number", "serial_number", F.coalesce("_met", F.lit(False)).alias("active"))
+
+
 def registry_invariant(slots: DataFrame, expectations: DataFrame) -> DataFrame:
     """part_number, expected_total, slots, holds: whether each part has the slots that its configuration says."""
     n = slots.groupBy("part_number").agg(F.count("*").alias("slots"))
@@ -127,10 +134,14 @@ def slot_records(linked: DataFrame, documents: DataFrame, slots: DataFrame) -> D
 
 
 def source_locator(records: DataFrame, documents: DataFrame) -> DataFrame:
-    """(record_id, filename, part_number, revision_id, page): where a record stands; the page is kept within 1 .. pages, null is the first."""
+    """(record_id, filename, part_number, revision_id, page, box): where a record stands; the page is kept within 1 .. pages, null is the first.
+
+    box is the place on the page, read from bounding_box where the records have it and it is well formed; null otherwise.
+    """
     d = small(documents.select("doc_id", "filename", "revision_id", "pages"))
     page = F.least(F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)), F.greatest("pages", F.lit(1)))
-    return records.select("record_id", "doc_id", "part_number", "page").join(d, "doc_id").select("record_id", "filename", "part_number", "revision_id", page.alias("page"))
+    given = F.col("bounding_box") if "bounding_box" in records.columns else F.lit(None).cast("string")
+    return records.select("record_id", "doc_id", "part_number", "page", X.parse_box(given).alias("box")).join(d, "doc_id").select("record_id", "filename", "part_number", "revision_id", page.alias("page"), "box")
 
 
 def missing_primary(linked: DataFrame, slots: DataFrame, edition: str = "en") -> DataFrame:

@@ -112,6 +112,12 @@ def _a5(f):
     return f["pages_html"].select("page_id", X.payload_class(c("html")).alias("kind"), F.sha2("html", 256).alias("checksum"))
 
 
+@query("a5_strict_payloads", "select doc_id, case doc_id%4 when 0 then 'ok' when 1 then 'html' else 'invalid' end as kind from documents")
+def _a5s(f):
+    front = F.when(c("doc_id") % 4 == 0, "%PDF-1.7 ").when(c("doc_id") % 4 == 1, " <html> ").when(c("doc_id") % 4 == 2, " %PDF-1.7 ").otherwise("%pdf-")
+    return f["documents"].select("doc_id", X.payload_class(F.concat(front, F.coalesce("text", F.lit(""))), strict=True).alias("kind"))
+
+
 @query("b12_slot_key", f"select record_id, case when ({_serial('serial_number')}) between e.serial_start and e.serial_end then r.part_number || ':' || ({_serial('serial_number')}) end as v from fx_records r join fx_expectations e on e.part_number=r.part_number")
 def _b12(f):
     linked = R.link_records(f["records"], f["expectations"])
@@ -225,7 +231,26 @@ def _c1(f):
 
 @query("c3_age_tolerance", "select record_id from fx_records where age between 41 and 45")
 def _c3(f):
-    return f["records"].filter(c("age").between(43 - 2, 43 + 2)).select("record_id")
+    return f["records"].filter(X.within(c("age"), 43, 2)).select("record_id")
+
+
+_MAPPED = "case when age%3=0 then null when age%3=1 then house else ident end"
+
+
+@query("b38_fields_changed", f"select record_id, coalesce(case when age%4=0 then upper(gender) end, gender, '') as gender, (trim(coalesce(name,'')) <> case when age%5=0 then '' else trim(coalesce(name, '')) end or trim(coalesce(case when age%4=0 then upper(gender) end, gender, '')) <> trim(coalesce(gender, ''))) as changed from fx_records")
+def _b38f(f):
+    fields = ("name", "gender")
+    corrected = F.when(c("age") % 4 == 0, F.create_map(F.lit("gender"), F.upper("gender")))
+    entered = F.create_map(F.lit("name"), F.when(c("age") % 5 != 0, F.concat(F.lit(" "), c("name"), F.lit(" "))), F.lit("gender"), c("gender"))
+    return f["records"].select("record_id", X.initial_fields(corrected, fields)["gender"].alias("gender"), X.fields_changed(entered, corrected, fields).alias("changed"))
+
+
+@query("b39_with_entries", f"select record_id, ({_MAPPED}) as house, case when age%2=0 then name end as name, (({_MAPPED}) is not null)::int + (age%2=0 and name is not null)::int as entries from fx_records")
+def _b39w(f):
+    old = F.when(c("age") % 2 == 0, F.create_map(F.lit("name"), c("name"), F.lit("house"), F.lit("old")))
+    old = F.when(c("name").isNotNull(), old)
+    found = X.with_entries(old, {"house": F.when(c("age") % 3 == 0, None).when(c("age") % 3 == 1, c("house")).otherwise(c("ident"))})
+    return f["records"].select("record_id", found["house"].alias("house"), found["name"].alias("name"), F.size(found).alias("entries"))
 
 
 _CATEGORY = {
@@ -297,7 +322,15 @@ def _d18(f):
 
 @query("d19_source_locator", "select r.record_id, d.filename, r.part_number, d.revision_id, least(greatest(coalesce(r.page, 1), 1), greatest(d.pages, 1)) as page from fx_records r join fx_documents d on d.doc_id=r.doc_id")
 def _d19(f):
-    return R.source_locator(f["records"], f["documents_roll"])
+    return R.source_locator(f["records"], f["documents_roll"]).drop("box")
+
+
+@query("d19_source_box", "select r.record_id, case when age%4=0 then age::double when age%4=1 then 7::double end as x, case when age%4=0 then 2::double when age%4=1 then 8::double end as width from fx_records r join fx_documents d on d.doc_id=r.doc_id")
+def _d19b(f):
+    numbers = F.concat_ws(",", c("age"), F.lit("1,2,3,4,5"))
+    text = F.when(c("age") % 4 == 0, numbers).when(c("age") % 4 == 1, F.lit('{"x":7,"y":1,"width":8,"height":2,"pageWidth":90,"pageHeight":90}')).when(c("age") % 4 == 2, "1,2,three")
+    rows = f["records"].withColumn("bounding_box", text)
+    return R.source_locator(rows, f["documents_roll"]).select("record_id", "box.x", "box.width")
 
 
 @query("d16_snowflake", "select r.r_name, n.n_name, count(distinct c.c_custkey) customers, count(*) orders from region r join nation n on n.n_regionkey=r.r_regionkey join customer c on c.c_nationkey=n.n_nationkey join orders o on o.o_custkey=c.c_custkey group by 1,2")
@@ -367,6 +400,11 @@ def _r6(f):
     return R.distinct_slots_v0(f["records"])
 
 
+@query("r6_slot_activity", "with met as (select distinct part_number, serial_number from fx_records where lang='en' and serial_number is not null and age%3<>0), known as (select distinct part_number, serial_number from fx_records where lang='te' and serial_number is not null) select coalesce(m.part_number, k.part_number) part_number, coalesce(m.serial_number, k.serial_number) serial_number, m.part_number is not null as active from met m full join known k on k.part_number=m.part_number and k.serial_number=m.serial_number")
+def _r6a(f):
+    return R.slot_activity_v0(f["records"].filter("lang = 'te' and serial_number is not null"), f["records"].filter("age % 3 <> 0"))
+
+
 @query("r7_registry_invariant", "with s as (select part_number, count(*) n from (select part_number, unnest(generate_series(serial_start, serial_end - case when part_number%3=0 then 1 else 0 end)) x from fx_expectations) group by 1) select e.part_number, e.expected_total, s.n as slots, s.n=e.expected_total as holds from fx_expectations e join s using (part_number)")
 def _r7(f):
     short = f["expectations"].withColumn("serial_end", c("serial_end") - F.when(c("part_number") % 3 == 0, 1).otherwise(0))
@@ -1239,6 +1277,24 @@ def _k8(f):
     return K.check_observations(f["gold"], f["observations"], ["b"])
 
 
+@query("k8_every_violation", """with o as (select case_id, case when case_id%50=0 then 'z' else config_id end config_id, retry_count from fx_observations where case_id%40<>0 union all select case_id, config_id, retry_count from fx_observations where case_id%45=0 union all select case_id+1000000, config_id, retry_count from fx_observations where case_id%60=0)
+ select case_id, config_id, 'retry_not_allowed' violation from o where config_id='b' and retry_count>0 union all select case_id, config_id, 'repeated' from o group by 1,2 having count(*)>1 union all select case_id, config_id, 'unknown_case' from o where case_id not in (select case_id from fx_gold) union all select case_id, config_id, 'unknown_config' from o where config_id='z'
+ union all select g.case_id, k.config_id, 'missing_case' from fx_gold g cross join (values ('a'),('b')) k(config_id) anti join o on o.case_id=g.case_id and o.config_id=k.config_id""")
+def _k8e(f):
+    o = f["observations"].select("case_id", "config_id", "retry_count")
+    odd = o.filter("case_id % 40 <> 0").withColumn("config_id", F.when(c("case_id") % 50 == 0, "z").otherwise(c("config_id")))
+    odd = odd.unionByName(o.filter("case_id % 45 = 0")).unionByName(o.filter("case_id % 60 = 0").withColumn("case_id", c("case_id") + 1_000_000))
+    return K.check_observations(f["gold"], odd, ["b"], ["a", "b"])
+
+
+@query("p14_page_counts", """with p as (select doc_id page, max(records_extracted) + 1 candidate_count, (count(*) + case when doc_id%3=0 then 1 else 0 end)::int validated_count from fx_pages where doc_id%7<>0 group by doc_id), n as (select doc_id page, count(*) n from fx_pages group by 1),
+ r as (select coalesce(p.page, n.page) page, case when p.page is null then 'unknown_page' when candidate_count not between 0 and 30 then 'candidates' when validated_count<>coalesce(n, 0) then 'count' when validated_count>candidate_count then 'over_candidates' end violation from p full join n on n.page=p.page) select * from r where violation is not null""")
+def _p14c(f):
+    pages = f["pages"].filter("doc_id % 7 <> 0").groupBy(c("doc_id").alias("page")).agg((F.max("records_extracted") + 1).alias("candidate_count"), F.count("*").alias("_n"))
+    pages = pages.select("page", "candidate_count", (c("_n") + F.when(c("page") % 3 == 0, 1).otherwise(0)).cast("int").alias("validated_count"))
+    return P.check_page_counts(pages, f["pages"].select(c("doc_id").alias("page")))
+
+
 _BOUNDS = dict(accuracy={"ident": 0.9, "age": 0.8, "name": 0.5}, cer={"name": 0.05, "ident": 0.5}, wer={"name": 0.3}, languages=("te", "xx"), failure_rate=0.001, empty_rate=0.05, runtime_per_card=12.5)
 _POLICY = "pol as (select * from (values " + ", ".join([f"('{s}', '{k}', '{m}', {v})" for s in ("overall", "language:te", "language:xx") for m in ("accuracy", "cer", "wer") for k, v in _BOUNDS[m].items()] + [f"('overall', null, '{m}', {_BOUNDS[m]})" for m in K.CARD_METRICS]) + ") v(scope, field, metric, bound))"
 _BREACHES = f"""{_KEYED}, {_RANKED}, {_CARDS}, {_POLICY}, c as (select config_id, {_CARD_FIGURES} from w group by 1),
