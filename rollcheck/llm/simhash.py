@@ -342,11 +342,15 @@ def _joined(similarity: float, shingle_words: int):
     return run
 
 
+#: Times that a large bucket is dealt anew, each by other bits of its members.
+SPLITS = 3
+
+
 def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFrame:
     """(a, b, far, rest) of nodes that share a key and may be similar, as _met gives them, from (key, node, lo, hi).
 
-    A larger bucket is never gathered: its members meet again, once, by as many more bits of the fingerprint
-    as halve it to the limit, other bits in each table. What is then still larger is dealt into parts of about the
+    A larger bucket is never gathered: its members meet again, SPLITS times, by as many more bits of the fingerprint
+    as halve it to the limit, other bits each time and in each table. What is then still larger is dealt into parts of about the
     limit, each with the bucket's smallest node.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -360,8 +364,9 @@ def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFram
         few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi"))
     found = few.groupBy("key", "part").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, f"a long, b long, far long, rest array<{NODE}>")
     if large and again:
-        more = F.expr(f"shiftrightunsigned(if(key >> {TABLE_BITS} & 1 = 0, lo, hi), cast((key >> {TABLE_BITS}) * 5 % 48 as int)) & (shiftleft(1L, least(16, cast(ceil(log2(n / {bucket_limit})) as int) + 1)) - 1)")
-        found = found.unionByName(_candidates(many.select(F.xxhash64("key", more).alias("key"), "node", "lo", "hi"), bucket_limit, again - 1))
+        bits = lambda j: F.expr(f"shiftrightunsigned(if((key >> {TABLE_BITS}) + {j} & 1 = 0, lo, hi), cast(((key >> {TABLE_BITS}) * 5 + {19 * j}) % 48 as int)) & (shiftleft(1L, least(16, cast(ceil(log2(n / {bucket_limit})) as int) + 1)) - 1)")
+        keys = F.explode(F.array(*[F.xxhash64("key", F.lit(j), bits(j)) for j in range(SPLITS)]))
+        found = found.unionByName(_candidates(many.select(keys.alias("key"), "node", "lo", "hi"), bucket_limit, again - 1))
     return found
 
 
@@ -386,7 +391,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, similarity: float, shingle_word
     return both.mapInArrow(run, "a long, b long")
 
 
-def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, miss: float = 0.02, bucket_limit: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, miss: float = 0.02, bucket_limit: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each group joined by pairs of the Jaccard similarity or more.
 
     Texts of the same lower-case words are one node. Candidates are nodes that agree in the sampled
