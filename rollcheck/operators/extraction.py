@@ -165,7 +165,7 @@ def scan_words(tsv: DataFrame) -> DataFrame:
     return out.select("field_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("value"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("confidence"))
 
 
-CARD_FIELDS = ("serial_number", "ident", "house", "age", "gender")
+CARD_FIELDS = ("serial_number", "ident", "name", "relation_name", "relation_type", "house", "age", "gender")
 
 
 def build_records(fields: DataFrame, least_confidence: float = 0.95) -> DataFrame:
@@ -183,7 +183,7 @@ def build_records(fields: DataFrame, least_confidence: float = 0.95) -> DataFram
             F.when(F.col("least") < least_confidence, "low_confidence"),
         )
     )
-    return wide.join(per, "card_id").select("card_id", serial.alias("serial_no"), "ident", "house", age.alias("age"), "gender", "confidence", F.when(F.col("engines") == 1, F.col("engine")).alias("engine"), issues.alias("issues"), (F.size(issues) > 0).alias("requires_review"))
+    return wide.join(per, "card_id").select("card_id", serial.alias("serial_no"), "ident", "name", "relation_name", "relation_type", "house", age.alias("age"), "gender", "confidence", F.when(F.col("engines") == 1, F.col("engine")).alias("engine"), issues.alias("issues"), (F.size(issues) > 0).alias("requires_review"))
 
 
 def issue_rows(records: DataFrame) -> DataFrame:

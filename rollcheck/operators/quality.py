@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
+from rollcheck.operators.completeness import member_lists
 from rollcheck.operators.registry import active_records, link_records, small
 
 
@@ -433,6 +434,17 @@ def house_groups(rows: DataFrame, most: int = 200) -> DataFrame:
     return g.orderBy(F.col("house_key").try_cast("int").asc_nulls_last(), "house_key").limit(most)
 
 
+def house_group_lists(rows: DataFrame, most: int = 200) -> DataFrame:
+    """The groups of house_groups with who is in them: house_key, men, women, representative (the smallest id), n, chunk, members.
+
+    A huge house goes on in further rows, see completeness.member_lists.
+    """
+    groups = house_groups(rows, most).drop("members")
+    mine = rows.join(F.broadcast(groups.select("house_key")), "house_key", "left_semi")  # `most` keys
+    first = mine.groupBy("house_key").agg(F.min("record_id").alias("representative"))
+    return member_lists(mine, ["house_key"], "record_id").join(first, "house_key").join(F.broadcast(groups), "house_key").select("house_key", "men", "women", "representative", "n", "chunk", "members")
+
+
 def has_comparable_revision(documents: DataFrame) -> DataFrame:
     return documents.agg((F.countDistinct("revision_id") > 1).alias("comparable"), F.countDistinct("revision_id").alias("revisions"))
 

@@ -86,6 +86,51 @@ def status_client() -> Column:
     )
 
 
+#: Reasons of the service's results.
+SERVICE_REASONS = {
+    "duplicate_source": "duplicate language source for the same part and serial",
+    "source_missing": "English or Telugu source representation is missing",
+    "needs_review": "structured fields of both editions require review",
+    "reconciled": "part and serial agree; available structured fields do not conflict",
+}
+
+
+def service_results(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """A row for each slot that some record claims: counts, the ids of unique records, status, field evidence, conflict_fields, safe_to_link and reason.
+
+    Evidence is of slots with one record of each edition, unavailable elsewhere.
+    """
+    c = F.col
+    pairs = pair_editions(records, documents, expectations).withColumn("status", status_service()).filter((c("en_count") > 0) | (c("te_count") > 0))
+    one = (c("en_count") == 1) & (c("te_count") == 1)
+    reason = F.lit(None).cast("string")
+    for k, text in SERVICE_REASONS.items():
+        reason = F.when(c("status") == k, text).otherwise(reason)
+    clash = F.array_compact(F.array(*[F.when(one & (c(f"{f}_evidence") == "mismatch"), f) for f in FIELDS]))
+    return pairs.select(
+        "part_number",
+        "slot_serial",
+        "en_count",
+        "te_count",
+        *[F.when(c(f"{x}_count") == 1, c(f"{x}.record_id")).alias(f"{x}_id") for x in ("en", "te")],
+        "status",
+        (c("status") == "reconciled").alias("safe_to_link"),
+        *[F.when(one, c(f"{f}_evidence")).otherwise("unavailable").alias(f"{f}_evidence") for f in FIELDS],
+        clash.alias("conflict_fields"),
+        reason.alias("reason"),
+    )
+
+
+def service_batches(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Per part: slots evaluated, those in each status, and records that no slot has."""
+    c = F.col
+    per = service_results(records, documents, expectations).groupBy("part_number").agg(F.count("*").alias("evaluated"), *[F.count_if(c("status") == k).alias(k) for k in SERVICE_REASONS])
+    loose = _scope(records, documents, expectations).groupBy("part_number").agg(F.count_if(c("slot_serial").isNull()).alias("unlinked"))
+    zero = F.lit(0).cast("long")
+    out = expectations.select("part_number").join(per, "part_number", "left").join(loose, "part_number", "left")
+    return out.select("part_number", *[F.coalesce(k, zero).alias(k) for k in ("evaluated", *SERVICE_REASONS, "unlinked")])
+
+
 def edition_links(records: DataFrame, documents: DataFrame, expectations: DataFrame) -> DataFrame:
     """Links of unique English and Telugu records of a slot whose idents don't conflict: ids, evidence, decision (verified, needs_review) and reason."""
     c = F.col

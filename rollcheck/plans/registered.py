@@ -202,6 +202,15 @@ def _h3u(f):
     return f.spark.read.parquet(path).select("k", "v")
 
 
+@query("a12_upsert_geography", "select c_nationkey as parent, c_mktsegment as child, case when min(c_custkey) filter (c_custkey%2=0) is not null then min(c_custkey) filter (c_custkey%2=0) else min(c_custkey) end as v from customer group by 1, 2")
+def _a12u(f):
+    path = io.scratch_dir(f.spark, "geography")
+    ref = f["customer"].select(c("c_nationkey").alias("parent"), c("c_mktsegment").alias("child"), c("c_custkey").alias("v"))
+    for part in (ref.filter("v % 2 = 1"), ref.filter("v % 2 = 0")):
+        io.upsert_geography(part, path, "parent", "child", "v")
+    return f.spark.read.parquet(path).select("parent", "child", "v")
+
+
 _LINKED = f"linked as (select r.*, e.serial_start is not null ok, case when e.serial_start is not null then {_serial('r.serial_number')} end slot_serial from fx_records r left join fx_expectations e on e.part_number=r.part_number and ({_serial('r.serial_number')}) between e.serial_start and e.serial_end)"
 _SLOTS = "slots as (select part_number, unnest(generate_series(serial_start, serial_end))::int serial_no from fx_expectations)"
 
@@ -456,6 +465,19 @@ for _name, _status, _text in (("q7_reconcile_client", C.status_client, _CLIENT),
         lambda f, s=_status: C.pair_editions(*_roll(f)).select("part_number", "slot_serial", c("en.record_id").alias("en_id"), c("te.record_id").alias("te_id"), s().alias("status"))
     )
 
+_SERVED = f"""{_PAIRED_ID}, svc as (select part_number, slot_serial, en_count, te_count, case when en_count=1 then en_id end en_id, case when te_count=1 then te_id end te_id, {_SERVICE} status, {', '.join(f"case when en_count=1 and te_count=1 then {x}_evidence else 'unavailable' end {x}_evidence" for x in C.FIELDS)} from paired where en_count>0 or te_count>0)"""
+
+
+@query("q8_service_results", f"with {_SERVED} select *, status='reconciled' as safe_to_link, concat_ws(',', {', '.join(f"case when {x}_evidence='mismatch' then '{x}' end" for x in C.FIELDS)}) conflict_fields, case status {' '.join(f"when '{k}' then '{v}'" for k, v in C.SERVICE_REASONS.items())} end reason from svc")
+def _q8s(f):
+    return C.service_results(*_roll(f)).withColumn("conflict_fields", F.array_join("conflict_fields", ","))
+
+
+@query("q8_service_batches", f"with {_SERVED} select e.part_number, count(s.status) evaluated, {', '.join(f"count(*) filter (s.status='{k}') {k}" for k in C.SERVICE_REASONS)}, (select count(*) from scope where scope.part_number=e.part_number and slot_serial is null) unlinked from fx_expectations e left join svc s using (part_number) group by 1")
+def _q8b(f):
+    return C.service_batches(*_roll(f))
+
+
 @query("q7_links", f"with {_PAIRED_ID}, k as (select *, {_CLIENT} decision from paired) select part_number, slot_serial, en_id, te_id, {', '.join(f'{x}_evidence' for x in C.FIELDS)}, decision, case decision when 'verified' then 'unique identity is corroborated by strong structured fields' else 'unique identity matched, but structured corroboration is incomplete or inconsistent' end reason from k where decision in ('verified', 'needs_review')")
 def _q7l(f):
     return C.edition_links(*_roll(f))
@@ -856,6 +878,13 @@ def _i4(f):
     return Q.house_groups(Q.canonical_rows(*_roll(f)))
 
 
+@query("i4_house_group_lists", f"with {_CANON}, g as (select house_key from canon where house_key is not null group by 1 order by try_cast(house_key as int) nulls last, house_key limit 200) select house_key, count(*) filter (gender_group='male') men, count(*) filter (gender_group='female') women, min(record_id) representative, count(*) n, string_agg(record_id, ',' order by record_id) members from canon join g using (house_key) group by 1")
+def _i4l(f):
+    rows = Q.house_group_lists(Q.canonical_rows(*_roll(f)))
+    whole = rows.groupBy("house_key", "men", "women", "representative", "n").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members"))
+    return whole.withColumn("members", F.array_join("members", ","))
+
+
 @query("c8_house_filter", f"with {_CANON} select house_key, count(*) members from canon where contains(house_key, '9-9') group by 1")
 def _c8(f):
     rows = Q.house_filter(Q.canonical_rows(*_roll(f)), " 9 - 9")
@@ -1070,13 +1099,13 @@ def _s3b(f):
 # --- extraction tables
 def _cards(f):
     r = f["records"]
-    pairs = "stack(5, 'serial_number', serial_number, 'ident', ident, 'house', house, 'age', cast(age as string), 'gender', gender) as (field, value)"
+    pairs = "stack(8, 'serial_number', serial_number, 'ident', ident, 'name', name, 'relation_name', relation_name, 'relation_type', relation_type, 'house', house, 'age', cast(age as string), 'gender', gender) as (field, value)"
     return r.selectExpr("record_id card_id", "conf/100 confidence", "'e1' engine", pairs)
 
 
-@query("p8_build_records", f"select record_id card_id, try_cast(nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') as int) serial_no, ident, house, age, gender, round(conf/100, 6) confidence, 'e1' as engine, concat_ws(',', case when nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') is null then 'missing_serial' end, case when not coalesce(regexp_matches(ident, '{X.IDENT_SHAPE}'), false) then 'invalid_ident' end, case when not coalesce(age between 18 and 125, false) then 'invalid_age' end, case when {_suspicious('house')} then 'suspicious_house' end, case when conf/100 < 0.95 then 'low_confidence' end) as issues from fx_records")
+@query("p8_build_records", f"select record_id card_id, try_cast(nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') as int) serial_no, ident, name, relation_name, relation_type, house, age, gender, round(conf/100, 6) confidence, 'e1' as engine, concat_ws(',', case when nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') is null then 'missing_serial' end, case when not coalesce(regexp_matches(ident, '{X.IDENT_SHAPE}'), false) then 'invalid_ident' end, case when not coalesce(age between 18 and 125, false) then 'invalid_age' end, case when {_suspicious('house')} then 'suspicious_house' end, case when conf/100 < 0.95 then 'low_confidence' end) as issues, issues<>'' as requires_review from fx_records")
 def _p8(f):
-    return P.build_records(_cards(f)).drop("requires_review").withColumn("issues", F.array_join("issues", ","))
+    return P.build_records(_cards(f)).withColumn("issues", F.array_join("issues", ","))
 
 
 @query("p10_issue_rows", f"with i as (select record_id card_id, unnest([case when nullif(regexp_replace(serial_number, '[^0-9]', '', 'g'), '') is null then 'missing_serial' end, case when not coalesce(regexp_matches(ident, '{X.IDENT_SHAPE}'), false) then 'invalid_ident' end, case when not coalesce(age between 18 and 125, false) then 'invalid_age' end, case when {_suspicious('house')} then 'suspicious_house' end, case when conf/100 < 0.95 then 'low_confidence' end]) issue_type from fx_records) select * from i where issue_type is not null")

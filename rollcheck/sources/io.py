@@ -179,3 +179,8 @@ def upsert_into(new: DataFrame, path: str, keys: list[str], buckets: int = 64, k
         old = spark.read.option("basePath", path).parquet(*there).select(*one.columns)
         one = upsert(old, one, keys, keep_old).checkpoint()  # stored before the folders that it is read from are replaced
     one.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_geography(ref: DataFrame, path: str, parent: str, child: str, value: str, buckets: int = 8) -> None:
+    """Writes a flat reference's pairs of parent and child, each with its smallest value, by their natural key; known pairs take the new value."""
+    upsert_into(normalize_geography(ref, parent, child, value), path, [parent, child], buckets)
