@@ -1,7 +1,9 @@
 """Work that must not grow with a large expectation, table or group."""
 
+import duckdb
 from pyspark.sql import functions as F
 from rollcheck.operators import reconcile
+from rollcheck.plans import registered
 
 from test_units import base
 
@@ -17,3 +19,14 @@ def test_links_list_no_slots(spark):
     r = reconcile.service_batches(rec, docs, huge).first()
     assert (r.evaluated, r.reconciled, r.source_missing, r.unlinked) == (3, 2, 1, 1)
 
+
+def test_blockers_sql_on_many_cards(spark, tmp_path):
+    """Each blocker stands alone: with a million cards the others remain."""
+    con = duckdb.connect()
+    con.sql(f"copy (select x::bigint p_partkey, 'a b' p_name, 'T' p_type, 'Brand' p_brand, 1 p_size from range(1000000) t(x)) to '{tmp_path}/part.parquet' (format parquet)")
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    for t in ("orders", "lineitem", "events"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = sorted(con.sql(registered.oracle_sql()["k9_evidence_blockers"]).fetchall())
+    got = sorted(tuple(r) for r in registered.queries()["k9_evidence_blockers"](spark, str(tmp_path)).collect())
+    assert got == want == [("coverage is not of the required parts",), ("too few configurations were measured",)]
