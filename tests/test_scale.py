@@ -2,7 +2,7 @@
 
 import duckdb
 from pyspark.sql import functions as F
-from rollcheck.operators import reconcile
+from rollcheck.operators import reconcile, registry
 from rollcheck.plans import registered
 
 from test_units import base
@@ -30,3 +30,12 @@ def test_blockers_sql_on_many_cards(spark, tmp_path):
     want = sorted(con.sql(registered.oracle_sql()["k9_evidence_blockers"]).fetchall())
     got = sorted(tuple(r) for r in registered.queries()["k9_evidence_blockers"](spark, str(tmp_path)).collect())
     assert got == want == [("coverage is not of the required parts",), ("too few configurations were measured",)]
+
+
+def test_slots_of_one_partition_are_dealt_out(spark):
+    """Expectations in one partition become slots in several, and keys with a null meet none of the other side."""
+    exp = spark.range(0, 64).selectExpr("cast(id as int) part_number", "1 serial_start", "10 serial_end").coalesce(1)
+    slots = registry.expected_slots(exp)
+    assert slots.rdd.getNumPartitions() > 1 and slots.count() == 640
+    pair = spark.createDataFrame([(1, 1), (1, None), (1, 1)], "a int, b int")
+    assert sorted(map(str, registry.compare_sets(pair, pair, ["a", "b"]).collect())) == sorted(["Row(a=1, b=1, in_expected=True, in_observed=True)", "Row(a=1, b=None, in_expected=True, in_observed=False)", "Row(a=1, b=None, in_expected=False, in_observed=True)"])
