@@ -35,8 +35,9 @@ def compared(gold: DataFrame, observations: DataFrame) -> DataFrame:
     fields = _fields(gold, observations)
     pairs = ", ".join(f"'{f}', g_{f}, p_{f}" for f in fields)
     j = _joined(gold, observations).select("case_id", "config_id", "part_number", "lang", "failure_code", F.expr(f"stack({len(fields)}, {pairs}) as (field, g, p)")).filter("g is not null")
-    text = F.col("field").isin(*TEXT_FIELDS)
-    return j.withColumns({"char_edits": F.when(text, F.levenshtein("g", "p")), "word_edits": F.when(text, X.token_distance(F.col("g"), F.col("p")))})
+    text, same = F.col("field").isin(*TEXT_FIELDS), F.col("g") == F.col("p")
+    edits = lambda distance: F.when(text & same, 0).when(text, distance)
+    return j.withColumns({"char_edits": edits(F.levenshtein("g", "p")), "word_edits": edits(X.token_distance(F.col("g"), F.col("p")))})
 
 
 def _right() -> Column:
