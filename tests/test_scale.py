@@ -2,7 +2,7 @@
 
 import duckdb
 from pyspark.sql import functions as F
-from rollcheck.operators import reconcile, registry
+from rollcheck.operators import extraction, reconcile, registry
 from rollcheck.plans import registered
 
 from test_units import base
@@ -39,3 +39,25 @@ def test_slots_of_one_partition_are_dealt_out(spark):
     assert slots.rdd.getNumPartitions() > 1 and slots.count() == 640
     pair = spark.createDataFrame([(1, 1), (1, None), (1, 1)], "a int, b int")
     assert sorted(map(str, registry.compare_sets(pair, pair, ["a", "b"]).collect())) == sorted(["Row(a=1, b=1, in_expected=True, in_observed=True)", "Row(a=1, b=None, in_expected=True, in_observed=False)", "Row(a=1, b=None, in_expected=False, in_observed=True)"])
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_parse_a_serial_once(spark):
+    """However often a cell's place is referred to, a serial is parsed once for each reading of the records; lines are made once."""
+    for name, readings in (("p4_grid_codes", 1), ("p7_backfill_codes", 2), ("p3_grid_cards", 2), ("p5_layout_segments", 1)):
+        plan = plan_of(registered.queries()[name](spark, SF))
+        assert plan.count("^[0-9]+$") == readings, name
+        assert name == "p7_backfill_codes" or "Join" not in plan, name
+
+
+def test_segments_of_columns_with_and_without_labels(spark):
+    word = lambda text, y, x=5.0: (1, text, 80.0, x, y, x + 30.0, y + 10.0)
+    words = [word("far", 10.0), word("near", 60.0), word("Name:", 100.0), word("b", 140.0), word("Name:", 200.0), word("c", 310.0), word("d", 330.0), word("bare", 50.0, 205.0)]
+    rows = extraction.layout_segments(spark.createDataFrame(words, extraction.WORDS), 600.0, 1000.0).orderBy("at").collect()
+    assert [(r.col, r["at"], r.y, r.height) for r in rows] == [(0, 105.0, 60.0, 90.0), (0, 205.0, 200.0, 120.0)]
