@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollcheck.functions import text as X
 from rollcheck.operators.paging import offset_page, with_total
-from rollcheck.operators.registry import active_records
+from rollcheck.operators.registry import active_records, once
 
 
 def apply_filters(df: DataFrame, **filters) -> DataFrame:
@@ -30,15 +30,23 @@ def search_names(df: DataFrame, column: str, query: str, fuzzy: bool = True, asc
     return df.withColumn("score", name_score(F.col(column), query, ascii_only)).filter(F.col("score") >= (72 if fuzzy else 96))
 
 
-def rank_text(name: Column, query: str, fuzzy: bool = True) -> Column:
-    """struct(score, kind): exact, partial, transliteration or fuzzy match of a text; null without one."""
-    left, right = X.norm_text(name), X.norm_text(F.lit(query))
-    latin_l, latin_r = X.romanize(name), X.romanize(F.lit(query))
-    best = F.round(F.greatest(X.similarity(left, right, True), X.similarity(latin_l, latin_r, True)) * 100)  # both are in normal form
-    made = lambda score, kind: F.struct(score.cast("double").alias("score"), F.lit(kind).alias("kind"))
+def rank_text(df: DataFrame, made: str, name: str, query: str, fuzzy: bool = True) -> DataFrame:
+    """Rows whose text matches, with the column `made`: struct(score, kind) of an exact, partial, transliteration or fuzzy match."""
+    left, right = F.col(f"{made}_l"), X.norm_text(F.lit(query))
+    latin_l, latin_r = F.col(f"{made}_r"), X.romanize(F.lit(query))
+    df = once(df, **{f"{made}_l": X.norm_text(F.col(name)), f"{made}_r": X.romanize(F.col(name))})
+
+    def alike(a: Column, b: Column) -> Column:
+        """Similarity of two texts in normal form; one of under 0.7 is at most the ratio of their lengths, so it is not worked out where that is less."""
+        ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
+        return F.when(ratio < 0.7, ratio).otherwise(X.similarity(a, b, True))
+
+    best = F.round(F.greatest(alike(left, right), alike(latin_l, latin_r)) * 100)
+    match = lambda score, kind: F.struct(score.cast("double").alias("score"), F.lit(kind).alias("kind"))
     same = (latin_l != "") & (latin_r != "") & (latin_l.contains(latin_r) | latin_r.contains(latin_l))
-    out = F.when(left == "", None).when(left == right, made(F.lit(100), "exact")).when(left.contains(right), made(F.lit(96), "partial")).when(same, made(F.lit(92), "transliteration"))
-    return out.when(best >= 72, made(best, "fuzzy")) if fuzzy and len(query) >= 3 else out
+    out = F.when(left == "", None).when(left == right, match(F.lit(100), "exact")).when(left.contains(right), match(F.lit(96), "partial")).when(same, match(F.lit(92), "transliteration"))
+    out = out.when(best >= 72, match(best, "fuzzy")) if fuzzy and len(query) >= 3 else out
+    return once(df, **{made: out}).filter(F.col(made).isNotNull()).drop(f"{made}_l", f"{made}_r")
 
 
 KINDS = ("exact", "partial", "transliteration", "fuzzy")
@@ -62,11 +70,12 @@ def rank_records(df: DataFrame, filters: dict, fuzzy: bool = True, tolerance: in
     out = apply_filters(df, part_number=given.get("part"), lang=given.get("edition"))
     full = lambda: F.struct(F.lit(100.0).alias("score"), F.lit("exact").alias("kind"))
     terms: list[tuple[str, Column]] = []
+    named: list[str] = []
     for key in ("name", *_RELATIVES):
         if key in given:
             if key != "name":
                 out = out.filter(F.col("relation_type") == _RELATIVES[key])
-            terms.append((key, rank_text(F.col("name" if key == "name" else "relation_name"), str(given[key]), fuzzy)))
+            named.append(key)
     if "house" in given:
         terms.append(("house", F.when(X.norm_house(F.col("house")) == X.norm_house(F.lit(str(given["house"]))), full())))
     if "age" in given:
@@ -76,13 +85,17 @@ def rank_records(df: DataFrame, filters: dict, fuzzy: bool = True, tolerance: in
     for key, column in (("gender", "gender"), ("ident", "ident"), ("serial", "serial_number")):
         if key in given:
             terms.append((key, F.when(X.norm_text(F.col(column)) == X.norm_text(F.lit(str(given[key]))), full())))
-    if not terms:
+    if not terms and not named:
         return out.withColumns({"score": F.lit(100.0), "match_type": F.lit("exact"), "explanation": F.array().cast("array<struct<field:string,score:double,kind:string>>")})
-    out = out.withColumns({f"_{k}": t for k, t in terms}).dropna(subset=[f"_{k}" for k, _ in terms])
-    explained = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_{k}.score").alias("score"), F.col(f"_{k}.kind").alias("kind")) for k, _ in terms])
-    score = F.round(sum((F.col(f"_{k}.score") * WEIGHTS[k] for k, _ in terms), F.lit(0.0)) / sum(WEIGHTS[k] for k, _ in terms))
-    weakest = F.greatest(F.lit(1), *[F.array_position(F.array(*map(F.lit, KINDS)), F.col(f"_{k}.kind")).cast("int") for k, _ in terms])
-    return out.withColumns({"score": score, "match_type": F.element_at(F.array(*map(F.lit, KINDS)), weakest), "explanation": explained}).drop(*[f"_{k}" for k, _ in terms])
+    for key, term in terms:
+        out = once(out, **{f"_{key}": term}).filter(F.col(f"_{key}").isNotNull())
+    for key in named:  # texts last, each on the rows that the filters before it leave
+        out = rank_text(out, f"_{key}", "name" if key == "name" else "relation_name", str(given[key]), fuzzy)
+    keys = [*named, *(k for k, _ in terms)]
+    explained = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"_{k}.score").alias("score"), F.col(f"_{k}.kind").alias("kind")) for k in keys])
+    score = F.round(sum((F.col(f"_{k}.score") * WEIGHTS[k] for k in keys), F.lit(0.0)) / sum(WEIGHTS[k] for k in keys))
+    weakest = F.greatest(F.lit(1), *[F.array_position(F.array(*map(F.lit, KINDS)), F.col(f"_{k}.kind")).cast("int") for k in keys])
+    return out.withColumns({"score": score, "match_type": F.element_at(F.array(*map(F.lit, KINDS)), weakest), "explanation": explained}).drop(*[f"_{k}" for k in keys])
 
 
 RELATIONS = ("Father", "Mother", "Husband", "Guardian", "Other", "Unknown")

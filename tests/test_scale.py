@@ -2,7 +2,7 @@
 
 import duckdb
 from pyspark.sql import functions as F
-from rollcheck.operators import extraction, reconcile, registry
+from rollcheck.operators import extraction, reconcile, registry, search
 from rollcheck.plans import registered
 
 from test_units import base
@@ -61,3 +61,10 @@ def test_segments_of_columns_with_and_without_labels(spark):
     words = [word("far", 10.0), word("near", 60.0), word("Name:", 100.0), word("b", 140.0), word("Name:", 200.0), word("c", 310.0), word("d", 330.0), word("bare", 50.0, 205.0)]
     rows = extraction.layout_segments(spark.createDataFrame(words, extraction.WORDS), 600.0, 1000.0).orderBy("at").collect()
     assert [(r.col, r["at"], r.y, r.height) for r in rows] == [(0, 105.0, 60.0, 90.0), (0, 205.0, 200.0, 120.0)]
+
+
+def test_ranking_romanizes_and_compares_once(spark):
+    df = spark.createDataFrame([("a", "రామ 12", "Father", "Elder 1"), ("b", "Somebody Else", "Father", "Elder")], "record_id string, name string, relation_type string, relation_name string")
+    found = search.rank_records(df, {"name": "raama 12", "father": "Elder"})
+    assert plan_of(found).count("levenshtein(") <= 8
+    assert [(r.record_id, r.score, r.match_type) for r in found.collect()] == [("a", 94.0, "transliteration")]
