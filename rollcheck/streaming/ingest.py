@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -67,22 +67,21 @@ def apply_rules(bound: DataFrame, issues: DataFrame | None = None, editions: tup
     columns = [x for x in bound.columns if x not in BOUND]
     has = set(columns)
     page = ["doc_id", "page"]
-    own = {x: f"_{x}" for x in page}
-    same = lambda names: [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in names]
-    rows = bound.join(bound.groupBy(*page).agg(F.count("*").alias("_n")).withColumnsRenamed(own), same(page), "left").drop(*own.values())
+    # windows, so that records joined to their documents are not shuffled again by page
+    rows = bound.withColumn("_n", F.count("*").over(Window.partitionBy(*page)))
     if issues is not None:
-        rows = rows.join(issues.groupBy(*page).agg(F.count("*").alias("_issues")), page, "left")
+        many = issues.groupBy(*page).agg(F.count("*").alias("_issues")).filter(F.col("_issues") > PAGE_ISSUES)
+        rows = rows.join(many.groupBy("doc_id").agg(F.collect_set(F.col("page").cast("long")).alias("_many")), "doc_id", "left")
     else:
-        rows = rows.withColumn("_issues", F.lit(0))
+        rows = rows.withColumn("_many", F.lit(None).cast("array<long>"))
     if "card_index" in has:
-        card = [*page, "card_index"]
-        cards = bound.groupBy(*card).agg((F.min("record_id") != F.max("record_id")).alias("_clash")).withColumnsRenamed({x: f"_{x}" for x in card})
-        rows = rows.join(cards, same(card), "left")
+        card = Window.partitionBy(*page, "card_index")
+        rows = rows.withColumn("_clash", F.min("record_id").over(card) != F.max("record_id").over(card))
     serial = F.when(F.col("serial_number").rlike("^[0-9]+$"), F.col("serial_number").try_cast("int"))
     linked = [F.col(x).isNotNull() for x in ("slot_serial", "verified_by", "verified_at") if x in has]
     no = F.lit(False)
     why = (
-        F.when((F.col("_n") > PAGE_RECORDS) | (F.coalesce("_issues", F.lit(0)) > PAGE_ISSUES), "batch_too_large")
+        F.when((F.col("_n") > PAGE_RECORDS) | F.coalesce(F.array_contains("_many", F.col("page").cast("long")), no), "batch_too_large")
         .when(F.col("_doc").isNull(), "unknown_document")
         .when(F.col("_edition").isNull() | ~F.col("_edition").isin(*editions) if editions else no, "unsupported_document")
         .when(F.col("_run").isNull(), "foreign_run")

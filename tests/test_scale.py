@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 from rollcheck.operators import extraction, reconcile, registry, search
 from rollcheck.plans import registered
+from rollcheck.streaming import ingest
 
 from test_units import base
 
@@ -68,3 +69,15 @@ def test_ranking_romanizes_and_compares_once(spark):
     found = search.rank_records(df, {"name": "raama 12", "father": "Elder"})
     assert plan_of(found).count("levenshtein(") <= 8
     assert [(r.record_id, r.score, r.match_type) for r in found.collect()] == [("a", 94.0, "transliteration")]
+
+
+def test_rules_read_a_batch_once(spark):
+    """The batch is joined to its documents once; a page is too large by its own records or by issues, a null page too."""
+    rec = [(f"r{i}", 1, 1, 1, str(i + 1), "unverified") for i in range(31)] + [("x", 1, 1, 2, "1", "unverified"), ("y", 1, 1, 3, "2", "unverified"), ("z", 1, 1, None, "3", "unverified")]
+    rec = spark.createDataFrame(rec, "record_id string, doc_id long, part_number int, page int, serial_number string, verification_status string")
+    docs = spark.createDataFrame([(1, 1, "en")], "doc_id long, part_number int, lang string")
+    exp = spark.createDataFrame([(1, 1, 500)], "part_number int, serial_start int, serial_end int")
+    issues = spark.range(602).selectExpr("1L doc_id", "case when id < 301 then 2 when id < 601 then 3 end page").filter("page = 2 or page is null").unionByName(spark.range(300).selectExpr("1L doc_id", "3 page"))
+    out = ingest.check_batch(rec, docs, exp, issues)
+    assert plan_of(out).count("LogicalRDD [record_id#") == 1
+    assert {r.record_id: r.refusal for r in out.collect()} == {**{f"r{i}": "batch_too_large" for i in range(31)}, "x": "batch_too_large", "y": None, "z": None}
