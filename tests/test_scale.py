@@ -2,7 +2,7 @@
 
 import duckdb
 from pyspark.sql import functions as F
-from rollcheck.operators import extraction, reconcile, registry, search
+from rollcheck.operators import extraction, paging, reconcile, registry, search
 from rollcheck.plans import registered
 from rollcheck.streaming import ingest
 
@@ -81,3 +81,15 @@ def test_rules_read_a_batch_once(spark):
     out = ingest.check_batch(rec, docs, exp, issues)
     assert plan_of(out).count("LogicalRDD [record_id#") == 1
     assert {r.record_id: r.refusal for r in out.collect()} == {**{f"r{i}": "batch_too_large" for i in range(31)}, "x": "batch_too_large", "y": None, "z": None}
+
+
+def test_ranges_of_a_paged_result_grow_with_its_rows(spark, tmp_path, monkeypatch):
+    """A range is sorted in one task, so a larger result has more of them; pages and totals stay the same."""
+    monkeypatch.setattr(paging, "RANGE_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id % 7 part", "id at")
+    for name, known in (("counted", None), ("given", 1000)):
+        path = str(tmp_path / name)
+        paging.write_paged(rows, path, ["part", "at"], ("part",), 2, known)
+        assert spark.read.parquet(f"{path}/directory").agg(F.max("page_range"), F.sum("n")).first()[:] == (9, 1000)
+        page = paging.read_page(spark, path, ["part", "at"], 5, (3, 17), {"part": 3}).collect()
+        assert [(r["at"], r.total_count) for r in page] == [(at, 143) for at in (24, 31, 38, 45, 52)]
