@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, id_list, ids_and_texts, small_batches, texts
-from .graph import connected_components
+from .common import LAST_ID, cut, ids_and_texts, small_batches, small_bytes, texts
+from .graph import _forest, connected_components
 
 BITS = 64
 #: Bits of the fingerprints of keep_first_similar; of the first 128, a pair at Jaccard 0.8 differs in 19 on average, with a deviation of 4.
@@ -247,159 +247,194 @@ def _tables(rows: int, similarity: float, miss: float) -> np.ndarray:
 
 #: A bucket's key holds the table's number above so many bits.
 TABLE_BITS = 40
-NODE = "struct<node:long,lo:long,hi:long>"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's members, near are those with at most NEAR different bits of 128.
-
-    A row (a, b, far) for each member that is near another: b is the nearest, far their different bits.
-    A row (rest) for each set of members that nearness joins: a member's nearest in another bucket may be nearer still.
-    """
+    """Of a bucket's members, near are those with at most NEAR different bits of 128; (a, b) joins each to the smallest that nearness reaches."""
     for b in batches:
         members = b.column(0)
         at = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
         node, lo, hi = (f.to_numpy() for f in members.flatten().flatten())
         order = np.lexsort((node, at))
-        order = order[np.concatenate(([True], (np.diff(at[order]) != 0) | (np.diff(node[order]) != 0)))[: len(order)]]  # a bucket's smallest node comes twice in its own part
         at, node, lo, hi = at[order], node[order], lo[order].view(np.uint64), hi[order].view(np.uint64)
         n = len(at)
-        best, far, root = np.arange(n), np.full(n, 999), np.arange(n)
         pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for d in range(1, n):  # all members with the d-th after them in their bucket
             i = np.flatnonzero(at[d:] == at[:-d])
             if not len(i):
                 break
             bits = np.bitwise_count(lo[i] ^ lo[i + d]).astype(np.int64) + np.bitwise_count(hi[i] ^ hi[i + d])
-            i, bits = i[bits <= NEAR], bits[bits <= NEAR]
-            for x, y in ((i, i + d), (i + d, i)):
-                closer = bits < far[x]
-                best[x[closer]], far[x[closer]] = y[closer], bits[closer]
+            i = i[bits <= NEAR]
             pairs.append((i, i + d))
-        x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-        while len(x):  # the smallest member that nearness reaches
-            new = root.copy()
-            np.minimum.at(new, x, root[y])
-            np.minimum.at(new, y, root[x])
-            if (new == root).all():
-                break
-            root = new
-        linked = np.flatnonzero(far < 999)
-        some = np.flatnonzero(np.bincount(root, minlength=n)[root] > 1) if n else linked
-        some = some[np.argsort(root[some], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate(([True], root[some[1:]] != root[some[:-1]], [True]))) if len(some) else np.zeros(1, np.int64)
-        rest = pa.StructArray.from_arrays([pa.array(node[some]), pa.array(lo[some].view(np.int64)), pa.array(hi[some].view(np.int64))], names=["node", "lo", "hi"])
-        rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rest)
-        m, k = len(linked), len(rest)
-        none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[best[linked]]), pa.array(far[linked]), pa.nulls(m, rest.type)], names=["a", "b", "far", "rest"])
-        yield pa.RecordBatch.from_arrays([none, none, none, rest], names=["a", "b", "far", "rest"])
-
-
-def _apart(similarity: float):
-    """(set, node, of) of the members that are near and alike one of another group, from (set, (node, lo, hi, of, sketch) structs)."""
+        root = _least(n, *(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
+        away = np.flatnonzero(root != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(node[away]), pa.array(node[root[away]])], names=["a", "b"])
+
+
+def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of n places that the links (x, y) reach from each."""
+    root = np.arange(n)
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
+def _clusters(keyed: DataFrame, bucket_limit: int) -> DataFrame:
+    """(node, component) of nodes that may be similar, from (key, node, lo, hi).
+
+    A bucket's members that nearness joins are one cluster. A larger bucket is never gathered: all its members are one cluster,
+    by one link each to its smallest. Every pair that shares a bucket and is near lies in one cluster.
+    """
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1"))
+    met = keyed.join(sizes, "key")
+    few = met.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, "a long, b long")
+    many = met.filter((F.col("n") > bucket_limit) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
+    return connected_components(few.unionByName(many))
+
+
+#: Hashes in a block of a cluster, and what a member adds to its own number of them, so that a block has at most some thousand members.
+BLOCK = 200_000
+MEMBER = 100
+#: Members of a block, those with the most similar others in it, that all blocks of the cluster are compared with first.
+HUBS = 4
+#: Products of two blocks' counts of a hash below which the pairs that share it are listed, not multiplied as a matrix.
+LISTED = 1 << 14
+
+
+def _overlaps(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How many hashes each set of x shares with each of y; x holds the sets one after the other, nx their sizes."""
+    of_x, of_y = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    keys = np.intersect1d(x, y)  # of both, once each
+    out = np.zeros((len(nx), len(ny)), np.float32)  # exact below 2 ** 24
+    if not len(keys):
+        return out
+    sides = []
+    for h, of in ((x, of_x), (y, of_y)):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        held = keys[at] == h
+        at, of = at[held], of[held]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], of[order], np.bincount(at, minlength=len(keys))))
+    (at_x, of_x, fx), (at_y, of_y, fy) = sides
+    listed = fx * fy < LISTED
+    first_y = np.cumsum(fy) - fy
+    some = np.flatnonzero(listed[at_x])
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(fy[at_x[some]]) // (1 << 21))) + 1):  # some million pairs at a time
+        times = fy[at_x[part]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cell = np.repeat(of_x[part], times) * len(ny) + of_y[np.repeat(first_y[at_x[part]], times) + step]
+        out += np.bincount(cell, minlength=out.size).reshape(out.shape)
+    column = np.cumsum(~listed) - 1
+    wide = ~listed[at_x], ~listed[at_y]
+    cx, ox, cy, oy = column[at_x[wide[0]]], of_x[wide[0]], column[at_y[wide[1]]], of_y[wide[1]]
+    for low in range(0, int((~listed).sum()), 1024):
+        a, b = np.zeros((len(nx), 1024), np.float32), np.zeros((len(ny), 1024), np.float32)
+        for to, c, o in ((a, cx, ox), (b, cy, oy)):
+            here = slice(*np.searchsorted(c, (low, low + 1024)))
+            to[o[here], c[here] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def _alike_pairs(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    both = _overlaps(x, nx, y, ny).astype(np.float64)
+    return np.nonzero(both >= similarity * (nx[:, None] + ny[None, :] - both))
+
+
+def _sets(members: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, groups, hashes one set after the other, sizes) of (node, of, h) structs."""
+    node, of, h = members.values.flatten()
+    h = h.to_pylist()
+    return node.to_numpy(), of.to_numpy(), np.frombuffer(b"".join(h), np.uint64), np.array([len(v) // 8 for v in h], np.int64)
+
+
+def _within(similarity: float):
+    """From blocks (m): (a, b, degree) of members similar to others, joined to the smallest reached; degree is null but for the HUBS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
-            for at, members in zip(b.column(0).to_pylist(), b.column(1)):
-                *numbers, drawn = members.values.flatten()
-                node, lo, hi, of = (f.to_numpy() for f in numbers)
-                lo, hi = lo.view(np.uint64), hi.view(np.uint64)
-                size, drawn = read_sketches(drawn.to_pylist())
-                y, x = np.nonzero(np.tri(len(node), k=-1, dtype=bool) & (of[:, None] != of[None, :]))
-                near = np.bitwise_count(lo[x] ^ lo[y]).astype(np.int16) + np.bitwise_count(hi[x] ^ hi[y]) <= NEAR
-                x, y = x[near], y[near]
-                near = alike(size[x], drawn[x], size[y], drawn[y], similarity)
-                keep = np.unique(np.concatenate((x[near], y[near])))
-                for to, v in zip(out, (np.full(len(keep), at), node[keep], of[keep])):
-                    to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["set", "node", "of"])
+        for batch in batches:
+            for at, members in zip(batch.column(0), batch.column(1)):
+                node, _, h, n = _sets(members)
+                x, y = _alike_pairs(h, n, h, n, similarity)
+                root, degree = _least(len(node), x, y), np.bincount(x, minlength=len(node)) - 1
+                some = np.flatnonzero(degree > 0)
+                some = some[np.argsort(-degree[some], kind="stable")]
+                top = pa.array([int(d) if k < HUBS else None for k, d in enumerate(degree[some])], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(some), pa.int64()), pa.array(node[some]), pa.array(node[root[some]]), top], names=["cluster", "a", "b", "degree"])
 
     return run
 
 
-def _joined(similarity: float, shingle_words: int):
-    """Links (a, b) between the groups of a set's members whose pairs reach the similarity, compared exactly; from (of, text) structs."""
+def _between(similarity: float):
+    """From two blocks (m, o): links (a, b) that join the groups of similar members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = [], []
-            for members in b.column(0).to_pylist():
-                sets = [_shingles(m["text"].encode().lower(), shingle_words) for m in members]
-                of = [m["of"] for m in members]
-                for y in range(len(members)):
-                    for x in range(y):
-                        if of[x] == of[y] or min(len(sets[x]), len(sets[y])) < similarity * max(len(sets[x]), len(sets[y])):
-                            continue
-                        both = len(sets[x] & sets[y])
-                        if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
-                            left.append(max(of[x], of[y]))
-                            right.append(min(of[x], of[y]))
-                            of = [of[x] if k == of[y] else k for k in of]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        for batch in batches:
+            for members, others in zip(batch.column(0), batch.column(1)):
+                (_, of, h, n), (_, to, g, k) = _sets(members), _sets(others)
+                x, y = _alike_pairs(h, n, g, k, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in _forest(of[x], to[y])], names=["a", "b"])
 
     return run
 
 
-#: Times that a large bucket is dealt anew, each by other bits of its members.
-SPLITS = 3
+def _blocks(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, part, parts, m): the members (node, of, h) of each group of by, dealt into blocks of about BLOCK hashes."""
+    weight = F.sum(F.length("h") / 8 + MEMBER)
+    parts = sets.groupBy(*by).agg(F.ceil(weight / BLOCK).cast("int").alias("parts"))
+    dealt = sets.join(parts, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    return dealt.groupBy(*by, "parts", "part").agg(F.collect_list(F.struct("node", "of", "h")).alias("m"))
 
 
-def _candidates(keyed: DataFrame, bucket_limit: int, again: int = 1) -> DataFrame:
-    """(a, b, far, rest) of nodes that share a key and may be similar, as _met gives them, from (key, node, lo, hi).
+def _groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the nodes that similar pairs within a cluster join, all pairs compared; from (cluster, node, of, h), of being the node.
 
-    A larger bucket is never gathered: its members meet again, SPLITS times, by as many more bits of the fingerprint
-    as halve it to the limit, other bits each time and in each table. What is then still larger is dealt into parts of about the
-    limit, each with the bucket's smallest node.
+    Each block of a cluster is compared with itself, then, if the cluster has several, with the cluster's hubs. What is still
+    apart from the cluster's largest group is compared with all of the cluster, two blocks at a time.
     """
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = keyed.join(sizes, "key")
-    few = met.filter(F.col("n") <= bucket_limit).select("key", F.lit(0).alias("part"), "node", "lo", "hi")
-    many = cut(met.filter(F.col("n") > bucket_limit))
-    large = not many.isEmpty()
-    if large and not again:
-        dealt = many.select("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / bucket_limit)).cast("int").alias("part"), "node", "lo", "hi")
-        hubs = dealt.select("key", "part").distinct().join(many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("hub")).select("key", "hub.*"), "key")
-        few = few.unionByName(dealt).unionByName(hubs.select("key", "part", "node", "lo", "hi"))
-    found = few.groupBy("key", "part").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, f"a long, b long, far long, rest array<{NODE}>")
-    if large and again:
-        bits = lambda j: F.expr(f"shiftrightunsigned(if((key >> {TABLE_BITS}) + {j} & 1 = 0, lo, hi), cast(((key >> {TABLE_BITS}) * 5 + {19 * j}) % 48 as int)) & (shiftleft(1L, least(16, cast(ceil(log2(n / {bucket_limit})) as int) + 1)) - 1)")
-        keys = F.explode(F.array(*[F.xxhash64("key", F.lit(j), bits(j)) for j in range(SPLITS)]))
-        found = found.unionByName(_candidates(many.select(keys.alias("key"), "node", "lo", "hi"), bucket_limit, again - 1))
-    return found
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """Those (a, b) whose shingle sets have the Jaccard similarity or more, compared exactly; lines is (node, text)."""
-    small_batches(pairs.sparkSession, 200)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, last, own = [], None, set()
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if y != last:
-                    last, own = y, _shingles(y.encode().lower(), shingle_words)
-                other = _shingles(x.encode().lower(), shingle_words)
-                both = len(own & other)
-                keep.append(both >= similarity * (len(own) + len(other) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+    small_bytes(sets.sparkSession, 16 * BLOCK)
+    blocks = _blocks(sets, ["cluster"])
+    within = cut(blocks.select("cluster", "m").mapInArrow(_within(similarity), "cluster long, a long, b long, degree long"))
+    large = cut(blocks.groupBy("cluster").agg(F.max("parts").alias("parts")).filter("parts > 1"))
+    if large.isEmpty():
+        return connected_components(within.select("a", "b"))
+    sets = cut(sets.join(large.select("cluster"), "cluster"))
+    best = F.explode(F.slice(F.sort_array(F.collect_list(F.struct("degree", "a")), asc=False), 1, 4 * HUBS))
+    hubs = within.filter("degree is not null").join(large, "cluster").groupBy("cluster", "parts").agg(best.alias("hub")).select("parts", F.col("hub.a").alias("node"))
+    hubs = hubs.join(sets, "node").groupBy("cluster", "parts").agg(F.collect_list(F.struct("node", "of", "h")).alias("o"))
+    hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "o")
+    reached = _blocks(sets, ["cluster"]).join(hubs, ["cluster", "part"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
+    links = within.select("a", "b").unionByName(cut(reached))
+    group = cut(connected_components(links))
 
-    first = pairs.join(lines.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = first.join(lines.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    sets = sets.drop("of").join(group, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("of"), "h")
+    main = sets.groupBy("cluster", "of").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
+    apart = _blocks(sets.join(main.filter("groups > 1"), "cluster").withColumn("side", (F.col("of") != F.col("main")).cast("int")), ["cluster", "side"])
+    apart = cut(apart)
+    n = apart.groupBy("cluster").agg(*[F.coalesce(F.max(F.when(F.col("side") == k, F.col("parts"))), F.lit(0)).alias(f"parts{k}") for k in (0, 1)])
+    told = apart.join(n, "cluster")
+    each = lambda low, high: F.explode(F.expr(f"if({low} <= {high}, sequence({low}, {high}), array())"))
+    one = told.select("cluster", "side", "part", each("if(side = 0, 0, part)", "parts1 - 1").alias("other"), "m")
+    rest = told.filter("side = 1").select("cluster", "parts0", F.col("part").alias("other"), F.col("m").alias("o"))
+    two = rest.select("cluster", F.lit(0).alias("side"), each("0", "parts0 - 1").alias("part"), "other", "o").unionByName(
+        rest.select("cluster", F.lit(1).alias("side"), each("0", "other").alias("part"), "other", "o")
+    )
+    over = one.join(two, ["cluster", "side", "part", "other"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
+    return connected_components(links.unionByName(over))
 
 
 def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, miss: float = 0.02, bucket_limit: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each group joined by pairs of the Jaccard similarity or more.
 
     Texts of the same lower-case words are one node. Candidates are nodes that agree in the sampled
-    bits of some table and in most of 128 bits; the sets of word shingles of each candidate pair are
-    compared exactly before it links. miss is the share of pairs just at the similarity that would meet
-    in no table if bits were independent. First each node is compared with its nearest candidate, then
-    those in a bucket whose groups are still apart and whose sketches are alike, a bucket at a time; pairs are
-    never written out. A group's smallest id stays,
+    bits of some table and in most of 128 bits; candidates make clusters, and within a cluster all pairs of
+    sets of word shingles are compared, by their 64-bit hashes, whatever the cluster's size. miss is the share of pairs just at the
+    similarity that would meet in no table if bits were independent; such a pair is lost only if nothing else
+    joins its clusters. Pairs are never written out. A group's smallest id stays,
     null ids last, ties by a hash of the text.
     """
     spark = docs.sparkSession
@@ -408,18 +443,17 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints, drawn = [], [], []
+            nodes, prints = [], []
             for t in texts(b):
                 line = b" ".join(t.encode().lower().split())
                 h = shingle_hashes(line, shingle_words)
                 nodes.append(xxhash.xxh3_64_intdigest(line))
                 prints.append(np.packbits(wide_fingerprint(h), bitorder="little").tobytes())
-                drawn.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(drawn, pa.binary())], names=["id", "h", "node", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], names=["id", "h", "node", "fp"])
 
     given = docs.select(row_id.alias("id"), row_hash.alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(given.mapInArrow(prints, "id long, h long, node long, fp binary, sketch binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+    rows = cut(given.mapInArrow(prints, "id long, h long, node long, fp binary"))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("fp").alias("fp")))
     tables = _tables(nodes.count(), similarity, miss)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,21 +466,16 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(of), lo.take(of), hi.take(of)], names=["key", "node", "lo", "hi"])
 
     keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, node long, lo long, hi long")
-    found = cut(_candidates(keyed, bucket_limit).distinct())
-    pairs, rest = found.filter("a is not null"), found.filter("a is null").select(F.xxhash64("rest").alias("set"), F.explode("rest").alias("m")).select("set", "m.*")
-    wanted = pairs.select(F.col("a").alias("node")).distinct().join(nodes.select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")), "node")  # each near node is some row's a
-    lines = cut(given.join(wanted, ["id", "h"]).select("node", "text").dropDuplicates(["node"]))
-    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut(_similar(nearest, lines, similarity, shingle_words))
-    group = cut(connected_components(links))
-    of = F.coalesce("component", "node").alias("of")
-    grouped = rest.join(group, "node", "left").select("set", "node", "lo", "hi", of)
-    open_ = grouped.groupBy("set").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.collect_list(F.struct("node", "lo", "hi", "of")).alias("m")).filter("x < y")
-    drawn = open_.select("set", F.explode("m").alias("m")).select("set", "m.*").join(nodes.select("node", "sketch"), "node")
-    sets = drawn.groupBy("set").agg(F.collect_list(F.struct("node", "lo", "hi", "of", "sketch")).alias("m"))
-    still = sets.select("set", "m").mapInArrow(_apart(similarity), "set long, node long, of long")
-    told = still.join(lines, "node").groupBy("set").agg(F.collect_list(F.struct("of", "text")).alias("m")).select("m")
-    over = connected_components(told.mapInArrow(_joined(similarity, shingle_words), "a long, b long"))  # groups into larger ones
-    named = nodes.join(group, "node", "left").select(of, "first").join(over.select(F.col("node").alias("of"), F.col("component").alias("over")), "of", "left")
-    named = named.select(F.coalesce("over", "of").alias("component"), "first")
+    clusters = cut(_clusters(keyed, bucket_limit).withColumnRenamed("component", "cluster"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [shingle_hashes(b" ".join(t.encode().lower().split()), shingle_words).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), pa.array(h, pa.binary())], names=["cluster", "node", "of", "h"])
+
+    wanted = clusters.join(nodes.select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")), "node")
+    lines = given.join(wanted, ["id", "h"]).select("cluster", "node", "text").dropDuplicates(["node"])
+    sets = cut(lines.mapInArrow(hashes, "cluster long, node long, of long, h binary"))
+    group = _groups(sets, similarity)
+    named = nodes.join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)

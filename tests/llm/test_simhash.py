@@ -126,3 +126,29 @@ def test_components_of_links_that_no_task_holds_alone(spark, monkeypatch):
         monkeypatch.setattr(graph, "TASK_LINKS", most)
         assert sorted(map(tuple, graph.connected_components(df).collect())) == want
     assert graph.connected_components(df.limit(0)).count() == 0
+
+
+def test_dense_group_loses_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+
+    def edited(words, n):
+        out = words[:]
+        for i in rng.sample(range(2, len(words), 5), n):
+            out[i] = f"e{rng.random()}"
+        return out
+
+    base = [f"w{i}" for i in range(200)]
+    first = [edited(base, 6) for _ in range(120)]  # about 0.5 to each other; their copies about 0.81 to them
+    texts = [" ".join(t) for t in [*first, *[edited(t, 4) for t in first]]]
+    sets = [{t[i : i + 5] for i in range(196)} for t in map(tuple, (t.split() for t in texts))]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and low[i] != low[j]:
+                low = [min(low[i], low[j]) if k in (low[i], low[j]) else k for k in low]
+    assert 100 < len(set(low)) < 140
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit, block in ((128, 200_000), (4, 200_000), (4, 5_000)):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        assert sorted(r.doc_id for r in simhash.keep_first_similar(df, bucket_limit=limit).collect()) == sorted(set(low))
