@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, cut, ids_and_texts, small_batches, small_bytes, texts
@@ -283,17 +283,144 @@ def _least(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
-def _clusters(keyed: DataFrame, bucket_limit: int) -> DataFrame:
-    """(node, component) of nodes that may be similar, from (key, node, lo, hi).
+def _near(keyed: DataFrame, bucket_limit: int) -> DataFrame:
+    """Links (a, b) of nodes that may be similar, from (key, node, lo, hi).
 
-    A bucket's members that nearness joins are one cluster. A larger bucket is never gathered: all its members are one cluster,
-    by one link each to its smallest. Every pair that shares a bucket and is near lies in one cluster.
+    A bucket's members that nearness joins are linked. A larger bucket is never gathered: all its members are linked
+    to its smallest. Every pair that shares a bucket and is near is joined by the links.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1"))
-    met = keyed.join(sizes, "key")
+    met = keyed.join(sizes.hint("merge"), "key")
     few = met.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, "a long, b long")
     many = met.filter((F.col("n") > bucket_limit) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
-    return connected_components(few.unionByName(many))
+    return few.unionByName(many)
+
+
+#: Share of the range of hashes that is counted in all texts; more leaves fewer texts to compare and shuffles more.
+COUNTED = 0.3
+#: Hashes that a task gathers before it passes them on, and groups that they are dealt to, at least; more hashes have more groups.
+GATHER = 1_000_000
+DEALS = 256
+#: Holders of a hash among those gathered above which a task counts them itself and passes on one.
+COMMON = 64
+
+
+def _spare(n: Column, similarity: float) -> Column:
+    """How many of its n hashes a set may hold that a similar set does not."""
+    return F.floor((1 - similarity) * n + 1e-6)
+
+
+def _line(text: str) -> bytes:
+    return b" ".join(text.encode().lower().split())
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """The hashes that are counted in all texts."""
+    return h[h < np.uint64(int(COUNTED * (1 << 64)))]
+
+
+def _dealt(shingle_words: int, deals: int):
+    """From (text): (deal, codes, nodes, known, held, times): rows of arrays, dealt by ranges of hashes.
+
+    codes are places of hashes in their range, nodes their holders. Of a hash that very many hold one holder goes on, marked as known,
+    and the others are counted here, in held and times.
+    """
+    width = int(COUNTED * (1 << 64)) // deals + 1
+    shift = max(0, width.bit_length() - 32)
+
+    def packed(h: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(h)
+        h, node = h[order], node[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.repeat(np.diff(np.r_[first, len(h)]), np.diff(np.r_[first, len(h)]))
+        known = np.zeros(len(h), np.uint8)
+        known[first] = size[first] > COMMON
+        held, times = np.unique(node[size > COMMON], return_counts=True)
+        stay = (size <= COMMON) | (known > 0)
+        h, node, known = h[stay], node[stay], known[stay]
+        deal = h // np.uint64(width)
+        code = (h - deal * np.uint64(width) >> np.uint64(shift)).astype(np.uint32)
+        cuts = np.flatnonzero(np.r_[True, deal[1:] != deal[:-1]])
+        parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]))
+        columns = [pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (code, node, known)]
+        at = int(node[0]) % len(parts)
+        counted = [pa.array([x.tobytes() if k == at else b"" for k in range(len(parts))], pa.binary()) for x in (held, times.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(deal[cuts].astype(np.int32)), *columns, *counted], names=["deal", "codes", "nodes", "known", "held", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        hashes, nodes, gathered = [], [], 0
+        for b in batches:
+            if len(seen) > 100_000:
+                seen.clear()
+            for t in texts(b):
+                line = _line(t)
+                node = xxhash.xxh3_64_intdigest(line)
+                if node in seen:
+                    continue
+                seen.add(node)
+                h = _low(shingle_hashes(line, shingle_words))
+                hashes.append(h)
+                nodes.append(np.full(len(h), node, np.uint64).view(np.int64))
+                gathered += len(h)
+                if gathered >= GATHER:
+                    yield packed(np.concatenate(hashes), np.concatenate(nodes))
+                    hashes, nodes, gathered = [], [], 0
+        if gathered:
+            yield packed(np.concatenate(hashes), np.concatenate(nodes))
+
+    return run
+
+
+def _repeated(table: pa.Table) -> pa.Table:
+    """(node, n): how many of the group's hashes the node and another one hold, no fewer."""
+    codes, nodes, known, held, times = (np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("codes", np.uint32), ("nodes", np.int64), ("known", np.uint8), ("held", np.int64), ("times", np.int64)))
+    order = np.lexsort((nodes, codes))
+    codes, nodes, known = codes[order], nodes[order], known[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    many = (np.minimum.reduceat(nodes, first) != np.maximum.reduceat(nodes, first)) | (np.maximum.reduceat(known, first) > 0)
+    fresh = np.r_[True, (codes[1:] != codes[:-1]) | (nodes[1:] != nodes[:-1])]  # copies of a text in two tasks
+    some = np.repeat(many, np.diff(np.r_[first, len(codes)])) & fresh & (known == 0)
+    # a holder that went on as known was counted by its task
+    node, at = np.unique(np.concatenate((nodes[some], held)), return_inverse=True)
+    n = np.bincount(at, np.concatenate((np.ones(some.sum()), times)), len(node)).astype(np.int64)
+    return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _partnered(given: DataFrame, nodes: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The nodes that may have a similar one: all but those too few of whose counted hashes another text holds; nothing is missed.
+
+    A set shares all but _spare(n) of its n hashes with a similar one, so of its `low` counted ones it shares low - _spare(n) or more.
+    """
+    total = nodes.agg(F.coalesce(F.sum("low"), F.lit(0)).alias("n")).first()["n"]
+    dealt = given.select("text").mapInArrow(_dealt(shingle_words, max(DEALS, total // GATHER)), "deal int, codes binary, nodes binary, known binary, held binary, times binary")
+    met = dealt.groupBy("deal").applyInArrow(_repeated, "node long, n long").groupBy("node").agg(F.sum("n").alias("met"))
+    return nodes.join(met.hint("merge"), "node", "left").filter(F.coalesce("met", F.lit(0)) + _spare(F.col("n"), similarity) >= F.col("low"))
+
+
+def _sharing(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar pairs, from (node, n, h), and few others.
+
+    With the rarest hash first, the first _spare(n) + 1 hashes of two similar sets have one in common. The holders of a hash are
+    linked in the order of their sizes, wherever the next size is near enough; what lies between two similar sizes is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, n, h in zip(*(b.column(k).to_pylist() for k in range(3))):
+                h = np.frombuffer(h, np.int64)
+                for at in range(0, len(h), 1 << 16):
+                    part = pa.array(h[at : at + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), n, np.int32)), part], names=["node", "n", "h"])
+
+    flat = sets.select("node", "n", "h").mapInArrow(run, "node long, n int, h long")
+    often = flat.withColumn("often", F.count("*").over(Window.partitionBy("h"))).filter("often > 1")
+    of_node = Window.partitionBy("node")
+    placed = often.withColumn("place", F.row_number().over(of_node.orderBy("often", "h"))).withColumn("shared", F.count("*").over(of_node))
+    first = placed.filter(F.col("n") - F.col("shared") + F.col("place") <= _spare(F.col("n"), similarity) + 1).select("h", "node", "n")
+    order = Window.partitionBy("h").orderBy("n", "node")
+    linked = first.withColumn("b", F.lag("node").over(order)).withColumn("before", F.lag("n").over(order))
+    return linked.filter(F.col("before") >= F.col("n") - _spare(F.col("n"), similarity)).select(F.col("node").alias("a"), "b")
 
 
 #: Hashes in a block of a cluster, and what a member adds to its own number of them, so that a block has at most some thousand members.
@@ -430,31 +557,42 @@ def _groups(sets: DataFrame, similarity: float) -> DataFrame:
 def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, miss: float = 0.02, bucket_limit: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one row of each group joined by pairs of the Jaccard similarity or more.
 
-    Texts of the same lower-case words are one node. Candidates are nodes that agree in the sampled
-    bits of some table and in most of 128 bits; candidates make clusters, and within a cluster all pairs of
-    sets of word shingles are compared, by their 64-bit hashes, whatever the cluster's size. miss is the share of pairs just at the
-    similarity that would meet in no table if bits were independent; such a pair is lost only if nothing else
-    joins its clusters. Pairs are never written out. A group's smallest id stays,
-    null ids last, ties by a hash of the text.
+    Texts of the same lower-case words are one node, a node is the set of the 64-bit hashes of its word shingles. Nodes that can have
+    no similar one, as other texts hold too few of their hashes, stay by themselves. Of the rest, those are linked that agree in the
+    sampled bits of some table and in most of 128 bits (miss is the share of pairs just at the similarity that would meet in no
+    table if bits were independent), and those that share one of their rarest hashes, as all similar pairs do. Links make clusters,
+    and within a cluster all pairs of sets are compared, whatever the cluster's size, so that no pair is lost. Pairs are never
+    written out. A group's smallest id stays, null ids last, ties by a hash of the text.
     """
     spark = docs.sparkSession
     row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.col(text_col).cast("string"))
     small_batches(spark)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, prints = [], []
+            nodes, sizes, lows = [], [], []
             for t in texts(b):
-                line = b" ".join(t.encode().lower().split())
+                line = _line(t)
                 h = shingle_hashes(line, shingle_words)
                 nodes.append(xxhash.xxh3_64_intdigest(line))
-                prints.append(np.packbits(wide_fingerprint(h), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())], names=["id", "h", "node", "fp"])
+                sizes.append(len(h))
+                lows.append(len(_low(h)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(lows, pa.int32())], names=["id", "h", "node", "n", "low"])
 
     given = docs.select(row_id.alias("id"), row_hash.alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(given.mapInArrow(prints, "id long, h long, node long, fp binary"))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("fp").alias("fp")))
-    tables = _tables(nodes.count(), similarity, miss)
+    rows = given.mapInArrow(facts, "id long, h long, node long, n int, low int")
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct("id", "h")).alias("first"), F.min("n").alias("n"), F.min("low").alias("low")))
+    wanted = cut(_partnered(given, nodes, similarity, shingle_words).select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [shingle_hashes(_line(t), shingle_words) for t in texts(b)]
+            prints = [np.packbits(wide_fingerprint(x), bitorder="little").tobytes() for x in h]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in h], pa.int32()), pa.array(prints, pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["node", "n", "fp", "h"])
+
+    lines = given.join(wanted, ["id", "h"]).select("node", "text").dropDuplicates(["node"])
+    sets = cut(lines.mapInArrow(hashes, "node long, n int, fp binary, h binary"))
+    tables = _tables(sets.count(), similarity, miss)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -465,17 +603,9 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
             lo, hi = (pa.array(np.ascontiguousarray(packed[:, k : k + 8]).view(np.int64).ravel()) for k in (0, 8))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(of), lo.take(of), hi.take(of)], names=["key", "node", "lo", "hi"])
 
-    keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, node long, lo long, hi long")
-    clusters = cut(_clusters(keyed, bucket_limit).withColumnRenamed("component", "cluster"))
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [shingle_hashes(b" ".join(t.encode().lower().split()), shingle_words).tobytes() for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1), pa.array(h, pa.binary())], names=["cluster", "node", "of", "h"])
-
-    wanted = clusters.join(nodes.select("node", F.col("first.id").alias("id"), F.col("first.h").alias("h")), "node")
-    lines = given.join(wanted, ["id", "h"]).select("cluster", "node", "text").dropDuplicates(["node"])
-    sets = cut(lines.mapInArrow(hashes, "cluster long, node long, of long, h binary"))
+    keyed = sets.select("node", "fp").mapInArrow(keys, "key long, node long, lo long, hi long")
+    clusters = connected_components(_near(keyed, bucket_limit).unionByName(_sharing(sets, similarity))).withColumnRenamed("component", "cluster")
+    sets = cut(sets.join(clusters.hint("merge"), "node").select("cluster", "node", F.col("node").alias("of"), "h"))
     group = _groups(sets, similarity)
     named = nodes.join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)

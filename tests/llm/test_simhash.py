@@ -152,3 +152,34 @@ def test_dense_group_loses_no_pair(spark, monkeypatch):
     for limit, block in ((128, 200_000), (4, 200_000), (4, 5_000)):
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
         assert sorted(r.doc_id for r in simhash.keep_first_similar(df, bucket_limit=limit).collect()) == sorted(set(low))
+
+
+def test_similar_short_texts_lose_no_pair(spark):
+    """Of texts of nine words and the same with one word more few bits agree, so that sampled bits alone miss some."""
+    rng = random.Random(11)
+    first = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(9 if k % 2 else 8)) for k in range(600)]
+    rows = [(k, t) for k, t in enumerate(first)] + [(1000 + k, f"{t} x{k}") for k, t in enumerate(first)]  # Jaccard 0.83 and 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first_similar(df).collect()) == list(range(600))
+
+
+def test_texts_of_common_lines_lose_no_pair(spark, monkeypatch):
+    """Texts made of lines that most others hold: what is rare decides, and tasks count common lines themselves."""
+    rng = random.Random(12)
+    lines = [" ".join(f"c{k}w{i}" for i in range(20)) for k in range(12)]
+    own = [" ".join(f"u{rng.randrange(10**9)}" for _ in range(30)) for _ in range(150)]
+    texts = [" ".join([*lines[: 3 + k % 8], u]) for k, u in enumerate(own)]
+    texts += [f"{t} tail words of a copy" for t in texts] + [" ".join(lines[:k]) for k in range(1, 13)]
+    rng.shuffle(texts)
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and low[i] != low[j]:
+                low = [min(low[i], low[j]) if k in (low[i], low[j]) else k for k in low]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string").repartition(5)
+    for common, gather in ((64, 1_000_000), (2, 500)):
+        monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+        monkeypatch.setattr(simhash, "GATHER", gather, raising=False)
+        assert sorted(r.doc_id for r in simhash.keep_first_similar(df).collect()) == sorted(set(low))
