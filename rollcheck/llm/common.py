@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that never sends a side through the driver.
+
+    Spark's sizes follow neither explode, Python steps nor long binaries, so it may broadcast a table many times as large as it thinks.
+    """
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cut, ids_and_texts, small_batches, small_bytes, texts
+from .common import LAST_ID, cut, ids_and_texts, shuffled, small_batches, small_bytes, texts
 from .graph import _forest, connected_components
 
 BITS = 64
@@ -109,7 +109,7 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = 512) -> Data
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(sizes, ["t", "key"])
+    met = shuffled(keyed, sizes, ["t", "key"])
     small_batches(fps.sparkSession)
     few = met.filter(F.col("n") <= bucket_limit).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_stars(radius), "a long, b long")
 
@@ -126,7 +126,7 @@ def near_links(fps: DataFrame, radius: int = 3, bucket_limit: int = 512) -> Data
     )
     many = met.filter(F.col("n") > bucket_limit).join(moves, "t").select("t", "key", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "n_flips")
     hubs = many.filter(F.col("n_flips") <= near).groupBy("t", "key", "value").agg(F.min("fp").alias("b"))
-    reached = many.join(hubs, ["t", "key", "value"]).select(F.col("fp").alias("a"), "b")
+    reached = shuffled(many, hubs, ["t", "key", "value"]).select(F.col("fp").alias("a"), "b")
     return few.unionByName(reached).filter("a <> b")
 
 
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle_words: int = 3, se
 def _components(firsts: DataFrame, radius: int, bucket_limit: int) -> DataFrame:
     """(fp, first_id) -> (fp, first_id, component, component_id): component is a fingerprint, component_id the least first_id."""
     groups = connected_components(near_links(firsts.select("fp"), radius, bucket_limit)).select(F.col("node").alias("fp"), "component")
-    named = firsts.join(groups, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    named = shuffled(firsts, groups, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return named.join(lowest, "component").select("fp", "first_id", "component", "component_id")
 
@@ -290,7 +290,7 @@ def _near(keyed: DataFrame, bucket_limit: int) -> DataFrame:
     to its smallest. Every pair that shares a bucket and is near is joined by the links.
     """
     sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("b")).filter("n > 1"))
-    met = keyed.join(sizes.hint("merge"), "key")
+    met = shuffled(keyed, sizes, "key")
     few = met.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.collect_list(F.struct("node", "lo", "hi")).alias("m")).select("m").mapInArrow(_met, "a long, b long")
     many = met.filter((F.col("n") > bucket_limit) & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b")
     return few.unionByName(many)
@@ -395,7 +395,7 @@ def _partnered(given: DataFrame, nodes: DataFrame, similarity: float, shingle_wo
     total = nodes.agg(F.coalesce(F.sum("low"), F.lit(0)).alias("n")).first()["n"]
     dealt = given.select("text").mapInArrow(_dealt(shingle_words, max(DEALS, total // GATHER)), "deal int, codes binary, nodes binary, known binary, held binary, times binary")
     met = dealt.groupBy("deal").applyInArrow(_repeated, "node long, n long").groupBy("node").agg(F.sum("n").alias("met"))
-    return nodes.join(met.hint("merge"), "node", "left").filter(F.coalesce("met", F.lit(0)) + _spare(F.col("n"), similarity) >= F.col("low"))
+    return shuffled(nodes, met, "node", "left").filter(F.coalesce("met", F.lit(0)) + _spare(F.col("n"), similarity) >= F.col("low"))
 
 
 def _sharing(sets: DataFrame, similarity: float) -> DataFrame:
@@ -513,7 +513,7 @@ def _blocks(sets: DataFrame, by: list[str]) -> DataFrame:
     """(by, part, parts, m): the members (node, of, h) of each group of by, dealt into blocks of about BLOCK hashes."""
     weight = F.sum(F.length("h") / 8 + MEMBER)
     parts = sets.groupBy(*by).agg(F.ceil(weight / BLOCK).cast("int").alias("parts"))
-    dealt = sets.join(parts, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    dealt = shuffled(sets, parts, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
     return dealt.groupBy(*by, "parts", "part").agg(F.collect_list(F.struct("node", "of", "h")).alias("m"))
 
 
@@ -529,28 +529,28 @@ def _groups(sets: DataFrame, similarity: float) -> DataFrame:
     large = cut(blocks.groupBy("cluster").agg(F.max("parts").alias("parts")).filter("parts > 1"))
     if large.isEmpty():
         return connected_components(within.select("a", "b"))
-    sets = cut(sets.join(large.select("cluster"), "cluster"))
+    sets = cut(shuffled(sets, large.select("cluster"), "cluster"))
     best = F.explode(F.slice(F.sort_array(F.collect_list(F.struct("degree", "a")), asc=False), 1, 4 * HUBS))
     hubs = within.filter("degree is not null").join(large, "cluster").groupBy("cluster", "parts").agg(best.alias("hub")).select("parts", F.col("hub.a").alias("node"))
-    hubs = hubs.join(sets, "node").groupBy("cluster", "parts").agg(F.collect_list(F.struct("node", "of", "h")).alias("o"))
+    hubs = shuffled(sets, hubs, "node").groupBy("cluster", "parts").agg(F.collect_list(F.struct("node", "of", "h")).alias("o"))
     hubs = hubs.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "o")
-    reached = _blocks(sets, ["cluster"]).join(hubs, ["cluster", "part"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
+    reached = shuffled(_blocks(sets, ["cluster"]), hubs, ["cluster", "part"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
     links = within.select("a", "b").unionByName(cut(reached))
     group = cut(connected_components(links))
 
-    sets = sets.drop("of").join(group, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("of"), "h")
+    sets = shuffled(sets.drop("of"), group, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("of"), "h")
     main = sets.groupBy("cluster", "of").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("of", F.struct("n", "of")).alias("main"), F.count("*").alias("groups"))
-    apart = _blocks(sets.join(main.filter("groups > 1"), "cluster").withColumn("side", (F.col("of") != F.col("main")).cast("int")), ["cluster", "side"])
+    apart = _blocks(shuffled(sets, main.filter("groups > 1"), "cluster").withColumn("side", (F.col("of") != F.col("main")).cast("int")), ["cluster", "side"])
     apart = cut(apart)
     n = apart.groupBy("cluster").agg(*[F.coalesce(F.max(F.when(F.col("side") == k, F.col("parts"))), F.lit(0)).alias(f"parts{k}") for k in (0, 1)])
-    told = apart.join(n, "cluster")
+    told = shuffled(apart, n, "cluster")
     each = lambda low, high: F.explode(F.expr(f"if({low} <= {high}, sequence({low}, {high}), array())"))
     one = told.select("cluster", "side", "part", each("if(side = 0, 0, part)", "parts1 - 1").alias("other"), "m")
     rest = told.filter("side = 1").select("cluster", "parts0", F.col("part").alias("other"), F.col("m").alias("o"))
     two = rest.select("cluster", F.lit(0).alias("side"), each("0", "parts0 - 1").alias("part"), "other", "o").unionByName(
         rest.select("cluster", F.lit(1).alias("side"), each("0", "other").alias("part"), "other", "o")
     )
-    over = one.join(two, ["cluster", "side", "part", "other"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
+    over = shuffled(one, two, ["cluster", "side", "part", "other"]).select("m", "o").mapInArrow(_between(similarity), "a long, b long")
     return connected_components(links.unionByName(over))
 
 
@@ -605,7 +605,7 @@ def keep_first_similar(docs: DataFrame, similarity: float = 0.8, shingle_words:
 
     keyed = sets.select("node", "fp").mapInArrow(keys, "key long, node long, lo long, hi long")
     clusters = connected_components(_near(keyed, bucket_limit).unionByName(_sharing(sets, similarity))).withColumnRenamed("component", "cluster")
-    sets = cut(sets.join(clusters.hint("merge"), "node").select("cluster", "node", F.col("node").alias("of"), "h"))
+    sets = cut(shuffled(sets, clusters, "node").select("cluster", "node", F.col("node").alias("of"), "h"))
     group = _groups(sets, similarity)
-    named = nodes.join(group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
+    named = shuffled(nodes, group, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     return _rows_of(docs, named.groupBy("component").agg(F.min("first").alias("first")), row_id, row_hash)

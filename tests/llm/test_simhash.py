@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -183,3 +184,13 @@ def test_texts_of_common_lines_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(simhash, "COMMON", common, raising=False)
         monkeypatch.setattr(simhash, "GATHER", gather, raising=False)
         assert sorted(r.doc_id for r in simhash.keep_first_similar(df).collect()) == sorted(set(low))
+
+
+def test_no_exploded_table_is_broadcast(spark):
+    """15 rows of each fingerprint look like one to Spark, and far less than the least size that it broadcasts."""
+    fps = spark.range(20_000).selectExpr("xxhash64(id) as fp")
+    for limit in (512, 1):
+        links = simhash.near_links(fps.limit(20_000 if limit > 1 else 200), 3, limit)
+        links.collect()
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [t#" in plan and not re.search(r"BroadcastHashJoin \[t#\d+, key#", plan)
