@@ -2,13 +2,13 @@
 
 Texts are cut into words once: each block of one language's text becomes its sorted 64-bit word codes and the
 place of every word among them, written to the shared folder. Then come passes over the blocks, one for each
-phrase length and shard of candidates. A pass broadcasts the double-array trie of its candidates; numpy
-moves the states of all text positions through it level by level, counts the positions that end in an
+phrase length and shard of candidates. A pass hands the double-array trie of its candidates to all executors as a
+file of the shared folder, which the driver never holds in memory; numpy moves the states of all text positions through it level by level, counts the positions that end in an
 accepting state, and the counts of all tasks are summed. The same pass finds the next candidates: phrases one
 word longer whose two parts are both candidates (no phrase can be frequent otherwise), kept where their
 occurrences in all tasks reach the least count.
 
-A shard holds SHARD candidates whatever the corpus, so a broadcast is bounded; more candidates mean more passes.
+A shard holds SHARD candidates whatever the corpus, so a trie is bounded; more candidates mean more passes.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, small_batches, small_bytes, texts
+from .common import cut, shared_dir, shuffled, small_batches, small_bytes, texts
 
 #: Most candidates of a trie, about; a trie of four-word phrases has some 10 slots of 8 bytes for each.
 SHARD = 500_000
@@ -225,12 +229,16 @@ def _tries(candidates: DataFrame, k: int, shards: int) -> DataFrame:
     return keyed.groupBy("shard").applyInArrow(build, "shard int, symbols binary, base binary, check binary, digits int, langs array<string>, lang_of binary")
 
 
-def _load(row: dict, k: int) -> Trie:
+@lru_cache(maxsize=1)
+def _load(name: str, k: int) -> tuple[Trie, list[str], np.ndarray]:
+    """The trie in a file that was added to the session, its languages, and the language of each of its words."""
+    table = pq.read_table(SparkFiles.get(name))
+    row = {c: table[c].chunk(0)[0] for c in table.column_names}
     t = Trie.__new__(Trie)
-    t.words, t.digits = k, row["digits"]
-    t.symbols = np.frombuffer(row["symbols"], np.uint64)
-    t.base, t.check = np.frombuffer(row["base"], np.int32), np.frombuffer(row["check"], np.int32)
-    return t
+    t.words, t.digits = k, row["digits"].as_py()
+    t.symbols = np.frombuffer(row["symbols"].as_buffer(), np.uint64)
+    t.base, t.check = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("base", "check"))
+    return t, row["langs"].as_py(), np.frombuffer(row["lang_of"].as_buffer(), np.int32)
 
 
 def _summed(states: np.ndarray, nexts: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,18 +273,19 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(states), np.concatenate(nexts), np.concatenate(n)
 
 
-def _counted(blocks: DataFrame, row: dict, k: int, longer: bool, alone: bool, least: int, deals: int) -> DataFrame:
-    """(size, lang, c1 .., n): the trie's phrases, and phrases of one word more, that occur least times or more.
+def _counted(blocks: DataFrame, file: str, k: int, longer: bool, alone: bool, least: int, deals: int) -> DataFrame:
+    """(size, lang, c1 .., n): the phrases of the trie in file, and phrases of one word more, that occur least times or more.
 
     Tasks pass on arrays of states with their counts, and of states with a word behind them (its number in this trie
     where that is the only one of its length, so that both parts are known; its code otherwise). They are dealt out by
     a hash, so no group grows with one phrase, and summed.
     """
     names = [f"c{j}" for j in range(1, k + 2)]
-    shared = blocks.sparkSession.sparkContext.broadcast({n: bytes(x) if isinstance(x, bytearray) else x for n, x in row.items()})
+    blocks.sparkSession.sparkContext.addFile(file)
+    added = file.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _load(shared.value, k)
+        trie, *_ = _load(added, k)
         total = np.zeros(len(trie.base), np.int64)
         seen: list[np.ndarray] = []
         nexts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -321,12 +330,12 @@ def _counted(blocks: DataFrame, row: dict, k: int, longer: bool, alone: bool, le
         states, after, n = _summed(*_unpacked(table))
         often = n >= least
         states, after, n = states[often], after[often], n[often]
-        trie = _load(shared.value, k)
+        trie, langs, lang_of = _load(added, k)
         own = after == 0
         last = np.where(own, np.uint64(0), trie.symbols[(np.maximum(after, np.uint64(1)) - np.uint64(1)).astype(np.int64)] if alone else after)
         codes = trie.phrases(states)
-        lang_of = np.frombuffer(shared.value["lang_of"], np.int32)[np.searchsorted(trie.symbols, codes[:, 0])]
-        langs = pa.DictionaryArray.from_arrays(pa.array(lang_of), pa.array(shared.value["langs"], pa.string())).cast(pa.string())
+        of = lang_of[np.searchsorted(trie.symbols, codes[:, 0])]
+        langs = pa.DictionaryArray.from_arrays(pa.array(of), pa.array(langs, pa.string())).cast(pa.string())
         columns = {c: pa.array(np.ascontiguousarray(codes[:, j]).view(np.int64)) for j, c in enumerate(names[:-1])}
         return pa.table({"size": pa.array(np.where(own, k, k + 1).astype(np.int32)), "lang": langs, **columns, names[-1]: pa.array(last.view(np.int64), mask=own), "n": pa.array(n)})
 
@@ -343,11 +352,11 @@ def frequent_phrases(blocks: DataFrame, words: DataFrame, least: int, most_words
         shards = -(-candidates.count() // SHARD)
         if not shards:
             break
-        tries = cut(_tries(candidates, k, shards))
-        passes = []
-        for row in (tries.filter(F.col("shard") == s).first() for s in range(shards)):
-            if row is not None:
-                passes.append(cut(_counted(blocks, row.asDict(), k, k < most_words, shards == 1, least, deals)))
+        spark = blocks.sparkSession
+        path = shared_dir(spark, "tries")
+        _tries(candidates, k, shards).write.option("maxRecordsPerFile", 1).parquet(path)
+        files = spark.read.parquet(path).select("shard", F.col("_metadata.file_path").alias("file")).collect()
+        passes = [cut(_counted(blocks, unquote(r.file), k, k < most_words, shards == 1, least, deals)) for r in sorted(files)]
         counts = passes[0]
         for p in passes[1:]:
             counts = counts.unionByName(p)
@@ -374,7 +383,8 @@ def score_phrases(frequent: DataFrame, share: int) -> DataFrame:
     cuts = kept.select("lang", "key", "a", F.explode(F.sequence(F.lit(1), F.size("key") - 1)).alias("k"))
     cuts = cuts.withColumn("head", F.expr("slice(key, 1, k)")).withColumn("tail", F.expr("slice(key, k + 1, size(key) - k)"))
     counts = frequent.select(F.col("key").alias("part"), "f")
-    cuts = cuts.join(counts.withColumnRenamed("part", "head").withColumnRenamed("f", "l"), "head").join(counts.withColumnRenamed("part", "tail").withColumnRenamed("f", "r"), "tail")
+    cuts = shuffled(cuts, counts.withColumnRenamed("part", "head").withColumnRenamed("f", "l"), "head")
+    cuts = shuffled(cuts, counts.withColumnRenamed("part", "tail").withColumnRenamed("f", "r"), "tail")
     score = F.expr("cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     best = F.min(F.struct(score.alias("score"), "k", "l", "r"))
     return cuts.groupBy("lang", "key", "a").agg(best.alias("best")).select("lang", "key", "a", "best.l", "best.r", "best.score")

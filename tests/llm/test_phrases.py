@@ -96,3 +96,19 @@ def test_query_equals_sql(spark):
     got = queries.op13_collocations(spark, sf)
     assert [t for _, t in got.dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
     assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+
+
+def test_no_trie_goes_through_the_driver(spark, monkeypatch):
+    """The driver collects counts and names of files only, and broadcasts nothing, however many tries there are."""
+    monkeypatch.setattr(phrases, "SHARD", 40)
+    got, frame = [], type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("broadcast"))
+    rows = made_rows()
+    df = spark.createDataFrame(rows, "lang string, text string")
+    found = phrases.collocations(df, 20, 3, 80, 2000)
+    held = [v for rows in got for r in rows for v in r if isinstance(v, (bytes, bytearray))]
+    assert got and not held
+    monkeypatch.undo()
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 20, 3, 80, 2000)
